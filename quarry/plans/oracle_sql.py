@@ -45,3 +45,179 @@ ORACLE["r5_reference_index"] = f"""{V.CODE}
 SELECT identifier, path, count(*)::BIGINT AS n
 FROM (SELECT path, unnest(regexp_extract_all(content, '[A-Za-z_]\\w*')) AS identifier FROM code_files)
 GROUP BY identifier, path"""
+
+
+# --------------------------------------------------------------- M4/M5 rewrite
+
+def _hex(h: str, start: int, length: int = 8) -> str:
+    return f"('0x' || substr({h}, {start}, {length}))::BIGINT"
+
+
+_H = "md5('42:new_name:' || old)"
+NEW_NAME = (f"CASE WHEN {_hex(_H, 1)} % 10 < 7 THEN old || '_' || "
+            f"['Renamed','Legacy','V2','Updated','New','Modified'][{_hex(_H, 9)} % 6 + 1] "
+            f"ELSE ['Old','Legacy','Compat','Wrapper'][{_hex(_H, 17)} % 4 + 1] || '_' || old END")
+
+RENAME = f"""{V.CODE_REC},
+keys AS (SELECT DISTINCT symbol FROM code_symbols),
+ranked AS (SELECT symbol, row_number() OVER (ORDER BY md5('42:rename:' || symbol), symbol) AS rank FROM keys),
+rmap0 AS (SELECT symbol AS old, rank FROM ranked WHERE rank <= (SELECT greatest(1, floor(count(*) * 0.05::DOUBLE)) FROM keys)),
+rmap AS (SELECT old, {NEW_NAME} AS new, rank FROM rmap0),
+pairs AS (SELECT p.path, r.old, r.new, r.rank FROM (SELECT DISTINCT symbol, path FROM code_symbols) p JOIN rmap r ON p.symbol = r.old),
+ordered AS (SELECT path, old, new, row_number() OVER (PARTITION BY path ORDER BY rank) AS i FROM pairs),
+rec AS (
+  SELECT f.path, f.content, 0 AS i FROM code_files f WHERE f.path IN (SELECT path FROM pairs)
+  UNION ALL
+  SELECT r.path, regexp_replace(r.content, '\\b' || o.old || '\\b', o.new, 'g'), r.i + 1
+  FROM rec r JOIN ordered o ON o.path = r.path AND o.i = r.i + 1),
+final AS (SELECT path, max(i)::INTEGER AS n_pairs, arg_max(content, i) AS content FROM rec GROUP BY path)"""
+
+ORACLE["k1_t2_rename_map"] = f"{RENAME}\nSELECT old, new, rank FROM rmap"
+ORACLE["t2_rename_files"] = f"{RENAME}\nSELECT path, n_pairs, md5(content) AS content_md5 FROM final"
+ORACLE["a3_rename_stats"] = f"""{RENAME},
+cf AS (SELECT f.path, f.content AS old_content, x.content AS new_content FROM final x JOIN code_files f USING (path))
+SELECT 'renames' AS metric, count(*) AS value FROM rmap
+UNION ALL SELECT 'files_changed', count(*) FROM pairs
+UNION ALL SELECT 'files_rewritten', count(*) FROM final
+UNION ALL SELECT 'files_modified', count(*) FILTER (WHERE new_content <> old_content) FROM cf"""
+
+MIGRATE = f"""{V.CODE_REC},
+keys AS (SELECT DISTINCT symbol FROM code_symbols),
+chosen AS (SELECT symbol, rank FROM (
+    SELECT symbol, row_number() OVER (ORDER BY md5('42:api:' || symbol), symbol) AS rank
+    FROM keys WHERE length(symbol) > 3 AND regexp_matches(symbol, '^\\p{{Lu}}')) WHERE rank <= 10),
+definers AS (SELECT DISTINCT p.symbol, p.path FROM code_symbols p JOIN chosen c USING (symbol)),
+first AS (SELECT symbol, min(path) AS definition_file FROM definers GROUP BY symbol),
+usages AS (SELECT d.symbol, d.path FROM definers d JOIN first f USING (symbol) WHERE d.path <> f.definition_file),
+uranked AS (SELECT symbol, path,
+    row_number() OVER (PARTITION BY symbol ORDER BY md5('42:migrate:' || symbol || ':' || path), path) AS rk,
+    count(*) OVER (PARTITION BY symbol) AS n FROM usages),
+picked AS (SELECT symbol, path FROM uranked WHERE rk <= floor(n * 0.6::DOUBLE)),
+record AS (
+  SELECT c.symbol, c.symbol || 'V2' AS v2_symbol, f.definition_file,
+         (SELECT count(*) FROM usages u WHERE u.symbol = c.symbol)::INTEGER AS total_callsites,
+         (SELECT count(*) FROM picked p WHERE p.symbol = c.symbol)::INTEGER AS migrated_callsites
+  FROM chosen c JOIN first f USING (symbol)),
+actions AS (
+  SELECT symbol, definition_file AS path, 'define' AS action FROM first
+  UNION ALL SELECT symbol, path, 'migrate' AS action FROM picked)"""
+
+ORACLE["t3_api_migrations"] = f"{MIGRATE}\nSELECT * FROM record"
+ORACLE["t3_migration_actions"] = f"{MIGRATE}\nSELECT symbol, path, action FROM actions"
+
+# T3 rewrite: actions applied per file in (rank, step) order.  Go clone
+# and Python clone (F21) are regexes RE2 can run; migrate is a
+# whole-word replace.
+ORACLE["t3_migrate_rewrite"] = f"""{MIGRATE},
+acts AS (
+  SELECT a.path, a.action, a.symbol AS old, a.symbol || 'V2' AS new,
+         row_number() OVER (PARTITION BY a.path ORDER BY c.rank, CASE a.action WHEN 'define' THEN 0 ELSE 1 END) AS i
+  FROM actions a JOIN chosen c USING (symbol)),
+rec AS (
+  SELECT f.path, f.language, f.content, f.content AS original, 0 AS i FROM code_files f WHERE f.path IN (SELECT path FROM acts)
+  UNION ALL
+  SELECT r.path, r.language,
+    CASE
+      WHEN a.action = 'migrate' THEN regexp_replace(r.content, '\\b' || a.old || '\\b', a.new, 'g')
+      WHEN r.language = 'go' THEN (
+        WITH m AS (SELECT regexp_extract(r.content, '(?s)(func\\s+' || a.old || '\\s*\\([^)]*\\)\\s*[^{{]*\\{{[^}}]*\\}})', 1) AS o)
+        SELECT CASE WHEN o = '' THEN r.content ELSE replace(r.content, o, o || chr(10) || chr(10) || replace(o, 'func ' || a.old, 'func ' || a.new)) END FROM m)
+      WHEN r.language = 'python' THEN (
+        WITH m AS (SELECT regexp_extract(r.content, '(?m)(def\\s+' || a.old || '\\s*\\([^)]*\\):[^\\n]*(?:\\n(?:    [^\\n]*|\\n)*)*)', 1) AS o)
+        SELECT CASE WHEN o = '' THEN r.content ELSE replace(r.content, o, o || chr(10) || chr(10) || replace(o, 'def ' || a.old, 'def ' || a.new)) END FROM m)
+      ELSE r.content END,
+    r.original, r.i + 1
+  FROM rec r JOIN acts a ON a.path = r.path AND a.i = r.i + 1)
+SELECT path, md5(arg_max(content, i)) AS content_md5, arg_max(content, i) <> any_value(original) AS changed
+FROM rec GROUP BY path"""
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
+def _wrap_sql():
+    from quarry.operators.transforms import WRAPPER_TEMPLATES
+    return " UNION ALL ".join(f"SELECT '{k}' AS language, {_sql_str(v)} AS template"
+                              for k, v in WRAPPER_TEMPLATES.items())
+
+
+WRAP = f"""{V.CODE},
+keys AS (SELECT DISTINCT symbol FROM code_symbols),
+chosen AS (SELECT symbol, rank FROM (
+    SELECT symbol, row_number() OVER (ORDER BY md5('42:wrap:' || symbol), symbol) AS rank FROM keys) WHERE rank <= 8),
+first AS (SELECT c.symbol, c.rank, min(p.path) AS original_file
+          FROM chosen c JOIN (SELECT DISTINCT symbol, path FROM code_symbols) p USING (symbol) GROUP BY ALL),
+rec AS (SELECT f.symbol, f.rank, f.original_file,
+               regexp_replace(f.original_file, '(\\.[^./]+)$', '_wrapper\\1') AS wrapper_file,
+               cf.language, cf.repo, cf.rel_path
+        FROM first f JOIN code_files cf ON cf.path = f.original_file WHERE cf.language IN ('go', 'python')),
+tpl AS ({_wrap_sql()}),
+gen AS (SELECT r.*, replace(replace(replace(t.template, '{{symbol}}', r.symbol), '{{symbol_lower}}', lower(r.symbol)),
+                           '{{module}}', regexp_extract(r.original_file, '([^/]+)\\.[^./]+$', 1)) AS content,
+               row_number() OVER (PARTITION BY r.wrapper_file ORDER BY r.rank DESC) AS w
+        FROM rec r JOIN tpl t USING (language))"""
+
+ORACLE["t4_wrapper_layers"] = f"""{WRAP}
+SELECT symbol, original_file, wrapper_file, 'caller -> ' || wrapper_file || ' -> ' || original_file AS call_chain FROM rec"""
+
+ORACLE["t4_wrapper_files"] = f"""{WRAP}
+SELECT repo, wrapper_file AS path, substr(wrapper_file, length(original_file) - length(rel_path) + 1) AS rel_path,
+       language, strlen(content)::BIGINT AS size_bytes, {V.line_count_sql('content')}::INTEGER AS line_count,
+       sha256(content) AS sha
+FROM gen WHERE w = 1"""
+
+_LIT = "replace(replace(content, '\"INFO\"', '\"DEBUG\"'), '''error''', '''warn''')"
+_HDR = (f"CASE WHEN starts_with({_LIT}, '//') OR starts_with({_LIT}, '#') THEN '// LEGACY VERSION - DO NOT USE' || chr(10) || {_LIT} "
+        f"WHEN starts_with({_LIT}, '/*') THEN '/* LEGACY VERSION */' || chr(10) || {_LIT} ELSE {_LIT} END")
+DRIFT_SQL = f"regexp_replace(regexp_replace({_HDR}, '\\b1024\\b', '1000', 'g'), '\\b60\\b', '65', 'g')"
+
+DUP = f"""{V.CODE},
+td AS (SELECT *, left(path, length(path) - length(rel_path) - 1) AS repo_root, split_part(rel_path, '/', 1) AS top_dir
+       FROM code_files WHERE contains(rel_path, '/')),
+counts AS (SELECT repo, repo_root, top_dir, count(*) AS n_files FROM td GROUP BY ALL),
+small AS (SELECT * FROM counts WHERE n_files < 100 AND NOT starts_with(top_dir, '.')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY md5('42:dup:' || repo || ':' || top_dir), top_dir) AS rk,
+                  count(*) OVER (PARTITION BY repo) AS gs FROM small),
+chosen AS (SELECT repo, repo_root, top_dir FROM ranked WHERE rk <= least(2, gs)),
+copies AS (SELECT td.*, td.top_dir || '_legacy' AS new_top FROM td JOIN chosen USING (repo, repo_root, top_dir)),
+drifted AS (
+  SELECT repo_root || '/' || new_top || '/' || substr(rel_path, length(top_dir) + 2) AS path, path AS original_path,
+         repo_root, top_dir, new_top, content AS old_content,
+         CASE WHEN regexp_matches(path, '\\.(go|py|cpp|h)$') THEN {DRIFT_SQL} ELSE content END AS content,
+         regexp_matches(path, '\\.(go|py|cpp|h)$') AS rewritable
+  FROM copies),
+dfiles AS (SELECT *, rewritable AND content <> old_content AS modified FROM drifted)"""
+
+ORACLE["t5_duplication_map"] = f"""{DUP}
+SELECT c.repo_root || '/' || c.top_dir AS original_path, c.repo_root || '/' || c.top_dir || '_legacy' AS duplicate_path,
+       coalesce((SELECT string_agg(d.path, '|' ORDER BY d.path) FROM dfiles d
+                 WHERE d.modified AND d.repo_root = c.repo_root AND d.top_dir = c.top_dir), '') AS modified_files
+FROM chosen c"""
+
+ORACLE["t5_duplicate_files"] = f"""{DUP}
+SELECT path, original_path, modified, sha256(content) AS sha FROM dfiles"""
+
+ORACLE["r2_drift_audit"] = f"""{DUP},
+a AS (SELECT path, unnest(string_split(content, chr(10))) AS line, 1 AS d FROM dfiles
+      UNION ALL SELECT path, unnest(string_split(old_content, chr(10))) AS line, -1 AS d FROM dfiles),
+per AS (SELECT path, line, sum(d) AS net FROM a GROUP BY ALL),
+ch AS (SELECT path, sum(greatest(net, 0))::BIGINT AS changed_lines FROM per GROUP BY path),
+nl AS (SELECT path, original_path, len(string_split(content, chr(10)))::BIGINT AS n_lines FROM dfiles)
+SELECT nl.path, nl.original_path, nl.n_lines, ch.changed_lines,
+       round(ch.changed_lines / greatest(nl.n_lines, 1), 9) AS changed_share
+FROM nl JOIN ch USING (path)"""
+
+ORACLE["a7_dir_file_count"] = f"""{V.CODE}
+SELECT repo, top_dir, n_files, n_files < 100 AND NOT starts_with(top_dir, '.') AS small
+FROM (SELECT repo, split_part(rel_path, '/', 1) AS top_dir, count(*) AS n_files
+      FROM code_files WHERE contains(rel_path, '/') GROUP BY ALL)"""
+
+ORACLE["w2_stratified_fraction"] = f"""{V.CODE},
+r AS (SELECT language, path,
+        row_number() OVER (PARTITION BY language ORDER BY md5('42:w2:' || language || ':' || path), path) AS rank,
+        count(*) OVER (PARTITION BY language) AS group_size FROM code_files)
+SELECT language, path, rank, group_size FROM r WHERE rank <= floor(group_size * 0.6::DOUBLE)"""
+
+ORACLE["d7_shard_select"] = f"""{V.CODE}
+SELECT path, size_bytes FROM code_files WHERE ('0x' || substr(md5(path), 1, 15))::BIGINT % 8 = 3"""

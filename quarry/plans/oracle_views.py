@@ -102,3 +102,5 @@ code_symbols AS (
 
 CODE = f"WITH {CODE_FILES},\n{CODE_SYMBOL_LISTS}"
 PROSE = f"WITH {PROSE_FILES}"
+
+CODE_REC = f"WITH RECURSIVE {CODE_FILES},\n{CODE_SYMBOL_LISTS}"

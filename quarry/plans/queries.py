@@ -74,3 +74,122 @@ def f9_imports(spark, sf):
 def r5_reference_index(spark, sf):
     """Every identifier use per file."""
     return IX.reference_index(TB.code_files(spark, sf))
+
+
+# --------------------------------------------------------------- M4/M5 rewrite
+from quarry.operators import sampling as S  # noqa: E402
+from quarry.operators import transforms as TR  # noqa: E402
+
+
+def _renamed(spark, sf):
+    files = TB.code_files(spark, sf)
+    return TR.rename_symbols(files, IX.extract_symbols(files), p=0.05, seed=42, mode="word", boundary="ascii")
+
+
+@query("k1_t2_rename_map")
+def k1_t2_rename_map(spark, sf):
+    """K1 + F16: the sampled symbols and their new names, in sample order."""
+    return _renamed(spark, sf).record.select("old", "new", "rank")
+
+
+@query("t2_rename_files")
+def t2_rename_files(spark, sf):
+    """Files rewritten by the sequential whole-word renames."""
+    t = _renamed(spark, sf).touched
+    return t.select("path", F.size("pairs").cast("int").alias("n_pairs"),
+                    F.md5("new_content").alias("content_md5"))
+
+
+@query("a3_rename_stats")
+def a3_rename_stats(spark, sf):
+    return TR.rename_stats(_renamed(spark, sf))
+
+
+def _migrated(spark, sf):
+    files = TB.code_files(spark, sf)
+    return TR.migrate_api(files, IX.extract_symbols(files), n=10, fraction=0.6, seed=42)
+
+
+@query("t3_api_migrations")
+def t3_api_migrations(spark, sf):
+    """T3 record: P9 + K2 + W1 + W2 counts per migrated API."""
+    return _migrated(spark, sf).record.select("symbol", "v2_symbol", "definition_file",
+                                              "total_callsites", "migrated_callsites")
+
+
+@query("t3_migration_actions")
+def t3_migration_actions(spark, sf):
+    """Which file gets the V2 definition and which usages migrate."""
+    return _migrated(spark, sf).details
+
+
+@query("t3_migrate_rewrite")
+def t3_migrate_rewrite(spark, sf):
+    """T3 rewrite (F20/F21 clone, F22 migrate) of every touched file."""
+    t = _migrated(spark, sf).touched
+    return t.select("path", F.md5("new_content").alias("content_md5"),
+                    (F.col("new_content") != F.col("content")).alias("changed"))
+
+
+def _wrapped(spark, sf):
+    files = TB.code_files(spark, sf)
+    return TR.add_wrappers(files, IX.extract_symbols(files), n=8, seed=42)
+
+
+@query("t4_wrapper_layers")
+def t4_wrapper_layers(spark, sf):
+    """T4 record: K3 + W1 + P13 + F24 + F26."""
+    return _wrapped(spark, sf).record.select("symbol", "original_file", "wrapper_file", "call_chain")
+
+
+@query("t4_wrapper_files")
+def t4_wrapper_files(spark, sf):
+    """Generated wrapper rows."""
+    return _wrapped(spark, sf).touched.select("repo", "path", "rel_path", "language", "size_bytes",
+                                              "line_count", "sha")
+
+
+def _duplicated(spark, sf):
+    return TR.duplicate_with_drift(TB.code_files(spark, sf), k=2, max_files=100, seed=42)
+
+
+@query("t5_duplication_map")
+def t5_duplication_map(spark, sf):
+    """T5 record: A7 + P10 + K4 + P12 (modified files joined by '|')."""
+    rec = TR.duplication_record(_duplicated(spark, sf))
+    return rec.select("original_path", "duplicate_path", F.array_join("modified_files", "|").alias("modified_files"))
+
+
+@query("t5_duplicate_files")
+def t5_duplicate_files(spark, sf):
+    """T5 rows: copied paths with drifted content."""
+    t = _duplicated(spark, sf).touched
+    return t.select("path", "original_path", "modified", F.sha2("content", 256).alias("sha"))
+
+
+@query("r2_drift_audit")
+def r2_drift_audit(spark, sf):
+    """R2: changed lines of every drifted copy against its original."""
+    return TR.drift_audit(_duplicated(spark, sf))
+
+
+@query("a7_dir_file_count")
+def a7_dir_file_count(spark, sf):
+    """A7 + P10: files per top-level directory and whether it may be copied."""
+    td = TR.top_dirs(TB.code_files(spark, sf))
+    return (td.groupBy("repo", "top_dir").agg(F.count(F.lit(1)).alias("n_files"))
+            .withColumn("small", (F.col("n_files") < 100) & ~F.col("top_dir").startswith(".")))
+
+
+@query("w2_stratified_fraction")
+def w2_stratified_fraction(spark, sf):
+    """W2 on a large grouping: per language, int(0.6 n) files chosen by hash."""
+    files = TB.code_files(spark, sf).select("language", "path")
+    picked = S.sample_per_group(files, "language", "path", p=0.6, seed=42, op="w2")
+    return picked.select("language", "path", "rank", "group_size")
+
+
+@query("d7_shard_select")
+def d7_shard_select(spark, sf):
+    """Files of shard 3 of 8."""
+    return S.shard_select(TB.code_files(spark, sf).select("path", "size_bytes"), "path", 3, 8)

@@ -221,3 +221,59 @@ SELECT language, path, rank, group_size FROM r WHERE rank <= floor(group_size *
 
 ORACLE["d7_shard_select"] = f"""{V.CODE}
 SELECT path, size_bytes FROM code_files WHERE ('0x' || substr(md5(path), 1, 15))::BIGINT % 8 = 3"""
+
+
+# ----------------------------------------------------- M6/M7 lineage, validation
+ORACLE["r1_snapshot_diff"] = f"""{RENAME},
+after AS (SELECT c.path, coalesce(sha256(f.content), c.sha) AS sha FROM code_files c LEFT JOIN final f USING (path))
+SELECT coalesce(b.path, a.path) AS path,
+       CASE WHEN b.sha IS NULL THEN 'added' WHEN a.sha IS NULL THEN 'removed'
+            WHEN b.sha <> a.sha THEN 'modified' ELSE 'same' END AS status
+FROM code_files b FULL OUTER JOIN after a ON a.path = b.path"""
+
+ORACLE["d8_changed_repos"] = f"""{RENAME},
+after AS (SELECT c.repo, c.path, coalesce(sha256(f.content), c.sha) AS sha FROM code_files c LEFT JOIN final f USING (path)),
+da AS (SELECT repo, count(*) AS n_files, sum(('0x' || substr(sha, 1, 8))::BIGINT)::BIGINT AS digest FROM after GROUP BY repo),
+db AS (SELECT repo, count(*) AS n_files, sum(('0x' || substr(sha, 1, 8))::BIGINT)::BIGINT AS digest FROM code_files GROUP BY repo)
+SELECT * FROM da WHERE NOT EXISTS (SELECT 1 FROM db WHERE db.repo = da.repo AND db.n_files = da.n_files AND db.digest = da.digest)"""
+
+_EDGE_RE = "(?:func|def|int) (\\w+)\\([^)]*\\)[^\\n]*\\n\\s*return (\\w+)\\(x\\)"
+ORACLE["r3_call_chain"] = f"""{V.CODE_REC},
+edges AS (SELECT DISTINCT unnest(regexp_extract_all(content, '{_EDGE_RE}', 1)) AS caller,
+                          unnest(regexp_extract_all(content, '{_EDGE_RE}', 2)) AS callee FROM code_files),
+roots AS (SELECT symbol AS root FROM (
+   SELECT symbol, row_number() OVER (ORDER BY md5('42:chain:' || symbol), symbol) AS r
+   FROM (SELECT DISTINCT caller AS symbol FROM edges)) WHERE r <= 10),
+walk(root, node, depth) AS (
+   SELECT root, root, 0 FROM roots
+   UNION
+   SELECT w.root, e.callee, w.depth + 1 FROM walk w JOIN edges e ON e.caller = w.node WHERE w.depth < 6)
+SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node"""
+
+ORACLE["r4_exact_copies"] = f"""{V.PROSE},
+h AS (SELECT path, md5(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))) AS group_hash FROM prose_files),
+s AS (SELECT group_hash, count(*) AS group_size FROM h GROUP BY group_hash HAVING count(*) > 1)
+SELECT path, group_hash, group_size FROM h JOIN s USING (group_hash)"""
+
+ORACLE["t6_validate_corpus"] = f"""{V.CODE},
+c AS (SELECT repo, count(*) FILTER (WHERE ends_with(path, '.go')) AS go, count(*) FILTER (WHERE ends_with(path, '.py')) AS py,
+             count(*) FILTER (WHERE ends_with(path, '.cpp')) AS cpp FROM code_files GROUP BY repo),
+s AS (SELECT repo, bool_and(NOT regexp_matches(content, '(?m)^def (True|False|None)\\(')) AS python_ok,
+             count(*) AS python_files,
+             count(*) FILTER (WHERE regexp_matches(content, '(?m)^def (True|False|None)\\(')) AS syntax_errors
+      FROM code_files WHERE language = 'python' GROUP BY repo)
+SELECT c.repo, go, py, cpp,
+       CASE WHEN go > greatest(py, cpp) THEN 'go' WHEN py > greatest(go, cpp) THEN 'python' WHEN cpp > 0 THEN 'cpp' END AS primary_language,
+       python_ok, python_files, syntax_errors
+FROM c LEFT JOIN s USING (repo)"""
+
+ORACLE["c7_check_compilation"] = f"""{V.CODE},
+f AS (SELECT repo, path, content, row_number() OVER (PARTITION BY repo ORDER BY path) AS r FROM code_files WHERE ends_with(path, '.py'))
+SELECT repo, bool_and(NOT regexp_matches(content, '(?m)^def (True|False|None)\\(')) AS compile_ok FROM f WHERE r <= 5 GROUP BY repo"""
+
+ORACLE["a6_primary_language_prose"] = f"""{V.PROSE},
+c AS (SELECT repo, count(*) FILTER (WHERE ends_with(path, '.go')) AS go, count(*) FILTER (WHERE ends_with(path, '.py')) AS py,
+             count(*) FILTER (WHERE ends_with(path, '.cpp')) AS cpp FROM prose_files GROUP BY repo)
+SELECT repo, go, py, cpp,
+       CASE WHEN go > greatest(py, cpp) THEN 'go' WHEN py > greatest(go, cpp) THEN 'python' WHEN cpp > 0 THEN 'cpp' END AS primary_language
+FROM c"""

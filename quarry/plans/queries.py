@@ -193,3 +193,131 @@ def w2_stratified_fraction(spark, sf):
 def d7_shard_select(spark, sf):
     """Files of shard 3 of 8."""
     return S.shard_select(TB.code_files(spark, sf).select("path", "size_bytes"), "path", 3, 8)
+
+
+# ------------------------------------------------------------------ M8 scoring
+from quarry.operators import scoring as SCO  # noqa: E402
+from quarry.operators import tasks as TK  # noqa: E402
+
+def _score_cols():
+    return ["submission_id", "task_id", "type", "score", F.size("errors").alias("n_errors")]
+
+
+@query("t8_tasks")
+def t8_tasks(spark, sf):
+    """Tasks derived from the transform records and located passages."""
+    return TB.scoring_context(spark, sf)["tasks"].select("task_id", "type", "difficulty", "max_time_minutes",
+                                                         "start_symbol", "symbol_to_rename", "new_name",
+                                                         "old_api", "new_api")
+
+
+@query("s9_answer_text")
+def s9_answer_text(spark, sf):
+    """Answer texts assembled in the fixed source order + commits."""
+    return TB.scoring_context(spark, sf)["texts"].select("submission_id", "kind", F.md5("text").alias("text_md5"))
+
+
+@query("c1_score_cross_file")
+def c1_score_cross_file(spark, sf):
+    c = TB.scoring_context(spark, sf)
+    s = SCO.score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"])
+    return s.select(*_score_cols(), F.get_json_object("details", "$.call_chain_accuracy").cast("double").alias("acc"))
+
+
+@query("c2_score_rename")
+def c2_score_rename(spark, sf):
+    c = TB.scoring_context(spark, sf)
+    s = SCO.score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"], c["submissions"],
+                         c["ref_index"], "ascii")
+    return s.select(*_score_cols(), F.get_json_object("details", "$.false_positives").cast("int").alias("fp"))
+
+
+@query("c3_score_api")
+def c3_score_api(spark, sf):
+    c = TB.scoring_context(spark, sf)
+    s = SCO.score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"], c["submissions"], "ascii")
+    return s.select(*_score_cols())
+
+
+@query("c4_score_bug")
+def c4_score_bug(spark, sf):
+    c = TB.scoring_context(spark, sf)
+    s = SCO.score_bug(c["attempts"], c["tasks"], c["truth_bugs"], c["files"], c["submissions"], c["texts"])
+    return s.select(*_score_cols(), F.get_json_object("details", "$.location_score").cast("double").alias("loc"))
+
+
+@query("c5_score_all")
+def c5_score_all(spark, sf):
+    return SCO.score_all(TB.scoring_context(spark, sf)).select(*_score_cols())
+
+
+@query("c6_report")
+def c6_report(spark, sf):
+    """C6 + A17 + D1 + D2 per submission."""
+    c = TB.scoring_context(spark, sf)
+    return SCO.report(SCO.score_all(c), c["tasks"], c["submissions"])
+
+
+# ----------------------------------------------------- M6/M7 lineage, validation
+from quarry.operators import lineage as LN  # noqa: E402
+from quarry.operators import validate as VA  # noqa: E402
+
+
+@query("r1_snapshot_diff")
+def r1_snapshot_diff(spark, sf):
+    """Code view before/after the T2 renames plus the T5 copies."""
+    files = TB.code_files(spark, sf)
+    ren = TR.rename_symbols(files, IX.extract_symbols(files), p=0.05, seed=42, mode="word", boundary="ascii")
+    return LN.snapshot_diff(files, ren.files).select("path", "status")
+
+
+@query("d8_changed_repos")
+def d8_changed_repos(spark, sf):
+    """Repositories whose files changed with the T2 renames."""
+    files = TB.code_files(spark, sf)
+    ren = TR.rename_symbols(files, IX.extract_symbols(files), p=0.05, seed=42, mode="word", boundary="ascii")
+    return LN.changed_repos(files, ren.files)
+
+
+def _chain_roots(spark, sf, edges):
+    callers = edges.select(F.col("caller").alias("symbol")).distinct()
+    return S.sample_n(callers, "symbol", 10, 42, op="chain").select(F.col("symbol").alias("root"))
+
+
+@query("r3_call_chain")
+def r3_call_chain(spark, sf):
+    """Nodes reachable from 10 sampled callers within 6 calls."""
+    edges = LN.call_edges(TB.code_files(spark, sf))
+    return LN.call_chain(edges, _chain_roots(spark, sf, edges), max_depth=6)
+
+
+@query("r4_exact_copies")
+def r4_exact_copies(spark, sf):
+    """R4 exact: documents sharing a normalised text."""
+    return LN.exact_copies(TB.prose_files(spark, sf))
+
+
+@query("r4_near_copies")
+def r4_near_copies(spark, sf):
+    """R4 near: MinHash/LSH representative of each near-copy document."""
+    return LN.near_copies(TB.prose_files(spark, sf), threshold=0.8)
+
+
+@query("t6_validate_corpus")
+def t6_validate_corpus(spark, sf):
+    """A5 counts, A6 primary language, A8 Python syntax per repo."""
+    v = VA.validate_corpus(TB.code_files(spark, sf))
+    return v.select("repo", "go", "py", "cpp", "primary_language", "python_ok", "python_files", "syntax_errors")
+
+
+@query("c7_check_compilation")
+def c7_check_compilation(spark, sf):
+    """C7 + W4: the first five .py files of each repo parse."""
+    return VA.check_compilation(TB.code_files(spark, sf))
+
+
+@query("a6_primary_language_prose")
+def a6_primary_language_prose(spark, sf):
+    """A5 + A6 over the prose view."""
+    c = VA.lang_counts(TB.prose_files(spark, sf))
+    return c.withColumn("primary_language", VA.primary_language("go", "py", "cpp"))

@@ -27,3 +27,32 @@ def code_symbols(spark: SparkSession, sf_dir: str, files: DataFrame | None = Non
 
 def prose_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IX.extract_symbols(prose_files(spark, sf_dir), prose_extractors())
+
+
+def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii") -> dict:
+    """Tasks, truths, answers and the after-patch corpus derived from the
+    driver tables (see ``operators.tasks``).  The after-patch corpus is the
+    code view with the T2 renames applied; all records use the index built
+    before the rename (X13)."""
+    from quarry.operators import scoring as SCO
+    from quarry.operators import tasks as TK
+    from quarry.operators import transforms as TR
+
+    files = code_files(spark, sf_dir)
+    syms = IX.extract_symbols(files)
+    ren = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary=boundary)
+    mig = TR.migrate_api(files, syms, n=10, fraction=0.6, seed=42)
+    wrp = TR.add_wrappers(files, syms, n=8, seed=42)
+    t1, p1 = TK.cross_file_tasks(wrp.record)
+    t2, p2 = TK.rename_tasks(ren.record, syms)
+    t3, p3 = TK.api_tasks(mig.record, mig.details, syms)
+    t4, p4 = TK.bug_tasks(table(spark, sf_dir, "benchmark"), prose_files(spark, sf_dir))
+    tasks = t1.unionByName(t2).unionByName(t3).unionByName(t4)
+    conv = table(spark, sf_dir, "conversations")
+    subs = TK.submissions_from_conversations(conv)
+    at = TK.agent_text_from_conversations(conv)
+    texts = SCO.answer_text(at, "reasoning").unionByName(SCO.answer_text(at, "bug"))
+    after = ren.files
+    return {"tasks": tasks, "truth_paths": p1, "truth_renames": p2, "truth_callsites": p3, "truth_bugs": p4,
+            "submissions": subs, "texts": texts, "files": after, "ref_index": IX.reference_index(after),
+            "attempts": TK.attempts_for(subs, tasks), "boundary": boundary}

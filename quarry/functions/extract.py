@@ -156,6 +156,19 @@ def cpp_symbols_udf(content: pd.Series) -> pd.Series:
     return content.map(_guard(cpp_symbols_of))
 
 
+def dispatch_udf(by_language: dict):
+    """One Arrow-batched UDF (content, language) -> symbols that calls the
+    registered Python extractor of each row's language; a row whose
+    analysis raises gives null (P8)."""
+    fns = {k: _guard(v) for k, v in by_language.items()}
+
+    def run(content: pd.Series, language: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or lg not in fns else fns[lg](c)
+                          for c, lg in zip(content, language)], dtype=object)
+
+    return F.pandas_udf(run, SYMBOL_ARRAY)
+
+
 SYNTAX_STRUCT = T.StructType([T.StructField("ok", T.BooleanType()),
                               T.StructField("message", T.StringType())])
 

@@ -18,24 +18,23 @@ def symbol_array_expr(registry: ExtractorRegistry | None = None,
                       content: str = "content", language: str = "language") -> Column:
     """F8 dispatch as one expression over (content, language).
 
-    Native extractors form a CASE; each UDF extractor is fed
-    ``CASE WHEN language IN (its languages) THEN content END`` so it sees only
-    its own rows, and the file is scanned once.
+    Native extractors form a CASE.  All Python-side extractors share ONE
+    pandas UDF that is fed ``CASE WHEN language IN (python-side languages)
+    THEN content END``: other rows cross Arrow as nulls, and the file is
+    scanned once.
     """
     reg = registry or DEFAULT_EXTRACTORS
     lang, c = F.col(language), F.col(content)
     expr = None
-    udf_groups: dict[int, tuple] = {}
+    py_side = {name: ex.fn for name, ex in reg.by_language.items() if not ex.native}
     for name, ex in reg.by_language.items():
         if ex.native:
             val = ex.fn(c)
             expr = F.when(lang == name, val) if expr is None else expr.when(lang == name, val)
-        else:
-            fn, langs = udf_groups.get(id(ex.fn), (ex.fn, []))
-            langs.append(name)
-            udf_groups[id(ex.fn)] = (fn, langs)
-    for fn, langs in udf_groups.values():
-        val = fn(F.when(lang.isin(langs), c))
+    if py_side:
+        langs = sorted(py_side)
+        udf = X.dispatch_udf(py_side)
+        val = udf(F.when(lang.isin(langs), c), F.when(lang.isin(langs), lang))
         expr = F.when(lang.isin(langs), val) if expr is None else expr.when(lang.isin(langs), val)
     empty = F.array().cast(X.SYMBOL_ARRAY)
     return empty if expr is None else expr.otherwise(empty)

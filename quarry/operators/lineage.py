@@ -104,7 +104,9 @@ def _minhash_params(num_hashes: int, seed: int = 42):
 
 
 def minhash_of(text: str | None, shingle: int, a, b) -> list[int] | None:
-    """MinHash of the word ``shingle``-grams of one text (numpy, per row)."""
+    """MinHash of the word ``shingle``-grams of one text (numpy, per row):
+    all permutations ``(a*x + b) mod 2**61-1`` at once on a grams x hashes
+    matrix (operands split so products stay inside 64 bits)."""
     import re
 
     import numpy as np
@@ -115,15 +117,11 @@ def minhash_of(text: str | None, shingle: int, a, b) -> list[int] | None:
     if not words:
         return []
     grams = {" ".join(words[i:i + shingle]) for i in range(max(len(words) - shingle + 1, 1))}
+    p = np.uint64(_MERSENNE)
     x = np.fromiter((xxhash.xxh64_intdigest(g) & _MERSENNE for g in grams), dtype=np.uint64, count=len(grams))
-    # (a*x + b) mod p with 61-bit operands: split x to stay inside 64 bits
-    lo, hi = x & np.uint64(0x3FFFFFFF), x >> np.uint64(30)
-    res = []
-    for ai, bi in zip(a, b):
-        v = ((ai * hi % np.uint64(_MERSENNE)) * np.uint64(1 << 30) % np.uint64(_MERSENNE)
-             + ai * lo % np.uint64(_MERSENNE) + bi) % np.uint64(_MERSENNE)
-        res.append(int(v.min()))
-    return res
+    lo, hi = (x & np.uint64(0x3FFFFFFF))[:, None], (x >> np.uint64(30))[:, None]
+    v = ((a * hi % p) * np.uint64(1 << 30) % p + a * lo % p + b) % p
+    return v.min(axis=0).astype(np.int64).tolist()
 
 
 def minhash_signatures(files: DataFrame, shingle: int = 5, num_hashes: int = 64) -> DataFrame:
@@ -143,7 +141,7 @@ def near_copies(files: DataFrame, threshold: float = 0.8, bands: int = 16, rows:
     """R4 near: (path, representative, similarity) for each document whose
     estimated Jaccard similarity with the smallest path of one of its LSH
     buckets reaches ``threshold``; the representative maps to itself."""
-    sig = minhash_signatures(files, shingle, bands * rows)
+    sig = cut_lineage(minhash_signatures(files, shingle, bands * rows))
     keys = sig.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                                                        lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows))))
                       .alias("band", "bucket"))

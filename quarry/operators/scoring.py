@@ -109,17 +109,28 @@ def rename_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, bou
         F.count_if(F.col("c").isNotNull() & ok).cast("int").alias("correctly_modified")))
 
 
-def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFrame,
-                           first_n: int = 50, cap: int = 10) -> DataFrame:
+def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFrame | None = None,
+                           first_n: int = 50, cap: int = 10, broadcast_max: int = 1_000_000) -> DataFrame:
     """A13 per task: of the first ``first_n`` lines (by path, line) of
     .go/.py/.cpp files that contain the new name, those that look like a
-    comment or string (F42), capped.  Candidate files come from the
-    reference index (files where the new name is a whole identifier)."""
+    comment or string (F42), capped.
+
+    Candidate files are those where the new name is a whole identifier: each
+    file's distinct identifiers are joined with the task names (broadcast
+    when their count is under ``broadcast_max``), so the corpus is never
+    shuffled.  (A name that only occurs inside a longer identifier is not
+    found; see README.)"""
     t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "new_name").filter(
         F.coalesce(F.col("new_name"), F.lit("")) != "")
-    cand = (ref_index.select(F.col("identifier").alias("new_name"), "path").distinct()
-            .join(t, "new_name"))
+    n_names = t.count()
+    names = F.broadcast(t) if n_names <= broadcast_max else t
     src = files.filter(TX.basename("path").rlike(r"\.(go|py|cpp)$")).select("path", "content")
+    if ref_index is not None:
+        idents = ref_index.select("path", F.col("identifier").alias("new_name"))
+    else:
+        idents = src.select("path", F.explode(F.array_distinct(
+            F.regexp_extract_all("content", F.lit(r"\w+"), 0))).alias("new_name"))
+    cand = idents.join(names, "new_name").select("task_id", "new_name", "path").distinct()
     lines = (cand.join(src, "path")
              .select("task_id", "new_name", "path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
              .filter(F.col("line").contains(F.col("new_name"))))
@@ -131,7 +142,7 @@ def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFr
 
 
 def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: DataFrame,
-                 submissions: DataFrame, ref_index: DataFrame, boundary: str = "unicode") -> DataFrame:
+                 submissions: DataFrame, ref_index: DataFrame | None = None, boundary: str = "unicode") -> DataFrame:
     t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "type", "ground_truth",
                                                                  "symbol_to_rename", "new_name")
     per_task = (t.join(truth.select("task_id").withColumn("_has_truth", F.lit(True)), "task_id", "left")
@@ -271,7 +282,7 @@ def register_scorer(task_type: str, fn: Callable[..., DataFrame]) -> None:
 
 register_scorer("cross_file_reasoning", lambda c: score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"]))
 register_scorer("refactor_rename", lambda c: score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"],
-                                                          c["submissions"], c["ref_index"], c.get("boundary", "unicode")))
+                                                          c["submissions"], c.get("ref_index"), c.get("boundary", "unicode")))
 register_scorer("api_upgrade", lambda c: score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"],
                                                    c["submissions"], c.get("boundary", "unicode")))
 register_scorer("bug_localization", lambda c: score_bug(c["attempts"], c["tasks"], c["truth_bugs"], c["files"],

@@ -19,7 +19,10 @@ from quarry.functions import extract as X
 
 @dataclass(frozen=True)
 class Extractor:
-    fn: Callable[[Column], Column]
+    """``native``: ``fn(content Column) -> Column``.  Otherwise ``fn`` is a
+    plain Python function ``text -> list[{"symbol", "kind"}]`` run inside one
+    Arrow-batched UDF shared by all Python-side languages."""
+    fn: Callable
     native: bool = True
 
 
@@ -39,9 +42,9 @@ def code_extractors() -> ExtractorRegistry:
     """F8 dispatch: go natively, python and cpp/c through UDFs."""
     reg = ExtractorRegistry()
     reg.register("go", X.go_symbols, native=True)
-    reg.register("python", X.py_symbols_udf, native=False)
-    reg.register("cpp", X.cpp_symbols_udf, native=False)
-    reg.register("c", X.cpp_symbols_udf, native=False)
+    reg.register("python", X.python_symbols_of, native=False)
+    reg.register("cpp", X.cpp_symbols_of, native=False)
+    reg.register("c", X.cpp_symbols_of, native=False)
     return reg
 
 

@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.code_files(table(spark, sf_dir, "documents"))
+    return C.code_files(C.load_spread(spark, sf_dir, "documents"))
 
 
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.prose_files(table(spark, sf_dir, "documents"))
+    return C.prose_files(C.load_spread(spark, sf_dir, "documents"))
 
 
 def code_symbols(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
@@ -29,7 +29,8 @@ def prose_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IX.extract_symbols(prose_files(spark, sf_dir), prose_extractors())
 
 
-def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii") -> dict:
+def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
+                    files: DataFrame | None = None, symbols: DataFrame | None = None) -> dict:
     """Tasks, truths, answers and the after-patch corpus derived from the
     driver tables (see ``operators.tasks``).  The after-patch corpus is the
     code view with the T2 renames applied; all records use the index built
@@ -38,8 +39,12 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii") -
     from quarry.operators import tasks as TK
     from quarry.operators import transforms as TR
 
-    files = code_files(spark, sf_dir)
-    syms = IX.extract_symbols(files)
+    from quarry.session import cut_lineage
+
+    # the corpus and its index are read by every branch below: materialise
+    # them once (reliable checkpoint in the session's checkpoint folder)
+    files = files if files is not None else cut_lineage(code_files(spark, sf_dir))
+    syms = symbols if symbols is not None else cut_lineage(IX.extract_symbols(files))
     ren = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary=boundary)
     mig = TR.migrate_api(files, syms, n=10, fraction=0.6, seed=42)
     wrp = TR.add_wrappers(files, syms, n=8, seed=42)
@@ -52,7 +57,7 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii") -
     subs = TK.submissions_from_conversations(conv)
     at = TK.agent_text_from_conversations(conv)
     texts = SCO.answer_text(at, "reasoning").unionByName(SCO.answer_text(at, "bug"))
-    after = ren.files
+    after = cut_lineage(ren.files)
     return {"tasks": tasks, "truth_paths": p1, "truth_renames": p2, "truth_callsites": p3, "truth_bugs": p4,
-            "submissions": subs, "texts": texts, "files": after, "ref_index": IX.reference_index(after),
+            "submissions": subs, "texts": texts, "files": after,
             "attempts": TK.attempts_for(subs, tasks), "boundary": boundary}

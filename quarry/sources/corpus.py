@@ -139,5 +139,18 @@ def page_links(pages: DataFrame) -> DataFrame:
                          .alias("ord", "target")))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give per-row heavy work (regex over whole files, Python parsers) at
+    least ``defaultParallelism`` tasks.  A scan of one large row group is one
+    partition; a cluster-sized scan already has many and is left alone, so
+    the extra round-robin shuffle only happens on small inputs."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def load_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def load_spread(spark, sf_dir: str, name: str) -> DataFrame:
+    return spread(load_table(spark, sf_dir, name))

@@ -64,7 +64,7 @@ def clone_go_function(content, old, new) -> Column:
     """copy ``func OLD(..) .. { .. }`` (up to the first ``}``) as NEW right
     after every identical occurrence."""
     pat = F.concat(F.lit(r"(?s)(func\s+"), TX.quote_regex(old), F.lit(r"\s*\([^)]*\)\s*[^{]*\{[^}]*\})"))
-    orig = F.regexp_extract(_c(content), pat, 1)
+    orig = F.call_function("regexp_extract", _c(content), pat, F.lit(1))
     v2 = F.replace(orig, F.concat(F.lit("func "), _c(old)), F.concat(F.lit("func "), _c(new)))
     return F.when(orig == "", _c(content)).otherwise(
         F.replace(_c(content), orig, F.concat(orig, F.lit("\n\n"), v2)))

@@ -100,7 +100,12 @@ def passage_locations(benchmark: DataFrame, prose_files: DataFrame, min_len: int
 
 
 def bug_tasks(benchmark: DataFrame, prose_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    loc = passage_locations(benchmark, prose_files)
+    return bug_tasks_from_locations(passage_locations(benchmark, prose_files))
+
+
+def bug_tasks_from_locations(loc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One bug task per located passage: the first file (by path) and the
+    line range of the passage in it; the other files are related files."""
     first = loc.groupBy("item_id").agg(F.min("path").alias("file"))
     rng = (loc.join(first, ["item_id"]).filter(F.col("path") == F.col("file"))
            .groupBy("item_id", "file").agg(F.min("line_no").alias("s"), F.max("line_no").alias("e")))

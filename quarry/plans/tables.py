@@ -48,16 +48,21 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
     ren = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary=boundary)
     mig = TR.migrate_api(files, syms, n=10, fraction=0.6, seed=42)
     wrp = TR.add_wrappers(files, syms, n=8, seed=42)
-    t1, p1 = TK.cross_file_tasks(wrp.record)
-    t2, p2 = TK.rename_tasks(ren.record, syms)
-    t3, p3 = TK.api_tasks(mig.record, mig.details, syms)
-    t4, p4 = TK.bug_tasks(table(spark, sf_dir, "benchmark"), prose_files(spark, sf_dir))
-    tasks = t1.unionByName(t2).unionByName(t3).unionByName(t4)
-    conv = table(spark, sf_dir, "conversations")
-    subs = TK.submissions_from_conversations(conv)
+    rmap = cut_lineage(ren.record)
+    t1, p1 = TK.cross_file_tasks(cut_lineage(wrp.record))
+    t2, p2 = TK.rename_tasks(rmap, syms)
+    t3, p3 = TK.api_tasks(cut_lineage(mig.record), cut_lineage(mig.details), syms)
+    loc = cut_lineage(TK.passage_locations(table(spark, sf_dir, "benchmark"), prose_files(spark, sf_dir)))
+    t4, p4 = TK.bug_tasks_from_locations(loc)
+    # tasks, truths and answers are small derived tables read by every
+    # scorer: each is materialised once
+    tasks = cut_lineage(t1.unionByName(t2).unionByName(t3).unionByName(t4))
+    conv = C.load_spread(spark, sf_dir, "conversations")
+    subs = cut_lineage(TK.submissions_from_conversations(conv))
     at = TK.agent_text_from_conversations(conv)
-    texts = SCO.answer_text(at, "reasoning").unionByName(SCO.answer_text(at, "bug"))
+    texts = cut_lineage(SCO.answer_text(at, "reasoning").unionByName(SCO.answer_text(at, "bug")))
     after = cut_lineage(ren.files)
-    return {"tasks": tasks, "truth_paths": p1, "truth_renames": p2, "truth_callsites": p3, "truth_bugs": p4,
+    return {"tasks": tasks, "truth_paths": cut_lineage(p1), "truth_renames": cut_lineage(p2),
+            "truth_callsites": cut_lineage(p3), "truth_bugs": cut_lineage(p4),
             "submissions": subs, "texts": texts, "files": after,
-            "attempts": TK.attempts_for(subs, tasks), "boundary": boundary}
+            "attempts": cut_lineage(TK.attempts_for(subs, tasks)), "boundary": boundary}

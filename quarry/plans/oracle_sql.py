@@ -277,3 +277,95 @@ c AS (SELECT repo, count(*) FILTER (WHERE ends_with(path, '.go')) AS go, count(*
 SELECT repo, go, py, cpp,
        CASE WHEN go > greatest(py, cpp) THEN 'go' WHEN py > greatest(go, cpp) THEN 'python' WHEN cpp > 0 THEN 'cpp' END AS primary_language
 FROM c"""
+
+
+# ------------------------------------------------- function-level queries
+_PAGE = """pf AS (
+  SELECT page_id, url, html,
+         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS repo,
+         regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) AS upath
+  FROM pages),
+pf2 AS (SELECT *, repo || CASE WHEN upath = '' THEN '/' ELSE upath END AS path FROM pf),
+pf3 AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM pf2),
+pf4 AS (SELECT *, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS sfx FROM pf3)"""
+
+ORACLE["p4_page_files"] = f"""WITH {_PAGE}
+SELECT repo, path, regexp_replace(sfx, '^\\.', '') AS ext,
+  CASE lower(sfx) WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.cpp' THEN 'cpp' WHEN '.cxx' THEN 'cpp'
+    WHEN '.cc' THEN 'cpp' WHEN '.h' THEN 'cpp' WHEN '.hpp' THEN 'cpp' WHEN '.hxx' THEN 'cpp' WHEN '.c' THEN 'c'
+    WHEN '.java' THEN 'java' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' ELSE 'unknown' END AS language,
+  regexp_matches(name, '\\.(go|py|cpp|h|hpp|c|java|js|ts)$')
+    AND NOT regexp_matches(regexp_extract(path, '^(.*)/[^/]*$', 1), 'vendor/|node_modules/|third_party/|\\.git/|test/|tests/|_test\\.|\\.test\\.|generated/')
+    AND NOT regexp_matches(name, 'vendor/|node_modules/|third_party/|\\.git/|test/|tests/|_test\\.|\\.test\\.|generated/') AS scanned,
+  name
+FROM pf4"""
+
+ORACLE["f9_page_links"] = """SELECT page_id, (unnest(generate_series(1, len(l))) - 1) AS ord, unnest(l) AS target
+FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)"""
+
+_KW = "['call','trace','path','flow','implementation','function','method']"
+ORACLE["f34_keyword_ratio"] = f"""SELECT conv_id, turn,
+  round(len(list_filter({_KW}, lambda k: contains(lower(text), k))) / 7.0, 9) AS ratio
+FROM conversations WHERE role = 'assistant'"""
+
+ORACLE["f33_path_steps"] = f"""{V.PROSE},
+s AS (SELECT path, lower(content) AS low,
+        [path, rel_path || '::' || regexp_extract(content, '([A-Z][a-z]+)', 1),
+         regexp_extract(content, '([A-Z][a-z]+)', 1), 'x->y'] AS steps FROM prose_files),
+h AS (SELECT path, steps, list_filter(steps, lambda st:
+        CASE WHEN contains(st, '::') OR contains(st, '->') OR contains(st, '.')
+             THEN len(list_filter(regexp_split_to_array(st, '[:>.]'), lambda p: trim(p) <> '' AND contains(low, lower(trim(p))))) > 0
+             ELSE contains(low, lower(st)) END) AS hit FROM s)
+SELECT path, round(len(hit) / len(steps), 9) AS accuracy, len(hit) AS hits FROM h"""
+
+ORACLE["f36_line_band"] = """WITH n AS (
+  SELECT page_id, list_transform(regexp_extract_all(url, '\\b(\\d+)\\b', 1), lambda d: TRY_CAST(d AS DECIMAL(38,0))) AS ints FROM pages),
+f AS (SELECT page_id, ints, list_filter(ints, lambda x: x IS NOT NULL AND x >= 495 AND x <= 515)[1] AS first FROM n)
+SELECT page_id, len(ints) AS n_ints,
+  (CASE WHEN first IS NULL THEN 0.0 WHEN first >= 498 AND first <= 512 THEN 1.0 ELSE 0.75 END)::DOUBLE AS band_score FROM f"""
+
+_FIX = "|".join(f"(?:{p})" for p in ["if.*null", "null.*check", "!= null", "== null", "try.*catch", "error.*handle",
+                                      "validate", "bounds.*check", "len.*check", "size.*check"])
+ORACLE["j6_bug_lines"] = f"""{V.PROSE},
+s AS (SELECT path, string_split(content, chr(10))[2:4] AS sl FROM prose_files)
+SELECT path, len(sl) AS n_lines, regexp_matches(lower(array_to_string(sl, chr(10))), '{_FIX}') AS fix FROM s"""
+
+ORACLE["f17_count_word"] = f"""{V.PROSE}
+SELECT path, len(regexp_extract_all(content, '\\bthe\\b'))::INTEGER AS n_the,
+       len(regexp_extract_all(content, '\\bla\\b'))::INTEGER AS n_la FROM prose_files"""
+
+_GREP = f"""{V.PROSE},
+l AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS line,
+             unnest(generate_series(1, len(string_split(content, chr(10))))) AS line_no
+      FROM prose_files)"""
+_NOISE = "(contains(path || ':' || line, '//') OR contains(path || ':' || line, '#') OR contains(path || ':' || line, '\"') OR contains(path || ':' || line, ''''))"
+ORACLE["s15_grep_lines"] = f"""{_GREP}
+SELECT path, line_no, {_NOISE} AS noise FROM l
+WHERE regexp_matches(path, '\\.(go|py|cpp)$') AND contains(line, 'Est')"""
+
+ORACLE["w3_first_hits"] = f"""{_GREP},
+h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line_no) AS r FROM l WHERE contains(line, 'Est'))
+SELECT repo, count(*) AS hits, least(count(*) FILTER (WHERE {_NOISE}), 10) AS false_positives FROM h WHERE r <= 50 GROUP BY repo"""
+
+ORACLE["f16_new_name"] = f"""{V.CODE}
+SELECT old AS symbol, {NEW_NAME} AS new_name FROM (SELECT DISTINCT symbol AS old FROM code_symbols)"""
+
+ORACLE["p9_api_candidates"] = f"""{V.CODE}
+SELECT DISTINCT symbol FROM code_symbols WHERE length(symbol) > 3 AND regexp_matches(symbol, '^\\p{{Lu}}')"""
+
+ORACLE["f29_drift_prose"] = f"""{V.PROSE},
+d AS (SELECT path, content AS old, CASE WHEN regexp_matches(path, '\\.(go|py|cpp|h)$') THEN {DRIFT_SQL} ELSE content END AS new FROM prose_files)
+SELECT path, md5(new) AS drifted_md5, new <> old AS modified FROM d"""
+
+ORACLE["d1_performance_band"] = """SELECT CASE WHEN l_discount * 10 * 100.0 >= 90 THEN 'Expert' WHEN l_discount * 10 * 100.0 >= 75 THEN 'Proficient'
+  WHEN l_discount * 10 * 100.0 >= 60 THEN 'Competent' WHEN l_discount * 10 * 100.0 >= 40 THEN 'Developing' ELSE 'Novice' END AS band,
+  count(*) AS n FROM lineitem GROUP BY band"""
+
+ORACLE["d2_overtime_events"] = """WITH m AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6 AS elapsed FROM events GROUP BY user_id)
+SELECT user_id, round(elapsed, 6) AS elapsed,
+  CASE WHEN (elapsed - 10.0) / 10.0 <= 0 THEN 1.0 WHEN (elapsed - 10.0) / 10.0 <= 0.25 THEN 0.9
+       WHEN (elapsed - 10.0) / 10.0 <= 0.5 THEN 0.75 WHEN (elapsed - 10.0) / 10.0 <= 1.0 THEN 0.5 ELSE 0.0 END::DOUBLE AS factor
+FROM m"""
+
+ORACLE["d9_corpus_rollup"] = f"""{V.CODE}
+SELECT repo, language, count(*) AS files, sum(line_count)::BIGINT AS lines FROM code_files GROUP BY ROLLUP (repo, language)"""

@@ -321,3 +321,150 @@ def a6_primary_language_prose(spark, sf):
     """A5 + A6 over the prose view."""
     c = VA.lang_counts(TB.prose_files(spark, sf))
     return c.withColumn("primary_language", VA.primary_language("go", "py", "cpp"))
+
+
+# ------------------------------------------------- function-level queries
+from quarry.functions import rewrite as RW  # noqa: E402
+from quarry.functions import scoring as SC  # noqa: E402
+from quarry.sources import manifest as MF  # noqa: E402
+
+
+@query("p4_page_files")
+def p4_page_files(spark, sf):
+    """P1-P4 over page URLs: host as repo, URL path as file path."""
+    f = C.page_files(C.load_spread(spark, sf, "pages"))
+    return f.select("repo", "path", "ext", "language", TX.is_scanned("path").alias("scanned"),
+                    TX.basename("path").alias("name"))
+
+
+@query("f9_page_links")
+def f9_page_links(spark, sf):
+    """Import-role extraction over pages: every href in page order."""
+    return C.page_links(C.load_spread(spark, sf, "pages"))
+
+
+@query("f34_keyword_ratio")
+def f34_keyword_ratio(spark, sf):
+    """F34 over assistant turns."""
+    c = C.load_spread(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.round(SC.keyword_ratio(F.lower("text")), 9).alias("ratio"))
+
+
+@query("f33_path_steps")
+def f33_path_steps(spark, sf):
+    """F33 + A16: call-path steps built from each document's path and first
+    capitalised word, matched against the lower-cased text."""
+    d = TB.prose_files(spark, sf)
+    first = F.regexp_extract("content", r"([A-Z][a-z]+)", 1)
+    steps = F.array(F.col("path"), F.concat(F.col("rel_path"), F.lit("::"), first), first, F.lit("x->y"))
+    return d.select("path", F.round(SC.path_accuracy(steps, F.lower("content")), 9).alias("accuracy"),
+                    F.size(F.filter(steps, lambda s: SC.path_step_hit(s, F.lower("content")))).alias("hits"))
+
+
+@query("f36_line_band")
+def f36_line_band(spark, sf):
+    """integers of each URL against the band [500, 510]."""
+    p = C.load_spread(spark, sf, "pages")
+    return p.select("page_id", F.size(SC.ints_in_text("url")).alias("n_ints"),
+                    SC.line_band("url", F.lit(500), F.lit(510)).alias("band_score"))
+
+
+@query("j6_bug_lines")
+def j6_bug_lines(spark, sf):
+    """Lines 2-4 of each document, joined and lower-cased, hold a
+    fix pattern."""
+    d = TB.prose_files(spark, sf)
+    sl = F.slice(TX.split_lines("content"), 2, 3)
+    return d.select("path", F.size(sl).alias("n_lines"), SC.has_fix_pattern(F.lower(F.array_join(sl, "\n"))).alias("fix"))
+
+
+@query("f17_count_word")
+def f17_count_word(spark, sf):
+    """F17 with the ASCII boundary: whole-word 'the' and 'la' per document."""
+    d = TB.prose_files(spark, sf)
+    return d.select("path", TX.count_word("content", F.lit("the"), "ascii").alias("n_the"),
+                    TX.count_word("content", F.lit("la"), "ascii").alias("n_la"))
+
+
+@query("s15_grep_lines")
+def s15_grep_lines(spark, sf):
+    """S15 + F42: lines of .go/.py/.cpp files containing 'Est', with the
+    comment/string heuristic on 'path:line'."""
+    d = TB.prose_files(spark, sf).filter(TX.basename("path").rlike(r"\.(go|py|cpp)$"))
+    lines = d.select("path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
+    hits = lines.filter(F.col("line").contains("Est"))
+    return hits.select("path", (F.col("line_no") + 1).alias("line_no"), SC.noise_line("path", "line").alias("noise"))
+
+
+@query("w3_first_hits")
+def w3_first_hits(spark, sf):
+    """W3 + A13: per repository the first 50 hits of 'Est' (by path, line),
+    and the capped count of noise lines among them."""
+    d = TB.prose_files(spark, sf)
+    lines = d.select("repo", "path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
+    hits = lines.filter(F.col("line").contains("Est"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("repo").orderBy("path", "line_no")
+    first = hits.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 50)
+    return first.groupBy("repo").agg(F.count(F.lit(1)).alias("hits"),
+                                     F.least(F.count_if(SC.noise_line("path", "line")), F.lit(10)).alias("false_positives"))
+
+
+@query("f16_new_name")
+def f16_new_name(spark, sf):
+    """F16 over every distinct symbol of the code view."""
+    keys = TB.code_symbols(spark, sf).select("symbol").distinct()
+    return keys.select("symbol", RW.new_name("symbol", 42).alias("new_name"))
+
+
+@query("p9_api_candidates")
+def p9_api_candidates(spark, sf):
+    """Symbols long enough and capitalised to be API candidates."""
+    keys = TB.code_symbols(spark, sf).select("symbol").distinct()
+    return TR.api_candidates(keys)
+
+
+@query("f29_drift_prose")
+def f29_drift_prose(spark, sf):
+    """F27-F29 applied to every document (P11 on the path)."""
+    d = TB.prose_files(spark, sf)
+    out = F.when(RW.is_rewritable("path"), RW.drift("content")).otherwise(F.col("content"))
+    return d.select("path", F.md5(out).alias("drifted_md5"), (out != F.col("content")).alias("modified"))
+
+
+@query("d1_performance_band")
+def d1_performance_band(spark, sf):
+    """Band of score = 10 x discount, counted per band."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return li.groupBy(SC.performance_band(F.col("l_discount") * 10).alias("band")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("d2_overtime_events")
+def d2_overtime_events(spark, sf):
+    """Per user, active minutes (first to last event) against a 10 minute
+    limit."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    mins = ev.groupBy("user_id").agg(
+        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 60e6)
+        .alias("elapsed"))
+    return mins.select("user_id", F.round("elapsed", 6).alias("elapsed"),
+                       SC.overtime_factor("elapsed", F.lit(10.0)).alias("factor"))
+
+
+@query("d9_corpus_rollup")
+def d9_corpus_rollup(spark, sf):
+    """D9 roll-up (ROLLUP) of lines and files per repository and language."""
+    f = TB.code_files(spark, sf)
+    return (f.rollup("repo", "language").agg(F.count(F.lit(1)).alias("files"),
+                                              F.sum("line_count").alias("lines")))
+
+
+@query("a10_task_summary")
+def a10_task_summary(spark, sf):
+    """A10 over the tasks T8 derives."""
+    from quarry.operators import tasks as TK2
+    return TK2.task_summary(TB.scoring_context(spark, sf)["tasks"])
+
+
+_ = MF

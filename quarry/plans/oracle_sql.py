@@ -369,3 +369,10 @@ FROM m"""
 
 ORACLE["d9_corpus_rollup"] = f"""{V.CODE}
 SELECT repo, language, count(*) AS files, sum(line_count)::BIGINT AS lines FROM code_files GROUP BY ROLLUP (repo, language)"""
+
+
+ORACLE["a9_transform_summary"] = f"""SELECT 42 AS seed,
+  (SELECT n FROM ({RENAME} SELECT count(*) AS n FROM rmap)) AS renames,
+  (SELECT n FROM ({MIGRATE} SELECT count(*) AS n FROM record)) AS api_migrations,
+  (SELECT n FROM ({WRAP} SELECT count(*) AS n FROM rec)) AS wrapper_layers,
+  (SELECT n FROM ({DUP} SELECT count(*) AS n FROM chosen)) AS duplications"""

@@ -468,3 +468,12 @@ def a10_task_summary(spark, sf):
 
 
 _ = MF
+
+
+@query("a9_transform_summary")
+def a9_transform_summary(spark, sf):
+    """T7 + A9: the whole transform chain over the code view (word renames,
+    ASCII boundary), summarised."""
+    from quarry.plans import jobs as JB
+    res = JB.apply_all(TB.code_files(spark, sf), JB.Settings(rename_mode="word", boundary="ascii"))
+    return res["summary"]

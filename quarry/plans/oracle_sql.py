@@ -376,3 +376,146 @@ ORACLE["a9_transform_summary"] = f"""SELECT 42 AS seed,
   (SELECT n FROM ({MIGRATE} SELECT count(*) AS n FROM record)) AS api_migrations,
   (SELECT n FROM ({WRAP} SELECT count(*) AS n FROM rec)) AS wrapper_layers,
   (SELECT n FROM ({DUP} SELECT count(*) AS n FROM chosen)) AS duplications"""
+
+
+# --------------------------------------------------------------- scoring
+SUBS = """subs AS (
+  SELECT conv_id AS submission_id, count(*) FILTER (WHERE role = 'assistant') > 0 AS patch_applied,
+         count(*) % 2 = 0 AS compile_ok, count(*) * 3.5 AS elapsed_minutes
+  FROM conversations GROUP BY conv_id)"""
+
+
+def _texts(n_commits: int) -> str:
+    return f"""tfiles AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS ft
+            FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+tcom AS (SELECT conv_id, string_agg(subj, chr(10) ORDER BY turn DESC) || chr(10) AS ct
+         FROM (SELECT conv_id, turn, split_part(text, chr(10), 1) AS subj,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
+               FROM conversations WHERE role = 'user') WHERE r <= {n_commits} GROUP BY conv_id),
+texts AS (SELECT coalesce(f.conv_id, c.conv_id) AS submission_id, coalesce(ft, '') || coalesce(ct, '') AS text
+          FROM tfiles f FULL OUTER JOIN tcom c USING (conv_id))"""
+
+
+def _attempts(tasks: str) -> str:
+    return f"""tnum AS (SELECT task_id, row_number() OVER (ORDER BY md5('42:task:' || task_id), task_id) AS task_no FROM {tasks}),
+slots AS (SELECT submission_id, ('0x' || substr(md5('42:slot:' || submission_id || ':' || j), 1, 12))::BIGINT
+                 % (SELECT count(*) FROM {tasks}) + 1 AS task_no
+          FROM (SELECT submission_id, unnest([0, 1, 2]) AS j FROM subs)),
+attempts AS (SELECT DISTINCT s.submission_id, t.task_id FROM slots s JOIN tnum t USING (task_no))"""
+
+
+_STEP_HIT = ("CASE WHEN contains(st, '::') OR contains(st, '->') OR contains(st, '.') "
+             "THEN len(list_filter(regexp_split_to_array(st, '[:>.]'), lambda p: trim(p) <> '' AND contains(low, lower(trim(p))))) > 0 "
+             "ELSE contains(low, lower(st)) END")
+
+ORACLE["c1_score_cross_file"] = f"""{WRAP},
+ctasks AS (SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, symbol, original_file, wrapper_file FROM rec),
+{SUBS},
+{_texts(5)},
+{_attempts('ctasks')},
+sc AS (SELECT a.submission_id, a.task_id, coalesce(x.text, '') AS text, lower(coalesce(x.text, '')) AS low,
+              t.original_file AS f,
+              ['caller', t.wrapper_file || '::' || t.symbol || 'Wrapper', t.original_file || '::' || t.symbol] AS steps
+       FROM attempts a JOIN ctasks t USING (task_id) LEFT JOIN texts x USING (submission_id)),
+sc2 AS (SELECT *, f <> '' AND (contains(low, lower(regexp_extract(f, '([^/]*)$', 1))) OR contains(text, f)) AS ff,
+               len(list_filter(steps, lambda st: {_STEP_HIT})) / len(steps) AS acc,
+               len(list_filter({_KW}, lambda k: contains(low, k))) / 7.0 AS kw FROM sc)
+SELECT submission_id, task_id, 'cross_file_reasoning' AS type,
+       round(CASE WHEN text = '' THEN 0.0
+                  ELSE least((CASE WHEN ff THEN 0.25 ELSE 0.0 END) + acc * 0.5 + least(kw, 1.0) * 0.25, 1.0) END, 12) AS score,
+       0 AS n_errors, CASE WHEN text <> '' THEN acc ELSE 0.0 END AS acc
+FROM sc2"""
+
+_NOISE_L = ("(contains(path || ':' || line, '//') OR contains(path || ':' || line, '#') "
+            "OR contains(path || ':' || line, '\"') OR contains(path || ':' || line, ''''))")
+
+ORACLE["c2_score_rename"] = f"""{RENAME},
+after AS (SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path)),
+rtasks AS (SELECT printf('refactor_rename_%02d', rank) AS task_id, old, new FROM rmap),
+{SUBS},
+{_attempts('rtasks')},
+chg AS (SELECT t.task_id, t.old, t.new, p.path FROM rtasks t JOIN (SELECT DISTINCT symbol, path FROM code_symbols) p ON p.symbol = t.old),
+chk AS (SELECT c.task_id, count(*) AS checked,
+               count(*) FILTER (WHERE a.content IS NOT NULL
+                                  AND len(regexp_extract_all(a.content, '\\b' || c.old || '\\b')) <= 2
+                                  AND len(regexp_extract_all(a.content, '\\b' || c.new || '\\b')) >= 1) AS correct
+        FROM chg c LEFT JOIN after a USING (path) GROUP BY c.task_id),
+src AS (SELECT path, content FROM after WHERE regexp_matches(path, '\\.(go|py|cpp)$')),
+cand AS (SELECT DISTINCT t.task_id, t.new, s.path
+         FROM (SELECT path, unnest(list_distinct(regexp_extract_all(content, '\\w+'))) AS tok FROM src) s
+         JOIN rtasks t ON t.new = s.tok),
+lines AS (SELECT c.task_id, c.new, c.path, unnest(string_split(s.content, chr(10))) AS line,
+                 unnest(generate_series(0, len(string_split(s.content, chr(10))) - 1)) AS line_no
+          FROM cand c JOIN src s USING (path)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY path, line_no) AS r FROM lines WHERE contains(line, new)),
+fp AS (SELECT task_id, least(count(*) FILTER (WHERE {_NOISE_L}), 10) AS fp FROM hits WHERE r <= 50 GROUP BY task_id),
+sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, s.compile_ok, coalesce(k.checked, 0) AS checked,
+              coalesce(k.correct, 0) AS correct, coalesce(f.fp, 0)::INTEGER AS fp
+       FROM attempts a LEFT JOIN chk k USING (task_id) LEFT JOIN fp f USING (task_id) LEFT JOIN subs s USING (submission_id))
+SELECT submission_id, task_id, 'refactor_rename' AS type,
+       round(CASE WHEN NOT patch_applied THEN 0.0
+                  ELSE least(greatest(0.0, correct / greatest(checked, 1) - least(fp * 0.1::DOUBLE, 0.3::DOUBLE)
+                                      + CASE WHEN compile_ok THEN 0.1 ELSE 0.0 END), 1.0) END, 12) AS score,
+       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors, fp
+FROM sc"""
+
+ORACLE["c3_score_api"] = f"""{MIGRATE},
+after AS (SELECT * FROM ({RENAME}
+          SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
+atasks AS (SELECT printf('api_upgrade_%02d', c.rank) AS task_id, r.symbol, r.v2_symbol FROM record r JOIN chosen c USING (symbol)),
+{SUBS},
+{_attempts('atasks')},
+cs AS (SELECT t.task_id, t.symbol, t.v2_symbol, u.path, p.path IS NOT NULL AS needs
+       FROM atasks t JOIN usages u USING (symbol) LEFT JOIN picked p ON p.symbol = u.symbol AND p.path = u.path),
+cf AS (SELECT c.*, a.content IS NOT NULL AS present,
+              len(regexp_extract_all(a.content, '\\b' || c.symbol || '\\s*\\(')) = 0
+              AND len(regexp_extract_all(a.content, '\\b' || c.v2_symbol || '\\s*\\(')) > 0 AS found
+       FROM cs c LEFT JOIN after a USING (path)),
+chk AS (SELECT task_id, count(*) AS total, count(*) FILTER (WHERE needs) AS expected,
+               count(*) FILTER (WHERE present AND needs AND found) AS actual,
+               count(*) FILTER (WHERE present AND NOT needs AND NOT found) AS preserved FROM cf GROUP BY task_id),
+sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, coalesce(total, 0) AS total, coalesce(expected, 0) AS expected,
+              coalesce(actual, 0) AS actual, coalesce(preserved, 0) AS preserved
+       FROM attempts a LEFT JOIN chk USING (task_id) LEFT JOIN subs s USING (submission_id))
+SELECT submission_id, task_id, 'api_upgrade' AS type,
+       round(CASE WHEN NOT patch_applied THEN 0.0
+                  ELSE least(actual / greatest(expected, 1) * 0.7 + preserved / greatest(total - expected, 1) * 0.3, 1.0) END, 12) AS score,
+       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors
+FROM sc"""
+
+ORACLE["c4_score_bug"] = f"""{V.PROSE},
+after AS (SELECT * FROM ({RENAME}
+          SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
+bl AS (SELECT DISTINCT item_id, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
+       WHERE length(line) >= 40),
+dl AS (SELECT path, unnest(string_split(content, chr(10))) AS line,
+              unnest(generate_series(1, len(string_split(content, chr(10))))) AS line_no FROM prose_files),
+loc AS (SELECT b.item_id, d.path, d.line_no FROM bl b JOIN dl d ON d.line = b.line WHERE length(d.line) >= 40),
+firstf AS (SELECT item_id, min(path) AS file FROM loc GROUP BY item_id),
+rng AS (SELECT l.item_id, f.file, min(l.line_no) AS s, max(l.line_no) AS e
+        FROM loc l JOIN firstf f ON f.item_id = l.item_id AND l.path = f.file GROUP BY l.item_id, f.file),
+btasks AS (SELECT printf('bug_localization_%02d', item_id) AS task_id, file, s, e FROM rng),
+{SUBS},
+{_texts(3)},
+{_attempts('btasks')},
+fx AS (SELECT t.task_id,
+              regexp_matches(lower(array_to_string(CASE WHEN least(n, e) > greatest(s - 1, 0)
+                                                        THEN ls[greatest(s - 1, 0) + 1 : least(n, e)] ELSE [] END, chr(10))),
+                             '{_FIX}') AS fix_found
+       FROM btasks t JOIN (SELECT path, string_split(content, chr(10)) AS ls,
+                                  len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS n
+                           FROM after) a ON a.path = t.file),
+sc AS (SELECT a.submission_id, a.task_id, t.file, t.s, t.e, s.patch_applied, coalesce(fx.fix_found, false) AS fix_found,
+              coalesce(x.text, '') AS text
+       FROM attempts a JOIN btasks t USING (task_id) LEFT JOIN subs s USING (submission_id)
+       LEFT JOIN texts x USING (submission_id) LEFT JOIN fx USING (task_id)),
+sc2 AS (SELECT *, CASE WHEN contains(text, file) OR contains(text, regexp_extract(file, '([^/]*)$', 1)) THEN 1.0 ELSE 0.0 END AS file_score,
+               list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'),
+                                                      lambda w: regexp_full_match(w, '\\p{{Nd}}+')),
+                                          lambda d: TRY_CAST(d AS DECIMAL(38,0))),
+                           lambda n: n IS NOT NULL AND n >= s - 5 AND n <= e + 5)[1] AS first FROM sc),
+sc3 AS (SELECT *, CASE WHEN first IS NULL THEN 0.0 WHEN first >= s - 2 AND first <= e + 2 THEN 1.0 ELSE 0.75 END AS loc FROM sc2)
+SELECT submission_id, task_id, 'bug_localization' AS type,
+       round(least(file_score * 0.4 + loc * 0.3 + CASE WHEN patch_applied AND fix_found THEN 0.3 ELSE 0.0 END, 1.0), 12)::DOUBLE AS score,
+       0 AS n_errors, loc::DOUBLE AS loc
+FROM sc3"""

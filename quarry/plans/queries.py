@@ -219,14 +219,14 @@ def s9_answer_text(spark, sf):
 
 @query("c1_score_cross_file")
 def c1_score_cross_file(spark, sf):
-    c = TB.scoring_context(spark, sf)
+    c = TB.scoring_context(spark, sf, kinds=["cross_file_reasoning"])
     s = SCO.score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"])
     return s.select(*_score_cols(), F.get_json_object("details", "$.call_chain_accuracy").cast("double").alias("acc"))
 
 
 @query("c2_score_rename")
 def c2_score_rename(spark, sf):
-    c = TB.scoring_context(spark, sf)
+    c = TB.scoring_context(spark, sf, kinds=["refactor_rename"])
     s = SCO.score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"], c["submissions"],
                          None, "ascii")
     return s.select(*_score_cols(), F.get_json_object("details", "$.false_positives").cast("int").alias("fp"))
@@ -234,14 +234,14 @@ def c2_score_rename(spark, sf):
 
 @query("c3_score_api")
 def c3_score_api(spark, sf):
-    c = TB.scoring_context(spark, sf)
+    c = TB.scoring_context(spark, sf, kinds=["api_upgrade"])
     s = SCO.score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"], c["submissions"], "ascii")
     return s.select(*_score_cols())
 
 
 @query("c4_score_bug")
 def c4_score_bug(spark, sf):
-    c = TB.scoring_context(spark, sf)
+    c = TB.scoring_context(spark, sf, kinds=["bug_localization"])
     s = SCO.score_bug(c["attempts"], c["tasks"], c["truth_bugs"], c["files"], c["submissions"], c["texts"])
     return s.select(*_score_cols(), F.get_json_object("details", "$.location_score").cast("double").alias("loc"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators import index as IX
 from quarry.plans.registry import prose_extractors
@@ -30,7 +31,8 @@ def prose_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
-                    files: DataFrame | None = None, symbols: DataFrame | None = None) -> dict:
+                    files: DataFrame | None = None, symbols: DataFrame | None = None,
+                    kinds: list[str] | None = None) -> dict:
     """Tasks, truths, answers and the after-patch corpus derived from the
     driver tables (see ``operators.tasks``).  The after-patch corpus is the
     code view with the T2 renames applied; all records use the index built
@@ -56,7 +58,10 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
     t4, p4 = TK.bug_tasks_from_locations(loc)
     # tasks, truths and answers are small derived tables read by every
     # scorer: each is materialised once
-    tasks = cut_lineage(t1.unionByName(t2).unionByName(t3).unionByName(t4))
+    all_tasks = t1.unionByName(t2).unionByName(t3).unionByName(t4)
+    if kinds:
+        all_tasks = all_tasks.filter(F.col("type").isin(list(kinds)))
+    tasks = cut_lineage(all_tasks)
     conv = C.load_spread(spark, sf_dir, "conversations")
     subs = cut_lineage(TK.submissions_from_conversations(conv))
     at = TK.agent_text_from_conversations(conv)

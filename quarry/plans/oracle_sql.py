@@ -519,3 +519,28 @@ SELECT submission_id, task_id, 'bug_localization' AS type,
        round(least(file_score * 0.4 + loc * 0.3 + CASE WHEN patch_applied AND fix_found THEN 0.3 ELSE 0.0 END, 1.0), 12)::DOUBLE AS score,
        0 AS n_errors, loc::DOUBLE AS loc
 FROM sc3"""
+
+
+_ALL_TASKS = f"""all_tasks AS (
+  SELECT * FROM ({WRAP} SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, 'cross_file_reasoning' AS type,
+                 'medium' AS difficulty, 10 AS max_time_minutes, symbol AS start_symbol, NULL::VARCHAR AS symbol_to_rename,
+                 NULL::VARCHAR AS new_name, NULL::VARCHAR AS old_api, NULL::VARCHAR AS new_api FROM rec)
+  UNION ALL
+  SELECT * FROM ({RENAME} SELECT printf('refactor_rename_%02d', rank), 'refactor_rename', 'hard', 15, NULL, old, new, NULL, NULL FROM rmap)
+  UNION ALL
+  SELECT * FROM ({MIGRATE} SELECT printf('api_upgrade_%02d', c.rank), 'api_upgrade', 'hard', 20, NULL, NULL, NULL,
+                 r.symbol || '(x)', r.v2_symbol || '(x)' FROM record r JOIN chosen c USING (symbol))
+  UNION ALL
+  SELECT * FROM (WITH {V.PROSE_FILES},
+      bl AS (SELECT DISTINCT item_id, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
+             WHERE length(line) >= 40),
+      dl AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM prose_files),
+      loc AS (SELECT DISTINCT b.item_id FROM bl b JOIN dl d ON d.line = b.line)
+      SELECT printf('bug_localization_%02d', item_id), 'bug_localization', 'expert', 25, NULL, NULL, NULL, NULL, NULL FROM loc))"""
+
+ORACLE["t8_tasks"] = f"WITH {_ALL_TASKS}\nSELECT * FROM all_tasks"
+ORACLE["a10_task_summary"] = f"WITH {_ALL_TASKS}\nSELECT count(*) AS total_tasks, count(DISTINCT type) AS task_types FROM all_tasks"
+
+ORACLE["s9_answer_text"] = f"""SELECT submission_id, 'reasoning' AS kind, md5(text) AS text_md5 FROM (WITH {_texts(5)} SELECT * FROM texts)
+UNION ALL
+SELECT submission_id, 'bug' AS kind, md5(text) AS text_md5 FROM (WITH {_texts(3)} SELECT * FROM texts)"""

@@ -47,27 +47,50 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
     # them once (reliable checkpoint in the session's checkpoint folder)
     files = files if files is not None else cut_lineage(code_files(spark, sf_dir))
     syms = symbols if symbols is not None else cut_lineage(IX.extract_symbols(files))
+    want = set(kinds or ["cross_file_reasoning", "refactor_rename", "api_upgrade", "bug_localization"])
+    # the after-patch corpus (T2 renames) is needed by every file-reading scorer
     ren = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary=boundary)
-    mig = TR.migrate_api(files, syms, n=10, fraction=0.6, seed=42)
-    wrp = TR.add_wrappers(files, syms, n=8, seed=42)
-    rmap = cut_lineage(ren.record)
-    t1, p1 = TK.cross_file_tasks(cut_lineage(wrp.record))
-    t2, p2 = TK.rename_tasks(rmap, syms)
-    t3, p3 = TK.api_tasks(cut_lineage(mig.record), cut_lineage(mig.details), syms)
-    loc = cut_lineage(TK.passage_locations(table(spark, sf_dir, "benchmark"), prose_files(spark, sf_dir)))
-    t4, p4 = TK.bug_tasks_from_locations(loc)
+    parts = {}
+    if "cross_file_reasoning" in want:
+        parts["cross_file_reasoning"] = TK.cross_file_tasks(cut_lineage(
+            TR.add_wrappers(files, syms, n=8, seed=42).record))
+    if "refactor_rename" in want:
+        parts["refactor_rename"] = TK.rename_tasks(cut_lineage(ren.record), syms)
+    if "api_upgrade" in want:
+        mig = TR.migrate_api(files, syms, n=10, fraction=0.6, seed=42)
+        parts["api_upgrade"] = TK.api_tasks(cut_lineage(mig.record), cut_lineage(mig.details), syms)
+    if "bug_localization" in want:
+        loc = cut_lineage(TK.passage_locations(table(spark, sf_dir, "benchmark"), prose_files(spark, sf_dir)))
+        parts["bug_localization"] = TK.bug_tasks_from_locations(loc)
     # tasks, truths and answers are small derived tables read by every
     # scorer: each is materialised once
-    all_tasks = t1.unionByName(t2).unionByName(t3).unionByName(t4)
-    if kinds:
-        all_tasks = all_tasks.filter(F.col("type").isin(list(kinds)))
+    task_frames = [t for t, _ in parts.values()]
+    all_tasks = task_frames[0]
+    for t in task_frames[1:]:
+        all_tasks = all_tasks.unionByName(t)
     tasks = cut_lineage(all_tasks)
+    spark_empty = {
+        "cross_file_reasoning": "task_id string, expected_call_path array<string>, expected_implementation_file string, "
+                                "expected_line_range array<int>",
+        "refactor_rename": "task_id string, files_to_modify array<string>, "
+                           "expected_changes array<struct<file:string,line:int,old:string,new:string>>",
+        "api_upgrade": "task_id string, total_callsites int, expected_upgrades int, callsites array<struct<file:string,"
+                       "line:int,needs_upgrade:boolean,old_call:string,new_call:string,reason:string>>",
+        "bug_localization": "task_id string, bug_location struct<file:string,line_range:array<int>,root_cause:string,"
+                            "fix_description:string>, related_files array<string>",
+    }
+
+    def truth(kind):
+        if kind in parts:
+            return cut_lineage(parts[kind][1])
+        return spark.createDataFrame([], spark_empty[kind])
+
     conv = C.load_spread(spark, sf_dir, "conversations")
     subs = cut_lineage(TK.submissions_from_conversations(conv))
     at = TK.agent_text_from_conversations(conv)
     texts = cut_lineage(SCO.answer_text(at, "reasoning").unionByName(SCO.answer_text(at, "bug")))
     after = cut_lineage(ren.files)
-    return {"tasks": tasks, "truth_paths": cut_lineage(p1), "truth_renames": cut_lineage(p2),
-            "truth_callsites": cut_lineage(p3), "truth_bugs": cut_lineage(p4),
+    return {"tasks": tasks, "truth_paths": truth("cross_file_reasoning"), "truth_renames": truth("refactor_rename"),
+            "truth_callsites": truth("api_upgrade"), "truth_bugs": truth("bug_localization"),
             "submissions": subs, "texts": texts, "files": after,
             "attempts": cut_lineage(TK.attempts_for(subs, tasks)), "boundary": boundary}

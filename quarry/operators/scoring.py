@@ -61,6 +61,16 @@ def answer_text(agent_text: DataFrame, kind: str = "reasoning") -> DataFrame:
                     F.concat_ws("", F.transform("p", lambda x: F.concat(x["text"], F.lit("\n")))).alias("text")))
 
 
+def _long(truth: DataFrame, array_col: str, fields: list[str]) -> DataFrame:
+    """Truth rows in long form (task_id, fields...): nested truth (the
+    reference's shape) is exploded; long truth is used as is.  A task whose
+    list is empty has one row of NULLs."""
+    if array_col in truth.columns:
+        e = truth.select("task_id", F.explode_outer(array_col).alias("_c"))
+        return e.select("task_id", *[F.col("_c")[f].alias(f) for f in fields])
+    return truth.select("task_id", *fields)
+
+
 # ------------------------------------------------------------------------ C1
 
 def score_cross_file(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, texts: DataFrame) -> DataFrame:
@@ -97,16 +107,14 @@ def rename_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, bou
     """J4 + F17 + A11/A12 per task: expected changes checked against the
     corpus (a missing file counts as missed)."""
     t = (tasks.filter(F.col("type") == "refactor_rename")
-         .select("task_id", "symbol_to_rename", "new_name").join(truth, "task_id"))
-    ch = t.select("task_id", "symbol_to_rename", "new_name", F.explode_outer("expected_changes").alias("c"))
-    ch = ch.withColumn("file", F.col("c.file"))
-    j = ch.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+         .select("task_id", "symbol_to_rename", "new_name").join(_long(truth, "expected_changes", ["file"]), "task_id"))
+    j = t.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
     ok = (F.col("content").isNotNull()
           & (TX.count_word("content", "symbol_to_rename", boundary) <= 2)
           & (TX.count_word("content", "new_name", boundary) >= 1))
     return (j.groupBy("task_id").agg(
-        F.count("c").cast("int").alias("files_checked"),
-        F.count_if(F.col("c").isNotNull() & ok).cast("int").alias("correctly_modified")))
+        F.count("file").cast("int").alias("files_checked"),
+        F.count_if(F.col("file").isNotNull() & ok).cast("int").alias("correctly_modified")))
 
 
 def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFrame | None = None,
@@ -145,7 +153,7 @@ def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files:
                  submissions: DataFrame, ref_index: DataFrame | None = None, boundary: str = "unicode") -> DataFrame:
     t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "type", "ground_truth",
                                                                  "symbol_to_rename", "new_name")
-    per_task = (t.join(truth.select("task_id").withColumn("_has_truth", F.lit(True)), "task_id", "left")
+    per_task = (t.join(truth.select("task_id").distinct().withColumn("_has_truth", F.lit(True)), "task_id", "left")
                 .join(rename_task_checks(tasks, truth, files, boundary), "task_id", "left")
                 .join(rename_false_positives(tasks, files, ref_index), "task_id", "left"))
     a = attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
@@ -177,16 +185,14 @@ def api_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, bounda
     neither counter (P15) but stay in the denominators."""
     t = (tasks.filter(F.col("type") == "api_upgrade")
          .select("task_id", TX.api_name("old_api").alias("old_func"), TX.api_name("new_api").alias("new_func"))
-         .join(truth.select("task_id", "callsites"), "task_id"))
-    cs = t.select("task_id", "old_func", "new_func", F.explode_outer("callsites").alias("c"))
-    j = cs.join(files.select(F.col("path").alias("file"), "content"),
-                F.col("c.file") == F.col("file"), "left")
+         .join(_long(truth, "callsites", ["file", "needs_upgrade"]), "task_id"))
+    j = t.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
     exists = F.col("content").isNotNull()
     found = (TX.count_calls("content", "old_func", boundary) == 0) & (TX.count_calls("content", "new_func", boundary) > 0)
-    needs = F.coalesce(F.col("c.needs_upgrade"), F.lit(False))
+    needs = F.coalesce(F.col("needs_upgrade"), F.lit(False))
     return j.groupBy("task_id").agg(
-        F.count("c").cast("int").alias("total_callsites"),
-        F.count_if(F.col("c").isNotNull() & needs).cast("int").alias("expected_upgrades"),
+        F.count("file").cast("int").alias("total_callsites"),
+        F.count_if(F.col("file").isNotNull() & needs).cast("int").alias("expected_upgrades"),
         F.count_if(exists & needs & found).cast("int").alias("actual_upgrades"),
         F.count_if(exists & ~needs & ~found).cast("int").alias("preserved_legacy"))
 
@@ -197,7 +203,7 @@ def score_api(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: Da
         "task_id", "type", "ground_truth", "old_api", "new_api",
         TX.api_name(F.coalesce("old_api", F.lit(""))).alias("old_func"),
         TX.api_name(F.coalesce("new_api", F.lit(""))).alias("new_func"))
-    per_task = (t.join(truth.select("task_id").withColumn("_has_truth", F.lit(True)), "task_id", "left")
+    per_task = (t.join(truth.select("task_id").distinct().withColumn("_has_truth", F.lit(True)), "task_id", "left")
                 .join(api_task_checks(tasks, truth, files, boundary), "task_id", "left"))
     a = attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
     applied = F.coalesce(F.col("patch_applied"), F.lit(False))

@@ -57,35 +57,50 @@ def cross_file_tasks(wrappers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rename_tasks(rename_map: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rename tasks and their truth in long form: one row per expected
+    change (task_id, file, line, old, new); a task without files keeps one
+    row with a NULL file.  ``nest_rename_truth`` gives the nested artifact
+    shape when a bounded task set is written out."""
     r = rename_map.withColumn("task_id", _tid("refactor_rename", "rank"))
     tasks = _task(r.withColumn("symbol_to_rename", F.col("old")).withColumn("new_name", F.col("new")),
                   "refactor_rename", F.concat(F.lit("Rename "), F.col("old"), F.lit(" to "), F.col("new")))
-    ch = (r.join(symbols.select(F.col("symbol").alias("old"), "path").distinct(), "old")
-          .groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct(
-              F.col("path").alias("file"), F.lit(0).alias("line"), F.col("old").alias("old"), F.col("new").alias("new"))))
-              .alias("expected_changes")))
-    truth = ch.select("task_id", F.transform("expected_changes", lambda c: c["file"]).alias("files_to_modify"),
-                      "expected_changes")
+    definers = symbols.select(F.col("symbol").alias("old"), F.col("path").alias("file")).distinct()
+    truth = (r.select("task_id", "old", "new").join(definers, "old", "left")
+             .select("task_id", "file", F.lit(0).alias("line"), "old", "new"))
     return tasks, truth
 
 
+def nest_rename_truth(truth: DataFrame) -> DataFrame:
+    """Artifact shape of the rename truth (files_to_modify, expected_changes)."""
+    return truth.groupBy("task_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("file").isNotNull(), F.struct("file", "line", "old", "new"))))
+        .alias("expected_changes")).withColumn(
+        "files_to_modify", F.transform("expected_changes", lambda c: c["file"]))
+
+
 def api_tasks(record: DataFrame, actions: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Upgrade tasks and their truth in long form: one row per callsite
+    (task_id, file, line, needs_upgrade, old_call, new_call, reason) plus
+    the recorded totals (ignored by the scorer, X14)."""
     r = record.withColumn("task_id", _tid("api_upgrade", "rank"))
     tasks = _task(r.withColumn("old_api", F.concat(F.col("symbol"), F.lit("(x)")))
                   .withColumn("new_api", F.concat(F.col("v2_symbol"), F.lit("(x)"))),
                   "api_upgrade", F.concat(F.lit("Move callers of "), F.col("symbol"), F.lit(" to "), F.col("v2_symbol")))
-    mig = actions.filter(F.col("action") == "migrate").select("symbol", "path", F.lit(True).alias("needs"))
-    users = (symbols.select("symbol", "path").distinct().join(r.select("symbol", "definition_file", "task_id", "v2_symbol"), "symbol")
-             .filter(F.col("path") != F.col("definition_file"))
-             .join(mig, ["symbol", "path"], "left"))
-    cs = users.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("path").alias("file"), F.lit(0).alias("line"), F.coalesce("needs", F.lit(False)).alias("needs_upgrade"),
-        F.concat(F.col("symbol"), F.lit("(x)")).alias("old_call"), F.concat(F.col("v2_symbol"), F.lit("(x)")).alias("new_call"),
-        F.when(F.col("needs").isNotNull(), F.lit("migrated")).otherwise(F.lit("legacy")).alias("reason")))).alias("callsites"))
-    truth = (r.select("task_id", "total_callsites", "migrated_callsites").join(cs, "task_id", "left")
-             .select("task_id", F.col("total_callsites").alias("total_callsites"),
-                     F.col("migrated_callsites").alias("expected_upgrades"),
-                     F.coalesce("callsites", F.array().cast(cs.schema["callsites"].dataType)).alias("callsites")))
+    mig = actions.filter(F.col("action") == "migrate").select("symbol", F.col("path").alias("file"),
+                                                              F.lit(True).alias("needs"))
+    users = (symbols.select("symbol", F.col("path").alias("file")).distinct()
+             .join(F.broadcast(r.select("symbol", "definition_file")), "symbol")   # <= n migrated symbols
+             .filter(F.col("file") != F.col("definition_file"))
+             .join(mig, ["symbol", "file"], "left"))
+    truth = (r.select("task_id", "symbol", "v2_symbol", "total_callsites",
+                      F.col("migrated_callsites").alias("expected_upgrades"))
+             .join(users.select("symbol", "file", "needs"), "symbol", "left")
+             .select("task_id", "file", F.lit(0).alias("line"),
+                     F.when(F.col("file").isNotNull(), F.coalesce("needs", F.lit(False))).alias("needs_upgrade"),
+                     F.concat(F.col("symbol"), F.lit("(x)")).alias("old_call"),
+                     F.concat(F.col("v2_symbol"), F.lit("(x)")).alias("new_call"),
+                     F.when(F.col("needs").isNotNull(), F.lit("migrated")).otherwise(F.lit("legacy")).alias("reason"),
+                     "total_callsites", "expected_upgrades"))
     return tasks, truth
 
 
@@ -109,19 +124,22 @@ def bug_tasks_from_locations(loc: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = loc.groupBy("item_id").agg(F.min("path").alias("file"))
     rng = (loc.join(first, ["item_id"]).filter(F.col("path") == F.col("file"))
            .groupBy("item_id", "file").agg(F.min("line_no").alias("s"), F.max("line_no").alias("e")))
-    rel = (loc.join(first, "item_id").filter(F.col("path") != F.col("file"))
-           .groupBy("item_id").agg(F.sort_array(F.collect_set("path")).alias("related_files")))
     r = rng.withColumn("task_id", _tid("bug_localization", "item_id"))
     tasks = _task(r, "bug_localization", F.concat(F.lit("Locate the passage of item "), F.col("item_id").cast("string")),
                   error_message=F.concat(F.lit("passage "), F.col("item_id").cast("string"), F.lit(" misplaced")))
-    truth = (r.join(rel, "item_id", "left")
-             .select("task_id", F.struct(F.col("file"), F.array(F.col("s"), F.col("e")).alias("line_range"),
+    truth = r.select("task_id", F.struct(F.col("file"), F.array(F.col("s"), F.col("e")).alias("line_range"),
                                          F.lit("copied passage").alias("root_cause"),
-                                         F.lit("remove the copy").alias("fix_description")).alias("bug_location"),
-                     F.coalesce("related_files", F.array().cast("array<string>")).alias("related_files")))
+                                         F.lit("remove the copy").alias("fix_description")).alias("bug_location"))
     return tasks, truth
 
 
+def bug_related_files(loc: DataFrame) -> DataFrame:
+    """The other files holding a located passage, long form (task_id, path)."""
+    first = loc.groupBy("item_id").agg(F.min("path").alias("file"))
+    return (loc.join(first, "item_id").filter(F.col("path") != F.col("file"))
+            .select(_tid("bug_localization", "item_id").alias("task_id"), "path").distinct())
+
+
 def task_summary(tasks: DataFrame) -> DataFrame:
     """A10: total and distinct types (the id/type list is ``tasks`` itself)."""
     return tasks.agg(F.count(F.lit(1)).alias("total_tasks"), F.countDistinct("type").alias("task_types"))

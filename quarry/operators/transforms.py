@@ -139,7 +139,8 @@ def migrate_api(files: DataFrame, symbols: DataFrame, n: int = 10, fraction: flo
 
 
 def migrated_files_record(result: Result) -> DataFrame:
-    """The reference's ``migrated_files`` list per symbol (artifact shape)."""
+    """The reference's ``migrated_files`` list per symbol (artifact shape).
+    Only for writing a bounded record; jobs use the long ``details`` table."""
     mig = result.details.filter(F.col("action") == "migrate")
     return mig.groupBy("symbol").agg(F.sort_array(F.collect_list("path")).alias("migrated_files"))
 

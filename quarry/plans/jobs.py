@@ -55,7 +55,8 @@ def apply_all(files: DataFrame, settings: Settings | None = None) -> dict:
     dup = TR.duplicate_with_drift(v3, k=s.duplication_directories, max_files=s.max_dir_files, seed=s.seed)
     v4 = cut_lineage(dup.files)
     records = {"rename_map": ren.record.select("old", "new"),
-               "api_migrations": mig.record.join(TR.migrated_files_record(mig), "symbol", "left"),
+               "api_migrations": mig.record.drop("rank"),
+               "api_migration_files": mig.details,
                "wrapper_layers": wrp.record.select("symbol", "original_file", "wrapper_file", "call_chain"),
                "duplication_map": TR.duplication_record(dup).select("original_path", "duplicate_path", "modified_files")}
     return {"files": v4, "symbols": symbols, "records": records, "validation": VA.validate_corpus(v4),
@@ -64,7 +65,7 @@ def apply_all(files: DataFrame, settings: Settings | None = None) -> dict:
 
 def transform_summary(records: dict, seed: int) -> DataFrame:
     """One row, the seed and the row count of each record table."""
-    names = ["rename_map", "api_migrations", "wrapper_layers", "duplication_map"]
+    names = ["rename_map", "api_migrations", "wrapper_layers", "duplication_map"]  # one row per record
     counts = None
     for n in names:
         c = records[n].agg(F.count(F.lit(1)).alias("value")).select(F.lit(n).alias("metric"), "value")

@@ -22,7 +22,7 @@ FROM post p JOIN (SELECT symbol, count(*)::INTEGER AS n_files FROM post GROUP BY
 
 ORACLE["a1_prose_symbol_index"] = f"""{V.PROSE},
 post AS (SELECT DISTINCT unnest(regexp_extract_all(content, '[A-Z][a-z]{{3,}}')) AS symbol, path FROM prose_files)
-SELECT symbol, count(*)::INTEGER AS n_files, string_agg(path, '|' ORDER BY path) AS paths
+SELECT symbol, count(*)::INTEGER AS n_files, min(path) AS first_path, max(path) AS last_path
 FROM post GROUP BY symbol"""
 
 ORACLE["a2_corpus_stats"] = f"""{V.CODE}

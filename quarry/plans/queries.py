@@ -53,9 +53,11 @@ def a1_symbol_index(spark, sf):
 
 @query("a1_prose_symbol_index")
 def a1_prose_symbol_index(spark, sf):
-    """A1 array form over the prose view (R8 prose extractor)."""
-    idx = IX.symbol_index(TB.prose_symbols(spark, sf))
-    return idx.select("symbol", "n_files", F.array_join("paths", "|").alias("paths"))
+    """A1 over the prose view (R8 prose extractor): files per symbol with the
+    first and last path, all from partial aggregates (no per-key lists)."""
+    post = IX.symbol_postings(TB.prose_symbols(spark, sf))
+    return post.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n_files"),
+                                      F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
 @query("a2_corpus_stats")

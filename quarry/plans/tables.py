@@ -72,12 +72,11 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
     spark_empty = {
         "cross_file_reasoning": "task_id string, expected_call_path array<string>, expected_implementation_file string, "
                                 "expected_line_range array<int>",
-        "refactor_rename": "task_id string, files_to_modify array<string>, "
-                           "expected_changes array<struct<file:string,line:int,old:string,new:string>>",
-        "api_upgrade": "task_id string, total_callsites int, expected_upgrades int, callsites array<struct<file:string,"
-                       "line:int,needs_upgrade:boolean,old_call:string,new_call:string,reason:string>>",
+        "refactor_rename": "task_id string, file string, line int, old string, new string",
+        "api_upgrade": "task_id string, file string, line int, needs_upgrade boolean, old_call string, "
+                       "new_call string, reason string, total_callsites int, expected_upgrades int",
         "bug_localization": "task_id string, bug_location struct<file:string,line_range:array<int>,root_cause:string,"
-                            "fix_description:string>, related_files array<string>",
+                            "fix_description:string>",
     }
 
     def truth(kind):

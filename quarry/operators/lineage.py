@@ -92,35 +92,37 @@ def exact_copies(files: DataFrame) -> DataFrame:
     return h.join(sizes, "group_hash").select("path", "group_hash", "group_size")
 
 
-_MERSENNE = (1 << 61) - 1
-
-
 def _minhash_params(num_hashes: int, seed: int = 42):
     import numpy as np
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, _MERSENNE - 1, size=num_hashes, dtype=np.uint64)
-    b = rng.integers(0, _MERSENNE - 1, size=num_hashes, dtype=np.uint64)
+    a = rng.integers(0, 2**63, size=num_hashes, dtype=np.uint64)
+    b = rng.integers(0, 2**63, size=num_hashes, dtype=np.uint64) | np.uint64(1)
     return a, b
 
 
+_GRAM_MULT = 1_099_511_628_211  # odd 64-bit multiplier for rolling n-gram hashes
+
+
 def minhash_of(text: str | None, shingle: int, a, b) -> list[int] | None:
-    """MinHash of the word ``shingle``-grams of one text (numpy, per row):
-    all permutations ``(a*x + b) mod 2**61-1`` at once on a grams x hashes
-    matrix (operands split so products stay inside 64 bits)."""
+    """MinHash of the word ``shingle``-grams of one text, all in numpy:
+    word hashes by pandas' C hasher, n-gram hashes by a rolling combination,
+    permutations ``((g ^ a_i) * b_i) mod 2**64``."""
     import re
 
     import numpy as np
-    import xxhash
     if text is None:
         return None
     words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
     if not words:
         return []
-    grams = {" ".join(words[i:i + shingle]) for i in range(max(len(words) - shingle + 1, 1))}
-    p = np.uint64(_MERSENNE)
-    x = np.fromiter((xxhash.xxh64_intdigest(g) & _MERSENNE for g in grams), dtype=np.uint64, count=len(grams))
-    lo, hi = (x & np.uint64(0x3FFFFFFF))[:, None], (x >> np.uint64(30))[:, None]
-    v = ((a * hi % p) * np.uint64(1 << 30) % p + a * lo % p + b) % p
+    wh = pd.util.hash_pandas_object(pd.Series(words, dtype=object), index=False).to_numpy(dtype=np.uint64)
+    n = max(len(wh) - shingle + 1, 1)
+    g = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(min(shingle, len(wh))):
+            g = g * np.uint64(_GRAM_MULT) + wh[j:j + n]
+        g = np.unique(g)
+        v = (g[:, None] ^ a) * b
     return v.min(axis=0).astype(np.int64).tolist()
 
 

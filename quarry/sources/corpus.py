@@ -66,9 +66,14 @@ NAME_RE = r"^([A-Z][a-z]+)"
 CALLEE_RE = r"(?s)^[A-Z][a-z]+.*?[^A-Za-z]([A-Z][a-z]+)"
 
 
-def _render_line(lang: str, line: Column) -> Column:
-    name = F.regexp_extract(line, NAME_RE, 1)
-    callee = F.regexp_extract(line, CALLEE_RE, 1)
+def _parse_line(line: Column) -> Column:
+    """Per line, the two regexes run once: (l, name, callee)."""
+    return F.struct(line.alias("l"), F.regexp_extract(line, NAME_RE, 1).alias("n"),
+                    F.regexp_extract(line, CALLEE_RE, 1).alias("c"))
+
+
+def _render_line(lang: str, p: Column) -> Column:
+    line, name, callee = p["l"], p["n"], p["c"]
     call = F.when(callee != "", F.concat(callee, F.lit("(x)"))).otherwise(F.lit("x"))
     if lang == "go":
         fn = F.concat(F.lit("func "), name, F.lit("(x int) int {\n\treturn "), call,
@@ -103,7 +108,7 @@ def _renderer(lang: str):
 
 
 def code_content(lang_col: Column, text_col: Column) -> Column:
-    lines = TX.split_lines(text_col)
+    lines = F.transform(TX.split_lines(text_col), _parse_line)
     branches = None
     for dl, ext in LANG_EXT.items():
         lang = {"py": "python", "go": "go", "cpp": "cpp", "c": "c"}[ext]

@@ -343,3 +343,52 @@ def report_json(task_scores: DataFrame, tasks: DataFrame, submissions: DataFrame
     rep = report(task_scores, tasks, submissions)
     return rep.join(rows, "submission_id").select(
         "submission_id", F.to_json(F.struct(*[c for c in rep.columns], "results")).alias("json"))
+
+
+# ------------------------------------------------------------------ D3-D6
+
+def _d(name: str, typ: str = "double") -> F.Column:
+    return F.get_json_object("details", f"$.{name}").cast(typ)
+
+
+def document_rules(task_scores: DataFrame, ctx: dict | None = None) -> DataFrame:
+    """The rules document's formulas, next to the engine's score.
+
+    D3 cross-file: correct steps / all steps.  D4 rename: updated / total x
+    cleanliness (1.0 clean, 0.8 when false positives were found, 0.5 when the
+    code does not compile).  D5 upgrade: upgraded / expected, -10 % per legacy
+    callsite that was upgraded anyway, -50 % when the code does not compile
+    (signature checks are not observable and give no deduction).  D6 bug:
+    0.4 file + 0.3 location + 0.3 diagnosis, diagnosis 1.0 when the answer
+    names the root cause, 0.5 when it names one of its words (> 3 letters).
+    """
+    t = task_scores
+    rename = (_d("correctly_modified") / F.greatest(_d("files_checked"), F.lit(1.0))) * \
+        F.when(~_d("compilation_success", "boolean"), 0.5).when(_d("false_positives") > 0, 0.8).otherwise(1.0)
+    wrong = F.greatest(_d("total_callsites") - _d("expected_upgrades") - _d("preserved_legacy"), F.lit(0.0))
+    api = _d("actual_upgrades") / F.greatest(_d("expected_upgrades"), F.lit(1.0)) - wrong * 0.1
+    doc = (F.when(F.col("type") == "cross_file_reasoning", _d("call_chain_accuracy"))
+           .when(F.col("type") == "refactor_rename", rename)
+           .when(F.col("type") == "api_upgrade", api))
+    out = t.withColumn("document_score", F.when(F.size("errors") > 0, F.lit(0.0)).otherwise(SC.clamp01(doc)))
+    if ctx is not None and "truth_bugs" in ctx:
+        diag = _diagnosis(ctx)
+        out = out.join(diag, ["submission_id", "task_id"], "left").withColumn(
+            "document_score",
+            F.when(F.col("type") == "bug_localization",
+                   SC.clamp01(_d("file_score") * 0.4 + _d("location_score") * 0.3
+                              + F.coalesce("diagnosis", F.lit(0.0)) * 0.3))
+            .otherwise(F.col("document_score"))).drop("diagnosis")
+    return out.withColumn("document_score", F.round("document_score", 12))
+
+
+def _diagnosis(ctx: dict) -> DataFrame:
+    b = ctx["truth_bugs"].select("task_id", F.lower(F.col("bug_location.root_cause")).alias("rc"))
+    a = (ctx["attempts"].join(b, "task_id")
+         .join(ctx["texts"].filter(F.col("kind") == "bug").select("submission_id", F.lower("text").alias("low")),
+               "submission_id", "left"))
+    low = F.coalesce(F.col("low"), F.lit(""))
+    words = F.filter(F.split("rc", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    grade = (F.when((F.col("rc") != "") & low.contains(F.col("rc")), 1.0)
+             .when(F.exists(words, lambda w: low.contains(w)), 0.5).otherwise(0.0))
+    return a.select("submission_id", "task_id", grade.alias("diagnosis"))

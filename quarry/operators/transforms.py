@@ -286,3 +286,21 @@ def duplication_record(result: Result) -> DataFrame:
     lists = mod.groupBy("duplicate_path").agg(F.sort_array(F.collect_list("path")).alias("modified_files"))
     return (result.record.join(lists, "duplicate_path", "left")
             .withColumn("modified_files", F.coalesce("modified_files", F.array().cast("array<string>"))))
+
+
+# ---------------------------------------------------------------------- D10
+
+def rename_files(files: DataFrame, p: float = 0.08, seed: int = 42) -> Result:
+    """``max(1, int(n*p))`` sampled files get ``<stem>_renamed<suffix>``
+    in the same directory; record (old_path, new_path)."""
+    sample, k = S.sample_fraction(files.select("path"), "path", p, seed, op="file_rename")
+    d = TX.dirname("path")
+    name = F.concat(TX.stem("path"), F.lit("_renamed"), TX.suffix("path"))
+    new_path = F.when(d == "", name).otherwise(F.concat(d, F.lit("/"), name))
+    record = sample.select(F.col("path").alias("old_path"), new_path.alias("new_path"), "rank")
+    moved = (files.join(_maybe_broadcast(record, k), files["path"] == record["old_path"])
+             .withColumn("rel_path", F.concat(F.expr("left(rel_path, length(rel_path) - length(substring_index(old_path, '/', -1)))"),
+                                              TX.basename("new_path")))
+             .withColumn("path", F.col("new_path")).select(*FILES_COLUMNS))
+    kept = files.join(record.select(F.col("old_path").alias("path")), "path", "left_anti")
+    return Result(files=kept.select(*FILES_COLUMNS).unionByName(moved), record=record, touched=moved)

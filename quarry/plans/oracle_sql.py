@@ -544,3 +544,10 @@ ORACLE["a10_task_summary"] = f"WITH {_ALL_TASKS}\nSELECT count(*) AS total_tasks
 ORACLE["s9_answer_text"] = f"""SELECT submission_id, 'reasoning' AS kind, md5(text) AS text_md5 FROM (WITH {_texts(5)} SELECT * FROM texts)
 UNION ALL
 SELECT submission_id, 'bug' AS kind, md5(text) AS text_md5 FROM (WITH {_texts(3)} SELECT * FROM texts)"""
+
+
+ORACLE["d10_file_rename"] = f"""{V.CODE},
+r AS (SELECT path, rel_path, sha, row_number() OVER (ORDER BY md5('42:file_rename:' || path), path) AS rank FROM code_files)
+SELECT regexp_replace(path, '([^/]*?)(\\.[^./]+)?$', '\\1_renamed\\2') AS path,
+       regexp_replace(rel_path, '([^/]*?)(\\.[^./]+)?$', '\\1_renamed\\2') AS rel_path, sha
+FROM r WHERE rank <= (SELECT greatest(1, floor(count(*) * 0.08::DOUBLE)) FROM code_files)"""

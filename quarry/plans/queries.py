@@ -479,3 +479,18 @@ def a9_transform_summary(spark, sf):
     from quarry.plans import jobs as JB
     res = JB.apply_all(TB.code_files(spark, sf), JB.Settings(rename_mode="word", boundary="ascii"))
     return res["summary"]
+
+
+@query("d3_d6_document_rules")
+def d3_d6_document_rules(spark, sf):
+    """The documented formulas beside the engine's scores."""
+    c = TB.scoring_context(spark, sf)
+    return SCO.document_rules(SCO.score_all(c), c).select("submission_id", "task_id", "type", "score",
+                                                            "document_score")
+
+
+@query("d10_file_rename")
+def d10_file_rename(spark, sf):
+    """8 % of the code-view files renamed to <stem>_renamed<suffix>."""
+    res = TR.rename_files(TB.code_files(spark, sf), p=0.08, seed=42)
+    return res.touched.select("path", "rel_path", "sha")

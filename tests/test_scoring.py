@@ -120,3 +120,19 @@ def test_weighted_report_and_penalty(spark):
     df = spark.createDataFrame([(e,) for e in [10.0, 12.0, 14.0, 18.0, 21.0]], "e double")
     got = [r["f"] for r in df.select(SC.overtime_factor("e", F.lit(10.0)).alias("f")).collect()]
     assert got == [1.0, 0.9, 0.75, 0.5, 0.0]
+
+
+def test_document_rules(spark):
+    ts = spark.createDataFrame(
+        [("s", "cross_file_reasoning_01", "cross_file_reasoning", 0.6, 1.0, '{"call_chain_accuracy": 0.75}', []),
+         ("s", "refactor_rename_01", "refactor_rename", 0.6, 1.0,
+          '{"files_checked": 4, "correctly_modified": 3, "false_positives": 2, "compilation_success": true}', []),
+         ("s", "api_upgrade_01", "api_upgrade", 0.9, 1.0,
+          '{"total_callsites": 5, "expected_upgrades": 2, "actual_upgrades": 2, "preserved_legacy": 2}', []),
+         ("t", "refactor_rename_01", "refactor_rename", 0.0, 1.0, '{"error": true}', ["No patch was applied"])],
+        "submission_id string, task_id string, type string, score double, max_score double, details string, errors array<string>")
+    got = {(r["submission_id"], r["type"]): r["document_score"] for r in SCO.document_rules(ts).collect()}
+    assert got[("s", "cross_file_reasoning")] == 0.75
+    assert got[("s", "refactor_rename")] == pytest.approx(0.75 * 0.8)
+    assert got[("s", "api_upgrade")] == pytest.approx(0.9)
+    assert got[("t", "refactor_rename")] == 0.0

@@ -408,11 +408,12 @@ _STEP_HIT = ("CASE WHEN contains(st, '::') OR contains(st, '->') OR contains(st,
              "THEN len(list_filter(regexp_split_to_array(st, '[:>.]'), lambda p: trim(p) <> '' AND contains(low, lower(trim(p))))) > 0 "
              "ELSE contains(low, lower(st)) END")
 
-ORACLE["c1_score_cross_file"] = f"""{WRAP},
+def _c1_sql(extra: str = "", over: str = "ctasks") -> str:
+    return f"""{WRAP},
 ctasks AS (SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, symbol, original_file, wrapper_file FROM rec),
 {SUBS},
 {_texts(5)},
-{_attempts('ctasks')},
+{extra}{_attempts(over)},
 sc AS (SELECT a.submission_id, a.task_id, coalesce(x.text, '') AS text, lower(coalesce(x.text, '')) AS low,
               t.original_file AS f,
               ['caller', t.wrapper_file || '::' || t.symbol || 'Wrapper', t.original_file || '::' || t.symbol] AS steps
@@ -426,14 +427,18 @@ SELECT submission_id, task_id, 'cross_file_reasoning' AS type,
        0 AS n_errors, CASE WHEN text <> '' THEN acc ELSE 0.0 END AS acc
 FROM sc2"""
 
+
+ORACLE["c1_score_cross_file"] = _c1_sql()
+
 _NOISE_L = ("(contains(path || ':' || line, '//') OR contains(path || ':' || line, '#') "
             "OR contains(path || ':' || line, '\"') OR contains(path || ':' || line, ''''))")
 
-ORACLE["c2_score_rename"] = f"""{RENAME},
+def _c2_sql(extra: str = "", over: str = "rtasks") -> str:
+    return f"""{RENAME},
 after AS (SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path)),
 rtasks AS (SELECT printf('refactor_rename_%02d', rank) AS task_id, old, new FROM rmap),
 {SUBS},
-{_attempts('rtasks')},
+{extra}{_attempts(over)},
 chg AS (SELECT t.task_id, t.old, t.new, p.path FROM rtasks t JOIN (SELECT DISTINCT symbol, path FROM code_symbols) p ON p.symbol = t.old),
 chk AS (SELECT c.task_id, count(*) AS checked,
                count(*) FILTER (WHERE a.content IS NOT NULL
@@ -451,7 +456,8 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY path, line_n
 fp AS (SELECT task_id, least(count(*) FILTER (WHERE {_NOISE_L}), 10) AS fp FROM hits WHERE r <= 50 GROUP BY task_id),
 sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, s.compile_ok, coalesce(k.checked, 0) AS checked,
               coalesce(k.correct, 0) AS correct, coalesce(f.fp, 0)::INTEGER AS fp
-       FROM attempts a LEFT JOIN chk k USING (task_id) LEFT JOIN fp f USING (task_id) LEFT JOIN subs s USING (submission_id))
+       FROM attempts a JOIN (SELECT task_id FROM rtasks) rt USING (task_id) LEFT JOIN chk k USING (task_id)
+       LEFT JOIN fp f USING (task_id) LEFT JOIN subs s USING (submission_id))
 SELECT submission_id, task_id, 'refactor_rename' AS type,
        round(CASE WHEN NOT patch_applied THEN 0.0
                   ELSE least(greatest(0.0, correct / greatest(checked, 1) - least(fp * 0.1::DOUBLE, 0.3::DOUBLE)
@@ -459,12 +465,16 @@ SELECT submission_id, task_id, 'refactor_rename' AS type,
        CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors, fp
 FROM sc"""
 
-ORACLE["c3_score_api"] = f"""{MIGRATE},
+
+ORACLE["c2_score_rename"] = _c2_sql()
+
+def _c3_sql(extra: str = "", over: str = "atasks") -> str:
+    return f"""{MIGRATE},
 after AS (SELECT * FROM ({RENAME}
           SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
 atasks AS (SELECT printf('api_upgrade_%02d', c.rank) AS task_id, r.symbol, r.v2_symbol FROM record r JOIN chosen c USING (symbol)),
 {SUBS},
-{_attempts('atasks')},
+{extra}{_attempts(over)},
 cs AS (SELECT t.task_id, t.symbol, t.v2_symbol, u.path, p.path IS NOT NULL AS needs
        FROM atasks t JOIN usages u USING (symbol) LEFT JOIN picked p ON p.symbol = u.symbol AND p.path = u.path),
 cf AS (SELECT c.*, a.content IS NOT NULL AS present,
@@ -476,14 +486,19 @@ chk AS (SELECT task_id, count(*) AS total, count(*) FILTER (WHERE needs) AS expe
                count(*) FILTER (WHERE present AND NOT needs AND NOT found) AS preserved FROM cf GROUP BY task_id),
 sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, coalesce(total, 0) AS total, coalesce(expected, 0) AS expected,
               coalesce(actual, 0) AS actual, coalesce(preserved, 0) AS preserved
-       FROM attempts a LEFT JOIN chk USING (task_id) LEFT JOIN subs s USING (submission_id))
+       FROM attempts a JOIN (SELECT task_id FROM atasks) att USING (task_id) LEFT JOIN chk USING (task_id)
+       LEFT JOIN subs s USING (submission_id))
 SELECT submission_id, task_id, 'api_upgrade' AS type,
        round(CASE WHEN NOT patch_applied THEN 0.0
                   ELSE least(actual / greatest(expected, 1) * 0.7 + preserved / greatest(total - expected, 1) * 0.3, 1.0) END, 12) AS score,
        CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors
 FROM sc"""
 
-ORACLE["c4_score_bug"] = f"""{V.PROSE},
+
+ORACLE["c3_score_api"] = _c3_sql()
+
+def _c4_sql(extra: str = "", over: str = "btasks") -> str:
+    return f"""{V.PROSE},
 after AS (SELECT * FROM ({RENAME}
           SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
 bl AS (SELECT DISTINCT item_id, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
@@ -497,7 +512,7 @@ rng AS (SELECT l.item_id, f.file, min(l.line_no) AS s, max(l.line_no) AS e
 btasks AS (SELECT printf('bug_localization_%02d', item_id) AS task_id, file, s, e FROM rng),
 {SUBS},
 {_texts(3)},
-{_attempts('btasks')},
+{extra}{_attempts(over)},
 fx AS (SELECT t.task_id,
               regexp_matches(lower(array_to_string(CASE WHEN least(n, e) > greatest(s - 1, 0)
                                                         THEN ls[greatest(s - 1, 0) + 1 : least(n, e)] ELSE [] END, chr(10))),
@@ -521,6 +536,9 @@ SELECT submission_id, task_id, 'bug_localization' AS type,
 FROM sc3"""
 
 
+ORACLE["c4_score_bug"] = _c4_sql()
+
+
 _ALL_TASKS = f"""all_tasks AS (
   SELECT * FROM ({WRAP} SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, 'cross_file_reasoning' AS type,
                  'medium' AS difficulty, 10 AS max_time_minutes, symbol AS start_symbol, NULL::VARCHAR AS symbol_to_rename,
@@ -551,3 +569,38 @@ r AS (SELECT path, rel_path, sha, row_number() OVER (ORDER BY md5('42:file_renam
 SELECT regexp_replace(path, '([^/]*?)(\\.[^./]+)?$', '\\1_renamed\\2') AS path,
        regexp_replace(rel_path, '([^/]*?)(\\.[^./]+)?$', '\\1_renamed\\2') AS rel_path, sha
 FROM r WHERE rank <= (SELECT greatest(1, floor(count(*) * 0.08::DOUBLE)) FROM code_files)"""
+
+
+
+# The four scorers over attempts numbered across ALL tasks; C6 on top.
+def _score_all_sql() -> str:
+    extra = _ALL_TASKS + ",\n"
+    parts = [f"SELECT submission_id, task_id, type, score, n_errors FROM ({fn(extra, 'all_tasks')})"
+             for fn in (_c1_sql, _c2_sql, _c3_sql, _c4_sql)]
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["c5_score_all"] = _score_all_sql()
+
+ORACLE["c6_report"] = f"""WITH scores AS ({_score_all_sql()}),
+{SUBS},
+s AS (SELECT sc.*, sb.elapsed_minutes,
+             CASE sc.type WHEN 'cross_file_reasoning' THEN 10 WHEN 'refactor_rename' THEN 15
+                          WHEN 'api_upgrade' THEN 20 WHEN 'bug_localization' THEN 25 END AS lim,
+             coalesce(CASE regexp_replace(sc.task_id, '_?[^_]*$', '')
+                        WHEN 'cross_file_reasoning' THEN 1.0 WHEN 'refactor_rename' THEN 1.2
+                        WHEN 'api_upgrade' THEN 1.5 WHEN 'bug_localization' THEN 2.0 END, 1.0)::DOUBLE AS w
+      FROM scores sc LEFT JOIN subs sb USING (submission_id)),
+p AS (SELECT *, CASE WHEN lim IS NULL OR elapsed_minutes IS NULL THEN 1.0
+                     WHEN (elapsed_minutes - lim) / lim <= 0 THEN 1.0 WHEN (elapsed_minutes - lim) / lim <= 0.25 THEN 0.9
+                     WHEN (elapsed_minutes - lim) / lim <= 0.5 THEN 0.75 WHEN (elapsed_minutes - lim) / lim <= 1.0 THEN 0.5
+                     ELSE 0.0 END AS pen FROM s),
+a AS (SELECT submission_id, sum(score * w) AS ws, sum(w) AS wsum, sum(score * pen * w) AS wps,
+             count(*) AS tasks_scored, sum(n_errors)::BIGINT AS errors FROM p GROUP BY submission_id),
+o AS (SELECT *, CASE WHEN wsum > 0 THEN ws / wsum ELSE 0.0 END AS overall,
+                CASE WHEN wsum > 0 THEN wps / wsum ELSE 0.0 END AS adjusted FROM a)
+SELECT submission_id, round(overall, 9) AS overall_score, round(adjusted, 9) AS adjusted_score, tasks_scored, errors,
+       errors = 0 AS success,
+       CASE WHEN overall * 100.0 >= 90 THEN 'Expert' WHEN overall * 100.0 >= 75 THEN 'Proficient'
+            WHEN overall * 100.0 >= 60 THEN 'Competent' WHEN overall * 100.0 >= 40 THEN 'Developing' ELSE 'Novice' END AS band
+FROM o"""

@@ -199,7 +199,6 @@ def d7_shard_select(spark, sf):
 
 # ------------------------------------------------------------------ M8 scoring
 from quarry.operators import scoring as SCO  # noqa: E402
-from quarry.operators import tasks as TK  # noqa: E402
 
 def _score_cols():
     return ["submission_id", "task_id", "type", "score", F.size("errors").alias("n_errors")]
@@ -328,7 +327,6 @@ def a6_primary_language_prose(spark, sf):
 # ------------------------------------------------- function-level queries
 from quarry.functions import rewrite as RW  # noqa: E402
 from quarry.functions import scoring as SC  # noqa: E402
-from quarry.sources import manifest as MF  # noqa: E402
 
 
 @query("p4_page_files")
@@ -469,7 +467,6 @@ def a10_task_summary(spark, sf):
     return TK2.task_summary(TB.scoring_context(spark, sf)["tasks"])
 
 
-_ = MF
 
 
 @query("a9_transform_summary")

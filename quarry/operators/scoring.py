@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scoring as SC
 from quarry.functions import text as TX
+from quarry.operators.joins import bounded_broadcast
 
 SCORE_COLUMNS = ["submission_id", "task_id", "type", "score", "max_score", "details", "errors"]
 
@@ -61,6 +62,15 @@ def answer_text(agent_text: DataFrame, kind: str = "reasoning") -> DataFrame:
                     F.concat_ws("", F.transform("p", lambda x: F.concat(x["text"], F.lit("\n")))).alias("text")))
 
 
+def _with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows (with a ``file`` column) LEFT JOIN the corpus text.  Only the
+    needed paths are read from the corpus: they are collected as a small
+    distinct set, broadcast after a size check, and semi-joined first."""
+    need = bounded_broadcast(rows.select("file").filter(F.col("file").isNotNull()).distinct())
+    texts = files.select(F.col("path").alias("file"), "content").join(need, "file", "left_semi")
+    return rows.join(texts, "file", "left")
+
+
 def _long(truth: DataFrame, array_col: str, fields: list[str]) -> DataFrame:
     """Truth rows in long form (task_id, fields...): nested truth (the
     reference's shape) is exploded; long truth is used as is.  A task whose
@@ -108,7 +118,7 @@ def rename_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, bou
     corpus (a missing file counts as missed)."""
     t = (tasks.filter(F.col("type") == "refactor_rename")
          .select("task_id", "symbol_to_rename", "new_name").join(_long(truth, "expected_changes", ["file"]), "task_id"))
-    j = t.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    j = _with_content(t, files)
     ok = (F.col("content").isNotNull()
           & (TX.count_word("content", "symbol_to_rename", boundary) <= 2)
           & (TX.count_word("content", "new_name", boundary) >= 1))
@@ -139,7 +149,8 @@ def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFr
         idents = src.select("path", F.explode(F.array_distinct(
             F.regexp_extract_all("content", F.lit(r"\w+"), 0))).alias("new_name"))
     cand = idents.join(names, "new_name").select("task_id", "new_name", "path").distinct()
-    lines = (cand.join(src, "path")
+    need = bounded_broadcast(cand.select("path").distinct())
+    lines = (src.join(need, "path").join(cand, "path")
              .select("task_id", "new_name", "path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
              .filter(F.col("line").contains(F.col("new_name"))))
     w = Window.partitionBy("task_id").orderBy("path", "line_no")
@@ -186,7 +197,7 @@ def api_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, bounda
     t = (tasks.filter(F.col("type") == "api_upgrade")
          .select("task_id", TX.api_name("old_api").alias("old_func"), TX.api_name("new_api").alias("new_func"))
          .join(_long(truth, "callsites", ["file", "needs_upgrade"]), "task_id"))
-    j = t.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    j = _with_content(t, files)
     exists = F.col("content").isNotNull()
     found = (TX.count_calls("content", "old_func", boundary) == 0) & (TX.count_calls("content", "new_func", boundary) > 0)
     needs = F.coalesce(F.col("needs_upgrade"), F.lit(False))
@@ -235,7 +246,7 @@ def bug_fix_checks(truth: DataFrame, files: DataFrame) -> DataFrame:
     and lower-cased, hold a fix pattern."""
     b = truth.select("task_id", F.col("bug_location.file").alias("file"),
                      F.col("bug_location.line_range").alias("lr"))
-    j = b.join(files.select(F.col("path").alias("file"), "content"), "file")
+    j = _with_content(b, files).filter(F.col("content").isNotNull())
     lines = TX.split_lines("content")
     n = F.size(lines) - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
     start = F.greatest(F.try_element_at("lr", F.lit(1)) - 1, F.lit(0))

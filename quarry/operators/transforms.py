@@ -18,6 +18,7 @@ from quarry.functions import rewrite as RW
 from quarry.functions import text as TX
 from quarry.operators import index as IX
 from quarry.operators import sampling as S
+from quarry.operators.joins import bounded_broadcast, join_small
 from quarry.sources.corpus import FILES_COLUMNS
 
 # A rename map of up to this many pairs is broadcast (its size is known from
@@ -42,8 +43,9 @@ def refresh_derived(df: DataFrame) -> DataFrame:
 
 
 def replace_rows(files: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """New rows win on a path clash (anti join, then union)."""
-    keep = files.join(new_rows.select("path"), "path", "left_anti")
+    """New rows win on a path clash (anti join, then union); the new
+    paths are broadcast after a size check, so the corpus is not shuffled."""
+    keep = join_small(files, new_rows.select("path"), "path", "left_anti")
     return keep.select(*FILES_COLUMNS).unionByName(new_rows.select(*FILES_COLUMNS))
 
 
@@ -66,7 +68,7 @@ def rename_symbols(files: DataFrame, symbols: DataFrame, p: float = 0.05, seed:
              .select("path", "old", "new", "rank"))
     per_file = pairs.groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("rank", "old", "new"))).alias("pairs"))
-    touched = files.join(per_file, "path")
+    touched = join_small(files, per_file, "path")
     if mode == "word":
         new_content = RW.apply_word_renames("content", "pairs", boundary)
     elif mode == "parity":
@@ -131,7 +133,7 @@ def migrate_api(files: DataFrame, symbols: DataFrame, n: int = 10, fraction: flo
     per_file = actions.groupBy("path").agg(F.sort_array(F.collect_list(
         F.struct("rank", "step", "action", F.col("symbol").alias("old"), RW.v2_name("symbol").alias("new"))))
         .alias("actions"))
-    touched = files.join(per_file, "path").withColumn(
+    touched = join_small(files, per_file, "path").withColumn(
         "new_content", RW.migrate_udf("content", "language", "actions"))
     rewritten = refresh_derived(touched.withColumn("content", F.col("new_content")))
     return Result(files=replace_rows(files, rewritten), record=record, touched=touched,
@@ -193,7 +195,7 @@ def add_wrappers(files: DataFrame, symbols: DataFrame, n: int = 8, seed: int = 4
     first = (post.join(F.broadcast(chosen), "symbol").groupBy("symbol", "rank")
              .agg(F.min("path").alias("original_file")))
     lang = files.select(F.col("path").alias("original_file"), "language", "repo")
-    cand = first.join(lang, "original_file").filter(F.col("language").isin("go", "python"))
+    cand = lang.join(F.broadcast(first), "original_file").filter(F.col("language").isin("go", "python"))  # <= n rows
     record = cand.select("symbol", "original_file", RW.wrapper_path("original_file").alias("wrapper_file"),
                          "language", "repo", "rank")
     record = record.withColumn("call_chain", RW.call_chain("wrapper_file", "original_file"))
@@ -208,7 +210,7 @@ def add_wrappers(files: DataFrame, symbols: DataFrame, n: int = 8, seed: int = 4
     from pyspark.sql import Window
     w = Window.partitionBy("wrapper_file").orderBy(F.col("rank").desc())
     gen = gen.withColumn("_w", F.row_number().over(w)).filter("_w = 1")
-    rows = (gen.join(files.select(F.col("path").alias("original_file"), "rel_path"), "original_file")
+    rows = (files.select(F.col("path").alias("original_file"), "rel_path").join(F.broadcast(gen), "original_file")
             .select("repo", F.col("wrapper_file").alias("path"),
                     F.expr("substring(wrapper_file, length(original_file) - length(rel_path) + 1)").alias("rel_path"),
                     content.alias("content")))
@@ -244,7 +246,7 @@ def duplicate_with_drift(files: DataFrame, repos: DataFrame | None = None, k: in
     small = counts.filter((F.col("n_files") < max_files) & ~F.col("top_dir").startswith("."))      # P10
     chosen = S.sample_per_group(small, "repo", "top_dir", n=k, seed=seed, op="dup")                # K4
     chosen = chosen.select("repo", "repo_root", "top_dir", "rank")
-    copies = td.join(chosen, ["repo", "repo_root", "top_dir"])
+    copies = join_small(td, chosen, ["repo", "repo_root", "top_dir"])      # <= k per repository
     new_top = F.concat(F.col("top_dir"), F.lit(RW.LEGACY_DIR_SUFFIX))
     rest = F.expr("substring(rel_path, length(top_dir) + 2)")
     new_rel = F.concat(new_top, F.lit("/"), rest)
@@ -298,9 +300,9 @@ def rename_files(files: DataFrame, p: float = 0.08, seed: int = 42) -> Result:
     name = F.concat(TX.stem("path"), F.lit("_renamed"), TX.suffix("path"))
     new_path = F.when(d == "", name).otherwise(F.concat(d, F.lit("/"), name))
     record = sample.select(F.col("path").alias("old_path"), new_path.alias("new_path"), "rank")
-    moved = (files.join(_maybe_broadcast(record, k), files["path"] == record["old_path"])
+    moved = (files.join(_maybe_broadcast(record, k), files["path"] == record["old_path"])    # k known
              .withColumn("rel_path", F.concat(F.expr("left(rel_path, length(rel_path) - length(substring_index(old_path, '/', -1)))"),
                                               TX.basename("new_path")))
              .withColumn("path", F.col("new_path")).select(*FILES_COLUMNS))
-    kept = files.join(record.select(F.col("old_path").alias("path")), "path", "left_anti")
+    kept = files.join(_maybe_broadcast(record.select(F.col("old_path").alias("path")), k), "path", "left_anti")
     return Result(files=kept.select(*FILES_COLUMNS).unionByName(moved), record=record, touched=moved)

@@ -4,9 +4,9 @@ Many jobs join a small derived set (files to rewrite, expected files of the
 tasks, chosen directories) with ``files``, whose rows are whole file texts.
 A sort-merge join would shuffle the whole corpus for a handful of paths, and
 AQE can only demote it to a broadcast once shuffle stages have run.  Here the
-small side is counted first (one cheap job over a derived table) and is
-broadcast when its row count is under the bound; above it the join stays a
-shuffle join and AQE's skew handling applies.
+small side is materialised and counted first and is broadcast when its row
+count is under the bound; above it the join stays a shuffle join and AQE's
+skew handling applies.
 """
 
 from __future__ import annotations
@@ -18,7 +18,12 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint when it has at most ``max_rows`` rows."""
+    """``small`` with a broadcast hint when it has at most ``max_rows`` rows.
+
+    The small side is materialised once (reliable checkpoint) so the size
+    check and the join read the same rows and its lineage is not run twice."""
+    from quarry.session import cut_lineage
+    small = cut_lineage(small)
     return F.broadcast(small) if small.count() <= max_rows else small
 
 

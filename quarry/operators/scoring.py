@@ -63,12 +63,10 @@ def answer_text(agent_text: DataFrame, kind: str = "reasoning") -> DataFrame:
 
 
 def _with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """rows (with a ``file`` column) LEFT JOIN the corpus text.  Only the
-    needed paths are read from the corpus: they are collected as a small
-    distinct set, broadcast after a size check, and semi-joined first."""
-    need = bounded_broadcast(rows.select("file").filter(F.col("file").isNotNull()).distinct())
-    texts = files.select(F.col("path").alias("file"), "content").join(need, "file", "left_semi")
-    return rows.join(texts, "file", "left")
+    """rows (with a ``file`` column) LEFT JOIN the corpus text.  ``files``
+    is expected to be the truth slice of the corpus the scoring context
+    builds once (``task_files``); the join is then between small tables."""
+    return rows.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
 
 
 def _long(truth: DataFrame, array_col: str, fields: list[str]) -> DataFrame:
@@ -161,12 +159,16 @@ def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFr
 
 
 def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: DataFrame,
-                 submissions: DataFrame, ref_index: DataFrame | None = None, boundary: str = "unicode") -> DataFrame:
+                 submissions: DataFrame, ref_index: DataFrame | None = None, boundary: str = "unicode",
+                 all_files: DataFrame | None = None) -> DataFrame:
+    """C2.  ``files`` serves the expected-change checks; the false-positive
+    grep reads ``all_files`` (the whole corpus) when given."""
     t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "type", "ground_truth",
                                                                  "symbol_to_rename", "new_name")
     per_task = (t.join(truth.select("task_id").distinct().withColumn("_has_truth", F.lit(True)), "task_id", "left")
                 .join(rename_task_checks(tasks, truth, files, boundary), "task_id", "left")
-                .join(rename_false_positives(tasks, files, ref_index), "task_id", "left"))
+                .join(rename_false_positives(tasks, all_files if all_files is not None else files, ref_index),
+                      "task_id", "left"))
     a = attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
     applied = F.coalesce(F.col("patch_applied"), F.lit(False))
     no_truth = applied & F.col("_has_truth").isNull()
@@ -299,7 +301,8 @@ def register_scorer(task_type: str, fn: Callable[..., DataFrame]) -> None:
 
 register_scorer("cross_file_reasoning", lambda c: score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"]))
 register_scorer("refactor_rename", lambda c: score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"],
-                                                          c["submissions"], c.get("ref_index"), c.get("boundary", "unicode")))
+                                                          c["submissions"], c.get("ref_index"), c.get("boundary", "unicode"),
+                                                          c.get("all_files")))
 register_scorer("api_upgrade", lambda c: score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"],
                                                    c["submissions"], c.get("boundary", "unicode")))
 register_scorer("bug_localization", lambda c: score_bug(c["attempts"], c["tasks"], c["truth_bugs"], c["files"],

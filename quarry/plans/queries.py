@@ -229,7 +229,7 @@ def c1_score_cross_file(spark, sf):
 def c2_score_rename(spark, sf):
     c = TB.scoring_context(spark, sf, kinds=["refactor_rename"])
     s = SCO.score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"], c["submissions"],
-                         None, "ascii")
+                         None, "ascii", c["all_files"])
     return s.select(*_score_cols(), F.get_json_object("details", "$.false_positives").cast("int").alias("fp"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators import index as IX
 from quarry.plans.registry import prose_extractors
@@ -39,7 +40,7 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
     from quarry.operators import scoring as SCO
     from quarry.operators import tasks as TK
     from quarry.operators import transforms as TR
-
+    from quarry.operators.joins import join_small
     from quarry.session import cut_lineage
 
     # the corpus and its index are read by every branch below: materialise
@@ -88,7 +89,14 @@ def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
     at = TK.agent_text_from_conversations(conv)
     texts = cut_lineage(SCO.answer_text(at, "reasoning").unionByName(SCO.answer_text(at, "bug")))
     after = cut_lineage(ren.files)
-    return {"tasks": tasks, "truth_paths": truth("cross_file_reasoning"), "truth_renames": truth("refactor_rename"),
-            "truth_callsites": truth("api_upgrade"), "truth_bugs": truth("bug_localization"),
-            "submissions": subs, "texts": texts, "files": after,
-            "attempts": cut_lineage(TK.attempts_for(subs, tasks)), "boundary": boundary}
+    truths = {"truth_paths": truth("cross_file_reasoning"), "truth_renames": truth("refactor_rename"),
+              "truth_callsites": truth("api_upgrade"), "truth_bugs": truth("bug_localization")}
+    # the slice of the corpus any truth row points at: one size-checked
+    # semi-join for all scorers instead of one corpus lookup per scorer
+    needed = (truths["truth_renames"].select(F.col("file").alias("path"))
+              .unionByName(truths["truth_callsites"].select(F.col("file").alias("path")))
+              .unionByName(truths["truth_bugs"].select(F.col("bug_location.file").alias("path")))
+              .filter(F.col("path").isNotNull()).distinct())
+    task_files = cut_lineage(join_small(after, needed, "path", "left_semi"))
+    return {"tasks": tasks, **truths, "submissions": subs, "texts": texts, "files": task_files,
+            "all_files": after, "attempts": cut_lineage(TK.attempts_for(subs, tasks)), "boundary": boundary}

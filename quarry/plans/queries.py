@@ -83,9 +83,17 @@ from quarry.operators import sampling as S  # noqa: E402
 from quarry.operators import transforms as TR  # noqa: E402
 
 
+def _frozen(spark, sf):
+    """Code view and its symbols, materialised once (the frozen index every
+    transform reads, X13) so the plan does not re-run the extractors per branch."""
+    from quarry.session import cut_lineage
+    files = cut_lineage(TB.code_files(spark, sf))
+    return files, cut_lineage(IX.extract_symbols(files))
+
+
 def _renamed(spark, sf):
-    files = TB.code_files(spark, sf)
-    return TR.rename_symbols(files, IX.extract_symbols(files), p=0.05, seed=42, mode="word", boundary="ascii")
+    files, syms = _frozen(spark, sf)
+    return TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary="ascii")
 
 
 @query("k1_t2_rename_map")
@@ -108,8 +116,8 @@ def a3_rename_stats(spark, sf):
 
 
 def _migrated(spark, sf):
-    files = TB.code_files(spark, sf)
-    return TR.migrate_api(files, IX.extract_symbols(files), n=10, fraction=0.6, seed=42)
+    files, syms = _frozen(spark, sf)
+    return TR.migrate_api(files, syms, n=10, fraction=0.6, seed=42)
 
 
 @query("t3_api_migrations")
@@ -134,8 +142,8 @@ def t3_migrate_rewrite(spark, sf):
 
 
 def _wrapped(spark, sf):
-    files = TB.code_files(spark, sf)
-    return TR.add_wrappers(files, IX.extract_symbols(files), n=8, seed=42)
+    files, syms = _frozen(spark, sf)
+    return TR.add_wrappers(files, syms, n=8, seed=42)
 
 
 @query("t4_wrapper_layers")
@@ -267,16 +275,16 @@ from quarry.operators import validate as VA  # noqa: E402
 @query("r1_snapshot_diff")
 def r1_snapshot_diff(spark, sf):
     """Code view before/after the T2 renames plus the T5 copies."""
-    files = TB.code_files(spark, sf)
-    ren = TR.rename_symbols(files, IX.extract_symbols(files), p=0.05, seed=42, mode="word", boundary="ascii")
+    files, syms = _frozen(spark, sf)
+    ren = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary="ascii")
     return LN.snapshot_diff(files, ren.files).select("path", "status")
 
 
 @query("d8_changed_repos")
 def d8_changed_repos(spark, sf):
     """Repositories whose files changed with the T2 renames."""
-    files = TB.code_files(spark, sf)
-    ren = TR.rename_symbols(files, IX.extract_symbols(files), p=0.05, seed=42, mode="word", boundary="ascii")
+    files, syms = _frozen(spark, sf)
+    ren = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="word", boundary="ascii")
     return LN.changed_repos(files, ren.files)
 
 

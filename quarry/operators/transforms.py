@@ -18,7 +18,8 @@ from quarry.functions import rewrite as RW
 from quarry.functions import text as TX
 from quarry.operators import index as IX
 from quarry.operators import sampling as S
-from quarry.operators.joins import bounded_broadcast, join_small
+from quarry.operators.joins import join_small
+from quarry.session import cut_lineage
 from quarry.sources.corpus import FILES_COLUMNS
 
 # A rename map of up to this many pairs is broadcast (its size is known from
@@ -62,7 +63,9 @@ def rename_symbols(files: DataFrame, symbols: DataFrame, p: float = 0.05, seed:
     native; ``mode='parity'``: the reference's per-language head rewrites."""
     keys = symbols.select("symbol").distinct()
     sample, k = S.sample_fraction(keys, "symbol", p, seed, op="rename")
-    rmap = sample.select(F.col("symbol").alias("old"), RW.new_name("symbol", seed).alias("new"), "rank")
+    # the sample is read by the pair join and by the record: materialise the
+    # k rows once instead of re-running distinct + top-k over all keys
+    rmap = cut_lineage(sample.select(F.col("symbol").alias("old"), RW.new_name("symbol", seed).alias("new"), "rank"))
     post = IX.symbol_postings(symbols)
     pairs = (post.join(_maybe_broadcast(rmap, k), post["symbol"] == rmap["old"])
              .select("path", "old", "new", "rank"))
@@ -110,7 +113,7 @@ def migrate_api(files: DataFrame, symbols: DataFrame, n: int = 10, fraction: flo
     function and ``int(fraction * usages)`` of the other defining files (W2)
     switch to the V2 name."""
     keys = symbols.select("symbol").distinct()
-    chosen = S.sample_n(api_candidates(keys), "symbol", n, seed, op="api")
+    chosen = cut_lineage(S.sample_n(api_candidates(keys), "symbol", n, seed, op="api"))   # <= n rows, read 5 times
     post = IX.symbol_postings(symbols)
     definers = post.join(F.broadcast(chosen), "symbol")            # chosen: <= n rows
     first = definers.groupBy("symbol").agg(F.min("path").alias("definition_file"))
@@ -190,7 +193,7 @@ def add_wrappers(files: DataFrame, symbols: DataFrame, n: int = 8, seed: int = 4
     Go or Python (P13), generate ``<stem>_wrapper<suffix>`` next to it."""
     spark = files.sparkSession
     keys = symbols.select("symbol").distinct()
-    chosen = S.sample_n(keys, "symbol", n, seed, op="wrap")
+    chosen = cut_lineage(S.sample_n(keys, "symbol", n, seed, op="wrap"))                 # <= n rows
     post = IX.symbol_postings(symbols)
     first = (post.join(F.broadcast(chosen), "symbol").groupBy("symbol", "rank")
              .agg(F.min("path").alias("original_file")))

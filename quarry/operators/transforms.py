@@ -18,13 +18,13 @@ from quarry.functions import rewrite as RW
 from quarry.functions import text as TX
 from quarry.operators import index as IX
 from quarry.operators import sampling as S
-from quarry.operators.joins import join_small
+from quarry.operators.joins import BROADCAST_MAX_ROWS, join_small
 from quarry.session import cut_lineage
 from quarry.sources.corpus import FILES_COLUMNS
 
-# A rename map of up to this many pairs is broadcast (its size is known from
-# the sample size k before the join is planned); above it a shuffle join.
-BROADCAST_MAX_ROWS = 1_000_000
+# A sample-derived table (rename map, renamed files) of up to
+# BROADCAST_MAX_ROWS rows is broadcast: its size k is known from the sample
+# size before the join is planned; above it the join is a shuffle join.
 
 
 @dataclass

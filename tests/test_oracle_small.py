@@ -9,7 +9,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 QUICK = ["p6_prose_files", "t1_symbols", "a1_symbol_index", "f9_imports", "k1_t2_rename_map",
          "t2_rename_files", "t3_api_migrations", "t5_duplication_map", "w2_stratified_fraction",
-         "f33_path_steps", "f36_line_band", "d9_corpus_rollup"]
+         "f33_path_steps", "f36_line_band", "d9_corpus_rollup", "c6_report"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")

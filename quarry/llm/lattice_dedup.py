@@ -187,7 +187,7 @@ def components(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     at_home = (home.join(right, "cell").where("block <= other")
                .select(F.col("members").alias("left"), "right", "t", (F.col("block") == F.col("other")).alias("same")))
     by_probe = probe.join(right, "cell").select(F.col("members").alias("left"), "right", F.lit(None).cast("int").alias("t"), F.lit(False).alias("same"))
-    met = scratch.save(map_batches(at_home.union(by_probe), _meet(least), "kind int, x long, y long"), "met")
+    met = scratch.save(map_batches(at_home.union(by_probe), _meet(least), "kind long, x long, y long"), "met")
     pairs = scratch.save(met.where("kind = 2").select("x", "y").distinct(), "pairs")
     sizes = classes.select(F.col("rep").alias("other"), "n")
     ends = pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))

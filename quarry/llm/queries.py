@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.learn(docs))
@@ -29,7 +33,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.transform(F.concat("base", "added"), lambda s: F.struct(
         F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.select(
-        "doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        "doc_id", *[F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.array_sort(rank)).alias("spans"))
 
 

@@ -41,8 +41,10 @@ def _c(x) -> Column:
 
 def decode_text(raw) -> Column:
     """Bytes -> text, invalid UTF-8 dropped, \\r\\n and \\r folded to \\n."""
-    text = F.make_valid_utf8(_c(raw).cast("string"))
-    text = F.regexp_replace(text, "\uFFFD", "")
+    # a replacement character that stands in the file is kept apart from those that mark invalid bytes
+    text = F.replace(_c(raw).cast("string"), F.lit("\uFFFD"), F.lit("\uFDD0\uFDD1"))
+    text = F.replace(F.make_valid_utf8(text), F.lit("\uFFFD"), F.lit(""))
+    text = F.replace(text, F.lit("\uFDD0\uFDD1"), F.lit("\uFFFD"))
     return F.regexp_replace(text, "\r\n?", "\n")
 
 

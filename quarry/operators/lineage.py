@@ -31,18 +31,15 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("path", status.alias("status"), "sha_before", "sha_after")
 
 
-def repo_digest(files: DataFrame) -> DataFrame:
-    """Order-independent digest per repo: file count and the sum of the first
-    32 bits of every file sha (partial aggregation, no sort, no list)."""
-    return files.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sum(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long")).alias("digest"))
-
-
 def changed_repos(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Repositories of ``after`` whose digest differs from ``before``
-    (new repositories included); unchanged ones are skipped."""
-    return repo_digest(after).join(repo_digest(before), ["repo", "n_files", "digest"], "left_anti")
+    """Repositories of ``after`` (repo, n_files) in which a file came, went
+    or holds other bytes than in ``before`` (new repositories included);
+    compared file by file on (repo, path, full sha)."""
+    key = ["repo", "path", "sha"]
+    b, a = before.select(key), after.select(key)
+    changed = a.join(b, key, "left_anti").union(b.join(a, key, "left_anti")).select("repo").distinct()
+    counts = after.groupBy("repo").agg(F.count(F.lit(1)).alias("n_files"))
+    return counts.join(changed, "repo", "left_semi")
 
 
 # ------------------------------------------------------------------------ R3

@@ -389,7 +389,8 @@ def document_rules(task_scores: DataFrame, ctx: dict | None = None) -> DataFrame
         diag = _diagnosis(ctx)
         out = out.join(diag, ["submission_id", "task_id"], "left").withColumn(
             "document_score",
-            F.when(F.col("type") == "bug_localization",
+            F.when(F.size("errors") > 0, F.lit(0.0))
+            .when(F.col("type") == "bug_localization",
                    SC.clamp01(_d("file_score") * 0.4 + _d("location_score") * 0.3
                               + F.coalesce("diagnosis", F.lit(0.0)) * 0.3))
             .otherwise(F.col("document_score"))).drop("diagnosis")

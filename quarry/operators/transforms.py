@@ -263,7 +263,11 @@ def duplicate_with_drift(files: DataFrame, repos: DataFrame | None = None, k: in
                           "top_dir", "repo_root"))
     record = chosen.select(F.concat_ws("/", "repo_root", "top_dir").alias("original_path"),
                            F.concat_ws("/", "repo_root", new_top).alias("duplicate_path"), "repo", "rank")
-    return Result(files=replace_rows(files, refresh_derived(rows)), record=record,
+    # an earlier copy of a chosen directory goes first, with files the new copy doesn't have
+    target = chosen.select("repo", "repo_root", F.concat("top_dir", F.lit(RW.LEGACY_DIR_SUFFIX)).alias("top_dir"))
+    earlier = join_small(top_dirs(files), target, ["repo", "repo_root", "top_dir"]).select("path")
+    kept = join_small(files, earlier, "path", "left_anti")
+    return Result(files=replace_rows(kept, refresh_derived(rows)), record=record,
                   touched=rows)
 
 

@@ -39,12 +39,11 @@ def python_syntax(files: DataFrame) -> DataFrame:
     return r.select("repo", "path", F.col("r.ok").alias("ok"), F.col("r.message").alias("message"))
 
 
-def repo_syntax_report(files: DataFrame, max_messages: int = 5) -> DataFrame:
-    """All Python files of a repo parse; error count and the first
-    ``max_messages`` messages by path, joined with '; '."""
+def repo_syntax_report(files: DataFrame) -> DataFrame:
+    """All Python files of a repo parse; error count and all messages by
+    path, joined with '; '."""
     s = python_syntax(files)
-    w = Window.partitionBy("repo").orderBy("path")
-    first = (s.filter(~F.col("ok")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_messages)
+    first = (s.filter(~F.col("ok"))
              .groupBy("repo").agg(F.array_join(F.sort_array(F.collect_list(F.struct("path", "message")))
                                                .getField("message"), "; ").alias("messages")))
     agg = s.groupBy("repo").agg(F.bool_and("ok").alias("python_ok"), F.count(F.lit(1)).alias("python_files"),

@@ -233,9 +233,9 @@ FROM code_files b FULL OUTER JOIN after a ON a.path = b.path"""
 
 ORACLE["d8_changed_repos"] = f"""{RENAME},
 after AS (SELECT c.repo, c.path, coalesce(sha256(f.content), c.sha) AS sha FROM code_files c LEFT JOIN final f USING (path)),
-da AS (SELECT repo, count(*) AS n_files, sum(('0x' || substr(sha, 1, 8))::BIGINT)::BIGINT AS digest FROM after GROUP BY repo),
-db AS (SELECT repo, count(*) AS n_files, sum(('0x' || substr(sha, 1, 8))::BIGINT)::BIGINT AS digest FROM code_files GROUP BY repo)
-SELECT * FROM da WHERE NOT EXISTS (SELECT 1 FROM db WHERE db.repo = da.repo AND db.n_files = da.n_files AND db.digest = da.digest)"""
+changed AS ((SELECT repo, path, sha FROM after EXCEPT SELECT repo, path, sha FROM code_files)
+  UNION (SELECT repo, path, sha FROM code_files EXCEPT SELECT repo, path, sha FROM after))
+SELECT repo, count(*) AS n_files FROM after WHERE repo IN (SELECT repo FROM changed) GROUP BY repo"""
 
 _EDGE_RE = "(?:func|def|int) (\\w+)\\([^)]*\\)[^\\n]*\\n\\s*return (\\w+)\\(x\\)"
 ORACLE["r3_call_chain"] = f"""{V.CODE_REC},

@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 
 
 def read_artifact(spark: SparkSession, path: str, value_type: T.DataType = T.StringType()) -> DataFrame:
-    """A JSON object ``{key: value}`` per line -> rows (key, value); a
-    missing path gives an empty table of that schema."""
+    """JSON objects ``{key: value}``, indented or one per line -> rows
+    (key, value); a missing path gives an empty table of that schema, a
+    malformed file fails."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", value_type)])
-    try:
-        raw = spark.read.text(path)
-    except Exception:  # noqa: BLE001 - missing artifact = empty table
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    m = F.from_json("value", T.MapType(T.StringType(), value_type))
+    # an object that begins on a line of its own, after the end of another, stands alone
+    objects = F.explode(F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), r"(?<=\})\s*\n(?=\{)"))
+    raw = spark.read.text(path, wholetext=True).select(objects.alias("value")).where("value <> ''")
+    m = F.from_json("value", T.MapType(T.StringType(), value_type), {"mode": "FAILFAST"})
     return raw.select(F.explode(m).alias("key", "value"))
 
 

@@ -26,6 +26,13 @@ def _exists(spark: SparkSession, root: str) -> bool:
     return bool(fs.exists(path))
 
 
+def under_root(spark: SparkSession, root: str) -> F.Column:
+    """The part of a listed file's ``path`` below ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return F.expr(f"substring(path, {len(full) + 2})")
+
+
 def scan_sources(spark: SparkSession, roots: list[str], glob: str = SOURCE_GLOB) -> DataFrame:
     """Source files below each root; every sub-directory of a root is
     a repository (S3); missing roots are skipped.  Paths are given relative
@@ -37,9 +44,7 @@ def scan_sources(spark: SparkSession, roots: list[str], glob: str = SOURCE_GLOB)
         base = os.path.basename(root.rstrip("/"))
         raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                .option("pathGlobFilter", glob).load(root))
-        full = F.regexp_replace("path", r"^file:", "")
-        rel_root = F.regexp_extract(full, r"^.*?/" + _re_escape(base) + r"/(.*)$", 1)
-        df = (raw.withColumn("under", rel_root)
+        df = (raw.withColumn("under", under_root(spark, root))
               .filter(F.col("under").contains("/"))                       # files inside a repo dir
               .withColumn("path", F.concat(F.lit(base + "/"), F.col("under")))
               .withColumn("repo", F.substring_index("under", "/", 1))
@@ -59,8 +64,3 @@ def scan_sources(spark: SparkSession, roots: list[str], glob: str = SOURCE_GLOB)
 def discover_repos(files: DataFrame) -> DataFrame:
     """S3: distinct repositories of a files table."""
     return files.select("repo").distinct()
-
-
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)

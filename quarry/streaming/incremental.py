@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from quarry.functions import text as TX
 from quarry.operators import index as IX
 from quarry.sources.corpus import finish_files
-from quarry.sources.filesystem import SOURCE_GLOB
+from quarry.sources.filesystem import SOURCE_GLOB, under_root
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -33,8 +33,7 @@ def file_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int
     raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(base))
-    under = F.regexp_extract(F.regexp_replace("path", r"^file:", ""), r"^.*?/" + base.split("/")[-1] + r"/(.*)$", 1)
-    df = (raw.withColumn("under", under).filter(F.col("under").contains("/"))
+    df = (raw.withColumn("under", under_root(spark, base)).filter(F.col("under").contains("/"))
           .withColumn("repo", F.substring_index("under", "/", 1))
           .withColumn("path", F.concat(F.lit(base.split("/")[-1] + "/"), F.col("under")))
           .withColumn("rel_path", F.expr("substring(under, length(repo) + 2)"))

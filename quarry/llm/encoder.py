@@ -46,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self._prepare(spec)
 
     def _prepare(self, spec: dict) -> None:
@@ -53,9 +54,21 @@ class Encoder:
         self.drops_space = spec["normalizer"] is not None
         self.pieces = solid_pieces if self.drops_space else spaced_pieces
         self.cache: dict[str, bytes] = {}
+        # by what stands between single spaces; None where white space at an end forbids the cut there
+        self.between: dict[str, bytes | None] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        plain, other, out = self.model.tokenize, [], {}
+        for p in pieces:
+            # ASCII letters, all lower where the file lowers, are their own byte symbols: only the merges are left to do
+            word = p[1:] if p[0] == " " and not self.drops_space else p
+            if word.isascii() and word.isalpha() and not (self.drops_space and not word.islower()):
+                out[p] = array("I", [t.id for t in plain(p.replace(" ", "\u0120"))]).tobytes()
+            else:
+                other.append(p)
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            out[p] = array("I", e.ids).tobytes()
+        return [out[p] for p in pieces]
 
     def _split(self, piece: str) -> tuple[str, str]:
         """(word, punctuation after it) with the piece's ids in that order."""
@@ -71,7 +84,7 @@ class Encoder:
         """Put the ids of these pieces into the cache."""
         known = self.cache
         cut = {p: self._split(p) for p in pieces}
-        parts = {x for own in cut.values() for x in own if x} - known.keys()
+        parts = {x for own in cut.values() for x in own if x}.difference(known)
         if parts:
             parts = sorted(parts)
             known.update(zip(parts, self._encode(parts)))
@@ -91,6 +104,42 @@ class Encoder:
         return [len(known[p]) // 4 for p in pieces]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text."""
+        return self._by_pieces(texts) if self.drops_space else self._by_spaces(texts)
+
+    def _by_spaces(self, texts: list[str | None]) -> list[bytes]:
+        """Cuts before single spaces and line feeds that stand between other
+        characters; a text with any other white space at a cut goes by pieces."""
+        cut = []
+        for t in texts:
+            first, *rest = (t or "").replace("\n", " \n").split(" ")
+            cut.append(["\0" + first, *rest])
+        known = self.between
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        missing = set().union(*cut).difference(known)
+        if missing:
+            piece = {m: m[1:] if m[:1] == "\0" else m if m[:1] == "\n" else " " + m for m in missing}
+            solid = {m: p for m, p in piece.items() if (bare := m.removeprefix("\0").removeprefix("\n")) and bare == bare.strip()}
+            if len(self.cache) > CACHE_PIECES:
+                self.cache.clear()
+            new = set(solid.values()).difference(self.cache)
+            if new:
+                self.learn(new)
+            for m in missing:
+                known[m] = self.cache[solid[m]] if m in solid else None
+        out = [None if None in (parts := [known[p] for p in own]) else b"".join(parts) for own in cut]
+        odd = [i for i, x in enumerate(out) if x is None]
+        if odd:
+            for i, x in zip(odd, self._by_pieces([texts[i] for i in odd])):
+                out[i] = x
+        for m in missing:
+            if len(m) > CACHE_CHARS:
+                del known[m]
+                self.cache.pop(m.removeprefix("\0"), None)
+        return out
+
+    def _by_pieces(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t or "") for t in texts]
         known = self.cache
         if len(known) > CACHE_PIECES:

@@ -8,9 +8,14 @@ first (128-bit identity of the set), and only class representatives go on.
 Candidates of a bucket are never expanded into all pairs of a group: in each
 of ``PIVOT_ROUNDS`` rounds every bucket that still spans several components
 names one pivot, every member outside the pivot's component is compared with
-it, and confirmed links contract the components.  What then remains in a
-bucket across components is compared in full, so no cap drops a pair that the
-bands found.  Links are confirmed on the full shingle sets of whole texts.
+it, and confirmed links contract the components.  The members of buckets that
+then still span components are compared by an exact prefix rule: with the
+shingles of every set in ascending order of frequency, two sets of sizes m and
+n that link share at least ``need = ceil(num * (m + n) / (num + den))`` of them,
+so the first shared one comes before the last ``need`` of both.  Only pairs that
+share a shingle there are compared; no cap drops a link, and a group of texts
+that resemble each other below the threshold is not expanded into its pairs.
+Links are confirmed on the full shingle sets of whole texts.
 
 Defined results: null or empty text or text without words has an empty set
 and links with nothing; rows of one doc_id are one document; a null doc_id
@@ -25,16 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, Words, connected_components, map_batches, mix64
+from quarry.llm.common import Scratch, Words, connected_components, map_batches, mix64, text_key
 
 PERMUTATIONS = 32
 BAND = 4
 PIVOT_ROUNDS = 3
 #: Ids (8 bytes each) that may be broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Shingle rows that leave a Python worker at a time.
+SET_ROWS = 1 << 16
 _SEEDS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 SIG_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
@@ -104,19 +111,55 @@ def _alike(least: float):
     return run
 
 
+def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles of a batch, in that order."""
+    doc, h = Words(texts, lower=True).shingles(k, len(texts))
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))[:len(h)]
+    return doc[new], h[new]
+
+
+def _set_rows(k: int):
+    """One row per distinct shingle of every text."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            doc, h = _sets(b.column("text"), k)
+            size = np.bincount(doc, minlength=b.num_rows)
+            for lo in range(0, len(h), SET_ROWS):
+                at = doc[lo:lo + SET_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).take(pa.array(at)) for c in ("rep", "comp", "key")], pa.array(size[at]),
+                     pa.array(h[lo:lo + SET_ROWS].view(np.int64))], names=["rep", "comp", "key", "n", "h"])
+    return run
+
+
+def _rarest_shared(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y) of ``rest`` (rep, comp) across components that may link by the
+    prefix rule; every pair that links is among them."""
+    own = (rest.join(texts.select(F.col("doc_id").alias("rep"), "text", text_key().alias("key")), "rep")
+           .dropDuplicates(["rep", "key"]))
+    rows = scratch.save(map_batches(own.select("rep", "comp", "key", "text"), _set_rows(k), "rep long, comp long, key long, n long, h long"), "sets")
+    often = (rows.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1"))
+    one = Window.partitionBy("rep", "key")
+    # shingles that no other set has come first in the order and need no row, only their number
+    place = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "h"))
+    first = (rows.join(often, "h").withColumn("place", place)
+             .where(f"lo <> hi and place <= n - ({num} * n + {den - 1}) div {den} + 1"))
+    first = scratch.save(first.select("h", "rep", "comp", "n", "place"), "prefixes")
+    x = first.select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = first.select("h", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    need = f"({num} * (nx + ny) + {num + den - 1}) div {num + den}"
+    return (x.join(y, "h").where("x < y and cx <> cy").where(f"px + {need} <= nx + 1 and py + {need} <= ny + 1")
+            .where(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)").select("x", "y"))
+
+
 def _confirm(k: int, num: int, den: int):
     """Keeps pairs with den * |intersection| >= num * |union| of the full sets."""
-    def unique(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-        doc, h = Words(texts, lower=True).shingles(k, n)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))[:len(h)]
-        return doc[new], h[new]
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             n = b.num_rows
-            (dx, hx), (dy, hy) = (unique(b.column(c), n) for c in ("tx", "ty"))
+            (dx, hx), (dy, hy) = (_sets(b.column(c), k) for c in ("tx", "ty"))
             d, h = np.concatenate((dx, dy)), np.concatenate((hx, hy))
             order = np.lexsort((h, d))
             d, h = d[order], h[order]
@@ -150,9 +193,8 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
         if r < PIVOT_ROUNDS:
             pairs = where.join(spans, "key").where("comp <> p.comp").select(F.col("rep").alias("x"), F.col("p.rep").alias("y"))
         else:
-            rest = scratch.save(where.join(spans.select("key"), "key"), "rest")
-            other = rest.select("key", F.col("rep").alias("y"), F.col("comp").alias("comp_y"))
-            pairs = rest.join(other, "key").where("comp <> comp_y and rep < y").select(F.col("rep").alias("x"), "y")
+            rest = scratch.save(where.join(spans.select("key"), "key").select("rep", "comp").distinct(), "rest")
+            pairs = _rarest_shared(rest, texts, k, num, den, scratch)
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")

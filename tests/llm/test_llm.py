@@ -362,3 +362,26 @@ def test_pipeline_stages(spark):
         if name == "packing":
             assert out.select("doc_id").distinct().count() == docs.count()
         docs = out
+
+
+def test_prefix_rule_alone_finds_every_link(spark, monkeypatch):
+    """Without pivot rounds all links come from the prefix rule."""
+    monkeypatch.setattr(minhash_dedup, "PIVOT_ROUNDS", 0)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 7):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(words[: 90 - i % 5]))
+    sets = [{tuple(t.split()[i:i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    comp = list(range(len(texts)))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in linked:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash_dedup.components(df, 3, 85, 100).collect()}
+    assert 1 < len(set(comp)) < len(texts)
+    assert found == dict(enumerate(comp))

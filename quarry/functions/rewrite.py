@@ -1,9 +1,9 @@
 """Text rewrites.
 
-The word-level rewrites are native ``regexp_replace`` expressions.  The
-reference's per-language head rewrites (parity mode, quirks X6/X17) and the
-Python function clone (nested quantifier, SURVEY H3) are small per-file
-Python helpers run through pandas UDFs on the files they touch only.
+All rewrites are native ``regexp_replace`` expressions, the per-language head
+rewrites of parity mode (quirks X6/X17) included.  Only the clone of a Python
+function (nested quantifier, SURVEY H3) is a line scan in Python, run through a
+pandas UDF on the files that need it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ DRIFT_LITERALS = [('"INFO"', '"DEBUG"'), ("'error'", "'warn'")]
 DRIFT_LINE_HEADER = "// LEGACY VERSION - DO NOT USE\n"
 DRIFT_BLOCK_HEADER = "/* LEGACY VERSION */\n"
 DRIFT_CONSTANTS = [("1024", "1000"), ("60", "65")]
-REWRITABLE_EXTS = (".go", ".py", ".cpp", ".h")
 # ---------------------------------------------------------------------------
 
 
@@ -118,87 +117,88 @@ def is_rewritable(path) -> Column:
     return TX.basename(path).rlike(r"\.(go|py|cpp|h)$")
 
 
-# ------------------------------------------------------------ Python helpers
-# Per-file helpers for parity mode; each handles one file's text.
+# ------------------------------------------------------------- parity renames
 
-def rename_go(content: str, old: str, new: str) -> str:
-    """function heads, method heads (substring in head, X6), type heads,
-    then whole words."""
-    e = re.escape(old)
-    content = re.sub(rf"\bfunc\s+{e}\s*\(", f"func {new}(", content)
-    content = re.sub(rf"\bfunc\s+\([^)]+\)\s+{e}\s*\(", lambda m: m.group(0).replace(old, new), content)
-    content = re.sub(rf"\btype\s+{e}\s+", f"type {new} ", content)
-    return re.sub(rf"\b{e}\b", new, content)
+def _swap(content, old, new, before: str, after: str, head) -> Column:
+    """Replace ``before OLD after`` (regex parts around the literal name) by ``head``."""
+    pat = F.concat(F.lit("(?U)" + before), TX.quote_regex(old), F.lit(after))
+    return F.regexp_replace(content, pat, head)
 
 
-def rename_python(content: str, old: str, new: str) -> str:
-    """class heads (substring in head, X6), def heads, whole words."""
-    e = re.escape(old)
-    content = re.sub(rf"\bclass\s+{e}\s*[:(]", lambda m: m.group(0).replace(old, new), content)
-    content = re.sub(rf"\bdef\s+{e}\s*\(", f"def {new}(", content)
-    return re.sub(rf"\b{e}\b", new, content)
+def rename_go(content, old, new) -> Column:
+    """function heads, the receivers of methods called OLD (every
+    occurrence of OLD inside the parentheses, quirk X6), type heads, whole
+    words.  The receiver step is one pattern: ``\\G`` carries a match on from
+    the previous one, so replacements stay inside the receiver they began in."""
+    to = TX.escape_replacement(new)
+    out = _swap(content, old, new, r"\bfunc\s+", r"\s*\(", F.concat(F.lit("func "), to, F.lit("(")))
+    receiver = F.concat(F.lit(r"(?U)(\bfunc\s+\((?=[^)]+\)\s+"), TX.quote_regex(old), F.lit(r"\s*\()|\G(?!\A))([^)]*?)"),
+                        TX.quote_regex(old))
+    out = F.regexp_replace(out, receiver, F.concat(F.lit("$1$2"), to))
+    out = _swap(out, old, new, r"\btype\s+", r"\s+", F.concat(F.lit("type "), to, F.lit(" ")))
+    return TX.replace_word(out, old, new)
 
 
-def rename_word(content: str, old: str, new: str) -> str:
-    """whole-word replacement."""
-    return re.sub(rf"\b{re.escape(old)}\b", lambda m: new, content)
+def rename_python(content, old, new) -> Column:
+    """class heads (OLD is also replaced inside the keyword, quirk X6),
+    def heads, whole words."""
+    to = TX.escape_replacement(new)
+    keyword = TX.escape_replacement(F.replace(F.lit("class"), _c(old), _c(new)))
+    out = _swap(content, old, new, r"\bclass(\s+)", r"(\s*[:(])", F.concat(keyword, F.lit("$1"), to, F.lit("$2")))
+    out = _swap(out, old, new, r"\bdef\s+", r"\s*\(", F.concat(F.lit("def "), to, F.lit("(")))
+    return TX.replace_word(out, old, new)
 
 
-def rename_in_file(content: str, language: str, pairs) -> str:
-    for p in pairs:
-        old, new = p["old"], p["new"]
-        if language == "go":
-            content = rename_go(content, old, new)
-        elif language == "python":
-            content = rename_python(content, old, new)
-        else:
-            content = rename_word(content, old, new)
-    return content
+def apply_parity_renames(content, language, pairs) -> Column:
+    """The renames of a file in array order, by the rule of its language; native."""
+    def fold(rule):
+        return F.aggregate(_c(pairs), _c(content), lambda acc, p: rule(acc, p["old"], p["new"]))
+    return (F.when(_c(language) == "go", fold(rename_go)).when(_c(language) == "python", fold(rename_python))
+            .otherwise(fold(TX.replace_word)))
 
 
-def clone_python_function(content: str, old: str, new: str) -> str:
-    """``def OLD(..):`` plus its 4-space-indented/blank lines, copied as NEW."""
-    pat = rf"(def\s+{re.escape(old)}\s*\([^)]*\):[^\n]*(?:\n(?:    [^\n]*|\n)*)*)"
-    m = re.search(pat, content, re.MULTILINE)
-    if not m:
-        return content
-    orig = m.group(1)
-    v2 = orig.replace(f"def {old}", f"def {new}")
-    return content.replace(orig, f"{orig}\n\n{v2}")
+# ------------------------------------------------------------- API migration
 
-
-def clone_go_function_py(content: str, old: str, new: str) -> str:
-    pat = rf"(func\s+{re.escape(old)}\s*\([^)]*\)\s*[^{{]*\{{[^}}]*\}})"
-    m = re.search(pat, content, re.DOTALL)
-    if not m:
+def clone_python_function(content: str, old: str, new: str) -> str:
+    """the function OLD (head without return annotation, then the lines
+    that are empty or indented by four spaces) is followed by its copy NEW,
+    wherever exactly this text stands."""
+    head = re.search(rf"def\s+{re.escape(old)}\s*\([^)]*\):", content)
+    if head is None:
         return content
-    orig = m.group(1)
-    v2 = orig.replace(f"func {old}", f"func {new}")
-    return content.replace(orig, f"{orig}\n\n{v2}")
-
-
-def migrate_in_file(content: str, language: str, actions) -> str:
-    """T3 on one file: actions in symbol order; ``define`` clones the function
-    (go/python), ``migrate`` replaces whole words."""
-    for a in actions:
-        old, new = a["old"], a["new"]
-        if a["action"] == "define":
-            if language == "go":
-                content = clone_go_function_py(content, old, new)
-            elif language == "python":
-                content = clone_python_function(content, old, new)
-        else:
-            content = rename_word(content, old, new)
-    return content
-
-
-@F.pandas_udf(T.StringType())
-def rename_parity_udf(content: pd.Series, language: pd.Series, pairs: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else rename_in_file(c, lg, ps if ps is not None else [])
-                      for c, lg, ps in zip(content, language, pairs)])
+    newline = content.find("\n", head.end())
+    while newline >= 0 and content.startswith(("    ", "\n"), newline + 1):
+        newline = content.find("\n", newline + 1)
+    function = content[head.start():] if newline < 0 else content[head.start():newline + 1]
+    return content.replace(function, function + "\n\n" + function.replace(f"def {old}", f"def {new}"))
 
 
 @F.pandas_udf(T.StringType())
-def migrate_udf(content: pd.Series, language: pd.Series, actions: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else migrate_in_file(c, lg, acts if acts is not None else [])
-                      for c, lg, acts in zip(content, language, actions)])
+def migrate_python_udf(content: pd.Series, actions: pd.Series) -> pd.Series:
+    """T3 on Python files that define a migrated function; a file whose
+    rewrite fails gives null (P8)."""
+    def rewrite(text, steps):
+        if text is None or steps is None:
+            return None
+        try:
+            for a in steps:
+                if a["action"] == "define":
+                    text = clone_python_function(text, a["old"], a["new"])
+                else:
+                    text = re.sub(rf"\b{re.escape(a['old'])}\b", lambda _, to=a["new"]: to, text)
+            return text
+        except Exception:  # noqa: BLE001 - isolate one bad file
+            return None
+    return pd.Series([rewrite(c, a) for c, a in zip(content, actions)], dtype=object)
+
+
+def apply_migrations(content, language, actions) -> Column:
+    """T3 on one file, actions in array order: ``define`` clones the function
+    (go, python), ``migrate`` replaces whole words.  Native but for Python
+    files that define a symbol; only those cross to Python, the others as
+    nulls.  A file whose rewrite fails keeps its text."""
+    c, lang, acts = _c(content), _c(language), _c(actions)
+    native = F.aggregate(acts, c, lambda acc, a: F.when(a["action"] == "migrate", TX.replace_word(acc, a["old"], a["new"]))
+                         .when(lang == "go", clone_go_function(acc, a["old"], a["new"])).otherwise(acc))
+    in_python = (lang == "python") & F.exists(acts, lambda a: a["action"] == "define")
+    return F.when(in_python, F.coalesce(migrate_python_udf(F.when(in_python, c), F.when(in_python, acts)), c)).otherwise(native)

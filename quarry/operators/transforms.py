@@ -75,7 +75,7 @@ def rename_symbols(files: DataFrame, symbols: DataFrame, p: float = 0.05, seed:
     if mode == "word":
         new_content = RW.apply_word_renames("content", "pairs", boundary)
     elif mode == "parity":
-        new_content = RW.rename_parity_udf("content", "language", "pairs")
+        new_content = RW.apply_parity_renames("content", "language", "pairs")
     else:
         raise ValueError(mode)
     touched = touched.withColumn("new_content", new_content)
@@ -137,7 +137,7 @@ def migrate_api(files: DataFrame, symbols: DataFrame, n: int = 10, fraction: flo
         F.struct("rank", "step", "action", F.col("symbol").alias("old"), RW.v2_name("symbol").alias("new"))))
         .alias("actions"))
     touched = join_small(files, per_file, "path").withColumn(
-        "new_content", RW.migrate_udf("content", "language", "actions"))
+        "new_content", RW.apply_migrations("content", "language", "actions"))
     rewritten = refresh_derived(touched.withColumn("content", F.col("new_content")))
     return Result(files=replace_rows(files, rewritten), record=record, touched=touched,
                   details=actions.select("symbol", "path", "action"))

@@ -503,9 +503,9 @@ def d10_file_rename(spark, sf):
 
 @query("f12_f13_rename_parity")
 def f12_f13_rename_parity(spark, sf):
-    """F12/F13 parity mode on the code view: the reference's per-language head
-    rewrites (X6/X17) in a per-file Python helper, touched files only.
-    Rows-only (Python ``re`` replacement callbacks have no SQL form)."""
+    """F12/F13 parity mode on the code view: the per-language head rewrites
+    (X6/X17) as native expressions, touched files only.  Rows-only; the tests
+    check the heads."""
     files, syms = _frozen(spark, sf)
     t = TR.rename_symbols(files, syms, p=0.05, seed=42, mode="parity").touched
     return t.select("path", F.size("pairs").cast("int").alias("n_pairs"), F.md5("new_content").alias("content_md5"))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import rewrite as RW
+from quarry.functions import text as TX
 from quarry.operators import index as IX
 from quarry.operators import transforms as TR
 from tests.conftest import files_df
@@ -8,27 +9,52 @@ from tests.conftest import files_df
 HEAD = "func (h *RequestHandler) Handle(req string) {\n\treturn\n}\n"
 
 
-def test_parity_rename_reproduces_head_substring_quirk():
-    assert RW.rename_go(HEAD, "Handle", "Handle_Legacy").startswith(
+def one(spark, column, **values):
+    schema = ", ".join(f"{k} string" for k in values)
+    return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("r")).first()["r"]
+
+
+def test_parity_rename_reproduces_head_substring_quirk(spark):
+    c, o, n = F.col("c"), F.col("o"), F.col("n")
+    assert one(spark, RW.rename_go(c, o, n), c=HEAD, o="Handle", n="Handle_Legacy").startswith(
         "func (h *RequestHandle_Legacyr) Handle_Legacy(req")            # X6
-    assert RW.rename_word(HEAD, "Handle", "Handle_Legacy").startswith(
+    assert one(spark, TX.replace_word(c, o, n), c=HEAD, o="Handle", n="Handle_Legacy").startswith(
         "func (h *RequestHandler) Handle_Legacy(req")
 
 
-def test_clone_functions():
-    go = "package a\n\nfunc Foo(x int) int {\n\treturn x\n}\n"
-    out = RW.clone_go_function_py(go, "Foo", "FooV2")
-    assert out.count("func FooV2(x int) int {") == 1 and out.count("func Foo(") == 1
-    py = "def Foo(x):\n    return x\n\nother = 1\n"
-    out = RW.clone_python_function(py, "Foo", "FooV2")
-    assert "def FooV2(x):\n    return x\n" in out
+def test_parity_rename_go_keeps_other_receivers(spark):
+    src = ("type Run struct {}\nfunc  Run (x Runner) {}\nfunc (r *Runner) Walk() { Run(1) }\n"
+           "func (a RunRun, b Run) Run(x Runner) { Runner(Run) }\nx := Runner{}\n")
+    assert one(spark, RW.rename_go(F.col("c"), F.col("o"), F.col("n")), c=src, o="Run", n="Go") == (
+        "type Go struct {}\nfunc Go(x Runner) {}\nfunc (r *Runner) Walk() { Go(1) }\n"
+        "func (a GoGo, b Go) Go(x Runner) { Runner(Go) }\nx := Runner{}\n")
+
 
+def test_parity_rename_python(spark):
+    src = "class  Foo(Base):\n    pass\ndef Foo (x):\n    return Foo, Foobar\n"
+    assert one(spark, RW.rename_python(F.col("c"), F.col("o"), F.col("n")), c=src, o="Foo", n="$1_Foo") == (
+        "class  $1_Foo(Base):\n    pass\ndef $1_Foo(x):\n    return $1_Foo, Foobar\n")
+    assert one(spark, RW.rename_python(F.col("c"), F.col("o"), F.col("n")), c="class a:\n", o="a", n="bb") == "clbbss bb:\n"
 
-def test_native_go_clone_equals_python(spark):
+
+def test_clone_functions(spark):
     go = "package a\n\nfunc Foo(x int) int {\n\treturn x\n}\n\nfunc Bar() {}\n"
-    df = spark.createDataFrame([(go, "Foo", "FooV2")], "c string, o string, n string")
-    assert df.select(RW.clone_go_function("c", "o", "n").alias("r")).first()["r"] == \
-        RW.clone_go_function_py(go, "Foo", "FooV2")
+    out = one(spark, RW.clone_go_function(F.col("c"), F.col("o"), F.col("n")), c=go, o="Foo", n="FooV2")
+    assert out == go.replace("}\n\nfunc Bar", "}\n\nfunc FooV2(x int) int {\n\treturn x\n}\n\nfunc Bar")
+    py = "def Foo(x):\n    return x\n\nother = 1\n"
+    assert RW.clone_python_function(py, "Foo", "FooV2") == (
+        "def Foo(x):\n    return x\n\n\n\ndef FooV2(x):\n    return x\n\nother = 1\n")
+    assert RW.clone_python_function("def Foo(): pass", "Foo", "FooV2") == "def Foo(): pass\n\ndef FooV2(): pass"
+    assert RW.clone_python_function("def Foo() -> int:\n    return 1\n", "Foo", "FooV2").count("def") == 1
+
+
+def test_migrations_by_language(spark):
+    steps = "array(named_struct('action', 'define', 'old', 'Foo', 'new', 'FooV2'), named_struct('action', 'migrate', 'old', 'Bar', 'new', 'BarV2'))"
+    rows = [("python", "def Foo():\n    Bar()\n"), ("go", "func Foo() { Bar() }\n"), ("cpp", "int Foo() { Bar(); }\n"), ("go", None)]
+    df = spark.createDataFrame(rows, "language string, content string").withColumn("actions", F.expr(steps))
+    got = [r["r"] for r in df.select(RW.apply_migrations("content", "language", "actions").alias("r")).collect()]
+    assert got == ["def Foo():\n    BarV2()\n\n\ndef FooV2():\n    BarV2()\n",
+                   "func Foo() { BarV2() }\n\nfunc FooV2() { BarV2() }\n", "int Foo() { BarV2(); }\n", None]
 
 
 def test_rename_job_word_and_parity(spark):

@@ -371,16 +371,21 @@ def document_rules(task_scores: DataFrame, ctx: dict | None = None) -> DataFrame
     D3 cross-file: correct steps / all steps.  D4 rename: updated / total x
     cleanliness (1.0 clean, 0.8 when false positives were found, 0.5 when the
     code does not compile).  D5 upgrade: upgraded / expected, -10 % per legacy
-    callsite that was upgraded anyway, -50 % when the code does not compile
-    (signature checks are not observable and give no deduction).  D6 bug:
+    callsite that was upgraded anyway, -50 % when the submission's code does not
+    compile (needs ``ctx``; signature checks are not observable and give no
+    deduction).  D6 bug:
     0.4 file + 0.3 location + 0.3 diagnosis, diagnosis 1.0 when the answer
     names the root cause, 0.5 when it names one of its words (> 3 letters).
     """
     t = task_scores
+    broken = F.lit(0.0)
+    if ctx is not None and "submissions" in ctx:
+        t = t.join(ctx["submissions"].select("submission_id", F.col("compile_ok").alias("_compiles")), "submission_id", "left")
+        broken = F.when(F.coalesce("_compiles", F.lit(False)), 0.0).otherwise(0.5)
     rename = (_d("correctly_modified") / F.greatest(_d("files_checked"), F.lit(1.0))) * \
         F.when(~_d("compilation_success", "boolean"), 0.5).when(_d("false_positives") > 0, 0.8).otherwise(1.0)
     wrong = F.greatest(_d("total_callsites") - _d("expected_upgrades") - _d("preserved_legacy"), F.lit(0.0))
-    api = _d("actual_upgrades") / F.greatest(_d("expected_upgrades"), F.lit(1.0)) - wrong * 0.1
+    api = _d("actual_upgrades") / F.greatest(_d("expected_upgrades"), F.lit(1.0)) - wrong * 0.1 - broken
     doc = (F.when(F.col("type") == "cross_file_reasoning", _d("call_chain_accuracy"))
            .when(F.col("type") == "refactor_rename", rename)
            .when(F.col("type") == "api_upgrade", api))
@@ -394,7 +399,7 @@ def document_rules(task_scores: DataFrame, ctx: dict | None = None) -> DataFrame
                    SC.clamp01(_d("file_score") * 0.4 + _d("location_score") * 0.3
                               + F.coalesce("diagnosis", F.lit(0.0)) * 0.3))
             .otherwise(F.col("document_score"))).drop("diagnosis")
-    return out.withColumn("document_score", F.round("document_score", 12))
+    return out.drop("_compiles").withColumn("document_score", F.round("document_score", 12))
 
 
 def _diagnosis(ctx: dict) -> DataFrame:

@@ -183,15 +183,24 @@ def agent_text_from_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def attempts_for(submissions: DataFrame, tasks: DataFrame, per_submission: int = 3, seed: int = 42) -> DataFrame:
-    """attempts(submission_id, task_id): each submission is scored on
-    ``per_submission`` tasks picked by hash slot (an equi-join on a unique
-    task number, never a product)."""
-    n = tasks.count()
-    if n == 0:
+    """attempts(submission_id, task_id): each submission tries
+    ``per_submission`` tasks picked by hash slot, and each task is given to one
+    submission picked the same way, so that every loaded task is scored.  Both
+    are equi-joins on a number, linear in both sides, never a product."""
+    n_tasks, n_subs = tasks.count(), submissions.count()
+    if n_tasks == 0 or n_subs == 0:
         return submissions.select("submission_id", F.lit(None).cast("string").alias("task_id")).limit(0)
-    numbered = S.exact_rank(tasks.select("task_id").withColumn("_h", S.hash_key(seed, "task", "task_id")),
-                            [], "_h", ["task_id"], bucket_chars=2, rank_col="task_no", size_col=None)
+
+    def numbered(df: DataFrame, key: str, op: str, number: str) -> DataFrame:
+        hashed = df.select(key).withColumn("_h", S.hash_key(seed, op, key))
+        return S.exact_rank(hashed, [], "_h", [key], bucket_chars=2, rank_col=number, size_col=None).select(number, key)
+
+    def pick(n: int, op: str, *keys) -> F.Column:
+        return (F.pmod(S.hash_int(S.hash_key(seed, op, *keys), 1, 12), F.lit(n)) + 1).cast("long")
+
     slots = submissions.select("submission_id", F.explode(F.sequence(F.lit(0), F.lit(per_submission - 1))).alias("j"))
-    slots = slots.withColumn("task_no", (F.pmod(S.hash_int(S.hash_key(seed, "slot", "submission_id", "j"), 1, 12),
-                                                F.lit(n)) + 1).cast("long"))
-    return slots.join(numbered.select("task_no", "task_id"), "task_no").select("submission_id", "task_id").distinct()
+    tried = (slots.withColumn("task_no", pick(n_tasks, "slot", "submission_id", "j"))
+             .join(numbered(tasks, "task_id", "task", "task_no"), "task_no"))
+    given = (tasks.select("task_id", pick(n_subs, "turn", "task_id").alias("sub_no"))
+             .join(numbered(submissions, "submission_id", "submission", "sub_no"), "sub_no"))
+    return tried.select("submission_id", "task_id").unionByName(given.select("submission_id", "task_id")).distinct()

@@ -401,7 +401,11 @@ def _attempts(tasks: str) -> str:
 slots AS (SELECT submission_id, ('0x' || substr(md5('42:slot:' || submission_id || ':' || j), 1, 12))::BIGINT
                  % (SELECT count(*) FROM {tasks}) + 1 AS task_no
           FROM (SELECT submission_id, unnest([0, 1, 2]) AS j FROM subs)),
-attempts AS (SELECT DISTINCT s.submission_id, t.task_id FROM slots s JOIN tnum t USING (task_no))"""
+snum AS (SELECT submission_id, row_number() OVER (ORDER BY md5('42:submission:' || submission_id), submission_id) AS sub_no FROM subs),
+turns AS (SELECT task_id, ('0x' || substr(md5('42:turn:' || task_id), 1, 12))::BIGINT % (SELECT count(*) FROM subs) + 1 AS sub_no
+          FROM {tasks}),
+attempts AS (SELECT s.submission_id, t.task_id FROM slots s JOIN tnum t USING (task_no)
+             UNION SELECT s.submission_id, t.task_id FROM turns t JOIN snum s USING (sub_no))"""
 
 
 _STEP_HIT = ("CASE WHEN contains(st, '::') OR contains(st, '->') OR contains(st, '.') "

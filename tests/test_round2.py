@@ -63,3 +63,23 @@ def test_an_earlier_copy_of_a_directory_is_replaced(spark):
     kept = {r["path"] for r in result.files.select(F.col("path")).collect()}
     assert "src/r/pkg_legacy" in {r["duplicate_path"] for r in result.record.collect()}
     assert "src/r/pkg_legacy/old.go" not in kept and "src/r/pkg_legacy/a.go" in kept
+
+
+def test_every_task_is_attempted(spark):
+    from quarry.operators import tasks as TK
+    tasks = spark.createDataFrame([(f"refactor_rename_{i:02d}",) for i in range(40)], "task_id string")
+    subs = spark.createDataFrame([(i,) for i in range(5)], "submission_id long")
+    got = TK.attempts_for(subs, tasks).collect()
+    assert {r["task_id"] for r in got} == {f"refactor_rename_{i:02d}" for i in range(40)}
+    assert {r["submission_id"] for r in got} == set(range(5)) and len(got) <= 40 + 15
+    assert TK.attempts_for(subs.limit(0), tasks).count() == 0 and TK.attempts_for(subs, tasks.limit(0)).count() == 0
+
+
+def test_breakage_takes_half_of_an_upgrade_score(spark):
+    from quarry.operators import scoring as SC
+    details = '{"total_callsites": 4, "expected_upgrades": 4, "actual_upgrades": 3, "preserved_legacy": 0}'
+    rows = spark.createDataFrame([(i, "api_upgrade_01", "api_upgrade", 1.0, 1.0, details, []) for i in (1, 2)],
+                                 "submission_id long, task_id string, type string, score double, max_score double, details string, errors array<string>")
+    subs = spark.createDataFrame([(1, True), (2, False)], "submission_id long, compile_ok boolean")
+    got = {r["submission_id"]: r["document_score"] for r in SC.document_rules(rows, {"submissions": subs}).collect()}
+    assert got == {1: 0.75, 2: 0.25}

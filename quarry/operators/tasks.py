@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
 from quarry.operators import sampling as S
+from quarry.operators.joins import bounded_broadcast, join_small
+from quarry.session import cut_lineage
 
 # Fixed per-type settings of the four task kinds (limits in minutes).
 TASK_KINDS = {
@@ -104,14 +106,48 @@ def api_tasks(record: DataFrame, actions: DataFrame, symbols: DataFrame) -> tupl
     return tasks, truth
 
 
-def passage_locations(benchmark: DataFrame, prose_files: DataFrame, min_len: int = 40) -> DataFrame:
-    """Where benchmark passages occur in the corpus: equi-join on whole line
-    text (lines shorter than ``min_len`` are not used as evidence)."""
-    b = (benchmark.select("item_id", F.explode(TX.split_lines("text")).alias("line"))
-         .filter(F.length("line") >= min_len).distinct())
-    d = (prose_files.select("path", F.posexplode(TX.split_lines("content")).alias("pos", "line"))
-         .filter(F.length("line") >= min_len))
-    return b.join(d, "line").select("item_id", "path", (F.col("pos") + 1).cast("int").alias("line_no"))
+GRAM_WORDS = 8
+
+
+def _grams(words, n: int) -> F.Column:
+    """Distinct hashes of the runs of ``n`` words of an array."""
+    last = F.size(words) - F.lit(n)
+    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                                                          lambda i: F.xxhash64(F.slice(words, i + 1, n)))))
+
+
+def passage_locations(benchmark: DataFrame, prose_files: DataFrame) -> DataFrame:
+    """(item_id, path, line_no): the first and the last line of the first
+    verbatim occurrence of each benchmark passage in each file that holds it.
+
+    A file that holds a passage holds the runs of its inner words (the first
+    and the last word may go on in the file), so passages and files meet in an
+    equi-join on hashes of ``GRAM_WORDS`` words (one word where a passage is
+    shorter), of each passage by the gram that the fewest files hold; what meets
+    is verified on the texts.  Passages without an inner word meet by their
+    text itself, as a stated query set.  Null and empty passages are nowhere."""
+    words = lambda c: F.split(c, r"\s+", -1)
+    b = benchmark.filter(F.length("text") > 0).select("item_id", F.col("text").alias("passage")).distinct()
+    inner = words(F.col("passage"))
+    b = b.withColumn("inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
+    d = prose_files.select("path", words(F.col("content")).alias("words"))
+    met = None
+    for n, of in ((GRAM_WORDS, F.size("inner") >= GRAM_WORDS), (1, F.size("inner").between(1, GRAM_WORDS - 1))):
+        wanted = bounded_broadcast(b.filter(of).select("item_id", "passage", F.explode(_grams(F.col("inner"), n)).alias("gram")))
+        found = d.select("path", F.explode(_grams(F.col("words"), n)).alias("gram")).join(wanted, "gram")
+        met = found if met is None else met.unionByName(found)
+    met = cut_lineage(met.select("item_id", "passage", "gram", "path"))
+    rarest = (met.groupBy("item_id", "passage", "gram").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("item_id", "passage").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+    cand = met.join(rarest, ["item_id", "passage", "gram"]).select("item_id", "passage", "path")
+    files = prose_files.select("path", "content")
+    hit = join_small(files, cand, "path").filter(F.col("content").contains(F.col("passage")))
+    short = bounded_broadcast(b.filter(F.size("inner") == 0).select("item_id", "passage"))
+    hit = hit.unionByName(files.join(short, F.col("content").contains(F.col("passage"))).select(*hit.columns))
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    before = F.expr("substring(content, 1, locate(passage, content) - 1)")
+    first = hit.select("item_id", "path", (lines(before) + 1).alias("s"), lines(F.col("passage")).alias("k"))
+    return first.select("item_id", "path", F.explode(F.array(F.col("s").cast("int"), (F.col("s") + F.col("k")).cast("int"))).alias("line_no"))
 
 
 def bug_tasks(benchmark: DataFrame, prose_files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -505,11 +505,11 @@ def _c4_sql(extra: str = "", over: str = "btasks") -> str:
     return f"""{V.PROSE},
 after AS (SELECT * FROM ({RENAME}
           SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
-bl AS (SELECT DISTINCT item_id, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
-       WHERE length(line) >= 40),
-dl AS (SELECT path, unnest(string_split(content, chr(10))) AS line,
-              unnest(generate_series(1, len(string_split(content, chr(10))))) AS line_no FROM prose_files),
-loc AS (SELECT b.item_id, d.path, d.line_no FROM bl b JOIN dl d ON d.line = b.line WHERE length(d.line) >= 40),
+held AS (SELECT b.item_id, b.text, d.path, left(d.content, instr(d.content, b.text) - 1) AS ahead
+       FROM benchmark b JOIN prose_files d ON contains(d.content, b.text) WHERE length(b.text) > 0),
+loc AS (SELECT item_id, path, unnest([s, s + k]) AS line_no
+        FROM (SELECT item_id, path, (length(ahead) - length(replace(ahead, chr(10), '')) + 1)::INTEGER AS s,
+                     (length(text) - length(replace(text, chr(10), '')))::INTEGER AS k FROM held)),
 firstf AS (SELECT item_id, min(path) AS file FROM loc GROUP BY item_id),
 rng AS (SELECT l.item_id, f.file, min(l.line_no) AS s, max(l.line_no) AS e
         FROM loc l JOIN firstf f ON f.item_id = l.item_id AND l.path = f.file GROUP BY l.item_id, f.file),
@@ -554,10 +554,7 @@ _ALL_TASKS = f"""all_tasks AS (
                  r.symbol || '(x)', r.v2_symbol || '(x)' FROM record r JOIN chosen c USING (symbol))
   UNION ALL
   SELECT * FROM (WITH {V.PROSE_FILES},
-      bl AS (SELECT DISTINCT item_id, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)
-             WHERE length(line) >= 40),
-      dl AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM prose_files),
-      loc AS (SELECT DISTINCT b.item_id FROM bl b JOIN dl d ON d.line = b.line)
+      loc AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN prose_files d ON contains(d.content, b.text) WHERE length(b.text) > 0)
       SELECT printf('bug_localization_%02d', item_id), 'bug_localization', 'expert', 25, NULL, NULL, NULL, NULL, NULL FROM loc))"""
 
 ORACLE["t8_tasks"] = f"WITH {_ALL_TASKS}\nSELECT * FROM all_tasks"

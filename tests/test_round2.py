@@ -83,3 +83,14 @@ def test_breakage_takes_half_of_an_upgrade_score(spark):
     subs = spark.createDataFrame([(1, True), (2, False)], "submission_id long, compile_ok boolean")
     got = {r["submission_id"]: r["document_score"] for r in SC.document_rules(rows, {"submissions": subs}).collect()}
     assert got == {1: 0.75, 2: 0.25}
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    from quarry.operators import tasks as TK
+    long = "one two three four five six seven eight nine ten eleven"
+    files = spark.createDataFrame([("a", f"x\npre{long}post\ny"), ("b", f"{long}"), ("c", "one two three"), ("d", None),
+                                   ("e", long.replace("six", "6") + "\nq\nred\nblue green")], "path string, content string")
+    items = spark.createDataFrame([(1, long), (2, "wo thr"), (3, "red\nblue green"), (4, ""), (5, None), (6, "absent words are here")],
+                                  "item_id long, text string")
+    got = {(r.item_id, r.path, r.line_no) for r in TK.passage_locations(items, files).collect()}
+    assert got == {(1, "a", 2), (1, "b", 1), (2, "a", 2), (2, "b", 1), (2, "c", 1), (2, "e", 1), (3, "e", 3), (3, "e", 4)}

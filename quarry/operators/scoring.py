@@ -330,7 +330,9 @@ def score_all(ctx: dict) -> DataFrame:
 
 def report(task_scores: DataFrame, tasks: DataFrame, submissions: DataFrame) -> DataFrame:
     """C6/A17/A18/D1/D2 per submission: weighted overall score, error count,
-    band, and the overall score after the documented overtime penalty."""
+    band (of the rounded score that is shown: a sum's last digit depends on the
+    order of its rows), and the overall score after the documented overtime
+    penalty."""
     s = (task_scores.join(tasks.select("task_id", "max_time_minutes"), "task_id", "left")
          .join(submissions.select("submission_id", "elapsed_minutes"), "submission_id", "left"))
     w = SC.task_weight("task_id")
@@ -345,7 +347,7 @@ def report(task_scores: DataFrame, tasks: DataFrame, submissions: DataFrame) ->
     adjusted = F.when(F.col("wsum") > 0, F.col("wps") / F.col("wsum")).otherwise(F.lit(0.0))
     return agg.select("submission_id", F.round(overall, 9).alias("overall_score"),
                       F.round(adjusted, 9).alias("adjusted_score"), "tasks_scored", "errors",
-                      (F.col("errors") == 0).alias("success"), SC.performance_band(overall).alias("band"))
+                      (F.col("errors") == 0).alias("success"), SC.performance_band(F.round(overall, 9)).alias("band"))
 
 
 def report_json(task_scores: DataFrame, tasks: DataFrame, submissions: DataFrame) -> DataFrame:

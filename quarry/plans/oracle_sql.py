@@ -602,6 +602,6 @@ o AS (SELECT *, CASE WHEN wsum > 0 THEN ws / wsum ELSE 0.0 END AS overall,
                 CASE WHEN wsum > 0 THEN wps / wsum ELSE 0.0 END AS adjusted FROM a)
 SELECT submission_id, round(overall, 9) AS overall_score, round(adjusted, 9) AS adjusted_score, tasks_scored, errors,
        errors = 0 AS success,
-       CASE WHEN overall * 100.0 >= 90 THEN 'Expert' WHEN overall * 100.0 >= 75 THEN 'Proficient'
-            WHEN overall * 100.0 >= 60 THEN 'Competent' WHEN overall * 100.0 >= 40 THEN 'Developing' ELSE 'Novice' END AS band
+       CASE WHEN round(overall, 9) * 100.0 >= 90 THEN 'Expert' WHEN round(overall, 9) * 100.0 >= 75 THEN 'Proficient'
+            WHEN round(overall, 9) * 100.0 >= 60 THEN 'Competent' WHEN round(overall, 9) * 100.0 >= 40 THEN 'Developing' ELSE 'Novice' END AS band
 FROM o"""

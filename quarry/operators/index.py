@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import extract as X
+from quarry.operators.joins import join_small
 from quarry.plans.registry import DEFAULT_EXTRACTORS, ExtractorRegistry
 
 
@@ -106,6 +107,29 @@ def reference_index(files: DataFrame, unicode: bool = False) -> DataFrame:
             .groupBy("identifier", "path").agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
+#: Uses of an old name that a renamed file may keep (fixed value of the rename check).
+LEFT_OVER_MAX = 2
+
+
+def rename_audit(rename_map: DataFrame, references: DataFrame) -> DataFrame:
+    """Per (old, new) of ``rename_map``, from the reference index of the
+    whole corpus: files that use either name, files_left (the old name more than
+    ``LEFT_OVER_MAX`` times), files_done (not left and the new name is used) and
+    coverage = done / files (1.0 where no file uses either).  Counts per
+    (pair, file) are aggregated before they meet in a pair."""
+    pairs = rename_map.select("old", "new").distinct()
+    names = pairs.select("old", "new", F.explode(F.array("old", "new")).alias("identifier")).distinct()
+    used = (join_small(references, names, "identifier")
+            .groupBy("old", "new", "path").agg(
+                F.sum(F.when(F.col("identifier") == F.col("old"), F.col("n")).otherwise(0)).alias("n_old"),
+                F.sum(F.when(F.col("identifier") == F.col("new"), F.col("n")).otherwise(0)).alias("n_new")))
+    left = F.col("n_old") > LEFT_OVER_MAX
+    per = used.groupBy("old", "new").agg(F.count("path").alias("files"), F.count_if(left).alias("files_left"),
+                                         F.count_if(~left & (F.col("n_new") >= 1)).alias("files_done"))
+    out = pairs.join(per, ["old", "new"], "left").fillna(0, ["files", "files_left", "files_done"])
+    return out.withColumn("coverage", F.when(F.col("files") > 0, F.round(F.col("files_done") / F.col("files"), 9)).otherwise(1.0))
+
+
 def symbol_errors(files: DataFrame, registry: ExtractorRegistry | None = None) -> DataFrame:
     """Files whose extraction failed (UDF returned null on an exception)."""
     raw = files.select("path", "content", "language", symbol_array_expr(registry).alias("arr"))

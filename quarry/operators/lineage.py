@@ -1,8 +1,8 @@
 """Snapshots, change detection, call chains and copy detection.
 
 R1/D8 compare two versions of ``files`` by (path, sha) only, so file
-contents never travel.  R3 walks an edge table breadth-first with one join per
-level and a reliable checkpoint per level.  R4 finds exact copies by a
+contents never travel.  R3 walks an edge table breadth-first with one join and
+one reliable checkpoint per level, until no node is new.  R4 finds exact copies by a
 normalised hash and near copies by MinHash bands, linking each document to a
 band representative, never to all pairs of a bucket.
 """
@@ -56,21 +56,31 @@ def call_edges(files: DataFrame) -> DataFrame:
             .select(F.col("e.caller").alias("caller"), F.col("e.callee").alias("callee")).distinct())
 
 
-def call_chain(edges: DataFrame, roots: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Every node reachable from each root within ``max_depth`` edges,
-    with its BFS depth.  ``roots(root)``, ``edges(caller, callee)``."""
-    e = edges.select("caller", "callee").distinct()
+#: Levels after which the visited nodes are written as one table again.
+FOLD_LEVELS = 16
+
+
+def call_chain(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Every node reachable from each root, with its BFS depth; walks until
+    a level brings no new node (or to ``max_depth`` edges where one is given).
+    ``roots(root)``, ``edges(caller, callee)``.  The edge table is materialised
+    once; each level is a table of its own and earlier levels are not rewritten
+    but every ``FOLD_LEVELS`` levels, which bounds the plan."""
+    e = cut_lineage(edges.select("caller", "callee").distinct())
     frontier = cut_lineage(roots.select("root", F.col("root").alias("node")).distinct())
     visited = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = (frontier.join(e, frontier["node"] == e["caller"])
                 .select("root", F.col("callee").alias("node")).distinct()
                 .join(visited.select("root", "node"), ["root", "node"], "left_anti"))
-        step = cut_lineage(step)
-        if step.isEmpty():
+        frontier = cut_lineage(step)
+        if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(step.withColumn("depth", F.lit(depth))))
-        frontier = step
+        visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        if depth % FOLD_LEVELS == 0:
+            visited = cut_lineage(visited)
     return visited
 
 

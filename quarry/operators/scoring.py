@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scoring as SC
 from quarry.functions import text as TX
 from quarry.operators.joins import bounded_broadcast
+from quarry.session import cut_lineage
 
 SCORE_COLUMNS = ["submission_id", "task_id", "type", "score", "max_score", "details", "errors"]
 
@@ -125,28 +126,59 @@ def rename_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, bou
         F.count_if(F.col("file").isNotNull() & ok).cast("int").alias("correctly_modified")))
 
 
-def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFrame | None = None,
-                           first_n: int = 50, cap: int = 10, broadcast_max: int = 1_000_000) -> DataFrame:
+PROBE_GRAM = 3
+
+
+def _runs(text) -> F.Column:
+    """Distinct runs of a text without white space."""
+    return F.filter(F.array_distinct(F.split(text, r"\s+", -1)), lambda w: w != "")
+
+
+def _grams_of(text, n: int) -> F.Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+                                        lambda i: F.substring(text, i, n)))
+
+
+def names_in_words(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, new_name) of ``words(word)``, distinct, that hold the longest run
+    of a name as a substring.  Words and names meet on the name's gram of
+    ``PROBE_GRAM`` characters that the fewest words hold (shorter runs are their
+    own gram) and are verified, so a frequent gram brings no candidates where a
+    rarer one tells."""
+    longest = F.element_at(F.array_sort(F.transform(_runs(F.col("new_name")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
+    probes = cut_lineage(names.select("new_name").distinct().withColumn("probe", longest))
+    lengths = [r["k"] for r in probes.select(F.least(F.length("probe"), F.lit(PROBE_GRAM)).alias("k")).distinct().collect()]   # 3 at most
+    found = None
+    for n in sorted(lengths):
+        of = probes.filter(F.length("probe") >= n if n == PROBE_GRAM else F.length("probe") == n)
+        grams = bounded_broadcast(of.select("new_name", "probe", F.explode(_grams_of(F.col("probe"), n)).alias("gram")))
+        held = words.select("word", F.explode(_grams_of(F.col("word"), n)).alias("gram"))
+        often = held.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = (grams.join(often, "gram", "left").groupBy("new_name", "probe")
+                  .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram")))
+        hit = (held.join(bounded_broadcast(rarest), "gram").filter(F.col("word").contains(F.col("probe"))).select("word", "new_name"))
+        found = hit if found is None else found.unionByName(hit)
+    return found if found is not None else words.select("word", F.col("word").alias("new_name")).limit(0)
+
+
+def rename_false_positives(tasks: DataFrame, files: DataFrame, first_n: int = 50, cap: int = 10) -> DataFrame:
     """A13 per task: of the first ``first_n`` lines (by path, line) of
     .go/.py/.cpp files that contain the new name, those that look like a
     comment or string (F42), capped.
 
-    Candidate files are those where the new name is a whole identifier: each
-    file's distinct identifiers are joined with the task names (broadcast
-    when their count is under ``broadcast_max``), so the corpus is never
-    shuffled.  (A name that only occurs inside a longer identifier is not
-    found; see README.)"""
-    t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "new_name").filter(
-        F.coalesce(F.col("new_name"), F.lit("")) != "")
-    n_names = t.count()
-    names = F.broadcast(t) if n_names <= broadcast_max else t
+    The name is searched as a substring.  A line that contains it contains its
+    longest run without white space inside one word, so the distinct words of
+    the corpus (partial aggregation, no text) are searched first, and only
+    files with such a word are read by lines.  A name of white space alone
+    finds nothing."""
+    t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "new_name")
+    names = t.filter(F.size(_runs(F.col("new_name"))) > 0)
     src = files.filter(TX.basename("path").rlike(r"\.(go|py|cpp)$")).select("path", "content")
-    if ref_index is not None:
-        idents = ref_index.select("path", F.col("identifier").alias("new_name"))
-    else:
-        idents = src.select("path", F.explode(F.array_distinct(
-            F.regexp_extract_all("content", F.lit(r"\w+"), 0))).alias("new_name"))
-    cand = idents.join(names, "new_name").select("task_id", "new_name", "path").distinct()
+    words = src.select("path", F.explode(_runs(F.col("content"))).alias("word"))
+    vocabulary = cut_lineage(words.select("word").distinct())
+    holders = names_in_words(names, vocabulary)
+    cand = words.join(bounded_broadcast(holders), "word").select("new_name", "path").distinct()
+    cand = cut_lineage(cand.join(names, "new_name").select("task_id", "new_name", "path"))
     need = bounded_broadcast(cand.select("path").distinct())
     lines = (src.join(need, "path").join(cand, "path")
              .select("task_id", "new_name", "path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
@@ -159,7 +191,7 @@ def rename_false_positives(tasks: DataFrame, files: DataFrame, ref_index: DataFr
 
 
 def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: DataFrame,
-                 submissions: DataFrame, ref_index: DataFrame | None = None, boundary: str = "unicode",
+                 submissions: DataFrame, boundary: str = "unicode",
                  all_files: DataFrame | None = None) -> DataFrame:
     """C2.  ``files`` serves the expected-change checks; the false-positive
     grep reads ``all_files`` (the whole corpus) when given."""
@@ -167,7 +199,7 @@ def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files:
                                                                  "symbol_to_rename", "new_name")
     per_task = (t.join(truth.select("task_id").distinct().withColumn("_has_truth", F.lit(True)), "task_id", "left")
                 .join(rename_task_checks(tasks, truth, files, boundary), "task_id", "left")
-                .join(rename_false_positives(tasks, all_files if all_files is not None else files, ref_index),
+                .join(rename_false_positives(tasks, all_files if all_files is not None else files),
                       "task_id", "left"))
     a = attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
     applied = F.coalesce(F.col("patch_applied"), F.lit(False))
@@ -301,7 +333,7 @@ def register_scorer(task_type: str, fn: Callable[..., DataFrame]) -> None:
 
 register_scorer("cross_file_reasoning", lambda c: score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"]))
 register_scorer("refactor_rename", lambda c: score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"],
-                                                          c["submissions"], c.get("ref_index"), c.get("boundary", "unicode"),
+                                                          c["submissions"], c.get("boundary", "unicode"),
                                                           c.get("all_files")))
 register_scorer("api_upgrade", lambda c: score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"],
                                                    c["submissions"], c.get("boundary", "unicode")))

@@ -18,14 +18,10 @@ from quarry.functions import rewrite as RW
 from quarry.functions import text as TX
 from quarry.operators import index as IX
 from quarry.operators import sampling as S
-from quarry.operators.joins import BROADCAST_MAX_ROWS, join_small
+from quarry.operators.joins import fits_broadcast, join_small
 from quarry.session import cut_lineage
 from quarry.sources.corpus import FILES_COLUMNS
 
-# A sample-derived table (rename map, renamed files) of up to
-# BROADCAST_MAX_ROWS rows is broadcast: its size k is known from the sample
-# size before the join is planned; above it the join is a shuffle join.
-
 
 @dataclass
 class Result:
@@ -50,8 +46,10 @@ def replace_rows(files: DataFrame, new_rows: DataFrame) -> DataFrame:
     return keep.select(*FILES_COLUMNS).unionByName(new_rows.select(*FILES_COLUMNS))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_MAX_ROWS else df
+def _maybe_broadcast(df: DataFrame) -> DataFrame:
+    """A sample-derived table that is materialised already (rename map, renamed
+    files): broadcast when its bytes are under the bound, else a shuffle join."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 # ----------------------------------------------------------------------- T2
@@ -62,12 +60,12 @@ def rename_symbols(files: DataFrame, symbols: DataFrame, p: float = 0.05, seed:
     them (X15).  ``mode='word'``: sequential whole-word renames in sample order,
     native; ``mode='parity'``: the reference's per-language head rewrites."""
     keys = symbols.select("symbol").distinct()
-    sample, k = S.sample_fraction(keys, "symbol", p, seed, op="rename")
+    sample, _ = S.sample_fraction(keys, "symbol", p, seed, op="rename")
     # the sample is read by the pair join and by the record: materialise the
     # k rows once instead of re-running distinct + top-k over all keys
     rmap = cut_lineage(sample.select(F.col("symbol").alias("old"), RW.new_name("symbol", seed).alias("new"), "rank"))
     post = IX.symbol_postings(symbols)
-    pairs = (post.join(_maybe_broadcast(rmap, k), post["symbol"] == rmap["old"])
+    pairs = (post.join(_maybe_broadcast(rmap), post["symbol"] == rmap["old"])
              .select("path", "old", "new", "rank"))
     per_file = pairs.groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("rank", "old", "new"))).alias("pairs"))
@@ -302,14 +300,14 @@ def duplication_record(result: Result) -> DataFrame:
 def rename_files(files: DataFrame, p: float = 0.08, seed: int = 42) -> Result:
     """``max(1, int(n*p))`` sampled files get ``<stem>_renamed<suffix>``
     in the same directory; record (old_path, new_path)."""
-    sample, k = S.sample_fraction(files.select("path"), "path", p, seed, op="file_rename")
+    sample, _ = S.sample_fraction(files.select("path"), "path", p, seed, op="file_rename")
     d = TX.dirname("path")
     name = F.concat(TX.stem("path"), F.lit("_renamed"), TX.suffix("path"))
     new_path = F.when(d == "", name).otherwise(F.concat(d, F.lit("/"), name))
-    record = sample.select(F.col("path").alias("old_path"), new_path.alias("new_path"), "rank")
-    moved = (files.join(_maybe_broadcast(record, k), files["path"] == record["old_path"])    # k known
+    record = cut_lineage(sample.select(F.col("path").alias("old_path"), new_path.alias("new_path"), "rank"))
+    moved = (files.join(_maybe_broadcast(record), F.col("path") == F.col("old_path"))
              .withColumn("rel_path", F.concat(F.expr("left(rel_path, length(rel_path) - length(substring_index(old_path, '/', -1)))"),
                                               TX.basename("new_path")))
              .withColumn("path", F.col("new_path")).select(*FILES_COLUMNS))
-    kept = files.join(_maybe_broadcast(record.select(F.col("old_path").alias("path")), k), "path", "left_anti")
+    kept = files.join(_maybe_broadcast(record.select(F.col("old_path").alias("path"))), "path", "left_anti")
     return Result(files=kept.select(*FILES_COLUMNS).unionByName(moved), record=record, touched=moved)

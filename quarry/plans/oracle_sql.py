@@ -242,13 +242,27 @@ ORACLE["r3_call_chain"] = f"""{V.CODE_REC},
 edges AS (SELECT DISTINCT unnest(regexp_extract_all(content, '{_EDGE_RE}', 1)) AS caller,
                           unnest(regexp_extract_all(content, '{_EDGE_RE}', 2)) AS callee FROM code_files),
 roots AS (SELECT symbol AS root FROM (
-   SELECT symbol, row_number() OVER (ORDER BY md5('42:chain:' || symbol), symbol) AS r
-   FROM (SELECT DISTINCT caller AS symbol FROM edges)) WHERE r <= 10),
-walk(root, node, depth) AS (
+   SELECT symbol, row_number() OVER (ORDER BY md5('42:wrap:' || symbol), symbol) AS r
+   FROM (SELECT DISTINCT symbol FROM code_symbols)) WHERE r <= 8),
+walk(root, node, depth) USING KEY (root, node) AS (
    SELECT root, root, 0 FROM roots
    UNION
-   SELECT w.root, e.callee, w.depth + 1 FROM walk w JOIN edges e ON e.caller = w.node WHERE w.depth < 6)
-SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node"""
+   SELECT DISTINCT w.root, e.callee, w.depth + 1 FROM walk w JOIN edges e ON e.caller = w.node
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.walk v WHERE v.root = w.root AND v.node = e.callee))
+SELECT root, node, depth FROM walk"""
+
+ORACLE["r6_rename_audit"] = f"""{RENAME},
+after AS (SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path)),
+uses AS (SELECT path, identifier, count(*) AS n
+         FROM (SELECT path, unnest(regexp_extract_all(content, '[A-Za-z_]\\w*')) AS identifier FROM after) GROUP BY ALL),
+named AS (SELECT r.old, r.new, u.path, u.n AS n_old, 0 AS n_new FROM rmap r JOIN uses u ON u.identifier = r.old
+          UNION ALL SELECT r.old, r.new, u.path, 0, u.n FROM rmap r JOIN uses u ON u.identifier = r.new),
+per AS (SELECT old, new, path, sum(n_old) AS n_old, sum(n_new) AS n_new FROM named GROUP BY ALL),
+tot AS (SELECT old, new, count(*) AS files, count(*) FILTER (WHERE n_old > 2) AS files_left,
+               count(*) FILTER (WHERE n_old <= 2 AND n_new >= 1) AS files_done FROM per GROUP BY ALL)
+SELECT r.old, r.new, coalesce(files, 0) AS files, coalesce(files_left, 0) AS files_left, coalesce(files_done, 0) AS files_done,
+       coalesce(round(files_done / files, 9), 1.0)::DOUBLE AS coverage
+FROM rmap r LEFT JOIN tot t ON t.old = r.old AND t.new = r.new"""
 
 ORACLE["r4_exact_copies"] = f"""{V.PROSE},
 h AS (SELECT path, md5(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))) AS group_hash FROM prose_files),
@@ -412,7 +426,7 @@ _STEP_HIT = ("CASE WHEN contains(st, '::') OR contains(st, '->') OR contains(st,
              "THEN len(list_filter(regexp_split_to_array(st, '[:>.]'), lambda p: trim(p) <> '' AND contains(low, lower(trim(p))))) > 0 "
              "ELSE contains(low, lower(st)) END")
 
-def _c1_sql(extra: str = "", over: str = "ctasks") -> str:
+def _c1_sql(extra: str = "", over: str = "ctasks", more: str = "") -> str:
     return f"""{WRAP},
 ctasks AS (SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, symbol, original_file, wrapper_file FROM rec),
 {SUBS},
@@ -428,7 +442,7 @@ sc2 AS (SELECT *, f <> '' AND (contains(low, lower(regexp_extract(f, '([^/]*)$',
 SELECT submission_id, task_id, 'cross_file_reasoning' AS type,
        round(CASE WHEN text = '' THEN 0.0
                   ELSE least((CASE WHEN ff THEN 0.25 ELSE 0.0 END) + acc * 0.5 + least(kw, 1.0) * 0.25, 1.0) END, 12) AS score,
-       0 AS n_errors, CASE WHEN text <> '' THEN acc ELSE 0.0 END AS acc
+       0 AS n_errors, CASE WHEN text <> '' THEN acc ELSE 0.0 END AS acc{more}
 FROM sc2"""
 
 
@@ -437,7 +451,7 @@ ORACLE["c1_score_cross_file"] = _c1_sql()
 _NOISE_L = ("(contains(path || ':' || line, '//') OR contains(path || ':' || line, '#') "
             "OR contains(path || ':' || line, '\"') OR contains(path || ':' || line, ''''))")
 
-def _c2_sql(extra: str = "", over: str = "rtasks") -> str:
+def _c2_sql(extra: str = "", over: str = "rtasks", more: str = "") -> str:
     return f"""{RENAME},
 after AS (SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path)),
 rtasks AS (SELECT printf('refactor_rename_%02d', rank) AS task_id, old, new FROM rmap),
@@ -450,9 +464,7 @@ chk AS (SELECT c.task_id, count(*) AS checked,
                                   AND len(regexp_extract_all(a.content, '\\b' || c.new || '\\b')) >= 1) AS correct
         FROM chg c LEFT JOIN after a USING (path) GROUP BY c.task_id),
 src AS (SELECT path, content FROM after WHERE regexp_matches(path, '\\.(go|py|cpp)$')),
-cand AS (SELECT DISTINCT t.task_id, t.new, s.path
-         FROM (SELECT path, unnest(list_distinct(regexp_extract_all(content, '\\w+'))) AS tok FROM src) s
-         JOIN rtasks t ON t.new = s.tok),
+cand AS (SELECT t.task_id, t.new, s.path FROM rtasks t JOIN src s ON contains(s.content, t.new)),
 lines AS (SELECT c.task_id, c.new, c.path, unnest(string_split(s.content, chr(10))) AS line,
                  unnest(generate_series(0, len(string_split(s.content, chr(10))) - 1)) AS line_no
           FROM cand c JOIN src s USING (path)),
@@ -466,13 +478,13 @@ SELECT submission_id, task_id, 'refactor_rename' AS type,
        round(CASE WHEN NOT patch_applied THEN 0.0
                   ELSE least(greatest(0.0, correct / greatest(checked, 1) - least(fp * 0.1::DOUBLE, 0.3::DOUBLE)
                                       + CASE WHEN compile_ok THEN 0.1 ELSE 0.0 END), 1.0) END, 12) AS score,
-       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors, fp
+       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors, fp{more}
 FROM sc"""
 
 
 ORACLE["c2_score_rename"] = _c2_sql()
 
-def _c3_sql(extra: str = "", over: str = "atasks") -> str:
+def _c3_sql(extra: str = "", over: str = "atasks", more: str = "") -> str:
     return f"""{MIGRATE},
 after AS (SELECT * FROM ({RENAME}
           SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
@@ -488,20 +500,20 @@ cf AS (SELECT c.*, a.content IS NOT NULL AS present,
 chk AS (SELECT task_id, count(*) AS total, count(*) FILTER (WHERE needs) AS expected,
                count(*) FILTER (WHERE present AND needs AND found) AS actual,
                count(*) FILTER (WHERE present AND NOT needs AND NOT found) AS preserved FROM cf GROUP BY task_id),
-sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, coalesce(total, 0) AS total, coalesce(expected, 0) AS expected,
+sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, s.compile_ok, coalesce(total, 0) AS total, coalesce(expected, 0) AS expected,
               coalesce(actual, 0) AS actual, coalesce(preserved, 0) AS preserved
        FROM attempts a JOIN (SELECT task_id FROM atasks) att USING (task_id) LEFT JOIN chk USING (task_id)
        LEFT JOIN subs s USING (submission_id))
 SELECT submission_id, task_id, 'api_upgrade' AS type,
        round(CASE WHEN NOT patch_applied THEN 0.0
                   ELSE least(actual / greatest(expected, 1) * 0.7 + preserved / greatest(total - expected, 1) * 0.3, 1.0) END, 12) AS score,
-       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors
+       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors{more}
 FROM sc"""
 
 
 ORACLE["c3_score_api"] = _c3_sql()
 
-def _c4_sql(extra: str = "", over: str = "btasks") -> str:
+def _c4_sql(extra: str = "", over: str = "btasks", more: str = "") -> str:
     return f"""{V.PROSE},
 after AS (SELECT * FROM ({RENAME}
           SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
@@ -536,7 +548,7 @@ sc2 AS (SELECT *, CASE WHEN contains(text, file) OR contains(text, regexp_extrac
 sc3 AS (SELECT *, CASE WHEN first IS NULL THEN 0.0 WHEN first >= s - 2 AND first <= e + 2 THEN 1.0 ELSE 0.75 END AS loc FROM sc2)
 SELECT submission_id, task_id, 'bug_localization' AS type,
        round(least(file_score * 0.4 + loc * 0.3 + CASE WHEN patch_applied AND fix_found THEN 0.3 ELSE 0.0 END, 1.0), 12)::DOUBLE AS score,
-       0 AS n_errors, loc::DOUBLE AS loc
+       0 AS n_errors, loc::DOUBLE AS loc{more}
 FROM sc3"""
 
 
@@ -605,3 +617,19 @@ SELECT submission_id, round(overall, 9) AS overall_score, round(adjusted, 9) AS
        CASE WHEN round(overall, 9) * 100.0 >= 90 THEN 'Expert' WHEN round(overall, 9) * 100.0 >= 75 THEN 'Proficient'
             WHEN round(overall, 9) * 100.0 >= 60 THEN 'Competent' WHEN round(overall, 9) * 100.0 >= 40 THEN 'Developing' ELSE 'Novice' END AS band
 FROM o"""
+
+# The documented formulas over the parts of the same scores.  The root
+# cause of every task on a passage is 'copied passage'.
+_DOCUMENTED = {
+    _c1_sql: "CASE WHEN text <> '' THEN acc ELSE 0.0 END",
+    _c2_sql: "CASE WHEN patch_applied THEN correct / greatest(checked, 1) * CASE WHEN NOT compile_ok THEN 0.5::DOUBLE "
+             "WHEN fp > 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.0 END",
+    _c3_sql: "CASE WHEN patch_applied THEN actual / greatest(expected, 1) - greatest(total - expected - preserved, 0) * 0.1::DOUBLE "
+             "- CASE WHEN compile_ok THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0 END",
+    _c4_sql: "file_score * 0.4::DOUBLE + loc * 0.3::DOUBLE + CASE WHEN contains(lower(text), 'copied passage') THEN 1.0 "
+             "WHEN contains(lower(text), 'copied') OR contains(lower(text), 'passage') THEN 0.5 ELSE 0.0 END * 0.3::DOUBLE",
+}
+ORACLE["d3_d6_document_rules"] = "\nUNION ALL\n".join(
+    f"SELECT submission_id, task_id, type, score, document_score FROM "
+    f"({fn(_ALL_TASKS + ',\n', 'all_tasks', f', round(least(greatest(({doc})::DOUBLE, 0.0), 1.0), 12)::DOUBLE AS document_score')})"
+    for fn, doc in _DOCUMENTED.items())

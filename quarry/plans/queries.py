@@ -237,7 +237,7 @@ def c1_score_cross_file(spark, sf):
 def c2_score_rename(spark, sf):
     c = TB.scoring_context(spark, sf, kinds=["refactor_rename"])
     s = SCO.score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"], c["submissions"],
-                         None, "ascii", c["all_files"])
+                         "ascii", c["all_files"])
     return s.select(*_score_cols(), F.get_json_object("details", "$.false_positives").cast("int").alias("fp"))
 
 
@@ -288,16 +288,22 @@ def d8_changed_repos(spark, sf):
     return LN.changed_repos(files, ren.files)
 
 
-def _chain_roots(spark, sf, edges):
-    callers = edges.select(F.col("caller").alias("symbol")).distinct()
-    return S.sample_n(callers, "symbol", 10, 42, op="chain").select(F.col("symbol").alias("root"))
-
-
 @query("r3_call_chain")
 def r3_call_chain(spark, sf):
-    """Nodes reachable from 10 sampled callers within 6 calls."""
-    edges = LN.call_edges(TB.code_files(spark, sf))
-    return LN.call_chain(edges, _chain_roots(spark, sf, edges), max_depth=6)
+    """All nodes reachable from the symbols that the wrapper step samples
+    (K3), where the cross-file tasks start."""
+    files = TB.code_files(spark, sf)
+    keys = IX.extract_symbols(files).select("symbol").distinct()
+    roots = S.sample_n(keys, "symbol", 8, 42, op="wrap").select(F.col("symbol").alias("root"))
+    return LN.call_chain(LN.call_edges(files), roots)
+
+
+@query("r6_rename_audit")
+def r6_rename_audit(spark, sf):
+    """Per renamed pair the files of the whole renamed corpus that still
+    use the old name, those that are done, and the coverage."""
+    ren = _renamed(spark, sf)
+    return IX.rename_audit(ren.record, IX.reference_index(ren.files))
 
 
 @query("r4_exact_copies")

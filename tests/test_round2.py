@@ -94,3 +94,42 @@ def test_passages_are_found_wherever_they_stand(spark):
                                   "item_id long, text string")
     got = {(r.item_id, r.path, r.line_no) for r in TK.passage_locations(items, files).collect()}
     assert got == {(1, "a", 2), (1, "b", 1), (2, "a", 2), (2, "b", 1), (2, "c", 1), (2, "e", 1), (3, "e", 3), (3, "e", 4)}
+
+
+def test_new_names_are_searched_as_substrings(spark):
+    from quarry.operators import scoring as SC
+    files = spark.createDataFrame([("src/r/a.go", "x // Old_FooBar\ny(Old_Élan) // z"), ("src/r/b.py", "# aOld_Foo\n# Old _Foo"),
+                                   ("src/r/c.txt", "# Old_Foo"), ("src/r/d.cpp", "two  words // two words\nx # V"), ("src/r/e.py", None)],
+                                  "path string, content string")
+    names = ["Old_Foo", "Old_", "Old_É", "two words", "V", "absent", " ", "", None]
+    tasks = spark.createDataFrame([(f"t{i}", "refactor_rename", n) for i, n in enumerate(names)], "task_id string, type string, new_name string")
+    got = {r["task_id"]: r["false_positives"] for r in SC.rename_false_positives(tasks, files).collect()}
+    assert [got[f"t{i}"] for i in range(len(names))] == [2, 3, 1, 1, 1, 0, 0, 0, 0]
+    assert SC.rename_false_positives(tasks.limit(0), files).count() == 0
+    assert SC.rename_false_positives(tasks, files, first_n=1).where("false_positives > 1").count() == 0
+
+
+def test_call_chain_goes_to_the_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n20", "n0")], "caller string, callee string")
+    roots = spark.createDataFrame([("n0",), ("alone",)], "root string")
+    got = {(r["root"], r["node"]): r["depth"] for r in LN.call_chain(edges, roots).collect()}
+    assert got == {("alone", "alone"): 0, **{("n0", f"n{i}"): i for i in range(21)}}
+
+
+def test_rename_audit_counts_files_left_and_done(spark):
+    from quarry.operators import index as IX
+    files = spark.createDataFrame([("a", "New New"), ("b", "Old Old Old New"), ("c", "Old Old New"), ("d", "Old"), ("e", "Newer"), ("f", None)],
+                                  "path string, content string")
+    pairs = spark.createDataFrame([("Old", "New"), ("Gone", "Nowhere")], "old string, new string")
+    got = {r["old"]: tuple(r)[2:] for r in IX.rename_audit(pairs, IX.reference_index(files)).collect()}
+    assert got == {"Old": (4, 1, 2, 0.5), "Gone": (0, 0, 0, 1.0)}
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from quarry.operators.joins import bounded_broadcast, fits_broadcast
+    one = spark.createDataFrame([("k", ["x" * 1000] * 10)], "path string, pairs array<string>")
+    assert fits_broadcast(one, 20_000) and not fits_broadcast(one, 5_000) and fits_broadcast(one.limit(0), 0)
+    big = spark.createDataFrame([("k",)], "path string")
+    for bound, held in ((20_000, True), (5_000, False)):
+        plan = big.join(bounded_broadcast(one, bound), "path")._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == held

@@ -3,17 +3,20 @@
 R1/D8 compare two versions of ``files`` by (path, sha) only, so file
 contents never travel.  R3 walks an edge table breadth-first with one join and
 one reliable checkpoint per level, until no node is new.  R4 finds exact copies by a
-normalised hash and near copies by MinHash bands, linking each document to a
-band representative, never to all pairs of a bucket.
+normalised hash and near copies by MinHash bands, with links confirmed on the
+whole shingle sets and components over links, never all pairs of a bucket.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.joins import join_small
 from quarry.session import cut_lineage
 
 
@@ -110,61 +113,180 @@ def _minhash_params(num_hashes: int, seed: int = 42):
 _GRAM_MULT = 1_099_511_628_211  # odd 64-bit multiplier for rolling n-gram hashes
 
 
-def minhash_of(text: str | None, shingle: int, a, b) -> list[int] | None:
-    """MinHash of the word ``shingle``-grams of one text, all in numpy:
-    word hashes by pandas' C hasher, n-gram hashes by a rolling combination,
-    permutations ``((g ^ a_i) * b_i) mod 2**64``."""
+def gram_hashes(text: str, shingle: int):
+    """Sorted distinct 64-bit hashes of the word ``shingle``-grams of one text
+    (a shorter text is one gram), None without words; all in numpy: word hashes
+    by pandas' C hasher, n-gram hashes by a rolling combination."""
     import re
 
     import numpy as np
-    if text is None:
-        return None
     words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
     if not words:
-        return []
+        return None
     wh = pd.util.hash_pandas_object(pd.Series(words, dtype=object), index=False).to_numpy(dtype=np.uint64)
     n = max(len(wh) - shingle + 1, 1)
     g = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(min(shingle, len(wh))):
             g = g * np.uint64(_GRAM_MULT) + wh[j:j + n]
-        g = np.unique(g)
+    return np.unique(g)
+
+
+def _minima(g, a, b) -> list[int]:
+    """MinHash of a gram set: the least of each permutation ``((g ^ a_i) * b_i) mod 2**64``."""
+    import numpy as np
+    with np.errstate(over="ignore"):
         v = (g[:, None] ^ a) * b
     return v.min(axis=0).astype(np.int64).tolist()
 
 
 def minhash_signatures(files: DataFrame, shingle: int = 5, num_hashes: int = 64) -> DataFrame:
-    """Word ``shingle``-gram MinHash signature per file (Arrow-batched UDF;
-    one pass over each text, numpy for the permutations)."""
+    """Per file with words: path, n (distinct word ``shingle``-grams), set_id
+    (128-bit identity of the gram set) and its MinHash signature (Arrow-batched
+    UDF; one pass over each text, numpy for the permutations)."""
     a, b = _minhash_params(num_hashes)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sig_udf(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: minhash_of(t, shingle, a, b))
+    @F.pandas_udf("n long, set_id binary, sig array<long>")
+    def profile_udf(content: pd.Series) -> pd.DataFrame:
+        from hashlib import md5
+        sets = [None if t is None else gram_hashes(t, shingle) for t in content]
+        return pd.DataFrame({"n": [0 if g is None else len(g) for g in sets],
+                             "set_id": [None if g is None else md5(g.tobytes()).digest() for g in sets],
+                             "sig": [None if g is None else _minima(g, a, b) for g in sets]})
+
+    return files.select("path", profile_udf.asNondeterministic()("content").alias("p")).select("path", "p.*").filter("n > 0")
 
-    return files.select("path", sig_udf("content").alias("sig")).filter(F.size("sig") > 0)
+
+def _grams(files: DataFrame, shingle: int) -> DataFrame:
+    """(rep, grams): the whole gram set of each file."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def grams_udf(content: pd.Series) -> pd.Series:
+        return content.map(lambda t: gram_hashes(t, shingle).view("int64"))
+
+    return files.select(F.col("path").alias("rep"), grams_udf("content").alias("grams"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``edges`` (a, b): the smallest node
+    reachable, by alternating large-star and small-star steps."""
+    cur, last = edges.select("a", "b").filter("a <> b"), None
+    while True:
+        both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = cut_lineage(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(
+            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        cur = cut_lineage(small.select("e.a", "e.b").filter("a <> b").distinct())
+        mark = cur.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if (mark.n, mark.s) == last:
+            break
+        last = (mark.n, mark.s)
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _rarest_shared(rest: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of ``rest`` (rep, comp) across components that may link: with
+    the grams of every set in ascending order of frequency, sets of sizes m and n
+    that link share ``need = ceil(num * (m + n) / (num + den))`` of them, so the
+    first shared one comes before the last ``need`` of both."""
+    rows = cut_lineage(rest.join(grams, "rep").select("rep", "comp", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("h")))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("df > 1")
+    one = Window.partitionBy("rep")
+    # grams that no other set has come first in the order and need no row, only their number
+    place = F.col("n") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("df", "h"))
+    first = (rows.join(often, "h").withColumn("place", place)
+             .filter(f"lo <> hi and place <= n - ({num} * n + {den - 1}) div {den} + 1"))
+    first = cut_lineage(first.select("h", "rep", "comp", "n", "place"))
+    x = first.select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = first.select("h", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    need = f"({num} * (nx + ny) + {num + den - 1}) div {num + den}"
+    return (x.join(y, "h").filter(f"x < y and cx <> cy and px + {need} <= nx + 1 and py + {need} <= ny + 1")
+            .select("x", "y"))
+
+
+def _shared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(x, y, both, union): sizes on the whole gram sets of each pair."""
+    gx, gy = grams.toDF("x", "gx"), grams.toDF("y", "gy")
+    both = F.size(F.array_intersect("gx", "gy")).cast("long")
+    return (pairs.join(gx, "x").join(gy, "y").withColumn("both", both)
+            .select("x", "y", "both", (F.size("gx") + F.size("gy") - F.col("both")).alias("union")))
+
+
+#: Rounds in which a bucket names one pivot, before the exact prefix rule.
+PIVOT_ROUNDS = 3
+#: Rows per Arrow batch: rows are whole texts or gram sets.
+ARROW_ROWS = 256
 
 
 def near_copies(files: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4,
                 shingle: int = 5) -> DataFrame:
-    """R4 near: (path, representative, similarity) for each document whose
-    estimated Jaccard similarity with the smallest path of one of its LSH
-    buckets reaches ``threshold``; the representative maps to itself."""
-    sig = cut_lineage(minhash_signatures(files, shingle, bands * rows))
-    keys = sig.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
-                                                       lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows))))
-                      .alias("band", "bucket"))
-    reps = keys.groupBy("band", "bucket").agg(F.min("path").alias("rep"), F.count(F.lit(1)).alias("n"))
-    cand = (keys.join(reps.filter("n > 1"), ["band", "bucket"]).select("path", "rep")
-            .filter(F.col("path") != F.col("rep")).distinct())
-    rs = sig.select(F.col("path").alias("rep"), F.col("sig").alias("rsig"))
-    scored = (cand.join(sig, "path").join(rs, "rep")
-              .withColumn("similarity", F.size(F.filter(F.arrays_zip("sig", "rsig"),
-                                                        lambda z: z["sig"] == z["rsig"])) / float(bands * rows))
-              .filter(F.col("similarity") >= threshold))
-    best = scored.groupBy("path").agg(F.min(F.struct("rep", "similarity")).alias("b"))
-    linked = best.select("path", F.col("b.rep").alias("representative"), F.round("b.similarity", 6).alias("similarity"))
-    selfs = linked.select(F.col("representative").alias("path")).distinct() \
-        .join(linked.select("path"), "path", "left_anti") \
-        .select("path", F.col("path").alias("representative"), F.lit(1.0).alias("similarity"))
-    return linked.unionByName(selfs)
+    """R4 near: (path, representative, similarity) for each document that some
+    chain of links joins to another.  Documents link when the Jaccard similarity
+    of their whole gram sets reaches ``threshold``; the representative is the
+    smallest path of the component and ``similarity`` the exact Jaccard with it
+    (below the threshold where others link the two).
+
+    Candidates share an LSH bucket.  In each pivot round every bucket that spans
+    several components compares its members with one pivot and confirmed links
+    contract the components; what still spans several is compared by an exact
+    prefix rule, so no bucket is expanded into its pairs and no link is capped.
+    ``path`` is the key of ``files``."""
+    t = Fraction(str(threshold))
+    num, den = t.numerator, t.denominator
+    spark = files.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    prof = cut_lineage(minhash_signatures(files, shingle, bands * rows))
+    # equal gram sets are one class, named by its smallest path
+    classes = cut_lineage(prof.groupBy("set_id").agg(
+        F.min("path").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    slots = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
+                                                           lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows))))
+                           .alias("band", "bucket"))
+    several = slots.groupBy("band", "bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
+    slots = cut_lineage(slots.join(several.select("band", "bucket"), ["band", "bucket"]))
+    labels = cut_lineage(slots.select("rep").distinct().withColumn("comp", F.col("rep")))
+    narrow = classes.select("rep", "n", "sig")
+    own = join_small(files.select("path", "content"), labels.select(F.col("rep").alias("path")), "path", "left_semi")
+    grams = cut_lineage(_grams(own, shingle))
+    # a pair is read in full when its signatures agree up to six standard errors below the threshold
+    least = threshold - 6 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    agree = F.size(F.filter(F.arrays_zip("sx", "sy"), lambda z: z["sx"] == z["sy"])) / float(bands * rows)
+    tested = None
+    for r in range(PIVOT_ROUNDS + 1):
+        where = slots.join(labels, "rep")
+        spans = (where.groupBy("band", "bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(r))).alias("p")).filter("lo <> hi"))
+        if r < PIVOT_ROUNDS:
+            pairs = (where.join(spans.select("band", "bucket", "p"), ["band", "bucket"]).filter("comp <> p.comp")
+                     .select(F.col("rep").alias("x"), F.col("p.rep").alias("y")))
+        else:
+            rest = cut_lineage(where.join(spans.select("band", "bucket"), ["band", "bucket"]).select("rep", "comp").distinct())
+            pairs = _rarest_shared(rest, grams, num, den)
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        pairs = cut_lineage(pairs)
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.union(pairs)
+        alike = (pairs.join(narrow.toDF("x", "nx", "sx"), "x").join(narrow.toDF("y", "ny", "sy"), "y")
+                 .filter(den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")).filter(agree >= least).select("x", "y"))
+        links = cut_lineage(_shared(alike, grams).filter(f"{den} * both >= {num} * union").select("x", "y"))
+        at = labels.toDF("x", "a")
+        edges = links.join(at, "x").join(at.toDF("y", "b"), "y").select("a", "b").distinct()
+        merged = _components(cut_lineage(edges)).withColumnRenamed("node", "comp")
+        labels = cut_lineage(labels.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")))
+    found = classes.select("set_id", "rep", "copies").join(labels, "rep", "left").select(
+        "set_id", "rep", "copies", F.coalesce("comp", "rep").alias("comp"))
+    linked = found.groupBy("comp").agg(F.sum("copies").alias("size")).filter("size > 1").select("comp")
+    found = cut_lineage(found.join(linked, "comp"))
+    far = _shared(found.filter("rep <> comp").select(F.col("rep").alias("x"), F.col("comp").alias("y")), grams)
+    far = far.select(F.col("x").alias("rep"), F.round(F.col("both") / F.col("union"), 6).alias("s"))
+    found = found.join(far, "rep", "left").select("set_id", F.col("comp").alias("representative"),
+                                                  F.coalesce("s", F.lit(1.0)).alias("similarity"))
+    return prof.select("path", "set_id").join(found, "set_id").select("path", "representative", "similarity")

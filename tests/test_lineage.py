@@ -37,6 +37,36 @@ def test_near_copies_against_brute_force(spark):
             assert not same, (a, b, jac)
 
 
+def test_near_copies_of_variant_families_have_every_link(spark):
+    """Families of variants around a template: links between variants that the
+    smallest path lacks, pairs near the threshold, exact copies."""
+    rnd = random.Random(5)
+    docs = {}
+    for f in range(4):
+        base = words = _words(120, rnd)
+        for v in range(14):
+            words = list(words if f % 2 else base)            # each from the one before, or all from the template
+            for at in rnd.sample(range(len(words)), 1 if f % 2 else 1 + v % 2 + 2 * (v == 0)):
+                words[at] = f"x{rnd.randrange(10 ** 6)}"
+            docs[f"src/r/f{f}_{v:02d}.go"] = " ".join(words)
+        docs[f"src/r/f{f}_copy.go"] = "  ".join(docs[f"src/r/f{f}_03.go"].split()).upper()
+    docs["src/r/empty.go"] = " \n"
+    got = {r["path"]: (r["representative"], r["similarity"]) for r in
+           LN.near_copies(files_df(spark, sorted(docs.items())), threshold=0.8).collect()}
+    g = {}
+    for p, t in docs.items():
+        w = [x for x in re.split(r"[^\w]+|_", t.lower()) if x]
+        g[p] = {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    links = [(a, b) for a, b in itertools.combinations(sorted(docs), 2) if g[a] and 5 * len(g[a] & g[b]) >= 4 * len(g[a] | g[b])]
+    comp = {p: p for p in docs}
+    for _ in docs:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert any(5 * len(g[p] & g[c]) < 4 * len(g[p] | g[c]) for p, c in comp.items() if g[p])   # some link only by others
+    want = {p: (comp[p], round(len(g[p] & g[comp[p]]) / len(g[p] | g[comp[p]]), 6)) for p in {x for link in links for x in link}}
+    assert got == want
+
+
 def test_call_chain_against_python_bfs(spark):
     rnd = random.Random(3)
     nodes = [f"n{i}" for i in range(40)]

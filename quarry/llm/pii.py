@@ -1,8 +1,9 @@
 """Personal data: a semi-Markov conditional random field over text regions.
 
 Base rules give spans of four kinds (patterns fixed by the task).  Around
-every digit or ``@`` the text is cut into a region of tokens; candidate
-segments of at most ``LONGEST`` tokens get features of the whole span (digit
+every digit, ``@`` and disguised ``@`` (``[at]``, ``(at)``) the text is cut into
+a region of tokens that reaches ``LONGEST`` tokens to both sides, so no candidate
+is cut; candidate segments of at most ``LONGEST`` tokens get features of the whole span (digit
 count, separators, checksum, neighbours), and a bounded dynamic programme
 chooses boundaries and kinds of all segments of a region at once.  Base spans
 are fixed segments of that programme, so they always stay; what it finds
@@ -10,8 +11,8 @@ beside them is added when its segment beats the same tokens left outside by
 ``MARGIN``.  The weights maximise the conditional likelihood of regions from
 at most ``SAMPLE_DOCS`` documents (those with the least hash of doc_id, a
 documented bound): base spans as they are, and the same spans in disguise
-(``00`` or no ``+`` before a phone number, ``[at]``, ``[.]``, dots in a card
-number), which the base rules cannot see.
+(``00`` or no ``+`` before a phone number, ``[at]``, ``(at)``, ``[.]``, dots in a
+card number), which the base rules cannot see; every such span is a candidate.
 
 Defined results: null text counts as empty and has no spans; spans are
 [start, end) in code points; repeated rows each give their row; an empty
@@ -93,18 +94,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- regions
 
-_TRIGGER = re.compile(r"[0-9@]+")
+_AT = re.compile(r"\[at\]|\(at\)", re.IGNORECASE)
+_TRIGGER = re.compile(rf"[0-9@]+|{_AT.pattern}", re.IGNORECASE)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\S\n]|.|\n")
-_REACH = 24
+# the same tokens, read from either end
+_BESIDE = re.compile(rf"(?:[0-9]++|[^\W\d_]++|[^\S\n]|.|\n){{0,{LONGEST}}}+")
 
 
 def regions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Disjoint [start, end) pieces that hold every digit, ``@`` and base span,
-    with up to ``_REACH`` characters of their words around."""
+    """Disjoint [start, end) pieces that hold every digit, ``@``, disguised ``@``
+    and base span, with the ``LONGEST`` tokens on both sides."""
     marks = sorted([m.span() for m in _TRIGGER.finditer(text)] + [s[1:] for s in spans])
     out: list[list[int]] = []
+    back, size = text[::-1] if marks else "", len(text)
     for a, b in marks:
-        lo, hi = max(0, a - _REACH), min(len(text), b + _REACH)
+        if out and a <= out[-1][1]:
+            lo = out[-1][0]   # what is left of it lies in the region already
+        else:
+            lo = size - _BESIDE.match(back, size - a).end()
+        hi = _BESIDE.match(text, b).end()
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -135,7 +143,7 @@ def span_features(text: str, start: int, end: int) -> list[int]:
     out = [0, 1 + _bucket(n), 17 + min(dots, 4), 22 + min(s.count("@"), 2), 25 + _side(text[start - 1:start]), 30 + _side(text[end:end + 1]),
            35 + _bucket(len(s))]
     for i, flag in enumerate((
-            s[0] == "+", s[:2] == "00", "(" in s and ")" in s, "-" in s, " " in s, letters > 0, "[at]" in s, "[.]" in s,
+            s[0] == "+", s[:2] == "00", "(" in s and ")" in s, "-" in s, " " in s, letters > 0, _AT.search(s) is not None, "[.]" in s,
             13 <= n <= 19 and letters == 0 and luhn(digits), s[0].isalnum() or s[0] == "+", s[-1].isalnum(), "\n" in s,
             letters > 0 and n > 0, letters == 0 and n >= 9 and n < len(s), letters == 0 and n == len(s), "%" in s or "$" in s,
             s[-1].isalpha(), "_" in s or "=" in s or '"' in s)):
@@ -157,11 +165,12 @@ def span_features(text: str, start: int, end: int) -> list[int]:
 
 
 class Region:
-    """Tokens, candidate segments and their features of one piece of text."""
+    """Tokens, candidate segments and their features of one piece of text;
+    spans of ``gold`` are candidates whatever their length."""
 
-    def __init__(self, text: str, lo: int, hi: int, spans: list[tuple[int, int, int]]):
+    def __init__(self, text: str, lo: int, hi: int, spans: list[tuple[int, int, int]], gold: list[tuple[int, int, int]] = ()):
         bounds = [lo, *(m.end() for m in _TOKEN.finditer(text, lo, hi))]
-        cuts = sorted(set(bounds) | {p for _, a, b in spans if lo <= a and b <= hi for p in (a, b)})
+        cuts = sorted(set(bounds) | {p for _, a, b in [*spans, *gold] if lo <= a and b <= hi for p in (a, b)})
         self.n, self.at = len(cuts) - 1, cuts
         index = {p: i for i, p in enumerate(cuts)}
         inside = [(k, index[a], index[b]) for k, a, b in spans if lo <= a and b <= hi]
@@ -170,7 +179,8 @@ class Region:
         for i, j in self.base:
             busy[i:j] = True
         blank = [text[cuts[i]].isspace() for i in range(self.n)]
-        hot = np.concatenate(([0], np.cumsum([text[cuts[i]].isdigit() or text[cuts[i]] == "@" for i in range(self.n)])))
+        at = {m.start() + 1 for m in _AT.finditer(text, lo, hi)}
+        hot = np.concatenate(([0], np.cumsum([text[cuts[i]].isdigit() or text[cuts[i]] == "@" or cuts[i] in at for i in range(self.n)])))
         taken = np.concatenate(([0], np.cumsum(busy)))
         self.segments = [(i, i + 1, None) for i in range(self.n)]
         for i in range(self.n):
@@ -179,9 +189,12 @@ class Region:
             for j in range(i + 1, min(self.n, i + LONGEST) + 1):
                 if taken[j] > taken[i]:
                     break
-                # a span begins and ends where a word does, and holds a digit or @
+                # a span begins and ends where a word does, and holds a digit, @ or disguised @
                 if not blank[j - 1] and hot[j] - hot[i] and cuts[j] - cuts[i] >= 7:
                     self.segments.append((i, j, None))
+        if gold:
+            known = {x[:2] for x in self.segments[self.n:]}
+            self.segments += [(i, j, None) for i, j in sorted({(index[a], index[b]) for _, a, b in gold} - known)]
         self.segments += [(i, j, k) for (i, j), k in self.base.items()]
         feats = [span_features(text, cuts[i], cuts[j]) for i, j, _ in self.segments]
         width = max(map(len, feats))
@@ -246,9 +259,8 @@ class Region:
         where = {x[:2]: k for k, x in enumerate(self.segments) if k >= self.n}
         covered = np.zeros(self.n, dtype=bool)
         for kind, a, b in gold:
-            if (a, b) in where:
-                want[where[a, b], kind] = 1
-                covered[a:b] = True
+            want[where[a, b], kind] = 1   # a KeyError here would be a gold span that is no candidate
+            covered[a:b] = True
         want[np.flatnonzero(~covered), O] = 1
         g = np.zeros_like(w)
         for y in range(O + 1):
@@ -261,7 +273,7 @@ class Region:
 
 def _disguised(rng: random.Random, kind: int, s: str) -> str:
     if kind == 0:
-        return s.replace("@", rng.choice((" [at] ", "[at]")), 1)
+        return s.replace("@", rng.choice((" [at] ", "[at]", " (at) ", "(at)")), 1)
     if kind == 1:
         return s.replace(".", "[.]")
     if kind == 2:
@@ -275,7 +287,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> np.ndarray |
     rng = random.Random(11)
     work = []
     for text, spans in samples:
-        work.append((Region(text, 0, len(text), []), text, spans))
+        work.append((Region(text, 0, len(text), [], spans), text, spans))
         flat = [s for s in spans if not any(o != s and o[1] < s[2] and s[1] < o[2] for o in spans)]
         out, new, last = "", [], 0
         for kind, a, b in sorted(flat, key=lambda s: s[1]):
@@ -285,7 +297,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> np.ndarray |
             out, last = out + put, b
         if new:
             out += text[last:]
-            work.append((Region(out, 0, len(out), []), out, new))
+            work.append((Region(out, 0, len(out), [], new), out, new))
     if not work:
         return None
     w = np.zeros((O + 1, N_FEATURES + 1))
@@ -294,7 +306,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> np.ndarray |
         rng.shuffle(work)
         for region, _, spans in work:
             index = {p: i for i, p in enumerate(region.at)}
-            gold = [(k, index[a], index[b]) for k, a, b in spans if a in index and b in index and index[b] - index[a] <= LONGEST]
+            gold = [(k, index[a], index[b]) for k, a, b in spans]
             g = region.gradient(w, gold) - SHRINK * w
             square += g * g
             w += RATE * g / np.sqrt(square)

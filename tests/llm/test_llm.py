@@ -88,6 +88,29 @@ def test_pii_keeps_base_spans_and_finds_disguised_ones(spark, odd_docs):
     assert pii.learn(documents(spark, [])) is None and pii.find(documents(spark, []), None).count() == 0
 
 
+def test_pii_finds_each_disguise_with_and_without_digits():
+    hosts = ("example.com", "mail.example.org", "longcompanyname.example.com")
+    texts = [f"write to {'joe' if i % 2 else 'jane.roe'}{i if i % 3 else ''}@{hosts[i % 3]} or call +1 (27{i % 10}) 555-{1000 + i} "
+             f"from 10.2.3.{i} with card 4111 1111 1111 1111 on line {i} of {i * 7} pages" for i in range(60)]
+    weights = pii.train([(t, pii.base_spans(t)) for t in texts])
+    for kind, span in ((0, "john.doe [at] example.com"), (0, "john.doe[at]example.com"), (0, "john.doe (at) example.com"), (0, "john.doe(at)example.com"),
+                       (0, "joe7 [at] longcompanyname.example.com"), (1, "10[.]2[.]3[.]4"), (2, "4111.1111.1111.1111"), (3, "001 (275) 555-1234")):
+        text = f"please write to {span} or ask the long way round about it"
+        at = text.index(span)
+        assert any(lo <= at and at + len(span) <= hi for lo, hi in pii.regions(text, []))
+        assert pii.find_spans(text, weights) == ([], [(kind, at, at + len(span))]), span
+
+
+def test_pii_gold_spans_are_candidates():
+    """Also those that are short, long or end inside a token."""
+    for s in ("a@b.c", "éjoe@x-y.com", "x.y." * 12 + "z@a.example.com", "+1" + " 2" * 13):
+        spans = pii.base_spans(s)
+        region = pii.Region(s, 0, len(s), [], spans)
+        for _, a, b in spans:
+            assert (region.at.index(a), region.at.index(b)) in {x[:2] for x in region.segments[region.n:]}
+        assert spans and pii.train([(s, spans)]) is not None
+
+
 # ---------------------------------------------------------------- 2
 
 @pytest.mark.parametrize("window, n", [(2048, 600), (64, 900), (8, 40), (2048, 1), (2048, 0)])

@@ -2,8 +2,9 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains,
 the longest fitting one wins.  URLs are nodes of a graph (scheme and fragment
-dropped, host lowered); a page's canonical link and its refresh redirect are
-edges to their targets.  Connected components of that graph are found by
+dropped, host lowered, dot segments folded); every canonical link and every
+refresh redirect of a page is an edge to its target, resolved against the page
+(or its ``base`` tag) as RFC 3986 has it.  Connected components of that graph are found by
 distributed rounds (see ``common.connected_components``); URLs that stand on
 several pages are one node.  A page without a rule takes its component's
 verdict: allow where any member has an allow rule (explicit allow comes
@@ -11,12 +12,15 @@ first), else block where any member has a block rule, else allow.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule and no node, and is allowed; a null html has no edges; repeated rows are
-judged each; targets that are no page still connect pages; an empty table
+judged each; targets that are no page still connect pages; a target of another
+scheme without ``://`` (``mailto:``) has no edge; an empty table
 gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +29,12 @@ from quarry.llm.common import Scratch, connected_components
 #: (host, path, verdict) of the task, fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-_LINK = r"""(?i)<link\s[^>]*rel\s*=\s*["']?canonical["']?[^>]*>"""
+# rel is a list of words, canonical is any of them
+_LINK = r"""(?i)<link\s[^>]*rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>"""
 _META = r"""(?i)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 _HREF = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?i)<base\s[^>]*href\s*=\s*["']?([^"'\s>]+)"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _TARGET = r"""(?i)url\s*=\s*['"]?([^"'\s>]+)"""
 
 
@@ -49,10 +56,43 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which stands in the plan once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    nothing = F.array().cast("array<string>")
+
+    def fold(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, 2, F.size(parts)), nothing, lambda acc, s: F.when(s == ".", acc).when(
+            s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+        # a path that ends in a dot segment names a folder
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(nothing)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+    return F.when(path.contains("/."), _let(F.split(path, "/"), fold)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """Identity of a URL in the graph; null without host."""
-    node = F.concat(host_of(url), F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1))
-    return F.when(host_of(url) != "", node)
+    def node(rest: Column) -> Column:
+        host = _lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
+        path = _let(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), _folded)
+        return F.when(host != "", F.concat(host, path, F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)))
+    return _let(_rest(url), node)
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The target ``to`` of a page at ``url`` as a whole URL; null without a target."""
+    def whole(to: Column, url: Column, site: Column, path: Column) -> Column:
+        folder = F.regexp_replace(path, r"[^/]*$", "")
+        return (F.when(to == "", None).when(to.rlike(_SCHEME + "//"), to).when(to.rlike(_SCHEME), None)
+                .when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(site, to))
+                .when(to.startswith("#"), url).when(to.startswith("?"), F.concat(site, path, to))
+                .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), to)))
+    return _let(F.struct(to.alias("to"), url.alias("url"), F.concat(F.regexp_extract(url, r"^([^:]*://)", 1), host_of(url)).alias("site"),
+                         path_of(url).alias("path")), lambda v: whole(v["to"], v["url"], v["site"], v["path"]))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -66,16 +106,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def edges_of(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's node and the node it declares itself an alias of."""
-    whole = F.coalesce(F.col("html"), F.lit(""))
-    targets = F.array(F.regexp_extract(F.regexp_extract(whole, _LINK, 0), _HREF, 1),
-                      F.regexp_extract(F.regexp_extract(whole, _META, 0), _TARGET, 1))
-    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    # targets without a host of their own stay on the page's host
-    base = F.concat(F.regexp_extract("url", r"^([^:]*://)", 1), host_of(F.col("url")))
-    to = (F.when(to == "", None).when(F.instr(to, "://") > 0, to)
-          .when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(base, to)))
-    return (pages.select("url", F.explode(targets).alias("to")).select(node_of(F.col("url")).alias("a"), node_of(to).alias("b"))
+    """(a, b): a page's node and the nodes it declares itself an alias of."""
+    def plain(c: Column) -> Column:
+        return F.replace(c, F.lit("&amp;"), F.lit("&"))
+
+    def targets(tag: str, value: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: plain(F.regexp_extract(t, value, 1)))
+    found = pages.select("url", plain(F.regexp_extract("html", _BASE, 1)).alias("base"),
+                         F.explode(F.concat(targets(_LINK, _HREF), targets(_META, _TARGET))).alias("to"))
+    whole = found.select("url", "to", F.coalesce(resolved(F.col("base"), F.col("url")), "url").alias("base"))
+    return (whole.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("to"), F.col("base"))).alias("b"))
             .where("a is not null and b is not null and a <> b").distinct())
 
 

@@ -219,6 +219,32 @@ def test_redirects_share_verdicts(spark):
     assert got[9].host == "www.example.com" and got[9].path == "/de/a" and got[9].rule == "example.com/de/" and got[8].host == got[7].path == ""
 
 
+def test_redirect_targets_are_resolved_like_urljoin(spark):
+    from urllib.parse import urljoin, urlsplit
+    targets = ["next.html", "?page=1", "./a", "../b", "../../../c/./d/..", "/x/../y?q=../z", "//Other.org/p", "http://A.net/k#f", "a?u=http://x.org/", "sub/", "..", "#top"]
+    pages, want = [], set()
+
+    def node(u):
+        s = urlsplit(u)
+        return s.netloc.lower() + s.path + (f"?{s.query}" if s.query else "")
+    for i, url in enumerate(["http://ex.com/d/e/f.html?k=1", "http://ex.com/d/e/", "http://Ex.com/top"]):
+        for to in targets:
+            pages.append((len(pages), url, f'<link href="{to}" rel="alternate canonical">'))
+            want.add((node(url), node(urljoin(url, to))))
+    # all tags of a page, words before and after, a base tag; no edge from other rel values and schemes
+    pages.append((90, "http://m.com/a/b", "<LINK REL='canonical' href=c><link rel=canonical href=/d><meta http-equiv=refresh content='0;url=e'>"
+                                          '<meta http-equiv="refresh" content="1; URL=f.html"><link rel="canonical nofollow" href="mailto:x@y.z">'
+                                          '<link rel="canonicals" href="no"><link rel="next" href="no">'))
+    want |= {("m.com/a/b", x) for x in ("m.com/a/c", "m.com/d", "m.com/a/e", "m.com/a/f.html")}
+    pages.append((91, "http://b.com/a", '<base href="/deep/er/"><link rel="canonical" href="page">'))
+    want.add(("b.com/a", "b.com/deep/er/page"))
+    df = spark.createDataFrame(pages + [(92, None, "<link rel=canonical href=q>"), (93, "http://n.com/", None)], "page_id long, url string, html string")
+    assert {(r.a, r.b) for r in url_filters.edges_of(df).collect()} == {(a, b) for a, b in want if a != b}
+    df = spark.createDataFrame([(1, "http://ok.com/x/alias", '<link rel="alternate canonical" href="../de/p">'), (2, "http://example.com/t", '<meta http-equiv=refresh content="0;url=de/p">'),
+                                (3, "http://ok.com/de/p", '<link rel=canonical href=q><link rel=canonical href="//example.com/de/p">')], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filters.judge(df).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_components_of_chains_and_hubs(spark):
     r = random.Random(7)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(r.randint(2000, 2400), r.randint(2000, 2400)) for _ in range(250)]

@@ -200,7 +200,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{r}")
         if pairs.isEmpty():
-            break
+            continue   # a round may name only pivots that were tested before; the prefix rule still follows
         tested = pairs if tested is None else tested.union(pairs)
         links = scratch.save(_linked(pairs, narrow, texts, k, num, den), f"links{r}")
         at = labels.select(F.col("rep").alias("x"), F.col("comp").alias("a"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,3 +435,25 @@ def test_prefix_rule_alone_finds_every_link(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in minhash_dedup.components(df, 3, 85, 100).collect()}
     assert 1 < len(set(comp)) < len(texts)
     assert found == dict(enumerate(comp))
+
+
+def test_pivot_rounds_without_new_pairs_do_not_skip_the_prefix_rule(spark):
+    """Three texts whose shared buckets all hold the first one, which is the pivot of
+    every round and links to neither: the other two still link by the prefix rule."""
+    def bands(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+        return [set(x) for x in next(minhash_dedup._batches(3)(iter([batch]))).column("bands").to_pylist()]
+    for seed in range(2000):
+        base = [f"w{seed}x{i}" for i in range(62)]
+        changed = lambda at: " ".join(f"{w}{at[i]}" if i in at else w for i, w in enumerate(base))
+        texts = [changed({20: "a", 50: "a"}), changed({}), changed({20: "b"})]
+        first, x, y = bands(texts)
+        if x & y and x & y <= first:
+            break
+    ids, rank = spark.range(2000), lambda d, r: F.xxhash64(F.col("id") + d, F.lit(r))
+    for r in range(minhash_dedup.PIVOT_ROUNDS):
+        ids = ids.where((rank(0, r) < rank(1, r)) & (rank(0, r) < rank(2, r)))
+    least = ids.first().id
+    df = spark.createDataFrame([(least + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id - least: r.component_id - least for r in minhash_dedup.components(df, 3, 85, 100).collect()}
+    assert found == {0: 0, 1: 1, 2: 1}

@@ -8,9 +8,11 @@ count, separators, checksum, neighbours), and a bounded dynamic programme
 chooses boundaries and kinds of all segments of a region at once.  Base spans
 are fixed segments of that programme, so they always stay; what it finds
 beside them is added when its segment beats the same tokens left outside by
-``MARGIN``.  The weights maximise the conditional likelihood of regions from
-at most ``SAMPLE_DOCS`` documents (those with the least hash of doc_id, a
-documented bound): base spans as they are, and the same spans in disguise
+``MARGIN``.  The weights maximise the conditional likelihood of regions drawn
+from all documents, those with the least hash of their text: at most
+``SAMPLE_PLAIN`` distinct ones without a base span and ``SAMPLE_KIND`` with a span of
+each kind (documented bounds; of a region over ``PIECE`` characters the
+surroundings of each base span, or its beginning): base spans as they are, and the same spans in disguise
 (``00`` or no ``+`` before a phone number, ``[at]``, ``(at)``, ``[.]``, dots in a
 card number), which the base rules cannot see; every such span is a candidate.
 
@@ -25,19 +27,23 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches
+from quarry.llm.common import Scratch, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 O = len(KINDS)  # the label of a token outside every span
 LONGEST = 24
 MARGIN = 3.0
-SAMPLE_DOCS = 4000
+#: Distinct regions learned from: without a base span, and with one of each kind.
+SAMPLE_PLAIN, SAMPLE_KIND = 300, 100
+#: Characters of a region that is learned from whole.
+PIECE = 400
 EPOCHS, RATE, SHRINK = 6, 0.15, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -313,31 +319,49 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> np.ndarray |
     return w
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        text, spans, key = [], [], []
-        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            base = base_spans(t or "")
-            for lo, hi in regions(t or "", base):
-                if hi - lo <= 400:
-                    text.append(t[lo:hi])
-                    spans.append([x for k, a, c in base if lo <= a and c <= hi for x in (k, a - lo, c - lo)])
-                    key.append(d)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(text, pa.string()), pa.array(spans, pa.list_(pa.int32()))],
-                                         names=["doc_id", "text", "spans"])
+def _pieces(text: str) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """(piece, its base spans) of the regions of a text."""
+    base = base_spans(text)
+    for lo, hi in regions(text, base):
+        own = [s for s in base if lo <= s[1] and s[2] <= hi]
+        cuts = [(lo, hi)]
+        if hi - lo > PIECE:
+            reach = PIECE // 4
+            cuts = sorted({(max(lo, a - reach), min(hi, c + reach)) for _, a, c in own}) or [(lo, lo + PIECE)]
+        for p, q in cuts:
+            # a span that a cut would part stays whole
+            p, q = min([p, *(a for _, a, c in own if a < p < c)]), max([q, *(c for _, a, c in own if a < q < c)])
+            yield text[p:q], [(k, a - p, c - p) for k, a, c in own if p <= a and c <= q]
 
 
-#: Regions learned from.
-SAMPLE_REGIONS = 500
+def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class (each kind, and no span) the pieces of least hash of one partition."""
+    least: list[dict[str, tuple]] = [{} for _ in range(O + 1)]
+    bound = [SAMPLE_KIND] * O + [SAMPLE_PLAIN]
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            for piece, spans in _pieces(t or ""):
+                row = (blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), piece, spans)
+                for c in {k for k, _, _ in spans} or {O}:
+                    least[c][piece] = row
+                    if len(least[c]) >= 4 * bound[c]:
+                        least[c] = {r[1]: r for r in sorted(least[c].values())[:bound[c]]}
+    rows = [(c, *r) for c in range(O + 1) for r in sorted(least[c].values())[:bound[c]]]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()),
+         pa.array([[x for s in r[3] for x in s] for r in rows], pa.list_(pa.int32()))], names=["class", "hash", "text", "spans"])
 
 
 def learn(docs: DataFrame) -> np.ndarray | None:
-    """Weights from the regions of a bounded sample of documents."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = slim.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    found = map_batches(slim.join(F.broadcast(ids), "doc_id"), _sample_batches, "doc_id long, text string, spans array<int>")
-    rows = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(SAMPLE_REGIONS).collect()
-    return train([(r.text, [tuple(r.spans[i:i + 3]) for i in range(0, len(r.spans), 3)]) for r in rows])
+    """Weights from a bounded sample of the regions of all documents, drawn by class."""
+    found = map_batches(docs.select("text"), _sample_batches, "class int, hash string, text string, spans array<int>")
+    found = Scratch(docs.sparkSession, "pii").save(found, "sample")
+    rows = {}
+    for c in range(O + 1):
+        own = found.where(F.col("class") == c).select("hash", "text", "spans").distinct()
+        for r in own.orderBy("hash", "text").limit(SAMPLE_PLAIN if c == O else SAMPLE_KIND).collect():
+            rows[r.hash, r.text] = r.spans
+    return train([(text, [tuple(x[i:i + 3]) for i in range(0, len(x), 3)]) for (_, text), x in sorted(rows.items())])
 
 
 # ---------------------------------------------------------------- finding

@@ -112,6 +112,19 @@ def test_pii_gold_spans_are_candidates():
         assert spans and pii.train([(s, spans)]) is not None
 
 
+def test_pii_sample_holds_every_kind_however_rare():
+    texts = [f"row {i} of {i * 31} numbers" for i in range(3000)]
+    texts[1717] = "host 10.2.3.4 answers " + "1 2 3 " * 300
+    texts[2020] = "mail joe@example.com"
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    rows = next(pii._sample_batches(iter([batch]))).to_pylist()
+    assert Counter(r["class"] for r in rows) == {0: 1, 1: 1, pii.O: pii.SAMPLE_PLAIN}
+    for r in rows:
+        assert len(r["text"]) <= pii.PIECE and r["spans"][:1] == ([r["class"]] if r["class"] != pii.O else [])
+        if r["spans"]:
+            assert r["text"][slice(*r["spans"][1:])] in ("10.2.3.4", "joe@example.com")
+
+
 # ---------------------------------------------------------------- 2
 
 @pytest.mark.parametrize("window, n", [(2048, 600), (64, 900), (8, 40), (2048, 1), (2048, 0)])

@@ -325,6 +325,13 @@ def t6_validate_corpus(spark, sf):
     return v.select("repo", "go", "py", "cpp", "primary_language", "python_ok", "python_files", "syntax_errors")
 
 
+@query("a8_syntax_messages")
+def a8_syntax_messages(spark, sf):
+    """All syntax messages of a repo's Python files, beside their count."""
+    v = VA.repo_syntax_report(TB.code_files(spark, sf))
+    return v.select("repo", "python_files", "syntax_errors", "messages")
+
+
 @query("c7_check_compilation")
 def c7_check_compilation(spark, sf):
     """C7 + W4: the first five .py files of each repo parse."""

@@ -133,3 +133,20 @@ def test_broadcast_is_bounded_by_bytes(spark):
     for bound, held in ((20_000, True), (5_000, False)):
         plan = big.join(bounded_broadcast(one, bound), "path")._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) == held
+
+
+def test_registered_query_gives_all_syntax_messages(spark, monkeypatch):
+    from quarry.plans import queries as Q
+    from tests.conftest import files_df
+    texts = {"src/a/x.py": "def True(:\n", "src/a/b.py": "x = (\n", "src/a/ok.py": "x = 1\n", "src/b/ok.py": "y = 2\n", "src/a/z.go": "def True("}
+    monkeypatch.setattr(Q.TB, "code_files", lambda spark, sf: files_df(spark, list(texts.items())))
+    got = {r.repo: r for r in Q.QUERIES["a8_syntax_messages"](spark, "").collect()}
+    want = []
+    for path in ("src/a/b.py", "src/a/x.py"):
+        try:
+            compile(texts[path], path, "exec")
+        except SyntaxError as e:
+            want.append(e.msg)
+    parts = got["a"].messages.split("; ")
+    assert len(parts) == got["a"].syntax_errors == 2 and all(w in p for w, p in zip(want, parts))
+    assert got["b"].messages is None and got["b"].syntax_errors == 0 and got["a"].python_files == 3

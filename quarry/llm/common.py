@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
@@ -59,6 +60,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def positions(df: DataFrame, key: str, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with ``pos``, a row's place from 0 among the rows of its ``key``
+    in the given order, and ``total``, the rows of its key.  One range shuffle
+    on key and order, so a key of any size is spread over tasks; a task's rows
+    of a key are then shifted by those of earlier tasks, from one count per
+    (task, key).  ``key`` must not be null; give a table, as its ranges are
+    found by reading it once more."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.asc(key), *order]
+    rows = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("row_", F.monotonically_increasing_id())
+    # the upper bits of that number are the task's, the lower ones count its rows
+    rows = scratch.save(rows, name).withColumn("task_", F.shiftright("row_", 33))
+    runs = rows.groupBy("task_", key).agg(F.min("row_").alias("first_"), F.count("*").alias("n_"))
+    of_key = W.partitionBy(key)
+    runs = runs.select("task_", key, (F.sum("n_").over(of_key.orderBy("task_")) - F.col("n_") - F.col("first_")).alias("shift_"),
+                       F.sum("n_").over(of_key).alias("total"))
+    return rows.join(runs, ["task_", key]).withColumn("pos", F.col("row_") + F.col("shift_")).drop("task_", "row_", "shift_")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the
     smallest node reachable.  Alternating large-star and small-star steps

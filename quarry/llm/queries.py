@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe, language_ppm, lattice_dedup, merkle_manifest, minhash_dedup, packing, pii, quality_classifier, quality_rules,
-                        records, token_counts, url_filters)
+from quarry.llm import (bpe, language_ppm, lattice_dedup, merkle_manifest, minhash_dedup, packing, pii, prefix_trie, quality_classifier,
+                        quality_rules, records, token_counts, url_filters)
 from quarry.llm.common import Scratch, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -104,6 +104,11 @@ def op11_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ppm.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op12_half_depth_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    return prefix_trie.build(*prefix_trie.rebuild(prefix_trie.turns(table(spark, sf_dir, "conversations"), scratch), scratch), scratch)
+
+
 def tampered_leaf() -> Column:
     """The leaf after its text's A-Z are lower-cased, where 3 divides the CRC-32 of doc_id; else null."""
     upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
@@ -120,4 +125,4 @@ def op13_midstate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_sum_of_squares_packing, op3_edit_aware_counts, op4_redirect_equivalence, op5_attention_mil, op6_robust_outliers,
     op7_lattice_hashing, op8_min_max_hashing, op9_token_records, op10_streaming_bpe,
-    op11_partial_matching, op13_midstate_tree)}
+    op11_partial_matching, op12_half_depth_trie, op13_midstate_tree)}

@@ -3,8 +3,9 @@
 Inputs are tables: ``attempts(submission_id, task_id)`` says which tasks a
 submission is scored on; ``submissions(submission_id, patch_applied,
 compile_ok, elapsed_minutes)``; ``texts(submission_id, kind, text)`` is the
-answer text (S9/S10); ``files`` is the corpus after the patch.  Everything that
-depends only on the task and the corpus (file checks, grep hits, fix
+answer text (S9/S10); ``files`` is the corpus after the patch, or the base that
+the submissions' own trees share (``changed``, see ``overlay``).  Everything
+that depends only on the task and the corpus (file checks, grep hits, fix
 patterns) is computed once per task and joined to the attempts; every join is
 an equi-join on a key.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scoring as SC
 from quarry.functions import text as TX
+from quarry.operators import overlay as OV
 from quarry.operators.joins import bounded_broadcast
 from quarry.session import cut_lineage
 
@@ -112,18 +114,29 @@ def score_cross_file(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, te
 
 # ------------------------------------------------------------------------ C2
 
-def rename_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, boundary: str = "unicode") -> DataFrame:
-    """J4 + F17 + A11/A12 per task: expected changes checked against the
-    corpus (a missing file counts as missed)."""
+def rename_check(boundary: str = "unicode") -> Callable[[F.Column], dict]:
+    """F17 + A12: what one expected file counts for (a missing one as missed)."""
+    return lambda content: {"correctly_modified": F.coalesce(
+        (TX.count_word(content, "symbol_to_rename", boundary) <= 2) & (TX.count_word(content, "new_name", boundary) >= 1),
+        F.lit(False)).cast("int")}
+
+
+def rename_file_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, boundary: str = "unicode") -> DataFrame:
+    """J4 per (task, expected file) on the corpus."""
     t = (tasks.filter(F.col("type") == "refactor_rename")
          .select("task_id", "symbol_to_rename", "new_name").join(_long(truth, "expected_changes", ["file"]), "task_id"))
-    j = _with_content(t, files)
-    ok = (F.col("content").isNotNull()
-          & (TX.count_word("content", "symbol_to_rename", boundary) <= 2)
-          & (TX.count_word("content", "new_name", boundary) >= 1))
-    return (j.groupBy("task_id").agg(
+    return _with_content(t, files).select(*t.columns, *[e.alias(c) for c, e in rename_check(boundary)(F.col("content")).items()])
+
+
+def rename_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, boundary: str = "unicode") -> DataFrame:
+    """A11 per task."""
+    return _rename_totals(rename_file_checks(tasks, truth, files, boundary))
+
+
+def _rename_totals(per_file: DataFrame) -> DataFrame:
+    return (per_file.groupBy("task_id").agg(
         F.count("file").cast("int").alias("files_checked"),
-        F.count_if(F.col("file").isNotNull() & ok).cast("int").alias("correctly_modified")))
+        F.count_if(F.col("file").isNotNull() & (F.col("correctly_modified") > 0)).cast("int").alias("correctly_modified")))
 
 
 PROBE_GRAM = 3
@@ -164,7 +177,22 @@ def names_in_words(names: DataFrame, words: DataFrame) -> DataFrame:
 def rename_false_positives(tasks: DataFrame, files: DataFrame, first_n: int = 50, cap: int = 10) -> DataFrame:
     """A13 per task: of the first ``first_n`` lines (by path, line) of
     .go/.py/.cpp files that contain the new name, those that look like a
-    comment or string (F42), capped.
+    comment or string (F42), capped."""
+    return _noise_totals(tasks, rename_hits(tasks, files), first_n, cap)
+
+
+def _noise_totals(tasks: DataFrame, lines: DataFrame, first_n: int = 50, cap: int = 10) -> DataFrame:
+    w = Window.partitionBy("task_id").orderBy("path", "line_no")
+    first = lines.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first_n)   # WindowGroupLimit
+    fp = first.groupBy("task_id").agg(F.least(F.count_if(SC.noise_line("path", "line")), F.lit(cap)).cast("int")
+                                      .alias("false_positives"))
+    return (tasks.filter(F.col("type") == "refactor_rename").select("task_id")
+            .join(fp, "task_id", "left").fillna(0, ["false_positives"]))
+
+
+def rename_hits(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """(task_id, new_name, path, line_no, line): every line of .go/.py/.cpp
+    files that contains the task's new name.
 
     The name is searched as a substring.  A line that contains it contains its
     longest run without white space inside one word, so the distinct words of
@@ -180,28 +208,32 @@ def rename_false_positives(tasks: DataFrame, files: DataFrame, first_n: int = 50
     cand = words.join(bounded_broadcast(holders), "word").select("new_name", "path").distinct()
     cand = cut_lineage(cand.join(names, "new_name").select("task_id", "new_name", "path"))
     need = bounded_broadcast(cand.select("path").distinct())
-    lines = (src.join(need, "path").join(cand, "path")
-             .select("task_id", "new_name", "path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
-             .filter(F.col("line").contains(F.col("new_name"))))
-    w = Window.partitionBy("task_id").orderBy("path", "line_no")
-    first = lines.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first_n)   # WindowGroupLimit
-    fp = first.groupBy("task_id").agg(F.least(F.count_if(SC.noise_line("path", "line")), F.lit(cap)).cast("int")
-                                      .alias("false_positives"))
-    return t.select("task_id").join(fp, "task_id", "left").fillna(0, ["false_positives"])
+    return (src.join(need, "path").join(cand, "path")
+            .select("task_id", "new_name", "path", F.posexplode(TX.split_lines("content")).alias("line_no", "line"))
+            .filter(F.col("line").contains(F.col("new_name"))))
 
 
 def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: DataFrame,
                  submissions: DataFrame, boundary: str = "unicode",
-                 all_files: DataFrame | None = None) -> DataFrame:
+                 all_files: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
     """C2.  ``files`` serves the expected-change checks; the false-positive
-    grep reads ``all_files`` (the whole corpus) when given."""
+    grep reads ``all_files`` (the whole corpus) when given.  ``changed`` are the
+    files the submissions' own trees change (``overlay.latest``)."""
     t = tasks.filter(F.col("type") == "refactor_rename").select("task_id", "type", "ground_truth",
                                                                  "symbol_to_rename", "new_name")
+    per_file = rename_file_checks(tasks, truth, files, boundary)
+    lines = rename_hits(tasks, all_files if all_files is not None else files)
+    if changed is not None:      # read for the tasks and again for the trees
+        per_file, lines = cut_lineage(per_file), cut_lineage(lines)
     per_task = (t.join(truth.select("task_id").distinct().withColumn("_has_truth", F.lit(True)), "task_id", "left")
-                .join(rename_task_checks(tasks, truth, files, boundary), "task_id", "left")
-                .join(rename_false_positives(tasks, all_files if all_files is not None else files),
-                      "task_id", "left"))
+                .join(_rename_totals(per_file), "task_id", "left")
+                .join(_noise_totals(tasks, lines), "task_id", "left"))
     a = attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
+    if changed is not None:
+        a = (a.join(OV.deltas(per_file, attempts, changed, rename_check(boundary)), ["submission_id", "task_id"], "left")
+             .join(OV.rename_noise(t, lines, attempts, changed), ["submission_id", "task_id"], "left")
+             .withColumn("correctly_modified", F.coalesce("correctly_modified", F.lit(0)) + F.coalesce("d_correctly_modified", F.lit(0)))
+             .withColumn("false_positives", F.coalesce("own_false_positives", "false_positives")))
     applied = F.coalesce(F.col("patch_applied"), F.lit(False))
     no_truth = applied & F.col("_has_truth").isNull()
     no_names = applied & ~no_truth & ((F.coalesce("symbol_to_rename", F.lit("")) == "") |
@@ -225,32 +257,53 @@ def score_rename(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files:
 
 # ------------------------------------------------------------------------ C3
 
-def api_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, boundary: str = "unicode") -> DataFrame:
-    """J5 + F18 + A14/A15 per task; callsites in missing files count for
-    neither counter (P15) but stay in the denominators."""
+def api_check(boundary: str = "unicode") -> Callable[[F.Column], dict]:
+    """F18 + A15: what one callsite's file counts for; a missing file for
+    neither counter (P15)."""
+    def check(content):
+        found = (TX.count_calls(content, "old_func", boundary) == 0) & (TX.count_calls(content, "new_func", boundary) > 0)
+        needs = F.coalesce(F.col("needs_upgrade"), F.lit(False))
+        return {"actual_upgrades": F.coalesce(content.isNotNull() & needs & found, F.lit(False)).cast("int"),
+                "preserved_legacy": F.coalesce(content.isNotNull() & ~needs & ~found, F.lit(False)).cast("int")}
+    return check
+
+
+def api_file_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, boundary: str = "unicode") -> DataFrame:
+    """J5 per (task, callsite) on the corpus."""
     t = (tasks.filter(F.col("type") == "api_upgrade")
          .select("task_id", TX.api_name("old_api").alias("old_func"), TX.api_name("new_api").alias("new_func"))
          .join(_long(truth, "callsites", ["file", "needs_upgrade"]), "task_id"))
-    j = _with_content(t, files)
-    exists = F.col("content").isNotNull()
-    found = (TX.count_calls("content", "old_func", boundary) == 0) & (TX.count_calls("content", "new_func", boundary) > 0)
-    needs = F.coalesce(F.col("needs_upgrade"), F.lit(False))
-    return j.groupBy("task_id").agg(
+    return _with_content(t, files).select(*t.columns, *[e.alias(c) for c, e in api_check(boundary)(F.col("content")).items()])
+
+
+def api_task_checks(tasks: DataFrame, truth: DataFrame, files: DataFrame, boundary: str = "unicode") -> DataFrame:
+    """A14 per task; callsites in missing files stay in the denominators."""
+    return _api_totals(api_file_checks(tasks, truth, files, boundary))
+
+
+def _api_totals(per_file: DataFrame) -> DataFrame:
+    return per_file.groupBy("task_id").agg(
         F.count("file").cast("int").alias("total_callsites"),
-        F.count_if(F.col("file").isNotNull() & needs).cast("int").alias("expected_upgrades"),
-        F.count_if(exists & needs & found).cast("int").alias("actual_upgrades"),
-        F.count_if(exists & ~needs & ~found).cast("int").alias("preserved_legacy"))
+        F.count_if(F.col("file").isNotNull() & F.coalesce(F.col("needs_upgrade"), F.lit(False))).cast("int").alias("expected_upgrades"),
+        F.sum("actual_upgrades").cast("int").alias("actual_upgrades"),
+        F.sum("preserved_legacy").cast("int").alias("preserved_legacy"))
 
 
 def score_api(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: DataFrame,
-              submissions: DataFrame, boundary: str = "unicode") -> DataFrame:
+              submissions: DataFrame, boundary: str = "unicode", changed: DataFrame | None = None) -> DataFrame:
     t = tasks.filter(F.col("type") == "api_upgrade").select(
         "task_id", "type", "ground_truth", "old_api", "new_api",
         TX.api_name(F.coalesce("old_api", F.lit(""))).alias("old_func"),
         TX.api_name(F.coalesce("new_api", F.lit(""))).alias("new_func"))
+    per_file = api_file_checks(tasks, truth, files, boundary)
+    if changed is not None:
+        per_file = cut_lineage(per_file)
     per_task = (t.join(truth.select("task_id").distinct().withColumn("_has_truth", F.lit(True)), "task_id", "left")
-                .join(api_task_checks(tasks, truth, files, boundary), "task_id", "left"))
+                .join(_api_totals(per_file), "task_id", "left"))
     a = attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
+    if changed is not None:
+        a = a.join(OV.deltas(per_file, attempts, changed, api_check(boundary)), ["submission_id", "task_id"], "left").withColumns(
+            {c: F.coalesce(c, F.lit(0)) + F.coalesce(f"d_{c}", F.lit(0)) for c in ("actual_upgrades", "preserved_legacy")})
     applied = F.coalesce(F.col("patch_applied"), F.lit(False))
     no_truth = applied & F.col("_has_truth").isNull()
     no_api = applied & ~no_truth & ((F.coalesce("old_api", F.lit("")) == "") | (F.coalesce("new_api", F.lit("")) == ""))
@@ -275,30 +328,45 @@ def score_api(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: Da
 
 # ------------------------------------------------------------------------ C4
 
+def line_range_text(content: F.Column, first: F.Column, last: F.Column) -> F.Column:
+    """the lines ``first`` to ``last`` (from 1) of a text, joined."""
+    lines = TX.split_lines(content)
+    n = F.size(lines) - F.when(content.endswith("\n"), 1).otherwise(0)
+    start = F.greatest(first - 1, F.lit(0))
+    end = F.least(n, last)
+    return F.array_join(F.when(end > start, F.slice(lines, start + 1, end - start)).otherwise(F.array().cast("array<string>")), "\n")
+
+
+def bug_check(content: F.Column) -> dict:
+    """whether the expected lines of the expected file, joined and
+    lower-cased, hold a fix pattern."""
+    text = line_range_text(content, F.try_element_at("lr", F.lit(1)), F.try_element_at("lr", F.lit(2)))
+    return {"fix_found": F.coalesce((F.size("lr") >= 2) & SC.has_fix_pattern(F.lower(text)), F.lit(False)).cast("int")}
+
+
 def bug_fix_checks(truth: DataFrame, files: DataFrame) -> DataFrame:
-    """J6/F37/F38 per task: the expected lines of the expected file, joined
-    and lower-cased, hold a fix pattern."""
+    """J6 per task on the corpus."""
     b = truth.select("task_id", F.col("bug_location.file").alias("file"),
                      F.col("bug_location.line_range").alias("lr"))
-    j = _with_content(b, files).filter(F.col("content").isNotNull())
-    lines = TX.split_lines("content")
-    n = F.size(lines) - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
-    start = F.greatest(F.try_element_at("lr", F.lit(1)) - 1, F.lit(0))
-    end = F.least(n, F.try_element_at("lr", F.lit(2)))
-    sl = F.when(end > start, F.slice(lines, start + 1, end - start)).otherwise(F.array().cast("array<string>"))
-    ok = (F.size("lr") >= 2) & SC.has_fix_pattern(F.lower(F.array_join(sl, "\n")))
-    return j.select("task_id", ok.alias("fix_found"))
+    return _with_content(b, files).select(*b.columns, *[e.alias(c) for c, e in bug_check(F.col("content")).items()])
 
 
 def score_bug(attempts: DataFrame, tasks: DataFrame, truth: DataFrame, files: DataFrame,
-              submissions: DataFrame, texts: DataFrame) -> DataFrame:
+              submissions: DataFrame, texts: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     t = tasks.filter(F.col("type") == "bug_localization").select("task_id", "type", "ground_truth")
+    per_file = bug_fix_checks(truth, files)
+    if changed is not None:
+        per_file = cut_lineage(per_file)
     per_task = (t.join(truth.select("task_id", F.col("bug_location.file").alias("exp_file"),
                                     F.col("bug_location.line_range").alias("lr"))
                        .withColumn("_has_truth", F.lit(True)), "task_id", "left")
-                .join(bug_fix_checks(truth, files), "task_id", "left"))
+                .join(per_file.select("task_id", "fix_found"), "task_id", "left"))
     a = (attempts.join(per_task, "task_id").join(submissions, "submission_id", "left")
          .join(texts.filter(F.col("kind") == "bug").select("submission_id", "text"), "submission_id", "left"))
+    if changed is not None:
+        a = a.join(OV.deltas(per_file, attempts, changed, bug_check), ["submission_id", "task_id"], "left").withColumn(
+            "fix_found", F.coalesce("fix_found", F.lit(0)) + F.coalesce("d_fix_found", F.lit(0)))
+    a = a.withColumn("fix_found", F.coalesce("fix_found", F.lit(0)) > 0)
     applied = F.coalesce(F.col("patch_applied"), F.lit(False))
     no_truth = F.col("_has_truth").isNull()
     no_file = ~no_truth & (F.coalesce("exp_file", F.lit("")) == "")
@@ -334,11 +402,11 @@ def register_scorer(task_type: str, fn: Callable[..., DataFrame]) -> None:
 register_scorer("cross_file_reasoning", lambda c: score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"]))
 register_scorer("refactor_rename", lambda c: score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"],
                                                           c["submissions"], c.get("boundary", "unicode"),
-                                                          c.get("all_files")))
+                                                          c.get("all_files"), c.get("changed")))
 register_scorer("api_upgrade", lambda c: score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"],
-                                                   c["submissions"], c.get("boundary", "unicode")))
+                                                   c["submissions"], c.get("boundary", "unicode"), c.get("changed")))
 register_scorer("bug_localization", lambda c: score_bug(c["attempts"], c["tasks"], c["truth_bugs"], c["files"],
-                                                        c["submissions"], c["texts"]))
+                                                        c["submissions"], c["texts"], c.get("changed")))
 
 
 def score_all(ctx: dict) -> DataFrame:

@@ -555,6 +555,126 @@ FROM sc3"""
 ORACLE["c4_score_bug"] = _c4_sql()
 
 
+# Submissions' own trees: the derived patches laid over the after-patch corpus.
+def _patch_sql(targets: str, helped: str, harmed: str) -> str:
+    """patched: (submission_id, path, content) of the highest task; ``targets``
+    gives task_id, path and what the texts need."""
+    return f"""pv AS (SELECT DISTINCT a.submission_id, t.*,
+              ('0x' || substr(md5('42:patch:' || a.submission_id || ':' || t.task_id || ':' || t.path), 1, 12))::BIGINT % 4 AS v
+       FROM attempts a JOIN ({targets}) t USING (task_id)),
+pc AS (SELECT pv.submission_id, pv.task_id, pv.path, CASE v WHEN 1 THEN {helped} WHEN 2 THEN {harmed} END AS content
+       FROM pv JOIN after USING (path) WHERE v > 0),
+patched AS (SELECT submission_id, path, content FROM (
+    SELECT *, row_number() OVER (PARTITION BY submission_id, path ORDER BY task_id DESC) AS r FROM pc) WHERE r = 1),
+"""
+
+
+_R_TARGETS = "SELECT task_id, path, old, new FROM chg"
+_R_PATCH = _patch_sql(_R_TARGETS, "regexp_replace(content, '\\b' || new || '\\b', old, 'g')", "content || '// ' || new || chr(10)")
+_R_BASE = f"""{RENAME},
+after AS (SELECT c.path, coalesce(f.content, c.content) AS content, coalesce(sha256(f.content), c.sha) AS sha
+          FROM code_files c LEFT JOIN final f USING (path)),
+rtasks AS (SELECT printf('refactor_rename_%02d', rank) AS task_id, old, new FROM rmap),
+{SUBS},
+{_attempts('rtasks')},
+chg AS (SELECT t.task_id, t.old, t.new, p.path FROM rtasks t JOIN (SELECT DISTINCT symbol, path FROM code_symbols) p ON p.symbol = t.old),
+{_R_PATCH}"""
+
+ORACLE["c2_patched_rename"] = f"""{_R_BASE}chk AS (
+  SELECT a.submission_id, a.task_id, count(*) AS checked,
+         count(*) FILTER (WHERE x.content IS NOT NULL AND len(regexp_extract_all(x.content, '\\b' || c.old || '\\b')) <= 2
+                            AND len(regexp_extract_all(x.content, '\\b' || c.new || '\\b')) >= 1) AS correct
+  FROM attempts a JOIN chg c USING (task_id) LEFT JOIN patched o ON o.submission_id = a.submission_id AND o.path = c.path
+  LEFT JOIN after b ON b.path = c.path,
+  LATERAL (SELECT CASE WHEN o.path IS NOT NULL THEN o.content ELSE b.content END AS content) x
+  GROUP BY a.submission_id, a.task_id),
+src AS (SELECT path, content FROM after WHERE regexp_matches(path, '\\.(go|py|cpp)$')),
+tree AS (SELECT a.submission_id, a.task_id, t.new, s.path, s.content
+         FROM attempts a JOIN rtasks t USING (task_id) JOIN src s ON contains(s.content, t.new)
+         WHERE NOT EXISTS (SELECT 1 FROM patched o WHERE o.submission_id = a.submission_id AND o.path = s.path)
+         UNION ALL
+         SELECT a.submission_id, a.task_id, t.new, o.path, o.content
+         FROM attempts a JOIN rtasks t USING (task_id) JOIN patched o ON o.submission_id = a.submission_id
+         WHERE contains(o.content, t.new) AND regexp_matches(o.path, '\\.(go|py|cpp)$')),
+lines AS (SELECT submission_id, task_id, new, path, unnest(string_split(content, chr(10))) AS line,
+                 unnest(generate_series(0, len(string_split(content, chr(10))) - 1)) AS line_no FROM tree),
+hits AS (SELECT *, row_number() OVER (PARTITION BY submission_id, task_id ORDER BY path, line_no) AS r FROM lines WHERE contains(line, new)),
+fp AS (SELECT submission_id, task_id, least(count(*) FILTER (WHERE {_NOISE_L}), 10) AS fp FROM hits WHERE r <= 50 GROUP BY ALL),
+sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, s.compile_ok, coalesce(k.checked, 0) AS checked,
+              coalesce(k.correct, 0)::INTEGER AS correct, coalesce(f.fp, 0)::INTEGER AS fp
+       FROM attempts a LEFT JOIN chk k USING (submission_id, task_id) LEFT JOIN fp f USING (submission_id, task_id)
+       LEFT JOIN subs s USING (submission_id))
+SELECT submission_id, task_id, 'refactor_rename' AS type,
+       round(CASE WHEN NOT patch_applied THEN 0.0
+                  ELSE least(greatest(0.0, correct / greatest(checked, 1) - least(fp * 0.1::DOUBLE, 0.3::DOUBLE)
+                                      + CASE WHEN compile_ok THEN 0.1 ELSE 0.0 END), 1.0) END, 12) AS score,
+       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors, correct, fp
+FROM sc"""
+
+ORACLE["j4_submission_trees"] = f"""{_R_BASE}x AS (
+  SELECT o.submission_id, sha256(o.content) AS own, b.sha FROM patched o LEFT JOIN after b USING (path))
+SELECT submission_id, count(*) FILTER (WHERE own <> sha) AS modified, count(*) FILTER (WHERE sha IS NULL AND own IS NOT NULL) AS added,
+       count(*) FILTER (WHERE sha IS NOT NULL AND own IS NULL) AS deleted FROM x GROUP BY submission_id"""
+
+_A_MOVED = "regexp_replace(content, '\\b' || symbol || '\\s*\\(', v2_symbol || '(', 'g')"
+ORACLE["c3_patched_api"] = f"""{MIGRATE},
+after AS (SELECT * FROM ({RENAME}
+          SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path))),
+atasks AS (SELECT printf('api_upgrade_%02d', c.rank) AS task_id, r.symbol, r.v2_symbol FROM record r JOIN chosen c USING (symbol)),
+{SUBS},
+{_attempts('atasks')},
+cs AS (SELECT t.task_id, t.symbol, t.v2_symbol, u.path, p.path IS NOT NULL AS needs
+       FROM atasks t JOIN usages u USING (symbol) LEFT JOIN picked p ON p.symbol = u.symbol AND p.path = u.path),
+{_patch_sql("SELECT task_id, path, symbol, v2_symbol FROM cs", _A_MOVED, _A_MOVED)}cf AS (
+  SELECT a.submission_id, c.*, x.content IS NOT NULL AS present,
+         len(regexp_extract_all(x.content, '\\b' || c.symbol || '\\s*\\(')) = 0
+         AND len(regexp_extract_all(x.content, '\\b' || c.v2_symbol || '\\s*\\(')) > 0 AS found
+  FROM attempts a JOIN cs c USING (task_id) LEFT JOIN patched o ON o.submission_id = a.submission_id AND o.path = c.path
+  LEFT JOIN after b ON b.path = c.path, LATERAL (SELECT CASE WHEN o.path IS NOT NULL THEN o.content ELSE b.content END AS content) x),
+chk AS (SELECT submission_id, task_id, count(*) AS total, count(*) FILTER (WHERE needs) AS expected,
+               count(*) FILTER (WHERE present AND needs AND found) AS actual,
+               count(*) FILTER (WHERE present AND NOT needs AND NOT found) AS preserved FROM cf GROUP BY ALL),
+sc AS (SELECT a.submission_id, a.task_id, s.patch_applied, coalesce(total, 0) AS total, coalesce(expected, 0) AS expected,
+              coalesce(actual, 0)::INTEGER AS actual, coalesce(preserved, 0)::INTEGER AS preserved
+       FROM attempts a LEFT JOIN chk USING (submission_id, task_id) LEFT JOIN subs s USING (submission_id))
+SELECT submission_id, task_id, 'api_upgrade' AS type,
+       round(CASE WHEN NOT patch_applied THEN 0.0
+                  ELSE least(actual / greatest(expected, 1) * 0.7 + preserved / greatest(total - expected, 1) * 0.3, 1.0) END, 12) AS score,
+       CASE WHEN NOT patch_applied THEN 1 ELSE 0 END AS n_errors, actual, preserved
+FROM sc"""
+
+
+def _cited_texts(n_commits: int, cited: str) -> str:
+    """``_texts`` with the derived citing answers after the assistant's turns."""
+    return f"""{_texts(n_commits).replace('texts AS (', 'plain AS (', 1).replace("submission_id, coalesce(ft, '') || coalesce(ct, '') AS text", "submission_id, coalesce(ft, '') AS ft, coalesce(ct, '') AS ct")},
+cited AS (SELECT submission_id, string_agg(t || chr(10), '' ORDER BY t) AS xt FROM ({cited}) GROUP BY submission_id),
+texts AS (SELECT coalesce(p.submission_id, c.submission_id) AS submission_id, coalesce(ft, '') || coalesce(xt, '') || coalesce(ct, '') AS text
+          FROM plain p FULL OUTER JOIN cited c USING (submission_id))"""
+
+
+_CITE = "('0x' || substr(md5('42:cite:' || a.submission_id || ':' || a.task_id), 1, 12))::BIGINT % 3"
+_C1_CITED = f"""SELECT a.submission_id, CASE {_CITE} WHEN 1 THEN 'The caller takes the path over ' || t.wrapper_file || '::' || t.symbol || 'Wrapper to '
+           || t.original_file || '::' || t.symbol || ', a call flow of function and method; trace the implementation'
+         ELSE 'see ' || t.original_file || '::' || t.symbol END AS t
+  FROM attempts a JOIN ctasks t USING (task_id) WHERE {_CITE} > 0"""
+_c1 = _c1_sql(more=", text <> '' AND ff AS file_found")
+ORACLE["c1_cited_path"] = _c1.replace(f"{_texts(5)},\n{_attempts('ctasks')}", f"{_attempts('ctasks')},\n{_cited_texts(5, _C1_CITED)}")
+
+_C4_CITED = f"""SELECT a.submission_id, CASE {_CITE} WHEN 1 THEN 'lines ' || t.s || ' to ' || t.e || ' of ' || t.file || ' hold a copied passage'
+         ELSE 'near line ' || (t.e + 4) || ' of ' || regexp_extract(t.file, '([^/]*)$', 1) END AS t
+  FROM attempts a JOIN btasks t USING (task_id) WHERE {_CITE} > 0"""
+_B_FIXED = ("array_to_string(list_transform(string_split(content, chr(10)), lambda l, i: CASE WHEN i = s THEN 'if (x == null) return; ' || l ELSE l END), chr(10))")
+_c4 = _c4_sql(more=", file_score::DOUBLE AS file, loc::DOUBLE AS location, CASE WHEN patch_applied AND fix_found THEN 1.0 ELSE 0.0 END::DOUBLE AS fix")
+_c4 = _c4.replace(f"{_texts(3)},\n{_attempts('btasks')},\n", f"{_attempts('btasks')},\n{_cited_texts(3, _C4_CITED)},\n"
+                  + _patch_sql("SELECT task_id, file AS path, s FROM btasks", _B_FIXED, "''"))
+_c4 = _c4.replace("fx AS (SELECT t.task_id,", "fx AS (SELECT att.submission_id, t.task_id,").replace("FROM btasks t JOIN (SELECT path, string_split(content, chr(10)) AS ls,", """FROM attempts att JOIN btasks t USING (task_id) JOIN (SELECT submission_id, path, string_split(content, chr(10)) AS ls,""")
+_c4 = _c4.replace("FROM after) a ON a.path = t.file),", """FROM (SELECT x.submission_id, x.path, CASE WHEN o.path IS NOT NULL THEN o.content ELSE b.content END AS content
+                                 FROM (SELECT DISTINCT submission_id, file AS path FROM attempts JOIN btasks USING (task_id)) x
+                                 LEFT JOIN patched o USING (submission_id, path) LEFT JOIN after b USING (path)))
+                   a ON a.submission_id = att.submission_id AND a.path = t.file),""").replace("LEFT JOIN fx USING (task_id)", "LEFT JOIN fx USING (submission_id, task_id)")
+ORACLE["c4_patched_bug"] = _c4.replace("0 AS n_errors, loc::DOUBLE AS loc, file_score", "0 AS n_errors, file_score")
+
+
 _ALL_TASKS = f"""all_tasks AS (
   SELECT * FROM ({WRAP} SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, 'cross_file_reasoning' AS type,
                  'medium' AS difficulty, 10 AS max_time_minutes, symbol AS start_symbol, NULL::VARCHAR AS symbol_to_rename,

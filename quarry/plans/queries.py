@@ -260,6 +260,53 @@ def c5_score_all(spark, sf):
     return SCO.score_all(TB.scoring_context(spark, sf)).select(*_score_cols())
 
 
+def _patched(spark, sf, kind):
+    return TB.scoring_context(spark, sf, kinds=[kind], patched=True)
+
+
+@query("c1_cited_path")
+def c1_cited_path(spark, sf):
+    """C1 on answers that name steps of the call path."""
+    c = _patched(spark, sf, "cross_file_reasoning")
+    s = SCO.score_cross_file(c["attempts"], c["tasks"], c["truth_paths"], c["texts"])
+    return s.select(*_score_cols(), F.get_json_object("details", "$.call_chain_accuracy").cast("double").alias("acc"),
+                    F.get_json_object("details", "$.implementation_file_found").cast("boolean").alias("file_found"))
+
+
+@query("c2_patched_rename")
+def c2_patched_rename(spark, sf):
+    """C2 on every submission's own tree."""
+    c = _patched(spark, sf, "refactor_rename")
+    s = SCO.score_rename(c["attempts"], c["tasks"], c["truth_renames"], c["files"], c["submissions"], "ascii", c["all_files"], c["changed"])
+    return s.select(*_score_cols(), F.get_json_object("details", "$.correctly_modified").cast("int").alias("correct"),
+                    F.get_json_object("details", "$.false_positives").cast("int").alias("fp"))
+
+
+@query("c3_patched_api")
+def c3_patched_api(spark, sf):
+    """C3 on every submission's own tree."""
+    c = _patched(spark, sf, "api_upgrade")
+    s = SCO.score_api(c["attempts"], c["tasks"], c["truth_callsites"], c["files"], c["submissions"], "ascii", c["changed"])
+    return s.select(*_score_cols(), F.get_json_object("details", "$.actual_upgrades").cast("int").alias("actual"),
+                    F.get_json_object("details", "$.preserved_legacy").cast("int").alias("preserved"))
+
+
+@query("c4_patched_bug")
+def c4_patched_bug(spark, sf):
+    """C4 on every submission's own tree and on answers that name files and lines."""
+    c = _patched(spark, sf, "bug_localization")
+    s = SCO.score_bug(c["attempts"], c["tasks"], c["truth_bugs"], c["files"], c["submissions"], c["texts"], c["changed"])
+    return s.select(*_score_cols(), *[F.get_json_object("details", f"$.{k}_score").cast("double").alias(k) for k in ("file", "location", "fix")])
+
+
+@query("j4_submission_trees")
+def j4_submission_trees(spark, sf):
+    """What each submission's patch modifies, adds and deletes in the base."""
+    from quarry.operators import overlay as OV
+    c = _patched(spark, sf, "refactor_rename")
+    return OV.tree_summary(c["files"], c["changed"])
+
+
 @query("c6_report")
 def c6_report(spark, sf):
     """C6 + A17 + D1 + D2 per submission."""

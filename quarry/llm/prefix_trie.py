@@ -182,9 +182,9 @@ def build(sequence: DataFrame, lengths: DataFrame, scratch: Scratch) -> DataFram
     ends = _ends(steps.where("depth = n").select("depth", "node", "conv"), scratch)
     # the node above by its smallest member: a hot parent is a skewed side of an inner join, which Spark splits
     named = nodes.select((F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("conv").alias("parent_conv_id"))
-    first = nodes.where("depth = 0").select("conv").agg(F.min("conv").alias("root_conv"))
+    first = nodes.where("depth = 0").agg(F.min("conv")).first()[0]
     low = nodes.where("depth > 1").select("depth", "node", "parent").join(named, ["depth", "parent"]).select("depth", "node", "parent_conv_id")
-    top = nodes.where("depth = 1").select("depth", "node").join(F.broadcast(first)).select("depth", "node", F.col("root_conv").alias("parent_conv_id"))
+    top = nodes.where("depth = 1").select("depth", "node", F.lit(first).cast("long").alias("parent_conv_id"))
     facts = (totals.join(children, ["depth", "node"], "left").join(ends, ["depth", "node"], "left").join(low.union(top), ["depth", "node"], "left"))
     return nodes.select("depth", "node", "conv", "n_convs").join(facts, ["depth", "node"]).select(
         F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),

@@ -73,14 +73,6 @@ def go_symbols(content) -> Column:
                     _tag(go_methods(c), "method"))
 
 
-def py_symbols_fallback(content) -> Column:
-    """used when the text is not valid Python."""
-    c = _c(content)
-    return F.concat(
-        _tag(F.regexp_extract_all(c, F.lit("(?U)" + PY_DEF_FALLBACK), 1), "function"),
-        _tag(F.regexp_extract_all(c, F.lit("(?U)" + PY_CLASS_FALLBACK), 1), "class"))
-
-
 def prose_symbols(content) -> Column:
     """R8 'prose' extractor used for the documents corpus view."""
     return _tag(F.regexp_extract_all(_c(content), F.lit(PROSE_WORD), 0), "word")
@@ -121,51 +113,38 @@ def cpp_symbols_of(text: str | None) -> list[dict] | None:
 
 
 def python_syntax_of(text: str | None, path: str | None = None) -> dict | None:
-    """parse check with the message the reference logs."""
+    """parse check; the message is the path and what the parser says.  A
+    text that the parser gives up on (too complex) is not valid either."""
     if text is None:
         return None
     try:
         ast.parse(text)
         return {"ok": True, "message": None}
-    except SyntaxError as e:
-        return {"ok": False, "message": f"Syntax error in {path}: {e}"}
-    except ValueError as e:
-        return {"ok": False, "message": f"Syntax error in {path}: {e}"}
-
+    except (SyntaxError, ValueError, MemoryError, RecursionError) as e:
+        return {"ok": False, "message": f"{path}: {e}"}
 
-def _guard(fn):
-    """A file whose analysis fails gives null and the batch goes on."""
-    def run(text):
-        try:
-            return fn(text)
-        except Exception:  # noqa: BLE001 - isolate one bad file
-            return None
-    return run
 
+#: Symbols of a file, or why its analysis failed.
+CHECKED = T.StructType([T.StructField("symbols", SYMBOL_ARRAY), T.StructField("error", T.StringType())])
 
-@F.pandas_udf(SYMBOL_ARRAY)
-def py_symbols_udf(content: pd.Series) -> pd.Series:
-    """F4 as an Arrow-batched UDF (null in -> null out, failure -> null)."""
-    return content.map(_guard(python_symbols_of))
-
-
-@F.pandas_udf(SYMBOL_ARRAY)
-def cpp_symbols_udf(content: pd.Series) -> pd.Series:
-    """F6/F7 as an Arrow-batched UDF (null in -> null out, failure -> null)."""
-    return content.map(_guard(cpp_symbols_of))
 
+def _checked(fn, text: str | None) -> dict:
+    """A file whose analysis fails has an error and the batch goes on."""
+    try:
+        return {"symbols": fn(text), "error": None}
+    except Exception as e:  # noqa: BLE001 - isolate one bad file
+        return {"symbols": None, "error": f"{type(e).__name__}: {e}"}
 
-def dispatch_udf(by_language: dict):
-    """One Arrow-batched UDF (content, language) -> symbols that calls the
-    registered Python extractor of each row's language; a row whose
-    analysis raises gives null (P8)."""
-    fns = {k: _guard(v) for k, v in by_language.items()}
 
-    def run(content: pd.Series, language: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None or lg not in fns else fns[lg](c)
-                          for c, lg in zip(content, language)], dtype=object)
+def checked_udf(by_language: dict):
+    """One Arrow-batched UDF (content, language) -> (symbols, error) that calls
+    the registered Python extractor of each row's language."""
+    def run(content: pd.Series, language: pd.Series) -> pd.DataFrame:
+        none = {"symbols": None, "error": None}
+        return pd.DataFrame([none if c is None or lg not in by_language else _checked(by_language[lg], c)
+                             for c, lg in zip(content, language)], columns=["symbols", "error"])
 
-    return F.pandas_udf(run, SYMBOL_ARRAY)
+    return F.pandas_udf(run, CHECKED)
 
 
 SYNTAX_STRUCT = T.StructType([T.StructField("ok", T.BooleanType()),

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from quarry.functions import extract as X
 from quarry.operators.joins import join_small
 from quarry.plans.registry import DEFAULT_EXTRACTORS, ExtractorRegistry
+from quarry.session import cut_lineage
 
 
-def symbol_array_expr(registry: ExtractorRegistry | None = None,
-                      content: str = "content", language: str = "language") -> Column:
-    """F8 dispatch as one expression over (content, language).
+def checked_symbols_expr(registry: ExtractorRegistry | None = None,
+                         content: str = "content", language: str = "language") -> Column:
+    """F8 dispatch as one expression over (content, language), with the error
+    of a failed analysis (P8).
 
     Native extractors form a CASE.  All Python-side extractors share ONE
     pandas UDF that is fed ``CASE WHEN language IN (python-side languages)
@@ -27,28 +29,55 @@ def symbol_array_expr(registry: ExtractorRegistry | None = None,
     reg = registry or DEFAULT_EXTRACTORS
     lang, c = F.col(language), F.col(content)
     expr = None
+
+    def when(cond, val):
+        return F.when(cond, val) if expr is None else expr.when(cond, val)
     py_side = {name: ex.fn for name, ex in reg.by_language.items() if not ex.native}
     for name, ex in reg.by_language.items():
         if ex.native:
-            val = ex.fn(c)
-            expr = F.when(lang == name, val) if expr is None else expr.when(lang == name, val)
+            expr = when(lang == name, F.struct(ex.fn(c).cast(X.SYMBOL_ARRAY).alias("symbols"), F.lit(None).cast("string").alias("error")))
     if py_side:
         langs = sorted(py_side)
-        udf = X.dispatch_udf(py_side)
-        val = udf(F.when(lang.isin(langs), c), F.when(lang.isin(langs), lang))
-        expr = F.when(lang.isin(langs), val) if expr is None else expr.when(lang.isin(langs), val)
-    empty = F.array().cast(X.SYMBOL_ARRAY)
+        expr = when(lang.isin(langs), X.checked_udf(py_side)(F.when(lang.isin(langs), c), F.when(lang.isin(langs), lang)))
+    empty = F.lit(None).cast(X.CHECKED)
     return empty if expr is None else expr.otherwise(empty)
 
 
 def extract_symbols(files: DataFrame, registry: ExtractorRegistry | None = None) -> DataFrame:
-    """symbols(repo, path, language, symbol, kind, ord) in extraction order."""
-    arr = symbol_array_expr(registry)
-    return (files.select("repo", "path", "language", F.posexplode(arr).alias("ord", "s"))
+    """symbols(repo, path, language, symbol, kind, ord) in extraction order; a
+    file whose analysis fails gives none."""
+    arr = checked_symbols_expr(registry)["symbols"]
+    return _symbol_rows(files.select("repo", "path", "language", arr.alias("arr")))
+
+
+def _symbol_rows(analysed: DataFrame) -> DataFrame:
+    return (analysed.select("repo", "path", "language", F.posexplode("arr").alias("ord", "s"))
             .select("repo", "path", "language", F.col("s.symbol").alias("symbol"),
                     F.col("s.kind").alias("kind"), F.col("ord").cast("int").alias("ord")))
 
 
+def analyse(files: DataFrame, registry: ExtractorRegistry | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, rejected) in one pass over the texts.  ``rejected(repo,
+    path, language, stage, error)`` are the files that could not be read
+    (``read_error``) or whose analysis failed; the others go on."""
+    r = checked_symbols_expr(registry)
+    seen = cut_lineage(files.select("repo", "path", "language", "read_error", r.alias("r"))
+                       .select("repo", "path", "language", "read_error", F.col("r.symbols").alias("arr"), F.col("r.error").alias("error")))
+    bad = seen.filter("read_error is not null or error is not null")
+    rejected = bad.select("repo", "path", "language", F.when(F.col("read_error").isNotNull(), "read").otherwise("analyse").alias("stage"),
+                          F.coalesce("read_error", "error").alias("error"))
+    return _symbol_rows(seen.filter("read_error is null and error is null")), rejected
+
+
+def errors_by_repo(files: DataFrame, symbols: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Per repo: files, files that could not be read, files whose analysis
+    failed, and symbols of the others."""
+    e = rejected.groupBy("repo").agg(F.count_if(F.col("stage") == "read").alias("read_errors"), F.count_if(F.col("stage") == "analyse").alias("analysis_errors"))
+    s = symbols.groupBy("repo").agg(F.count(F.lit(1)).alias("n_symbols"))
+    return (files.groupBy("repo").agg(F.count(F.lit(1)).alias("n_files")).join(e, "repo", "left").join(s, "repo", "left")
+            .fillna(0, ["read_errors", "analysis_errors", "n_symbols"]))
+
+
 def extract_imports(files: DataFrame) -> DataFrame:
     """imports(repo, path, language, module, ord)."""
     return (files.select("repo", "path", "language",
@@ -128,9 +157,3 @@ def rename_audit(rename_map: DataFrame, references: DataFrame) -> DataFrame:
                                          F.count_if(~left & (F.col("n_new") >= 1)).alias("files_done"))
     out = pairs.join(per, ["old", "new"], "left").fillna(0, ["files", "files_left", "files_done"])
     return out.withColumn("coverage", F.when(F.col("files") > 0, F.round(F.col("files_done") / F.col("files"), 9)).otherwise(1.0))
-
-
-def symbol_errors(files: DataFrame, registry: ExtractorRegistry | None = None) -> DataFrame:
-    """Files whose extraction failed (UDF returned null on an exception)."""
-    raw = files.select("path", "content", "language", symbol_array_expr(registry).alias("arr"))
-    return raw.filter(F.col("arr").isNull() & F.col("content").isNotNull()).select("path", "language")

@@ -236,14 +236,17 @@ def top_dirs(files: DataFrame) -> DataFrame:
 
 
 def duplicate_with_drift(files: DataFrame, repos: DataFrame | None = None, k: int = 2,
-                         max_files: int = 100, seed: int = 42) -> Result:
+                         max_files: int = 100, seed: int = 42, listing: DataFrame | None = None) -> Result:
     """T5, re-aimed as labelled near-copy generation: per repository pick
     ``min(k, n)`` top-level directories with fewer than ``max_files`` files
-    (P10, K4), copy them to ``<dir>_legacy`` and drift the copies (F27-F29)."""
+    (P10, K4), copy them to ``<dir>_legacy`` and drift the copies (F27-F29).
+    The sizes are those of a ``listing(repo, path, rel_path)`` of all files,
+    scanned or not, where one is given."""
     td = top_dirs(files)
+    listed = td if listing is None else top_dirs(listing)
     if repos is not None:                                           # J15
-        td = td.join(repos.select(F.col("name").alias("repo")).distinct(), "repo", "left_semi")
-    counts = td.groupBy("repo", "repo_root", "top_dir").agg(F.count(F.lit(1)).alias("n_files"))   # A7
+        listed = listed.join(repos.select(F.col("name").alias("repo")).distinct(), "repo", "left_semi")
+    counts = listed.groupBy("repo", "repo_root", "top_dir").agg(F.count(F.lit(1)).alias("n_files"))   # A7
     small = counts.filter((F.col("n_files") < max_files) & ~F.col("top_dir").startswith("."))      # P10
     chosen = S.sample_per_group(small, "repo", "top_dir", n=k, seed=seed, op="dup")                # K4
     chosen = chosen.select("repo", "repo_root", "top_dir", "rank")

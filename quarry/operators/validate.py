@@ -51,18 +51,29 @@ def repo_syntax_report(files: DataFrame) -> DataFrame:
     return agg.join(first, "repo", "left")
 
 
-def validate_corpus(files: DataFrame) -> DataFrame:
-    """Per repo counts (A5), primary language (A6) and Python syntax."""
-    counts = lang_counts(files).withColumn("primary_language", primary_language("go", "py", "cpp"))
+def validate_corpus(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Per repo counts (A5), primary language (A6) and Python syntax.
+    The counts are of all files of a ``listing(repo, path)`` where one is given,
+    scanned or not, and ``files`` are then the Python files read for it."""
+    counts = lang_counts(files if listing is None else listing).withColumn("primary_language", primary_language("go", "py", "cpp"))
     return counts.join(repo_syntax_report(files), "repo", "left")
 
 
+def python_listing(listing: DataFrame) -> DataFrame:
+    """The files of a listing whose text T6 and C7 need."""
+    return listing.filter(TX.basename("path").endswith(".py"))
+
+
+def first_python(listing: DataFrame, first_n: int = 5) -> DataFrame:
+    """The first ``first_n`` .py files of each repo by path, before any is read."""
+    w = Window.partitionBy("repo").orderBy("path")
+    return python_listing(listing).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first_n).drop("_r")
+
+
 def check_compilation(files: DataFrame, first_n: int = 5) -> DataFrame:
     """C7 (Python part): the first ``first_n`` .py files of a repo (by path,
     W4) all parse.  ``row_number() <= n`` is planned as a group limit, so no
     task sorts a whole repository."""
-    py = files.filter(TX.basename("path").endswith(".py")).select("repo", "path", "content")
-    w = Window.partitionBy("repo").orderBy("path")
-    first = py.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first_n)
+    first = first_python(files.select("repo", "path", "content"), first_n)
     r = first.select("repo", X.py_syntax_udf("content", "path").alias("r"))
     return r.groupBy("repo").agg(F.bool_and("r.ok").alias("compile_ok"))

@@ -293,6 +293,36 @@ SELECT repo, go, py, cpp,
 FROM c"""
 
 
+ORACLE["p8_errors_by_repo"] = f"""{V.TREE},
+{V.TREE_SYMBOLS}
+SELECT t.repo, count(*) AS n_files, count(*) FILTER (WHERE fate = 0) AS read_errors,
+       count(*) FILTER (WHERE fate = 1 AND language = 'python') AS analysis_errors,
+       coalesce((SELECT sum(len(syms)) FROM tree_symbol_lists s WHERE s.repo = t.repo), 0)::BIGINT AS n_symbols
+FROM tree_scanned t GROUP BY t.repo"""
+
+_LISTED = "count(*) FILTER (WHERE ends_with(path, '.go')) AS {0}go, count(*) FILTER (WHERE ends_with(path, '.py')) AS {0}py, count(*) FILTER (WHERE ends_with(path, '.cpp')) AS {0}cpp"
+_PRIMARY = "CASE WHEN go > greatest(py, cpp) THEN 'go' WHEN py > greatest(go, cpp) THEN 'python' WHEN cpp > 0 THEN 'cpp' END AS primary_language"
+ORACLE["a5_listed_languages"] = f"""{V.TREE},
+c AS (SELECT repo, {_LISTED.format('')} FROM tree GROUP BY repo),
+s AS (SELECT repo, {_LISTED.format('scanned_')} FROM tree_scanned GROUP BY repo)
+SELECT repo, go, py, cpp, {_PRIMARY}, coalesce(scanned_go, 0) AS scanned_go, coalesce(scanned_py, 0) AS scanned_py, coalesce(scanned_cpp, 0) AS scanned_cpp
+FROM c LEFT JOIN s USING (repo)"""
+
+ORACLE["a7_listed_directories"] = f"""{V.TREE}
+SELECT repo, top_dir, count(*) AS n_files, count(s.path) AS n_scanned, count(*) < 20 AND NOT starts_with(top_dir, '.') AS small
+FROM tree t LEFT JOIN (SELECT path FROM tree_scanned) s USING (path) GROUP BY repo, top_dir"""
+
+ORACLE["t6_listed_validation"] = f"""{V.TREE},
+c AS (SELECT repo, {_LISTED.format('')} FROM tree GROUP BY repo),
+s AS (SELECT repo, bool_and(NOT {V.TREE_BAD}) AS python_ok, count(*) AS python_files, count(*) FILTER (WHERE {V.TREE_BAD}) AS syntax_errors
+      FROM tree WHERE language = 'python' AND fate <> 0 GROUP BY repo)
+SELECT c.repo, go, py, cpp, {_PRIMARY}, python_ok, python_files, syntax_errors FROM c LEFT JOIN s USING (repo)"""
+
+ORACLE["c7_listed_compilation"] = f"""{V.TREE},
+f AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS r FROM tree WHERE ends_with(path, '.py') AND fate <> 0)
+SELECT repo, bool_and(NOT {V.TREE_BAD}) AS compile_ok FROM f WHERE r <= 5 GROUP BY repo"""
+
+
 # ------------------------------------------------- function-level queries
 _PAGE = """pf AS (
   SELECT page_id, url, html,

@@ -104,3 +104,39 @@ CODE = f"WITH {CODE_FILES},\n{CODE_SYMBOL_LISTS}"
 PROSE = f"WITH {PROSE_FILES}"
 
 CODE_REC = f"WITH RECURSIVE {CODE_FILES},\n{CODE_SYMBOL_LISTS}"
+
+
+# The tree view: the code view placed by a hash of doc_id, all files of it.
+def _part(start: int, n: int) -> str:
+    return f"(('0x' || substr(md5('42:tree:' || doc_id), {start}, 8))::BIGINT % {n})"
+
+
+def _tree_sql() -> str:
+    from quarry.sources.corpus import BROKEN, TANGLED, TREE_FOLDERS
+    folders = "[" + ", ".join(f"'{f}'" for f in TREE_FOLDERS) + "]"
+    code = CODE_FILES[CODE_FILES.index("CASE lang\n"):CODE_FILES.index("ELSE text END AS content")] + "ELSE text END"
+    broken = "'" + BROKEN.replace("\n", "' || chr(10)")
+    return f"""WITH tree0 AS (
+  SELECT doc_id, source AS repo, source, lang, text, {_part(17, 16)} AS fate,
+         CASE WHEN {_part(9, 10)} = 1 THEN 'md' ELSE {_EXT} END AS ext,
+         {folders}[{_part(1, len(TREE_FOLDERS))} + 1] || '/' || lang || '/' || doc_id || CASE WHEN {_part(9, 10)} = 0 THEN '_test' ELSE '' END AS stem
+  FROM documents),
+tree AS (
+  SELECT repo, 'src/' || source || '/' || stem || '.' || ext AS path, stem || '.' || ext AS rel_path, {_LANGUAGE} AS language, fate,
+         split_part(stem, '/', 1) AS top_dir,
+         CASE WHEN fate = 0 THEN NULL
+              WHEN ext = 'py' AND fate = 1 THEN 'x = ' || repeat('-', {TANGLED}) || '1' || chr(10)
+              WHEN ext = 'py' AND fate = 2 THEN ({code}) || {broken} ELSE ({code}) END AS content
+  FROM tree0),
+tree_scanned AS (
+  SELECT * FROM tree WHERE regexp_matches(path, '\\.(go|py|cpp|h|hpp|c|java|js|ts)$')
+    AND NOT regexp_matches(regexp_extract(path, '^(.*)/[^/]*$', 1), 'vendor/|node_modules/|third_party/|\\.git/|test/|tests/|_test\\.|\\.test\\.|generated/')
+    AND NOT regexp_matches(regexp_extract(path, '([^/]*)$', 1), 'vendor/|node_modules/|third_party/|\\.git/|test/|tests/|_test\\.|\\.test\\.|generated/'))"""
+
+
+TREE = _tree_sql()
+#: A Python file of the tree that does not parse.
+TREE_BAD = "(fate IN (1, 2) OR regexp_matches(content, '(?m)^def (True|False|None)\\('))"
+TREE_SYMBOLS = (CODE_SYMBOL_LISTS[:CODE_SYMBOL_LISTS.index("),\ncode_symbols AS")].replace("code_symbol_lists AS", "tree_symbol_lists AS")
+                .replace("FROM code_files", "FROM tree_scanned WHERE fate <> 0 AND NOT (language = 'python' AND fate = 1)")
+                .replace("regexp_matches(content, '(?m)^def (True|False|None)\\(')", TREE_BAD) + ")")

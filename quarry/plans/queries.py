@@ -379,6 +379,54 @@ def a8_syntax_messages(spark, sf):
     return v.select("repo", "python_files", "syntax_errors", "messages")
 
 
+def _tree(spark, sf):
+    return C.tree_files(C.load_spread(spark, sf, "documents"))
+
+
+@query("p8_errors_by_repo")
+def p8_errors_by_repo(spark, sf):
+    """Scanned files of the tree view, those that can't be read, those
+    whose analysis fails, and the symbols of the others."""
+    files = _tree(spark, sf).filter(TX.is_scanned("path"))
+    return IX.errors_by_repo(files, *IX.analyse(files))
+
+
+@query("a5_listed_languages")
+def a5_listed_languages(spark, sf):
+    """A5 + A6 over all files of the tree, beside those that are scanned."""
+    listing = _tree(spark, sf).select("repo", "path")
+    scanned = VA.lang_counts(listing.filter(TX.is_scanned("path"))).toDF("repo", "scanned_go", "scanned_py", "scanned_cpp")
+    c = VA.lang_counts(listing).withColumn("primary_language", VA.primary_language("go", "py", "cpp"))
+    return c.join(scanned, "repo", "left").fillna(0, ["scanned_go", "scanned_py", "scanned_cpp"])
+
+
+@query("a7_listed_directories")
+def a7_listed_directories(spark, sf):
+    """A7 + P10 over all files of the tree, beside those that are scanned."""
+    td = TR.top_dirs(_tree(spark, sf).select("repo", "path", "rel_path"))
+    return (td.groupBy("repo", "top_dir").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(TX.is_scanned("path")).alias("n_scanned"))
+            .withColumn("small", (F.col("n_files") < 20) & ~F.col("top_dir").startswith(".")))
+
+
+@query("t6_listed_validation")
+def t6_listed_validation(spark, sf):
+    """T6 over all files of the tree: counts from the listing, syntax of every
+    readable .py file wherever it lies."""
+    tree = _tree(spark, sf)
+    v = VA.validate_corpus(VA.python_listing(tree).filter("read_error is null"), tree.select("repo", "path"))
+    return v.select("repo", "go", "py", "cpp", "primary_language", "python_ok", "python_files", "syntax_errors")
+
+
+@query("c7_listed_compilation")
+def c7_listed_compilation(spark, sf):
+    """C7 + W4 over all files of the tree: the first five readable .py files
+    are chosen from the listing, and only they are read."""
+    tree = _tree(spark, sf)
+    from quarry.operators.joins import join_small
+    first = VA.first_python(tree.filter("read_error is null").select("repo", "path"))
+    return VA.check_compilation(join_small(tree, first.select("path"), "path", "left_semi"))
+
+
 @query("c7_check_compilation")
 def c7_check_compilation(spark, sf):
     """C7 + W4: the first five .py files of each repo parse."""

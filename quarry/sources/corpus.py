@@ -125,6 +125,36 @@ def code_files(documents: DataFrame) -> DataFrame:
     return finish_files(d.select("repo", "path", "rel_path", "content"))
 
 
+# ----------------------------------------------------------------- tree view
+
+#: Top folders of the tree view; some are excluded from scans, one is hidden.
+TREE_FOLDERS = ["pkg", "pkg", "pkg", "lib", "lib", "vendor", "tests", ".cache", "docs", "core", "cmd", "generated"]
+#: Texts a document may get instead: one that no parser can follow, one with invalid syntax.
+TANGLED, BROKEN = 60_000, "def broken(:\n"
+
+
+def tree_files(documents: DataFrame) -> DataFrame:
+    """The code view as a whole tree: files in scanned, excluded and hidden
+    folders, tests and notes, some unreadable, some that break their analysis.
+    A hash of doc_id places each; ``files`` columns, not yet filtered."""
+    h = F.md5(F.concat(F.lit("42:tree:"), F.col("doc_id").cast("string")))
+    part = lambda start, n: F.pmod(F.conv(F.substring(h, start, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+    d = (_doc_paths(documents.select("doc_id", "source", "lang", "text"))
+         .withColumns({"folder": part(1, len(TREE_FOLDERS)), "name": part(9, 10), "fate": part(17, 16)}))
+    ext = F.when(F.col("name") == 1, "md").otherwise(_ext_of_lang(F.col("lang")))
+    stem = F.concat(F.col("doc_id").cast("string"), F.when(F.col("name") == 0, "_test").otherwise(""))
+    rel = F.concat_ws("/", F.element_at(F.array(*map(F.lit, TREE_FOLDERS)), F.col("folder") + 1), F.col("lang"), F.concat(stem, F.lit("."), ext))
+    code = code_content(F.col("lang"), F.col("text"))
+    python = ext == "py"
+    text = (F.when(python & (F.col("fate") == 1), F.concat(F.lit("x = "), F.repeat(F.lit("-"), TANGLED), F.lit("1\n")))
+            .when(python & (F.col("fate") == 2), F.concat(code, F.lit(BROKEN))).otherwise(code))
+    d = d.select("repo", F.concat_ws("/", F.lit("src"), F.col("source"), rel).alias("path"), rel.alias("rel_path"), "fate", text.alias("text"))
+    lost = F.col("fate") == 0
+    out = finish_files(d.withColumn("content", F.when(~lost, F.col("text"))).select("repo", "path", "rel_path", "content"))
+    error = F.when(F.col("content").isNull(), "unreadable")
+    return out.withColumn("read_error", error).withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0).cast("long"))).select(*FILES_COLUMNS)
+
+
 # ---------------------------------------------------------------- pages view
 
 def page_files(pages: DataFrame) -> DataFrame:

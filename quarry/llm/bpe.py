@@ -18,31 +18,29 @@ used; repeated rows are encoded each; an empty table gives an empty result.
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches
-from quarry.llm.encoder import Encoder
+from quarry.llm.encoder import Encoder, byte_symbols, regroup
 
 #: Pre-token pattern of byte-level files that name none (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Symbols a transducer reads before it merges its window, beyond the lookahead.
-READ = 256
-
-
-def byte_symbols() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level files:
-    the printable Latin-1 ones for themselves, the others from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+READ = 2048
+#: Symbols up to which a plain scan finds the next merge faster than a heap.
+FEW = 64
+#: Stands for no merge, and the bits of a merge that name its token.
+NEVER, RESULT = 1 << 62, (1 << 32) - 1
 
 
 def sufficient_lookahead(merges: list[tuple[int, int, int]], size: dict[int, int]) -> int:
@@ -83,7 +81,8 @@ class Transducer:
         for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             merges.append((vocab[a], vocab[b], vocab[a + b]))
-        self.merged = {(a, b): (rank, c) for rank, (a, b, c) in reversed(list(enumerate(merges)))}
+        # rank in the upper bits, the token made in the lower ones
+        self.order = {(a, b): rank << 32 | c for rank, (a, b, c) in reversed(list(enumerate(merges)))}
         self.inner = [vocab[self.symbol[b]] for b in range(256)]
         self.last = [vocab[self.symbol[b] + self.suffix] for b in range(256)]
         size = {i: len(t.removesuffix(self.suffix)) or len(t) for t, i in vocab.items()}
@@ -98,29 +97,63 @@ class Transducer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.strings = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
         self.joined = spec["decoder"] is None
+        self._spelled = None
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all tokens, where each id's begin, how many it has); of
+        files without a decoder the token's string after a space."""
+        if self._spelled is None:
+            bytes_of = {c: b for b, c in self.symbol.items()}
+            each = [b""] * (max(self.strings) + 1)
+            for i, t in self.strings.items():
+                each[i] = " ".encode() + t.encode() if self.joined else t.encode() if any(c not in bytes_of for c in t) else bytes(bytes_of[c] for c in t)
+            size = np.array([len(x) for x in each], dtype=np.int64)
+            self._spelled = np.frombuffer(b"".join(each), np.uint8), np.cumsum(size) - size, size
+        return self._spelled
 
     def merge(self, tokens: list[int]) -> list[int]:
         """All merges of a window, lowest rank first, left to right."""
-        merged = self.merged
-        while len(tokens) > 1:
-            best = None
-            for pair in zip(tokens, tokens[1:]):
-                m = merged.get(pair)
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, which = m, pair
-            if best is None:
-                break
-            out, i, n = [], 0, len(tokens)
-            while i < n:
-                if i + 1 < n and tokens[i] == which[0] and tokens[i + 1] == which[1]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(tokens[i])
-                    i += 1
-            tokens = out
+        return self._merge_few(tokens) if len(tokens) <= FEW else self._merge_many(tokens)
+
+    def _merge_few(self, tokens: list[int]) -> list[int]:
+        order = self.order.get
+        pairs = [order(p, NEVER) for p in zip(tokens, tokens[1:])]
+        while pairs and (best := min(pairs)) != NEVER:
+            i = pairs.index(best)
+            tokens[i:i + 2] = [best & RESULT]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = order((tokens[i - 1], tokens[i]), NEVER)
+            if i < len(pairs):
+                pairs[i] = order((tokens[i], tokens[i + 1]), NEVER)
         return tokens
 
+    def _merge_many(self, tokens: list[int]) -> list[int]:
+        """The same with a heap of the merges that stand and links to the
+        neighbours: n log n steps for n symbols."""
+        order, n = self.order.get, len(tokens)
+        tokens, after, before = list(tokens), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (m := order((a, b))) is not None]
+        heapq.heapify(heap)
+
+        def meet(i: int, j: int) -> None:
+            m = order((tokens[i], tokens[j]))
+            if m is not None:
+                heapq.heappush(heap, (m, i, tokens[i], tokens[j]))
+        while heap:
+            m, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if tokens[i] != a or j >= n or tokens[j] != b:
+                continue                     # one of the two has been taken by another merge
+            tokens[i], tokens[j] = m & RESULT, None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                meet(i, after[i])
+            if before[i] >= 0:
+                meet(before[i], i)
+        return [t for t in tokens if t is not None]
+
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one pre-token's bytes, each as soon as it is stable."""
         window: list[int] = []
@@ -162,6 +195,10 @@ class TransducingEncoder(Encoder):
             self._prepare(json.load(f))
         self.transducer = Transducer(path)
 
+    def _letters(self, data: bytes) -> list[int]:
+        t = self.transducer
+        return t.merge([*map(t.inner.__getitem__, data[:-1]), t.last[data[-1]]]) if len(data) <= FEW else list(t.stream(data))
+
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", self.transducer.encode(p)).tobytes() for p in pieces]
 
@@ -172,21 +209,21 @@ class Decoder:
     def __init__(self, transducer: Transducer):
         self.t = transducer
         self.first = True
-        self.bytes_of = {c: b for b, c in transducer.symbol.items()}
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int]) -> str:
-        strings = self.t.strings
-        known = [strings[i] for i in ids if i in strings]
-        if self.t.joined:
-            out = " ".join(known) if self.first or not known else " " + " ".join(known)
-            self.first = self.first and not known
-            return out
-        return self.utf8.decode(b"".join(
-            t.encode() if any(c not in self.bytes_of for c in t) else bytes(self.bytes_of[c] for c in t) for t in known))
+    def feed(self, ids: np.ndarray) -> str:
+        """The characters that the bytes so far complete."""
+        data, begin, length = self.t.spelled()
+        ids = ids[ids < len(length)]
+        n = length[ids].astype(np.int64)
+        end = np.cumsum(n)
+        out = data[np.repeat(begin[ids] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        if self.t.joined and out and self.first:
+            out, self.first = out[1:], False         # tokens are joined by spaces: none before the first
+        return self.utf8.decode(out)
 
     def close(self) -> str:
-        return "" if self.t.joined else self.utf8.decode(b"", True)
+        return self.utf8.decode(b"", True)
 
 
 _WORKERS: dict[str, TransducingEncoder] = {}
@@ -198,9 +235,9 @@ def worker(path: str) -> TransducingEncoder:
     return _WORKERS[path]
 
 
-def decode_ids(transducer: Transducer, ids: bytes, block: int = 4096) -> str:
+def decode_ids(transducer: Transducer, ids: bytes, block: int = 65_536) -> str:
     decoder, out = Decoder(transducer), []
-    numbers = array("I", ids)
+    numbers = np.frombuffer(ids, "<u4")
     for i in range(0, len(numbers), block):
         out.append(decoder.feed(numbers[i:i + block]))
     return "".join(out) + decoder.close()
@@ -209,8 +246,9 @@ def decode_ids(transducer: Transducer, ids: bytes, block: int = 4096) -> str:
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every row; narrow."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids = worker(tokenizer).ids(b.column("text").to_pylist())
+        for b in regroup(it):
+            flat, at = worker(tokenizer).flat(b.column("text"))
+            ids = [flat[at[i]:at[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batches, "doc_id long, ids binary")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches
-from quarry.llm.encoder import encoder
+from quarry.llm.encoder import encoder, regroup
 
 WINDOW = 2048
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -134,10 +134,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                               names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for b in it:
+        for b in regroup(it):
             pieces = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).ids(b.column("text").to_pylist())):
-                ids += tail
+            flat, at = encoder(tokenizer).flat(b.column("text"))
+            for i, d in enumerate(b.column("doc_id").to_pylist()):
+                ids = flat[at[i]:at[i + 1]].tobytes() + tail
                 waiting[row] = [d, ids, len(ids) // 4]
                 pieces += packer.add(row, len(ids) // 4)
                 row += 1

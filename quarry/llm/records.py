@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches, text_key
-from quarry.llm.encoder import encoder
+from quarry.llm.encoder import encoder, regroup
 
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qB3x")
@@ -84,9 +84,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, wide: bool =
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = [frame(d, ids + tail, wide)[:-len(END)]
-                   for d, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).ids(b.column("text").to_pylist()))]
+        for b in regroup(it):
+            flat, at = encoder(tokenizer).flat(b.column("text"))
+            out = [frame(d, flat[at[i]:at[i + 1]].tobytes() + tail, wide)[:-len(END)] for i, d in enumerate(b.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tie"))

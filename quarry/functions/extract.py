@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,30 +89,93 @@ _DECLARED = {
 }
 #: Of invalid syntax: all defs, then all classes.
 _SPELLED = ((PY_DEF_FALLBACK, "function"), (PY_CLASS_FALLBACK, "class"))
+#: Patterns of the languages that have braces: (pattern, kind) in extraction order.
+_BRACED = {"go": ((GO_FUNC, "function"), (GO_TYPE, "type"), (GO_METHOD, "method")),
+           "cpp": (("(?m)" + CPP_FUNC, "function"), (CPP_CLASS, "class"), (CPP_STRUCT, "struct"))}
 
 
-def python_symbols_of(text: str | None) -> list[dict] | None:
-    """F4/F5 on one text: declarations in breadth-first order, or what is
-    spelled like one where the syntax is invalid."""
-    if text is None:
-        return None
+class _Places:
+    """Line numbers (from 1) of a text's offsets, and the ends of its blocks."""
+
+    def __init__(self, text: str):
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.opened, self.closed, inner = [], {}, []
+        for m in re.finditer("[{}]", text):
+            if m.group() == "{":
+                self.opened.append(m.start())
+                inner.append(m.start())
+            elif inner:
+                self.closed[inner.pop()] = m.start()
+
+    def line(self, offset: int) -> int:
+        return bisect_left(self.breaks, offset) + 1
+
+    def block_end(self, offset: int) -> int:
+        """The last line of the block that opens first from ``offset`` on."""
+        i = bisect_left(self.opened, offset)
+        return self.line(self.closed.get(self.opened[i], offset) if i < len(self.opened) else offset)
+
+
+def python_declarations(text: str) -> list[tuple[str, str, int, int]]:
+    """F4/F5 on one text: (name, kind, first line, last line) of declarations in
+    breadth-first order, or of what is spelled like one where the syntax is
+    invalid (its one line)."""
     try:
-        groups = [_DECLARED[type(n)](n) for n in ast.walk(ast.parse(text)) if type(n) in _DECLARED]
+        nodes = [n for n in ast.walk(ast.parse(text)) if type(n) in _DECLARED]
+        return [(name, kind, n.lineno, n.end_lineno) for n in nodes for names, kind in (_DECLARED[type(n)](n),) for name in names]
     except (SyntaxError, ValueError):
-        groups = [(re.findall(pattern, text), kind) for pattern, kind in _SPELLED]
-    return [{"symbol": name, "kind": kind} for names, kind in groups for name in names]
+        at = _Places(text)
+        found = [(m, kind) for pattern, kind in _SPELLED for m in re.finditer(pattern, text)]
+        return [(m.group(1), kind, at.line(m.start(1)), at.line(m.start(1))) for m, kind in found]
+
+
+def braced_declarations(text: str, language: str) -> list[tuple[str, str, int, int]]:
+    """F1-F3, F6, F7 on one text: (name, kind, first line, last line); a
+    declaration reaches to the end of its block, a prototype to its semicolon."""
+    at = _Places(text)
+    out = []
+    for pattern, kind in _BRACED[language]:
+        for m in re.finditer(pattern, text):
+            first, end = at.line(m.start(1)), m.end() - 1
+            out.append((m.group(1), kind, first, at.line(end) if text[end] == ";" else max(first, at.block_end(end))))
+    return [d for d in out if language == "go" or len(d[0]) > 1 and d[0].isalnum()]
+
+
+def declarations_of(text: str | None, language: str) -> list[tuple[str, str, int, int]] | None:
+    if text is None:
+        return None
+    return python_declarations(text) if language == "python" else braced_declarations(text, "go" if language == "go" else "cpp")
+
+
+def python_symbols_of(text: str | None) -> list[dict] | None:
+    """F4/F5 without lines."""
+    return None if text is None else [{"symbol": d[0], "kind": d[1]} for d in python_declarations(text)]
 
 
 def cpp_symbols_of(text: str | None) -> list[dict] | None:
     """F6/F7 on one text: functions, classes, structs; alnum names > 1 char."""
     if text is None:
         return None
-    found = [(s, "function") for s in re.findall(CPP_FUNC, text, re.MULTILINE)]
-    found += [(s, "class") for s in re.findall(CPP_CLASS, text)]
-    found += [(s, "struct") for s in re.findall(CPP_STRUCT, text)]
+    found = [(m, kind) for pattern, kind in _BRACED["cpp"] for m in re.findall(pattern, text)]
     return [{"symbol": s, "kind": k} for s, k in found if len(s) > 1 and s.isalnum()]
 
 
+#: Declarations with their lines.
+PLACED = T.ArrayType(T.StructType([T.StructField("symbol", T.StringType()), T.StructField("kind", T.StringType()),
+                                   T.StructField("first_line", T.IntegerType()), T.StructField("last_line", T.IntegerType())]))
+
+
+@F.pandas_udf(PLACED)
+def declarations_udf(content: pd.Series, language: pd.Series) -> pd.Series:
+    """Declarations of each file with their lines; none where the analysis fails."""
+    def one(text, language):
+        try:
+            return [dict(zip(("symbol", "kind", "first_line", "last_line"), d)) for d in declarations_of(text, language) or []]
+        except Exception:  # noqa: BLE001 - isolate one bad file
+            return None
+    return pd.Series([one(c, lg) for c, lg in zip(content, language)], dtype=object)
+
+
 def python_syntax_of(text: str | None, path: str | None = None) -> dict | None:
     """parse check; the message is the path and what the parser says.  A
     text that the parser gives up on (too complex) is not valid either."""

@@ -69,6 +69,32 @@ def analyse(files: DataFrame, registry: ExtractorRegistry | None = None) -> tupl
     return _symbol_rows(seen.filter("read_error is null and error is null")), rejected
 
 
+#: Languages whose declarations have lines.
+PLACED_LANGUAGES = ("go", "python", "cpp", "c")
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """The position index (repo, path, language, symbol, kind, first_line,
+    last_line): where each extracted name is declared."""
+    known = files.filter(F.col("language").isin(*PLACED_LANGUAGES) & F.col("content").isNotNull())
+    return (known.select("repo", "path", "language", F.explode(X.declarations_udf("content", "language")).alias("d"))
+            .select("repo", "path", "language", "d.symbol", "d.kind", "d.first_line", "d.last_line"))
+
+
+def first_declarations(placed: DataFrame) -> DataFrame:
+    """(symbol, path, line, last_line): the first declaration of each name in each file."""
+    at = F.min(F.struct("first_line", "last_line")).alias("at")
+    return placed.groupBy("symbol", "path").agg(at).select("symbol", "path", F.col("at.first_line").alias("line"), F.col("at.last_line").alias("last_line"))
+
+
+def first_match_line(content, pattern) -> Column:
+    """The line (from 1) of the first match of a pattern in a text, 0 without one."""
+    c = F.col(content) if isinstance(content, str) else content
+    place = F.regexp_instr(c, pattern)
+    before = F.left(c, place - 1)
+    return F.when(place > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("int")
+
+
 def errors_by_repo(files: DataFrame, symbols: DataFrame, rejected: DataFrame) -> DataFrame:
     """Per repo: files, files that could not be read, files whose analysis
     failed, and symbols of the others."""

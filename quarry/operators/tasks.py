@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
 from quarry.operators import sampling as S
+from quarry.operators.index import first_match_line
 from quarry.operators.joins import bounded_broadcast, join_small
 from quarry.session import cut_lineage
 
@@ -58,32 +59,29 @@ def cross_file_tasks(wrappers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tasks, truth
 
 
-def rename_tasks(rename_map: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rename_tasks(rename_map: DataFrame, symbols: DataFrame, placed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rename tasks and their truth in long form: one row per expected
     change (task_id, file, line, old, new); a task without files keeps one
-    row with a NULL file.  ``nest_rename_truth`` gives the nested artifact
-    shape when a bounded task set is written out."""
+    row with a NULL file.  ``placed(symbol, path, line)`` gives the lines of
+    the declarations, else they are 0."""
     r = rename_map.withColumn("task_id", _tid("refactor_rename", "rank"))
     tasks = _task(r.withColumn("symbol_to_rename", F.col("old")).withColumn("new_name", F.col("new")),
                   "refactor_rename", F.concat(F.lit("Rename "), F.col("old"), F.lit(" to "), F.col("new")))
     definers = symbols.select(F.col("symbol").alias("old"), F.col("path").alias("file")).distinct()
-    truth = (r.select("task_id", "old", "new").join(definers, "old", "left")
-             .select("task_id", "file", F.lit(0).alias("line"), "old", "new"))
-    return tasks, truth
-
+    truth = r.select("task_id", "old", "new").join(definers, "old", "left")
+    if placed is None:
+        truth = truth.withColumn("line", F.lit(0))
+    else:
+        at = placed.select(F.col("symbol").alias("old"), F.col("path").alias("file"), "line")
+        truth = truth.join(at, ["old", "file"], "left").withColumn("line", F.coalesce("line", F.lit(0)))
+    return tasks, truth.select("task_id", "file", "line", "old", "new")
 
-def nest_rename_truth(truth: DataFrame) -> DataFrame:
-    """Artifact shape of the rename truth (files_to_modify, expected_changes)."""
-    return truth.groupBy("task_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("file").isNotNull(), F.struct("file", "line", "old", "new"))))
-        .alias("expected_changes")).withColumn(
-        "files_to_modify", F.transform("expected_changes", lambda c: c["file"]))
 
-
-def api_tasks(record: DataFrame, actions: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+def api_tasks(record: DataFrame, actions: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Upgrade tasks and their truth in long form: one row per callsite
     (task_id, file, line, needs_upgrade, old_call, new_call, reason) plus
-    the recorded totals (ignored by the scorer, X14)."""
+    the recorded totals (ignored by the scorer, X14).  With ``files`` the line
+    is that of the first call (or declaration) of the symbol in the file, else 0."""
     r = record.withColumn("task_id", _tid("api_upgrade", "rank"))
     tasks = _task(r.withColumn("old_api", F.concat(F.col("symbol"), F.lit("(x)")))
                   .withColumn("new_api", F.concat(F.col("v2_symbol"), F.lit("(x)"))),
@@ -97,13 +95,20 @@ def api_tasks(record: DataFrame, actions: DataFrame, symbols: DataFrame) -> tupl
     truth = (r.select("task_id", "symbol", "v2_symbol", "total_callsites",
                       F.col("migrated_callsites").alias("expected_upgrades"))
              .join(users.select("symbol", "file", "needs"), "symbol", "left")
-             .select("task_id", "file", F.lit(0).alias("line"),
+             .select("task_id", "file", F.col("symbol"),
                      F.when(F.col("file").isNotNull(), F.coalesce("needs", F.lit(False))).alias("needs_upgrade"),
                      F.concat(F.col("symbol"), F.lit("(x)")).alias("old_call"),
                      F.concat(F.col("v2_symbol"), F.lit("(x)")).alias("new_call"),
                      F.when(F.col("needs").isNotNull(), F.lit("migrated")).otherwise(F.lit("legacy")).alias("reason"),
                      "total_callsites", "expected_upgrades"))
-    return tasks, truth
+    if files is None:
+        placed = truth.withColumn("line", F.lit(0))
+    else:
+        rows = cut_lineage(truth)            # <= n migrated symbols and their files
+        text = join_small(files.select(F.col("path").alias("file"), "content"), rows.select("file").distinct(), "file", "left_semi")
+        call = F.concat(F.lit(f"(?<![{TX.ASCII_WORD}])"), TX.quote_regex("symbol"), F.lit("\\s*\\("))
+        placed = rows.join(text, "file", "left").withColumn("line", F.coalesce(first_match_line("content", call), F.lit(0)))
+    return tasks, placed.select("task_id", "file", "line", *[c for c in truth.columns if c not in ("task_id", "file", "symbol")])
 
 
 GRAM_WORDS = 8
@@ -169,13 +174,6 @@ def bug_tasks_from_locations(loc: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tasks, truth
 
 
-def bug_related_files(loc: DataFrame) -> DataFrame:
-    """The other files holding a located passage, long form (task_id, path)."""
-    first = loc.groupBy("item_id").agg(F.min("path").alias("file"))
-    return (loc.join(first, "item_id").filter(F.col("path") != F.col("file"))
-            .select(_tid("bug_localization", "item_id").alias("task_id"), "path").distinct())
-
-
 def task_summary(tasks: DataFrame) -> DataFrame:
     """A10: total and distinct types (the id/type list is ``tasks`` itself)."""
     return tasks.agg(F.count(F.lit(1)).alias("total_tasks"), F.countDistinct("type").alias("task_types"))

@@ -722,6 +722,31 @@ _ALL_TASKS = f"""all_tasks AS (
 ORACLE["t8_tasks"] = f"WITH {_ALL_TASKS}\nSELECT * FROM all_tasks"
 ORACLE["a10_task_summary"] = f"WITH {_ALL_TASKS}\nSELECT count(*) AS total_tasks, count(DISTINCT type) AS task_types FROM all_tasks"
 
+# declarations of the code view stand on lines of their own (in C and C++ a returned call reads like one); a call is the
+# first use with a bracket
+def _line_of(text: str, pattern: str) -> str:
+    return f"(list_position(list_transform(string_split({text}, chr(10)), lambda l: regexp_matches(l, {pattern})), true))"
+
+
+_DECL = "'^(func|def|int|  return) ' || {0} || '\\('"
+ORACLE["t8_truth_lines"] = f"""SELECT * FROM ({RENAME}
+  SELECT printf('refactor_rename_%02d', r.rank) AS task_id, p.path AS file, {_line_of('c.content', _DECL.format('r.old'))}::INTEGER AS line, r.old AS symbol
+  FROM rmap r JOIN (SELECT DISTINCT symbol, path FROM code_symbols) p ON p.symbol = r.old JOIN code_files c ON c.path = p.path)
+UNION ALL
+SELECT * FROM ({MIGRATE}
+  SELECT printf('api_upgrade_%02d', c.rank) AS task_id, u.path AS file,
+         CASE WHEN u.path IS NULL THEN 0 ELSE {_line_of('f.content', "'\\b' || c.symbol || '\\s*\\('")}::INTEGER END AS line, c.symbol
+  FROM chosen c LEFT JOIN usages u USING (symbol) LEFT JOIN code_files f ON f.path = u.path)"""
+
+ORACLE["j6_passage_lines"] = f"""{V.PROSE},
+held AS (SELECT b.item_id, b.text, d.path, d.content, left(d.content, instr(d.content, b.text) - 1) AS ahead
+       FROM benchmark b JOIN prose_files d ON contains(d.content, b.text) WHERE length(b.text) > 0),
+rng AS (SELECT item_id, path, content, (length(ahead) - length(replace(ahead, chr(10), '')) + 1)::INTEGER AS s,
+               (length(ahead) - length(replace(ahead, chr(10), '')) + 1 + length(text) - length(replace(text, chr(10), '')))::INTEGER AS e FROM held),
+ls AS (SELECT item_id, path, s, e, unnest(string_split(content, chr(10))[s:e]) AS line FROM rng)
+SELECT item_id, path, s AS first_line, e AS last_line, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars,
+       bool_or(regexp_matches(lower(line), '{_FIX}')) AS fix FROM ls GROUP BY ALL"""
+
 ORACLE["s9_answer_text"] = f"""SELECT submission_id, 'reasoning' AS kind, md5(text) AS text_md5 FROM (WITH {_texts(5)} SELECT * FROM texts)
 UNION ALL
 SELECT submission_id, 'bug' AS kind, md5(text) AS text_md5 FROM (WITH {_texts(3)} SELECT * FROM texts)"""

@@ -206,6 +206,7 @@ def d7_shard_select(spark, sf):
 
 
 # ------------------------------------------------------------------ M8 scoring
+from quarry.functions import scoring as SC  # noqa: E402
 from quarry.operators import scoring as SCO  # noqa: E402
 
 def _score_cols():
@@ -220,6 +221,35 @@ def t8_tasks(spark, sf):
                                                          "old_api", "new_api")
 
 
+@query("f1_declaration_lines")
+def f1_declaration_lines(spark, sf):
+    """The position index of the code view: where each name is declared."""
+    return IX.declarations(TB.code_files(spark, sf)).select("path", "symbol", "kind", "first_line")
+
+
+@query("t8_truth_lines")
+def t8_truth_lines(spark, sf):
+    """The truth of rename and upgrade tasks with its lines."""
+    c = TB.scoring_context(spark, sf, kinds=["refactor_rename", "api_upgrade"], placed=True)
+    r = c["truth_renames"].select("task_id", "file", "line", F.col("old").alias("symbol"))
+    a = c["truth_callsites"].select("task_id", "file", "line", F.expr("left(old_call, length(old_call) - 3)").alias("symbol"))
+    return r.unionByName(a)
+
+
+@query("j6_passage_lines")
+def j6_passage_lines(spark, sf):
+    """The lines of every located passage, by an interval join of truth
+    ranges and lines, and whether one holds a fix pattern (F38)."""
+    from quarry.operators import ranges as RG
+    from quarry.operators import tasks as TK
+    prose = TB.prose_files(spark, sf)
+    loc = TK.passage_locations(TB.table(spark, sf, "benchmark"), prose)
+    found = loc.groupBy("item_id", "path").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    lines = RG.lines_in_ranges(found, prose)
+    return lines.groupBy("item_id", "path", "first_line", "last_line").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.bool_or(SC.has_fix_pattern(F.lower("line"))).alias("fix"))
+
+
 @query("s9_answer_text")
 def s9_answer_text(spark, sf):
     """Answer texts assembled in the fixed source order + commits."""

@@ -51,12 +51,13 @@ class ScoringContext(dict):
 
     The after-patch corpus is the code view with the T2 renames applied; all
     records use the index built before the rename (X13).  ``patched`` gives the
-    submissions trees of their own over it (``plans.patches``)."""
+    submissions trees of their own over it (``plans.patches``); ``placed`` gives
+    the truth the lines of declarations and calls."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, boundary: str, files: DataFrame | None, symbols: DataFrame | None,
-                 kinds: list[str] | None, patched: bool):
+                 kinds: list[str] | None, patched: bool, placed: bool):
         super().__init__(boundary=boundary)
-        self.spark, self.sf_dir, self.patched = spark, sf_dir, patched
+        self.spark, self.sf_dir, self.patched, self.placed = spark, sf_dir, patched, placed
         self.kinds = kinds or list(_NO_TRUTH)
         if files is not None:
             self["corpus"] = files
@@ -81,6 +82,10 @@ class ScoringContext(dict):
     def _symbols(self):
         return IX.extract_symbols(self["corpus"])
 
+    def _placed(self):
+        """Lines of the declarations, None where the truth needs none."""
+        return IX.first_declarations(IX.declarations(self["corpus"])) if self.placed else None
+
     def _renamed(self):
         from quarry.operators import transforms as TR
         return TR.rename_symbols(self["corpus"], self["symbols"], p=0.05, seed=42, mode="word", boundary=self["boundary"])
@@ -94,10 +99,11 @@ class ScoringContext(dict):
         if "cross_file_reasoning" in self.kinds:
             parts["cross_file_reasoning"] = TK.cross_file_tasks(cut_lineage(TR.add_wrappers(files, self["symbols"], n=8, seed=42).record))
         if "refactor_rename" in self.kinds:
-            parts["refactor_rename"] = TK.rename_tasks(self._renamed().record, self["symbols"])
+            parts["refactor_rename"] = TK.rename_tasks(self._renamed().record, self["symbols"], self.get("placed"))
         if "api_upgrade" in self.kinds:
             mig = TR.migrate_api(files, self["symbols"], n=10, fraction=0.6, seed=42)
-            parts["api_upgrade"] = TK.api_tasks(cut_lineage(mig.record), cut_lineage(mig.details), self["symbols"])
+            parts["api_upgrade"] = TK.api_tasks(cut_lineage(mig.record), cut_lineage(mig.details), self["symbols"],
+                                                   files if self.placed else None)
         if "bug_localization" in self.kinds:
             loc = cut_lineage(TK.passage_locations(table(self.spark, self.sf_dir, "benchmark"), prose_files(self.spark, self.sf_dir)))
             parts["bug_localization"] = TK.bug_tasks_from_locations(loc)
@@ -176,5 +182,5 @@ class ScoringContext(dict):
 
 def scoring_context(spark: SparkSession, sf_dir: str, boundary: str = "ascii",
                     files: DataFrame | None = None, symbols: DataFrame | None = None,
-                    kinds: list[str] | None = None, patched: bool = False) -> ScoringContext:
-    return ScoringContext(spark, sf_dir, boundary, files, symbols, kinds, patched)
+                    kinds: list[str] | None = None, patched: bool = False, placed: bool = False) -> ScoringContext:
+    return ScoringContext(spark, sf_dir, boundary, files, symbols, kinds, patched, placed)

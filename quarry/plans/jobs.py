@@ -3,13 +3,13 @@
 ``apply_all`` chains the rewrites the way the reference does: one index is
 built first and frozen (quirk X13: later steps search renamed symbols under
 their old names), every new corpus version is cut with a reliable checkpoint
-(on a cluster: the shared ``spark.checkpoint.dir``), and the record tables are
-returned for the artifact writer.
+(on a cluster: the shared ``spark.checkpoint.dir``) or committed as a step, and
+the record tables are returned for the artifact writer.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from quarry.operators import index as IX
 from quarry.operators import transforms as TR
 from quarry.operators import validate as VA
 from quarry.session import cut_lineage
+from quarry.sources.commits import Steps
 
 
 @dataclass
@@ -40,26 +41,41 @@ def build_index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols, IX.symbol_index_long(symbols)
 
 
-def apply_all(files: DataFrame, settings: Settings | None = None) -> dict:
+def apply_all(files: DataFrame, settings: Settings | None = None, root: str | None = None) -> dict:
     """T1 -> T2 -> T3 -> T4 -> T5 -> T6, returning the final corpus, the
-    four record tables, the validation table and the summary (A9)."""
+    four record tables, the validation table and the summary (A9).
+
+    With ``root`` every step is a commit there: a run that died is started again
+    with the same corpus and settings and goes on after its last step."""
     s = settings or Settings()
-    symbols = cut_lineage(IX.extract_symbols(files))                 # frozen index (X13)
-    ren = TR.rename_symbols(files, symbols, p=s.rename_fraction, seed=s.seed, mode=s.rename_mode,
-                            boundary=s.boundary)
-    v1 = cut_lineage(ren.files)
-    mig = TR.migrate_api(v1, symbols, n=s.api_migrations, fraction=s.migrate_fraction, seed=s.seed)
-    v2 = cut_lineage(mig.files)
-    wrp = TR.add_wrappers(v2, symbols, n=s.wrapper_layers, seed=s.seed)
-    v3 = cut_lineage(wrp.files)
-    dup = TR.duplicate_with_drift(v3, k=s.duplication_directories, max_files=s.max_dir_files, seed=s.seed)
-    v4 = cut_lineage(dup.files)
-    records = {"rename_map": ren.record.select("old", "new"),
-               "api_migrations": mig.record.drop("rank"),
-               "api_migration_files": mig.details,
-               "wrapper_layers": wrp.record.select("symbol", "original_file", "wrapper_file", "call_chain"),
-               "duplication_map": TR.duplication_record(dup).select("original_path", "duplicate_path", "modified_files")}
-    return {"files": v4, "symbols": symbols, "records": records, "validation": VA.validate_corpus(v4),
+    if root is None:
+        def step(name, make):
+            return {k: cut_lineage(v) for k, v in make().items()}
+    else:
+        step = Steps(files.sparkSession, root, asdict(s)).run
+    symbols = step("index", lambda: {"symbols": IX.extract_symbols(files)})["symbols"]            # frozen index (X13)
+
+    def rename():
+        r = TR.rename_symbols(files, symbols, p=s.rename_fraction, seed=s.seed, mode=s.rename_mode, boundary=s.boundary)
+        return {"files": r.files, "rename_map": r.record.select("old", "new")}
+
+    def migrate():
+        r = TR.migrate_api(v1["files"], symbols, n=s.api_migrations, fraction=s.migrate_fraction, seed=s.seed)
+        return {"files": r.files, "api_migrations": r.record.drop("rank"), "api_migration_files": r.details}
+
+    def wrap():
+        r = TR.add_wrappers(v2["files"], symbols, n=s.wrapper_layers, seed=s.seed)
+        return {"files": r.files, "wrapper_layers": r.record.select("symbol", "original_file", "wrapper_file", "call_chain")}
+
+    def duplicate():
+        r = TR.duplicate_with_drift(v3["files"], k=s.duplication_directories, max_files=s.max_dir_files, seed=s.seed)
+        return {"files": r.files, "duplication_map": TR.duplication_record(r).select("original_path", "duplicate_path", "modified_files")}
+    v1 = step("rename", rename)
+    v2 = step("migrate", migrate)
+    v3 = step("wrap", wrap)
+    v4 = step("duplicate", duplicate)
+    records = {k: v for tables in (v1, v2, v3, v4) for k, v in tables.items() if k != "files"}
+    return {"files": v4["files"], "symbols": symbols, "records": records, "validation": VA.validate_corpus(v4["files"]),
             "summary": transform_summary(records, s.seed)}
 
 

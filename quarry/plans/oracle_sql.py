@@ -25,6 +25,12 @@ post AS (SELECT DISTINCT unnest(regexp_extract_all(content, '[A-Z][a-z]{{3,}}'))
 SELECT symbol, count(*)::INTEGER AS n_files, min(path) AS first_path, max(path) AS last_path
 FROM post GROUP BY symbol"""
 
+ORACLE["t1_followed_index"] = f"""WITH {V.CODE_FILES},
+changed AS (SELECT repo, path, language, CASE fate WHEN 0 THEN '' WHEN 2 THEN replace(content, 'e(x', 'eZ(x') ELSE content END AS content
+            FROM (SELECT *, ('0x' || substr(md5('42:change:' || path), 1, 8))::BIGINT % 8 AS fate FROM code_files) WHERE fate <> 1),
+{V.CODE_SYMBOL_LISTS.replace('FROM code_files)', 'FROM changed)')}
+SELECT DISTINCT symbol, path FROM code_symbols"""
+
 ORACLE["a2_corpus_stats"] = f"""{V.CODE}
 SELECT 'files' AS metric, count(*) AS value FROM code_files
 UNION ALL

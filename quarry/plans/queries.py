@@ -60,6 +60,31 @@ def a1_prose_symbol_index(spark, sf):
                                       F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
+def _corpus_changes(files):
+    """The code view's next version: a hash of the path empties a file, gives it
+    other names or deletes it; the others stay."""
+    fate = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("42:change:"), "path")), 1, 8), 16, 10).cast("long"), F.lit(8))
+    c = files.withColumn("fate", fate)
+    text = F.when(F.col("fate") == 0, "").when(F.col("fate") == 2, F.replace("content", F.lit("e(x"), F.lit("eZ(x"))).otherwise(F.col("content"))
+    rest = c.filter("fate <> 1").withColumn("content", text)
+    return C.finish_files(rest.select("repo", "path", "rel_path", "content"))
+
+
+@query("t1_followed_index")
+def t1_followed_index(spark, sf):
+    """T1 + D8: the index of the code view, brought to a version with edits and
+    deletions by its changes alone."""
+    import uuid
+
+    from quarry.session import ensure_checkpoint_dir
+    from quarry.streaming.changes import SymbolTable
+    held = SymbolTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    files = TB.code_files(spark, sf)
+    held.refresh(files, "first")
+    held.refresh(_corpus_changes(files), "second")
+    return IX.symbol_postings(held.symbols())
+
+
 @query("a2_corpus_stats")
 def a2_corpus_stats(spark, sf):
     files = TB.code_files(spark, sf)

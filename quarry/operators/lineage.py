@@ -87,6 +87,29 @@ def call_chain(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
     return visited
 
 
+def call_paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """R3 with its witness: (root, node, depth, path) of every reachable node,
+    ``path`` one shortest chain of names from the root to it.
+
+    Every node points to its least caller one level nearer the root.  The
+    pointers form a tree, and paths are put together by pointer doubling: in
+    each round a node takes over the piece of path its pointer has and that
+    one's pointer, so a chain of length d is whole after log2(d) rounds."""
+    e = cut_lineage(edges.select("caller", "callee").distinct())
+    seen = cut_lineage(call_chain(e, roots, max_depth))
+    before = seen.select("root", F.col("node").alias("caller"), (F.col("depth") + 1).alias("depth"))
+    towards = (before.join(e, "caller").select("root", F.col("callee").alias("node"), "depth", "caller")
+               .groupBy("root", "node", "depth").agg(F.min("caller").alias("pointer")))
+    cur = seen.join(towards, ["root", "node", "depth"], "left").select("root", "node", "depth", "pointer", F.array("node").alias("path"))
+    deepest = seen.agg(F.max("depth")).first()[0] or 0
+    for _ in range(int(deepest).bit_length()):
+        cur = cut_lineage(cur)
+        ahead = cur.select("root", F.col("node").alias("pointer"), F.col("pointer").alias("next"), F.col("path").alias("front"))
+        cur = cur.join(ahead, ["root", "pointer"], "left").select(
+            "root", "node", "depth", F.col("next").alias("pointer"), F.when(F.col("front").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path"))
+    return cur.select("root", "node", "depth", "path")
+
+
 # ------------------------------------------------------------------------ R4
 
 def normalised(content) -> F.Column:

@@ -257,6 +257,16 @@ walk(root, node, depth) USING KEY (root, node) AS (
    WHERE NOT EXISTS (SELECT 1 FROM recurring.walk v WHERE v.root = w.root AND v.node = e.callee))
 SELECT root, node, depth FROM walk"""
 
+_walk = ORACLE["r3_call_chain"]
+ORACLE["r3_call_paths"] = _walk[:_walk.rindex("\nSELECT root")] + """,
+towards AS (SELECT w.root, w.node, w.depth, min(p.node) AS pointer FROM walk w JOIN edges e ON e.callee = w.node
+            JOIN walk p ON p.root = w.root AND p.node = e.caller AND p.depth = w.depth - 1 GROUP BY ALL),
+paths(root, node, depth, path) AS (
+   SELECT root, node, depth, root FROM walk WHERE depth = 0
+   UNION ALL
+   SELECT p.root, t.node, t.depth, p.path || ' > ' || t.node FROM paths p JOIN towards t ON t.root = p.root AND t.pointer = p.node)
+SELECT root, node, depth, path FROM paths"""
+
 ORACLE["r6_rename_audit"] = f"""{RENAME},
 after AS (SELECT c.path, coalesce(f.content, c.content) AS content FROM code_files c LEFT JOIN final f USING (path)),
 uses AS (SELECT path, identifier, count(*) AS n

@@ -400,6 +400,15 @@ def r3_call_chain(spark, sf):
     return LN.call_chain(LN.call_edges(files), roots)
 
 
+@query("r3_call_paths")
+def r3_call_paths(spark, sf):
+    """One shortest call path from each sampled symbol to every symbol it reaches."""
+    files = TB.code_files(spark, sf)
+    keys = IX.extract_symbols(files).select("symbol").distinct()
+    roots = S.sample_n(keys, "symbol", 8, 42, op="wrap").select(F.col("symbol").alias("root"))
+    return LN.call_paths(LN.call_edges(files), roots).select("root", "node", "depth", F.array_join("path", " > ").alias("path"))
+
+
 @query("r6_rename_audit")
 def r6_rename_audit(spark, sf):
     """Per renamed pair the files of the whole renamed corpus that still

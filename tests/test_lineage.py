@@ -98,3 +98,23 @@ def test_exact_copies(spark):
     files = files_df(spark, [("src/r/a.py", "Hello   World\n"), ("src/r/b.py", "hello world"), ("src/r/c.py", "other")])
     got = {r["path"]: r["group_size"] for r in LN.exact_copies(files).collect()}
     assert got == {"src/r/a.py": 2, "src/r/b.py": 2}
+
+
+def test_call_paths_are_shortest_chains(spark):
+    import random
+    rng = random.Random(11)
+    pairs = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)} | {(f"c{i}", f"c{i + 1}") for i in range(21)} | {("c21", "c3")}
+    edges = spark.createDataFrame(sorted(pairs), "caller string, callee string")
+    roots = spark.createDataFrame([("n1",), ("c0",), ("alone",)], "root string")
+    got = {(r.root, r.node): (r.depth, list(r.path)) for r in LN.call_paths(edges, roots).collect()}
+    for root in ("n1", "c0", "alone"):
+        depth, level = {root: 0}, [root]
+        while level:
+            level = sorted({b for a, b in pairs if a in level and b not in depth})
+            depth.update(dict.fromkeys(level, max(depth.values()) + 1))
+        assert {n: d for (r, n), (d, _) in got.items() if r == root} == depth
+        for node, d in depth.items():
+            path = got[root, node][1]
+            assert path[0] == root and path[-1] == node and len(path) == d + 1 and all(p in pairs for p in zip(path, path[1:]))
+    assert max(d for d, _ in got.values()) == 21
+    assert LN.call_paths(edges, roots.limit(0)).count() == 0 and LN.call_paths(edges.limit(0), roots).count() == 3

@@ -13,8 +13,9 @@ then still span components are compared by an exact prefix rule: with the
 shingles of every set in ascending order of frequency, two sets of sizes m and
 n that link share at least ``need = ceil(num * (m + n) / (num + den))`` of them,
 so the first shared one comes before the last ``need`` of both.  Only pairs that
-share a shingle there are compared; no cap drops a link, and a group of texts
-that resemble each other below the threshold is not expanded into its pairs.
+share a shingle there, and whose parity sketches differ in no more slots than
+two sets that link can, are compared: no cap drops a link, and texts that
+resemble each other below the threshold mostly fall out before they are paired.
 Links are confirmed on the full shingle sets of whole texts.
 
 Defined results: null or empty text or text without words has an empty set
@@ -40,6 +41,8 @@ BAND = 4
 PIVOT_ROUNDS = 3
 #: Ids (8 bytes each) that may be broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Slots of the sketches that tell sets apart before their texts are read.
+PARITY_BITS = 1024
 #: Shingle rows that leave a Python worker at a time.
 SET_ROWS = 1 << 16
 _SEEDS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -134,9 +137,38 @@ def _set_rows(k: int):
     return run
 
 
+def _sketches(k: int):
+    """Per text the parity of its shingles in each of PARITY_BITS slots of a hash."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            doc, h = _sets(b.column("text"), k)
+            with np.errstate(over="ignore"):
+                slot = (mix64(h ^ _SEEDS[1]) % np.uint64(PARITY_BITS)).astype(np.int64)
+            edge, parity = np.searchsorted(doc, np.arange(b.num_rows + 1)), []
+            for i in range(b.num_rows):
+                odd = np.bincount(slot[edge[i]:edge[i + 1]], minlength=PARITY_BITS).astype(np.uint8) & 1
+                parity.append(np.packbits(odd).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("key"), pa.array(parity, pa.list_(pa.int64()))], names=["rep", "key", "parity"])
+    return run
+
+
+def _differences(x: str, y: str):
+    """Slots in which two sketches differ: never more than the shingles that are in one set only."""
+    parts = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(PARITY_BITS // 64)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
+    return out
+
+
 def _rarest_shared(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs (x, y) of ``rest`` (rep, comp) across components that may link by the
-    prefix rule; every pair that links is among them."""
+    prefix rule; every pair that links is among them.
+
+    Families of texts that resemble each other below the threshold share rare
+    shingles too.  They fall out in the join already: a link allows at most
+    ``n_x + n_y - 2 need`` shingles in one set only, and the parity sketches of
+    two sets never differ in more slots than that."""
     own = (rest.join(texts.select(F.col("doc_id").alias("rep"), "text", text_key().alias("key")), "rep")
            .dropDuplicates(["rep", "key"]))
     rows = scratch.save(map_batches(own.select("rep", "comp", "key", "text"), _set_rows(k), "rep long, comp long, key long, n long, h long"), "sets")
@@ -146,12 +178,12 @@ def _rarest_shared(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int
     place = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "h"))
     first = (rows.join(often, "h").withColumn("place", place)
              .where(f"lo <> hi and place <= n - ({num} * n + {den - 1}) div {den} + 1"))
-    first = scratch.save(first.select("h", "rep", "comp", "n", "place"), "prefixes")
-    x = first.select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    y = first.select("h", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    sketches = scratch.save(map_batches(own.select("rep", "key", "text"), _sketches(k), "rep long, key long, parity array<long>"), "sketches")
+    first = scratch.save(first.select("h", "rep", "key", "comp", "n", "place").join(sketches, ["rep", "key"]).drop("key"), "prefixes")
+    x, y = (first.select("h", *[F.col(c).alias(c[0] + s) for c in ("comp", "n", "place")], F.col("parity").alias(f"b{s}"), F.col("rep").alias(s)) for s in "xy")
     need = f"({num} * (nx + ny) + {num + den - 1}) div {num + den}"
     return (x.join(y, "h").where("x < y and cx <> cy").where(f"px + {need} <= nx + 1 and py + {need} <= ny + 1")
-            .where(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)").select("x", "y"))
+            .where(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)").where(_differences("bx", "by") <= F.expr(f"nx + ny - 2 * ({need})")).select("x", "y"))
 
 
 def _confirm(k: int, num: int, den: int):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rewrite as RW
 from quarry.functions import text as TX
+from quarry.functions.diff import line_changes_udf
 from quarry.operators import index as IX
 from quarry.operators import sampling as S
 from quarry.operators.joins import fits_broadcast, join_small
@@ -287,6 +288,14 @@ def drift_audit(result: Result) -> DataFrame:
             .withColumn("changed_share", F.round(F.col("changed_lines") / F.greatest("n_lines", F.lit(1)), 9)))
 
 
+def aligned_audit(result: Result) -> DataFrame:
+    """R2 with the lines in their order: per copied file the lines that stay in
+    line with the original, and those moved, added and removed.  Both texts
+    stand in one row, so nothing is shuffled."""
+    t = result.touched.select("path", "original_path", line_changes_udf("old_content", "content").alias("d"))
+    return t.select("path", "original_path", "d.*")
+
+
 def duplication_record(result: Result) -> DataFrame:
     """duplication_map with the reference's ``modified_files`` list (the list
     of one directory is bounded by ``max_files``)."""

@@ -208,6 +208,12 @@ def r2_drift_audit(spark, sf):
     return TR.drift_audit(_duplicated(spark, sf))
 
 
+@query("r2_aligned_diff")
+def r2_aligned_diff(spark, sf):
+    """R2 in line: what stays, moves, comes and goes in every drifted copy."""
+    return TR.aligned_audit(_duplicated(spark, sf))
+
+
 @query("a7_dir_file_count")
 def a7_dir_file_count(spark, sf):
     """A7 + P10: files per top-level directory and whether it may be copied."""

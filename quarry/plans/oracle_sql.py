@@ -427,6 +427,24 @@ SELECT user_id, round(elapsed, 6) AS elapsed,
        WHEN (elapsed - 10.0) / 10.0 <= 0.5 THEN 0.75 WHEN (elapsed - 10.0) / 10.0 <= 1.0 THEN 0.5 ELSE 0.0 END::DOUBLE AS factor
 FROM m"""
 
+ORACLE["f4_rich_symbols"] = f"WITH {V.RICH_FILES},\n{V.RICH_SYMBOLS}\nSELECT path, language, symbol, kind FROM code_symbols"
+
+ORACLE["f29_rich_drift"] = f"""WITH {V.RICH_FILES},
+d AS (SELECT path, content AS old, CASE WHEN regexp_matches(path, '\\.(go|py|cpp|h)$') THEN {DRIFT_SQL} ELSE content END AS new FROM rich)
+SELECT path, md5(new) AS drifted_md5, new <> old AS modified FROM d"""
+
+ORACLE["d2_overtime_lines"] = """WITH m AS (SELECT l_quantity::DOUBLE AS elapsed, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT elapsed, n, CASE WHEN (elapsed - 12.0) / 12.0 <= 0 THEN 1.0 WHEN (elapsed - 12.0) / 12.0 <= 0.25 THEN 0.9
+       WHEN (elapsed - 12.0) / 12.0 <= 0.5 THEN 0.75 WHEN (elapsed - 12.0) / 12.0 <= 1.0 THEN 0.5 ELSE 0.0 END::DOUBLE AS factor FROM m"""
+
+ORACLE["r1_changed_snapshot"] = f"""{V.CODE},
+f AS (SELECT path, sha, content, ('0x' || substr(md5('42:change:' || path), 1, 8))::BIGINT % 8 AS fate,
+             ('0x' || substr(md5('42:newer:' || path), 1, 8))::BIGINT % 9 = 0 AS newer FROM code_files),
+b AS (SELECT path, sha FROM f WHERE NOT newer),
+a AS (SELECT path, sha256(CASE fate WHEN 0 THEN '' WHEN 2 THEN replace(content, 'e(x', 'eZ(x') ELSE content END) AS sha FROM f WHERE fate <> 1)
+SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.sha IS NULL THEN 'added' WHEN a.sha IS NULL THEN 'removed'
+       WHEN b.sha <> a.sha THEN 'modified' ELSE 'same' END AS status FROM b FULL OUTER JOIN a ON a.path = b.path"""
+
 ORACLE["d9_corpus_rollup"] = f"""{V.CODE}
 SELECT repo, language, count(*) AS files, sum(line_count)::BIGINT AS lines FROM code_files GROUP BY ROLLUP (repo, language)"""
 
@@ -706,6 +724,14 @@ _C1_CITED = f"""SELECT a.submission_id, CASE {_CITE} WHEN 1 THEN 'The caller tak
 _c1 = _c1_sql(more=", text <> '' AND ff AS file_found")
 ORACLE["c1_cited_path"] = _c1.replace(f"{_texts(5)},\n{_attempts('ctasks')}", f"{_attempts('ctasks')},\n{_cited_texts(5, _C1_CITED)}")
 
+ORACLE["f34_cited_keywords"] = "\nUNION ALL\n".join(f"""SELECT submission_id, '{kind}' AS kind, round(len(list_filter({_KW}, lambda k: contains(lower(text), k))) / 7.0, 9) AS ratio FROM (
+{WRAP},
+ctasks AS (SELECT printf('cross_file_reasoning_%02d', rank) AS task_id, symbol, original_file, wrapper_file FROM rec),
+{SUBS},
+{_attempts('ctasks')},
+{_cited_texts(n, cited)}
+SELECT * FROM texts)""" for kind, n, cited in (("reasoning", 5, _C1_CITED), ("bug", 3, "SELECT submission_id, '' AS t FROM subs WHERE false")))
+
 _C4_CITED = f"""SELECT a.submission_id, CASE {_CITE} WHEN 1 THEN 'lines ' || t.s || ' to ' || t.e || ' of ' || t.file || ' hold a copied passage'
          ELSE 'near line ' || (t.e + 4) || ' of ' || regexp_extract(t.file, '([^/]*)$', 1) END AS t
   FROM attempts a JOIN btasks t USING (task_id) WHERE {_CITE} > 0"""

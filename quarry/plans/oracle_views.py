@@ -140,3 +140,26 @@ TREE_BAD = "(fate IN (1, 2) OR regexp_matches(content, '(?m)^def (True|False|Non
 TREE_SYMBOLS = (CODE_SYMBOL_LISTS[:CODE_SYMBOL_LISTS.index("),\ncode_symbols AS")].replace("code_symbol_lists AS", "tree_symbol_lists AS")
                 .replace("FROM code_files", "FROM tree_scanned WHERE fate <> 0 AND NOT (language = 'python' AND fate = 1)")
                 .replace("regexp_matches(content, '(?m)^def (True|False|None)\\(')", TREE_BAD) + ")")
+
+
+# The rich view: declarations at the end of some files.
+def _rich_sql() -> str:
+    from quarry.sources.corpus import RICH
+
+    def text(t: str) -> str:
+        quoted = "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+        return f"replace({quoted}, '{{id}}', doc_id::VARCHAR)"
+    cases = " ".join(f"WHEN ext = '{ext}' AND pick = {n} THEN {text(t)}" for ext, texts in RICH.items() for n, t in enumerate(texts))
+    return f"""{CODE_FILES},
+rich AS (
+  SELECT repo, path, language, content || CASE {cases} ELSE '' END AS content
+  FROM (SELECT c.*, d.doc_id, ('0x' || substr(md5('42:rich:' || d.doc_id), 1, 8))::BIGINT % 4 AS pick FROM code_files c JOIN doc_paths d USING (path)))"""
+
+
+RICH_FILES = _rich_sql()
+_VALID = "list_transform(regexp_extract_all(content, '(?m)^def (\\w+)\\(', 1), lambda s: {'symbol': s, 'kind': 'function'})"
+RICH_SYMBOLS = (CODE_SYMBOL_LISTS.replace("FROM code_files)", "FROM rich)")
+                .replace("regexp_matches(content, '(?m)^def (True|False|None)\\(')", "regexp_matches(content, '(?m)^def (True|False|None)\\(|^def broken[0-9]+\\(:')")
+                .replace(_VALID, _VALID.replace("^def", "^ *def") + """
+        || list_transform(regexp_extract_all(content, '(?m)^class (\\w+)', 1), lambda s: {'symbol': s, 'kind': 'class'})
+        || list_transform(regexp_extract_all(content, '(?m)^(LIMIT|level|kind) = ', 1), lambda s: {'symbol': s, 'kind': 'variable'})"""))

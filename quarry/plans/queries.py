@@ -423,6 +423,14 @@ def r6_rename_audit(spark, sf):
     return IX.rename_audit(ren.record, IX.reference_index(ren.files))
 
 
+@query("r1_changed_snapshot")
+def r1_changed_snapshot(spark, sf):
+    """R1 between two versions with files that came, went, changed and stayed."""
+    files = TB.code_files(spark, sf)
+    newer = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("42:newer:"), "path")), 1, 8), 16, 10).cast("long"), F.lit(9)) == 0
+    return LN.snapshot_diff(files.filter(~newer), _corpus_changes(files)).select("path", "status")
+
+
 @query("r4_exact_copies")
 def r4_exact_copies(spark, sf):
     """R4 exact: documents sharing a normalised text."""
@@ -638,6 +646,41 @@ def d2_overtime_events(spark, sf):
                        SC.overtime_factor("elapsed", F.lit(10.0)).alias("factor"))
 
 
+def _rich(spark, sf):
+    return C.rich_files(C.load_spread(spark, sf, "documents"))
+
+
+@query("f4_rich_symbols")
+def f4_rich_symbols(spark, sf):
+    """F1-F7 where every kind occurs: functions, types, methods, classes,
+    variables, structs, and names read from invalid syntax."""
+    return IX.extract_symbols(_rich(spark, sf)).select("path", "language", "symbol", "kind")
+
+
+@query("f29_rich_drift")
+def f29_rich_drift(spark, sf):
+    """F27-F30 where every rule applies: headers, levels, sizes and times."""
+    d = _rich(spark, sf)
+    out = F.when(RW.is_rewritable("path"), RW.drift("content")).otherwise(F.col("content"))
+    return d.select("path", F.md5(out).alias("drifted_md5"), (out != F.col("content")).alias("modified"))
+
+
+@query("d2_overtime_lines")
+def d2_overtime_lines(spark, sf):
+    """D2 over line items: a minute per piece against a limit of 12, so that
+    every band of overtime occurs."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return li.groupBy(F.col("l_quantity").cast("double").alias("elapsed")).agg(F.count(F.lit(1)).alias("n")).select(
+        "elapsed", "n", SC.overtime_factor("elapsed", F.lit(12.0)).alias("factor"))
+
+
+@query("f34_cited_keywords")
+def f34_cited_keywords(spark, sf):
+    """F34 + F32 over the answers that cite steps of a call path."""
+    c = TB.scoring_context(spark, sf, kinds=["cross_file_reasoning"], patched=True)
+    return c["texts"].select("submission_id", "kind", F.round(SC.keyword_ratio(F.lower("text")), 9).alias("ratio"))
+
+
 @query("d9_corpus_rollup")
 def d9_corpus_rollup(spark, sf):
     """D9 roll-up (ROLLUP) of lines and files per repository and language."""

@@ -155,6 +155,31 @@ def tree_files(documents: DataFrame) -> DataFrame:
     return out.withColumn("read_error", error).withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0).cast("long"))).select(*FILES_COLUMNS)
 
 
+# ----------------------------------------------------------------- rich view
+
+#: Declarations added at the end of some files of the rich view, by extension; {id} is the document's number.
+RICH = {
+    "go": ("type Box{id} struct {\n\tv int\n}\n\nfunc (b Box{id}) Get{id}() int {\n\treturn b.v + 60\n}\n", "type Shape{id} interface {\n}\n"),
+    "py": ("class Shape{id}:\n    def grow(self):\n        return 60\n\n\nLIMIT = 1024\nlevel = \"INFO\"\nkind = 'error'\n",
+           "def broken{id}(:\nclass Odd{id}(object):\n"),
+    "cpp": ("class Box{id} {\npublic:\n  int v;\n};\nstruct Pair{id} {\n  int a;\n};\n", "// level \"INFO\" 60 1024\n"),
+    "c": ("struct Pair{id} {\n  int a;\n};\n", "// level \"INFO\" 60 1024\n"),
+}
+
+
+def rich_files(documents: DataFrame) -> DataFrame:
+    """The code view with types, methods, classes, assignments and invalid
+    syntax: a hash of doc_id picks what stands at the end of a file."""
+    pick = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("42:rich:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(4))
+    d = _doc_paths(documents.select("doc_id", "source", "lang", "text")).withColumn("pick", pick)
+    extra = F.lit("")
+    for ext, texts in RICH.items():
+        for n, text in enumerate(texts):
+            extra = F.when((_ext_of_lang(F.col("lang")) == ext) & (F.col("pick") == n), F.replace(F.lit(text), F.lit("{id}"), F.col("doc_id").cast("string"))).otherwise(extra)
+    d = d.withColumn("content", F.concat(code_content(F.col("lang"), F.col("text")), extra))
+    return finish_files(d.select("repo", "path", "rel_path", "content"))
+
+
 # ---------------------------------------------------------------- pages view
 
 def page_files(pages: DataFrame) -> DataFrame:

@@ -46,4 +46,92 @@ SELECT page_id, host, path, rule, coalesce((SELECT rule_verdict FROM {_RULES} WH
 FROM own LEFT JOIN shared s ON own.node = s.node
 """
 
-ORACLE: dict[str, str] = {"op4_redirect_equivalence": OP4}
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit (fixed value: its polynomial, reversed)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda acc, op: CASE WHEN op >= 0 THEN xor(acc, op) "
+            "ELSE xor(acc >> 1, (acc & 1) * 3988292384) END), 4294967295)")
+
+
+#: Prefixes by their whole text, every ancestor of every node.
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c0 AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n, {_crc32('conv_id::VARCHAR')} % 6 AS h FROM t GROUP BY conv_id
+), c AS (
+  SELECT a.conv_id, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS begun FROM c0 a LEFT JOIN c0 b ON b.conv_id = a.base
+), built AS (
+  SELECT c.conv_id, t.pos, t.r, t.x FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + c.begun, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.pos >= c.h
+), path AS (
+  SELECT conv_id, 0 AS depth, '' AS node, 0 AS chars FROM c
+  UNION ALL SELECT conv_id, pos + 1, md5(string_agg(strlen(r) || ':' || r || strlen(x) || ':' || x, '') OVER (PARTITION BY conv_id ORDER BY pos)), length(x) FROM built
+), ends AS (
+  SELECT conv_id, max(depth) AS depth, arg_max(node, depth) AS node FROM path GROUP BY conv_id
+), lists AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM ends GROUP BY node
+), n AS (
+  SELECT node, max(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved FROM path GROUP BY node
+), up AS (
+  SELECT n.*, p.node AS parent FROM n LEFT JOIN path p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), kids AS (
+  SELECT parent AS node, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT p.node, sum(n.saved) AS saved, count(*) FILTER (WHERE k.node IS NULL) AS leaves
+  FROM n JOIN path p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids k ON k.node = n.node GROUP BY p.node
+)
+SELECT up.conv_id, up.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, up.n_convs, coalesce(k.n_children, 0) AS n_children, b.leaves AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, coalesce(l.ends, sha256('')) AS ends_sha256
+FROM up LEFT JOIN n a ON a.node = up.parent LEFT JOIN kids k ON k.node = up.node JOIN below b ON b.node = up.node LEFT JOIN lists l ON l.node = up.node
+"""
+
+
+def _leaf(text: str) -> str:
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    return "sha256(" + " || ".join(field(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+def _levels(name: str, leaves: str, key: str) -> str:
+    """All levels of the trees of ``leaves(key, pos, d)``, one per key."""
+    return f"""{name} AS (
+  SELECT {key}, 0 AS level, pos, d, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves}
+  UNION ALL SELECT {key}, level + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (max(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY {key}, level, pos // 8
+)"""
+
+
+def _folded(name: str, start: str, nodes: str, key: str) -> str:
+    """``start(doc, key, pos, d, proof)`` folded level by level."""
+    return f"""{name} AS (
+  SELECT doc, {key}, 0 AS level, pos, d, proof FROM {start}
+  UNION ALL SELECT f.doc, f.{key}, f.level + 1, f.pos // 8, sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.d ELSE s.d END, '' ORDER BY s.pos)),
+         any_value(f.proof) || coalesce(string_agg(CASE WHEN s.pos <> f.pos THEN s.d END, '' ORDER BY s.pos), '')
+  FROM {name} f JOIN {nodes} s ON s.{key} = f.{key} AND s.level = f.level AND s.pos // 8 = f.pos // 8 WHERE s.n > 1
+  GROUP BY f.doc, f.{key}, f.level, f.pos
+)"""
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS doc, doc_id, coalesce('=' || lang, '') AS grp, {_leaf('text')} AS d,
+         CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM d
+), {_levels('lower_nodes', 'leaves', 'grp')}, subroots AS (
+  SELECT grp, d, row_number() OVER (ORDER BY grp) - 1 AS pos, 0 AS one FROM lower_nodes WHERE n = 1
+), {_levels('upper_nodes', 'subroots', 'one')}, first AS (
+  SELECT doc, grp, pos, coalesce(changed, d) AS d, '' AS proof FROM leaves
+), {_folded('in_group', 'first', 'lower_nodes', 'grp')}, done AS (
+  SELECT f.doc, 0 AS one, s.pos, f.d, f.proof FROM in_group f JOIN subroots s USING (grp)
+  WHERE f.level = (SELECT max(level) FROM lower_nodes x WHERE x.grp = f.grp)
+), {_folded('in_all', 'done', 'upper_nodes', 'one')}, root AS (
+  SELECT d FROM upper_nodes WHERE n = 1
+)
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, root.d AS root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = root.d AS verified
+FROM leaves l JOIN subroots s USING (grp) JOIN in_all f USING (doc), root WHERE f.level = (SELECT max(level) FROM upper_nodes)
+"""
+
+ORACLE: dict[str, str] = {"op4_redirect_equivalence": OP4, "op12_half_depth_trie": OP12, "op13_midstate_tree": OP13}

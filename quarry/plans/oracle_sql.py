@@ -445,6 +445,16 @@ a AS (SELECT path, sha256(CASE fate WHEN 0 THEN '' WHEN 2 THEN replace(content,
 SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.sha IS NULL THEN 'added' WHEN a.sha IS NULL THEN 'removed'
        WHEN b.sha <> a.sha THEN 'modified' ELSE 'same' END AS status FROM b FULL OUTER JOIN a ON a.path = b.path"""
 
+_REPOS = """repos AS (
+  SELECT ['core', 'extended', 'xl'][n % 3 + 1] AS tier, source AS name, 'git://' || source AS url, lang AS language, loc AS approximate_loc, n % 4 AS weight,
+         CASE WHEN n % 5 > 0 THEN ['mit', 'bsd-3-clause', 'apache-2.0'][n % 3 + 1] END AS license, CASE WHEN n % 2 = 0 THEN n ELSE 1 END AS depth
+  FROM (SELECT lang, source, sum(n_chars)::BIGINT AS loc, regexp_extract(source, '([0-9]+)$', 1)::INTEGER AS n FROM documents GROUP BY lang, source))"""
+ORACLE["s4_nested_manifest"] = f"""WITH {_REPOS}
+SELECT name, url, depth, 'src/' || name || '/' AS folder, tier, language FROM repos WHERE tier <> 'xl'"""
+ORACLE["d9_licence_totals"] = f"""WITH {_REPOS}
+SELECT license, tier, count(*) AS repos, sum(approximate_loc)::BIGINT AS approximate_loc, sum(weight)::BIGINT AS weight
+FROM (SELECT coalesce(license, 'unknown') AS license, tier, approximate_loc, weight FROM repos) GROUP BY ROLLUP (license, tier)"""
+
 ORACLE["d9_corpus_rollup"] = f"""{V.CODE}
 SELECT repo, language, count(*) AS files, sum(line_count)::BIGINT AS lines FROM code_files GROUP BY ROLLUP (repo, language)"""
 

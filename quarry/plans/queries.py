@@ -689,6 +689,36 @@ def d9_corpus_rollup(spark, sf):
                                               F.sum("line_count").alias("lines")))
 
 
+def _manifests(spark, sf):
+    """Nested manifests of the sources of ``documents``, one JSON text per
+    language: the source's number places it in a tier and gives it a licence."""
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    d = (C.load_table(spark, sf, "documents").groupBy("lang", "source").agg(F.sum("n_chars").alias("loc"))
+         .select("lang", F.struct(F.col("source").alias("name"), F.concat(F.lit("git://"), "source").alias("url"), F.col("lang").alias("language"),
+                                  F.col("loc").alias("approximate_loc"), F.pmod(n, F.lit(4)).alias("weight"),
+                                  F.when(n % 5 > 0, F.element_at(F.array(*map(F.lit, ("mit", "bsd-3-clause", "apache-2.0"))), F.pmod(n, F.lit(3)) + 1)).alias("license"),
+                                  F.when(n % 2 == 0, n).alias("depth")).alias("r"), F.pmod(n, F.lit(3)).alias("t")))
+    lists = d.groupBy("lang").agg(*[F.collect_list(F.when(F.col("t") == i, F.col("r"))).alias(f"{t}_repos") for i, t in enumerate(("core", "extended", "xl"))])
+    return lists.select(F.concat("lang", F.lit(".json")).alias("file"),
+                        F.to_json(F.struct(F.struct(F.lit("1.0").alias("version")).alias("metadata"), "core_repos", "extended_repos", "xl_repos")).alias("value"))
+
+
+@query("s4_nested_manifest")
+def s4_nested_manifest(spark, sf):
+    """S4 + U1 + F45 from nested manifests: core, then extended repositories."""
+    from quarry.sources import manifest as MF
+    repos, _ = MF.repos_from_json(_manifests(spark, sf))
+    return MF.load_repository_config(repos, core_only=False)
+
+
+@query("d9_licence_totals")
+def d9_licence_totals(spark, sf):
+    """D9 from nested manifests: repositories, lines and weight per licence and tier."""
+    from quarry.sources import manifest as MF
+    repos, _ = MF.repos_from_json(_manifests(spark, sf))
+    return MF.license_rollup(repos)
+
+
 @query("a10_task_summary")
 def a10_task_summary(spark, sf):
     """A10 over the tasks T8 derives."""

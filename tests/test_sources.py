@@ -63,3 +63,20 @@ def test_artifact_round_trip(spark):
     assert AR.read_artifact(spark, d + "/missing.json").count() == 0
     keyed = AR.as_keyed_object(df, "old", ["new"]).first()["record"]
     assert keyed["a"]["new"] == "a_New"
+
+
+def test_nested_manifests_and_what_is_wrong_with_them(spark):
+    d = tempfile.mkdtemp(prefix="quarry-manifest-", dir="/tmp")
+    good = {"metadata": {"version": "1.0"}, "core_repos": [{"name": "a", "url": "u", "language": "go", "approximate_loc": 10, "weight": 3, "license": "mit"},
+                                                          {"name": "b", "url": "v", "approximate_loc": "many", "depth": 4}, {"url": "nameless"}],
+            "extended_repos": [{"name": "c", "url": "w", "license": "mit", "approximate_loc": 5, "notes": "x"}], "xl_repos": "none", "build": {"core_repos": []}}
+    for name, text in (("good.json", json.dumps(good, indent=2)), ("bad.json", '{"core_repos": ['), ("empty.json", "{}"), ("list.json", "[1, 2]")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    repos, rejected = MF.read_nested_manifest(spark, d)
+    assert sorted((r.tier, r.name, r.approximate_loc, r.depth) for r in repos.collect()) == [("core", "a", 10, None), ("core", "b", None, 4), ("extended", "c", 5, None)]
+    assert sorted((r.file, r.tier or "", r.error.split()[0]) for r in rejected.collect()) == [("bad.json", "", "no"), ("good.json", "core", "a"), ("good.json", "xl", "the")]
+    config = {r.name: (r.depth, r.folder) for r in MF.load_repository_config(repos, core_only=False).collect()}
+    assert config == {"a": (1, "src/a/"), "b": (4, "src/b/"), "c": (1, "src/c/")}
+    totals = {(r.license, r.tier): (r.repos, r.approximate_loc) for r in MF.license_rollup(repos).collect()}
+    assert totals[("mit", None)] == (2, 15) and totals[("unknown", "core")] == (1, None) and totals[(None, None)] == (3, 15)

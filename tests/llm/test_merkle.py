@@ -13,6 +13,16 @@ SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, pos long, total long, digest string, group string, row_ long"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small jobs: few tasks each."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, before)
+
+
 def H(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 

@@ -13,6 +13,16 @@ SF = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, conv long, pos long, depth long, node string, total long, n long"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small jobs: few tasks each."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, before)
+
+
 def brute(rows):
     """rows (conv_id, turn, role, text) -> {(conv_id, depth): ...}"""
     own = defaultdict(list)

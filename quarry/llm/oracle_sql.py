@@ -2,32 +2,73 @@
 
 from __future__ import annotations
 
+from quarry.llm import url_filters
+
 _RULES = """(VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
     ('org', '/fr/', 'allow')) AS r(rule_host, rule_path, rule_verdict)"""
 
 
+#: As in ``url_filters``, without a look-ahead: an unquoted word ends at a space, a slash or the tag's end.
+_LINK = r"""(?i)<link\s[^>]*rel\s*=\s*(?:(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?')[^>]*>|canonical(?:[\s/][^>]*)?>)"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _rest(url: str) -> str:
+    return f"(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END)"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract({_rest(url)}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract({_rest(url)}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _folded(path: str) -> str:
+    """A path without . and .. segments."""
+    parts = f"string_split({path}, '/')"
+    kept = (f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}[2:], lambda s: [s])), lambda acc, x: CASE WHEN x[1] = '.' THEN acc "
+            "WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_concat(acc, x) END)")
+    tail = f"CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END"
+    return f"(CASE WHEN contains({path}, '/.') THEN '/' || array_to_string(list_concat({kept}, {tail}), '/') ELSE {path} END)"
+
+
 def _node(url: str) -> str:
-    rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
-    host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"CASE WHEN {host} <> '' THEN {host} || regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) END"
+    query = f"regexp_extract({_rest(url)}, '^[^?#]*(\\?[^#]*)', 1)"
+    return f"(CASE WHEN {_host(url)} <> '' THEN {_host(url)} || {_folded(_path(url))} || {query} END)"
+
+
+def _resolved(to: str, url: str) -> str:
+    site = f"(regexp_extract({url}, '^([^:]*://)', 1) || {_host(url)})"
+    folder = f"regexp_replace({_path(url)}, '[^/]*$', '')"
+    return (f"(CASE WHEN {to} = '' THEN NULL WHEN regexp_matches({to}, {_quoted(url_filters._SCHEME + '//')}) THEN {to} "
+            f"WHEN regexp_matches({to}, {_quoted(url_filters._SCHEME)}) THEN NULL WHEN starts_with({to}, '//') THEN 'http:' || {to} "
+            f"WHEN starts_with({to}, '/') THEN {site} || {to} WHEN starts_with({to}, '#') THEN {url} WHEN starts_with({to}, '?') THEN {site} || {_path(url)} || {to} "
+            f"ELSE {site} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {to} END)")
+
+
+def _tags(tag: str, value: str) -> str:
+    return f"list_transform(regexp_extract_all(html, {_quoted(tag)}), lambda t: regexp_extract(t, {_quoted(value)}, 1))"
 
 
 #: Components by the nodes reachable from each node that an edge touches.
 OP4 = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, coalesce(html, '') AS html, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages
+  SELECT page_id, url, coalesce(html, '') AS html FROM pages
 ), u AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_node('url')} AS node FROM p
+  SELECT page_id, coalesce({_host('url')}, '') AS host, coalesce({_path('url')}, '') AS path, {_node('url')} AS node FROM p
 ), t AS (
-  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1),
-                      regexp_extract(regexp_extract(html, '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?i)url\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS raw
+  SELECT url, replace(regexp_extract(html, {_quoted(url_filters._BASE)}, 1), '&amp;', '&') AS base,
+         unnest(list_concat({_tags(_LINK, url_filters._HREF)}, {_tags(url_filters._META, url_filters._TARGET)})) AS raw
   FROM p
+), w AS (
+  SELECT url, replace(raw, '&amp;', '&') AS goal, coalesce({_resolved('base', 'url')}, url) AS base FROM t
 ), e AS (
-  SELECT DISTINCT {_node('url')} AS a, {_node('goal')} AS b FROM (
-    SELECT url, CASE WHEN f = '' THEN NULL WHEN strpos(f, '://') > 0 THEN f WHEN f LIKE '//%' THEN 'http:' || f
-                     WHEN f LIKE '/%' THEN regexp_extract(url, '^([^:]*://)', 1) || regexp_extract({_node('url')}, '^([^/?]*)', 1) || f END AS goal
-    FROM (SELECT url, replace(raw, '&amp;', '&') AS f FROM t))
+  SELECT DISTINCT {_node('url')} AS a, {_node('whole')} AS b FROM (SELECT url, {_resolved('goal', 'base')} AS whole FROM w)
 ), g AS (
   SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b
 ), reach AS (

@@ -443,6 +443,9 @@ def report(task_scores: DataFrame, tasks: DataFrame, submissions: DataFrame) ->
         F.sum(F.col("score") * pen * w).alias("wps"),
         F.count(F.lit(1)).alias("tasks_scored"),
         F.sum(F.size("errors")).cast("long").alias("errors"))
+    # a submission without tasks has a report of its own: nothing scored, nothing wrong
+    agg = agg.join(submissions.select("submission_id").distinct(), "submission_id", "full_outer").fillna(
+        0, ["ws", "wsum", "wps", "tasks_scored", "errors"])
     overall = F.when(F.col("wsum") > 0, F.col("ws") / F.col("wsum")).otherwise(F.lit(0.0))
     adjusted = F.when(F.col("wsum") > 0, F.col("wps") / F.col("wsum")).otherwise(F.lit(0.0))
     return agg.select("submission_id", F.round(overall, 9).alias("overall_score"),

@@ -180,13 +180,14 @@ def task_summary(tasks: DataFrame) -> DataFrame:
 
 
 def truth_target(task_id) -> F.Column:
-    """Truth file routed by a substring of the task id, with a fallback."""
+    """Truth file routed by a substring of the task id; any other task has
+    a file of its own, by its id."""
     t = F.col(task_id) if isinstance(task_id, str) else task_id
     return (F.when(t.contains("cross_file"), F.lit("expected_symbol_paths"))
             .when(t.contains("refactor"), F.lit("expected_refactor_targets"))
             .when(t.contains("api_upgrade"), F.lit("expected_api_migration_results"))
-            .when(t.contains("bug"), F.lit("expected_bug_locations"))
-            .otherwise(F.lit("expected_other")))
+            .when(t.contains("bug_localization"), F.lit("expected_bug_locations"))
+            .otherwise(t))
 
 
 # ------------------------------------------------------- test-data answers

@@ -48,4 +48,4 @@ def test_report_json_and_truth_routing(spark):
     AR.write_tasks_truth(tasks, truths, out)
     routed = {r["task_id"]: r["target"] for r in spark.read.json(out + "/truth").collect()}
     assert routed == {"api_upgrade_01": "expected_api_migration_results",
-                      "cross_file_reasoning_02": "expected_symbol_paths", "misc_1": "expected_other"}
+                      "cross_file_reasoning_02": "expected_symbol_paths", "misc_1": "misc_1"}

@@ -136,3 +136,32 @@ def test_document_rules(spark):
     assert got[("s", "refactor_rename")] == pytest.approx(0.75 * 0.8)
     assert got[("s", "api_upgrade")] == pytest.approx(0.9)
     assert got[("t", "refactor_rename")] == 0.0
+
+
+def test_a_submission_without_tasks_has_a_report(spark):
+    ts = spark.createDataFrame([("s", "cross_file_reasoning_01", "cross_file_reasoning", 0.5, 1.0, "{}", ["wrong"])],
+                               "submission_id string, task_id string, type string, score double, max_score double, details string, errors array<string>")
+    tasks = _tasks(spark, [{"task_id": "cross_file_reasoning_01", "max_time_minutes": 10}])
+    subs = spark.createDataFrame([("s", True, True, 1.0), ("idle", True, True, 99.0)], "submission_id string, patch_applied boolean, compile_ok boolean, elapsed_minutes double")
+    got = {r.submission_id: (r.overall_score, r.adjusted_score, r.tasks_scored, r.errors, r.success, r.band) for r in SCO.report(ts, tasks, subs).collect()}
+    assert got == {"s": (0.5, 0.5, 1, 1, False, "Developing"), "idle": (0.0, 0.0, 0, 0, True, "Novice")}
+
+
+def test_truth_is_routed_and_summed_up(spark):
+    import json
+    import os
+    import tempfile
+
+    from quarry.operators.tasks import truth_target
+    from quarry.sources.artifacts import write_tasks_truth
+    ids = ["cross_file_reasoning_01", "refactor_rename_02", "api_upgrade_03", "bug_localization_04", "debug_05", "mystery_06"]
+    df = spark.createDataFrame([(i, "api_upgrade" if "api" in i else "other") for i in ids], "task_id string, type string")
+    got = {r.task_id: r.t for r in df.select("task_id", truth_target("task_id").alias("t")).collect()}
+    assert got == dict(zip(ids, ["expected_symbol_paths", "expected_refactor_targets", "expected_api_migration_results", "expected_bug_locations", "debug_05", "mystery_06"]))
+    d = tempfile.mkdtemp(prefix="quarry-tasks-", dir="/tmp")
+    write_tasks_truth(df, df, d)
+    assert {x for x in os.listdir(d + "/truth") if x.startswith("target=")} == {f"target={t}" for t in got.values()}
+    part = [f for f in os.listdir(d + "/task_summary") if f.endswith(".json")]
+    with open(f"{d}/task_summary/{part[0]}") as f:
+        assert json.load(f) == {"total_tasks": 6, "task_types": ["api_upgrade", "other"]}
+    assert spark.read.json(d + "/task_summary_tasks").count() == 6

@@ -110,6 +110,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         small.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: str = "text") -> Column:
     """Hash that tells rows of one doc_id with different texts apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, Words, connected_components, map_batches, mix64, text_key
+from quarry.llm.common import Scratch, Words, connected_components, map_batches, mix64, text_key, unused
 
 PERMUTATIONS = 32
 BAND = 4
@@ -279,11 +279,12 @@ def filter_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     scratch = Scratch(docs.sparkSession, "minhash-filter")
     judged = scratch.save(components(docs, k, num, den).where("doc_id is not null")
                           .groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(~F.col("kept")).alias("out")), "judged")
-    gone = judged.where("out").select(F.col("doc_id").alias("gone_id_"))
-    again = judged.where("n > 1 and not out").select(F.col("doc_id").alias("again_id_"))
-    kept = docs.join(_ids(gone, "gone_id_"), docs["doc_id"] == F.col("gone_id_"), "left_anti")
+    gone_id, again_id = unused("gone_id_", docs), unused("again_id_", docs)
+    gone = judged.where("out").select(F.col("doc_id").alias(gone_id))
+    again = judged.where("n > 1 and not out").select(F.col("doc_id").alias(again_id))
+    kept = docs.join(_ids(gone, gone_id), docs["doc_id"] == F.col(gone_id), "left_anti")
     if again.isEmpty():
         return kept
-    match = kept["doc_id"] == F.col("again_id_")
-    return kept.join(_ids(again, "again_id_"), match, "left_anti").unionByName(
-        kept.join(_ids(again, "again_id_"), match, "left_semi").dropDuplicates(["doc_id"]))
+    match = kept["doc_id"] == F.col(again_id)
+    return kept.join(_ids(again, again_id), match, "left_anti").unionByName(
+        kept.join(_ids(again, again_id), match, "left_semi").dropDuplicates(["doc_id"]))

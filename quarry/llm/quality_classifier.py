@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, map_batches
+from quarry.llm.common import Words, map_batches, unused
 
 PASSAGE_WORDS = 64
 SAMPLE = 6000
@@ -158,21 +158,22 @@ def train(rows: list) -> dict:
     return w
 
 
-def score(docs: DataFrame, weights: dict, passthrough: list[str] | None = None) -> DataFrame:
-    """``passthrough`` columns (doc_id alone by default) and score, of every row."""
+def score(docs: DataFrame, weights: dict, passthrough: list[str] | None = None, into: str = "quality_score_") -> DataFrame:
+    """``passthrough`` columns (doc_id alone by default) and the score, of every row."""
     keep = passthrough or ["doc_id"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             doc, x = encode(b.column("text"))
             p = forward(weights, x, np.searchsorted(doc, np.arange(b.num_rows)), doc)["p"] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p, pa.float64())], names=[*keep, "quality_score_"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p, pa.float64())], names=[*keep, into])
 
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = dict(slim.dtypes)
-    return map_batches(slim, batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", quality_score_ double")
+    return map_batches(slim, batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{into}` double")
 
 
 def filter_documents(docs: DataFrame, weights: dict) -> DataFrame:
     """The rows scored at least THRESHOLD, all columns unchanged; narrow."""
-    return score(docs, weights, docs.columns).where(F.col("quality_score_") >= THRESHOLD).drop("quality_score_")
+    into = unused("quality_score_", docs)
+    return score(docs, weights, docs.columns, into).where(F.col(into) >= THRESHOLD).drop(into)

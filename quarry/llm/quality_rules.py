@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, map_batches, text_key
+from quarry.llm.common import Scratch, map_batches, text_key, unused
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -186,8 +186,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged."""
-    bad = (judge(docs).where(~F.col("kept"))
-           .select(F.col("doc_id").alias("bad_id_"), F.col("row_key").alias("bad_key_")).distinct())
-    keyed = docs.withColumn("row_key_", text_key())
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["bad_id_"]) & (keyed["row_key_"] == bad["bad_key_"]),
-                      "left_anti").drop("row_key_")
+    key, bad_id, bad_key = (unused(c, docs) for c in ("row_key_", "bad_id_", "bad_key_"))
+    bad = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias(bad_id), F.col("row_key").alias(bad_key)).distinct()
+    keyed = docs.withColumn(key, text_key())
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad[bad_id]) & (keyed[key] == bad[bad_key]), "left_anti").drop(key)

@@ -427,6 +427,23 @@ def test_pipeline_stages(spark):
         docs = out
 
 
+def test_stages_take_clashing_columns_null_ids_and_repeated_rows(spark):
+    names = ["quality_score_", "row_key_", "bad_id_", "bad_key_", "gone_id_", "again_id_", "Quality_Score__", "kept", "distance", "rep", "comp", "spans", "ids"]
+    given = common.table(spark, SF, "documents").withColumns({c: F.lit(7) for c in names})
+    first = given.where("length(text) > 1500").orderBy("doc_id").first()
+    nobody = given.where(F.col("doc_id") == first.doc_id).withColumn("doc_id", F.lit(None).cast("long"))
+    empty = given.limit(2).withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(-5).cast("long")})
+    docs = given.unionByName(given.where(F.col("doc_id") == first.doc_id)).unionByName(nobody).unionByName(empty)
+    scratch, columns = common.Scratch(spark, "pipeline-test"), docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = scratch.save(stage(spark, docs, SF), f"s{k}")
+        if name != "packing":
+            assert out.columns == columns and out.where("row_key_ = 7 and quality_score_ = 7 and gone_id_ = 7").count() == out.count() > 100
+            assert out.where("doc_id is null").count() == 1 and out.where("doc_id = -5").count() == 0
+            assert out.where(F.col("doc_id") == first.doc_id).count() == (2 if k < 2 else 1)
+        docs = out
+
+
 def test_prefix_rule_alone_finds_every_link(spark, monkeypatch):
     """Without pivot rounds all links come from the prefix rule."""
     monkeypatch.setattr(minhash_dedup, "PIVOT_ROUNDS", 0)

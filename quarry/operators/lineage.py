@@ -209,11 +209,29 @@ def _components(edges: DataFrame) -> DataFrame:
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+#: Slots of the sketches that tell gram sets apart before they are compared.
+PARITY_BITS = 1024
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def parity_udf(grams: pd.Series) -> pd.Series:
+    """The parity of a set's grams in each of PARITY_BITS slots, as 64-bit words."""
+    import numpy as np
+
+    def one(g):
+        with np.errstate(over="ignore"):
+            slot = (np.asarray(g, dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)
+        return np.packbits(np.bincount(slot.astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+    return grams.map(one)
+
+
 def _rarest_shared(rest: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of ``rest`` (rep, comp) across components that may link: with
     the grams of every set in ascending order of frequency, sets of sizes m and n
     that link share ``need = ceil(num * (m + n) / (num + den))`` of them, so the
-    first shared one comes before the last ``need`` of both."""
+    first shared one comes before the last ``need`` of both; and their parity
+    sketches differ in at most the ``m + n - 2 need`` grams that one set only may
+    have.  Both bounds are exact."""
     rows = cut_lineage(rest.join(grams, "rep").select("rep", "comp", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("h")))
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("df > 1")
     one = Window.partitionBy("rep")
@@ -221,12 +239,14 @@ def _rarest_shared(rest: DataFrame, grams: DataFrame, num: int, den: int) -> Dat
     place = F.col("n") - F.count(F.lit(1)).over(one) + F.row_number().over(one.orderBy("df", "h"))
     first = (rows.join(often, "h").withColumn("place", place)
              .filter(f"lo <> hi and place <= n - ({num} * n + {den - 1}) div {den} + 1"))
-    first = cut_lineage(first.select("h", "rep", "comp", "n", "place"))
-    x = first.select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    y = first.select("h", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    sketches = rest.select("rep").join(grams, "rep").select("rep", parity_udf("grams").alias("bits"))
+    first = cut_lineage(first.select("h", "rep", "comp", "n", "place").join(sketches, "rep"))
+    x, y = (first.select("h", F.col("rep").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"),
+                         F.col("bits").alias(f"b{s}")) for s in "xy")
     need = f"({num} * (nx + ny) + {num + den - 1}) div {num + den}"
+    apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
     return (x.join(y, "h").filter(f"x < y and cx <> cy and px + {need} <= nx + 1 and py + {need} <= ny + 1")
-            .select("x", "y"))
+            .filter(apart <= F.expr(f"nx + ny - 2 * ({need})")).select("x", "y"))
 
 
 def _shared(pairs: DataFrame, grams: DataFrame) -> DataFrame:

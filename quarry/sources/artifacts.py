@@ -55,10 +55,13 @@ def write_tasks_truth(tasks: DataFrame, truths: DataFrame, path: str, target_col
     """Truth rows routed to a folder per target (``partitionBy``), the
     tasks, and their summary: the total and the distinct types as one document
     and (id, type) of every task as rows."""
+    from quarry.functions.text import task_type_of
     from quarry.operators.tasks import truth_target
-    total = tasks.agg(F.count(F.lit(1)).alias("total_tasks"), F.sort_array(F.collect_set("type")).alias("task_types"))
+    kind = F.col("type") if "type" in tasks.columns else task_type_of("task_id")
+    listed = tasks.select(F.col("task_id").alias("id"), kind.alias("type"))
+    total = listed.agg(F.count(F.lit(1)).alias("total_tasks"), F.sort_array(F.collect_set("type")).alias("task_types"))
     total.coalesce(1).write.mode("overwrite").json(path + "/task_summary")
-    tasks.select(F.col("task_id").alias("id"), "type").write.mode("overwrite").json(path + "/task_summary_tasks")
+    listed.write.mode("overwrite").json(path + "/task_summary_tasks")
     truths.withColumn(target_col, truth_target("task_id")).write.mode("overwrite").partitionBy(target_col).json(path + "/truth")
     tasks.write.mode("overwrite").json(path + "/tasks")
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import index as IX
 from quarry.plans.registry import ExtractorRegistry
+from quarry.session import bound_batches
 from quarry.sources.commits import KeyedTable
 
 SCHEMA = ("path string, repo string, language string, sha string, symbols array<struct<symbol:string,kind:string>>, error string")
@@ -36,6 +37,7 @@ class SymbolTable:
         self.table = KeyedTable(self.spark, self.root, SCHEMA, "path", self.buckets)
 
     def _rows(self, files: DataFrame) -> DataFrame:
+        bound_batches(files.sparkSession)
         r = IX.checked_symbols_expr(self.registry)
         seen = files.select("path", "repo", "language", "sha", F.col("read_error"), r.alias("r"))
         return seen.select("path", "repo", "language", "sha", F.col("r.symbols").alias("symbols"), F.coalesce("read_error", "r.error").alias("error"))
